@@ -153,13 +153,10 @@ class PieceEncoder:
         digit = (low >= 48) & (low <= 57)
         cut = np.zeros(n, bool)
         cut[1:] = (letter[1:] != letter[:-1]) | digit[1:] | digit[:-1]
-        starts = np.flatnonzero(begins | cut & plain & ~space)
-        ends = np.append(starts[1:], n)
-        # A piece ends before the white space or the border of the text that follows it.
-        border = np.flatnonzero(space)
-        stop = np.union1d(border, offsets)
-        ends = np.minimum(ends, stop[np.searchsorted(stop, starts, "right")]) if len(starts) else ends[:0]
-        return low, starts, ends
+        begins |= cut & plain & ~space
+        last = ~space
+        last[:-1] &= begins[1:] | space[1:]
+        return low, np.flatnonzero(begins), np.flatnonzero(last) + 1
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin (one entry more)."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import jaccard_join, language_id, nearest, pii, quality, token_store, url_filter
+from weftgraph.llm import decontaminate, jaccard_join, language_id, nearest, pii, quality, sentencepiece, token_store, url_filter
 from weftgraph.llm._tables import shared_dir, stored
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -23,6 +23,14 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as piece ids, and whether they decode to it."""
+    pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    out = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
+    same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), same.alias("round_trip"), "ids")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 4) == 2
@@ -49,6 +57,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(F.expr(pii.listed("base")), 256).alias("base_sha256"), F.expr(pii.listed("spans")).alias("spans"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -66,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op3_token_store, op5_jaccard_join, op6_pii, op8_nearest, op9_url_filter, op10_quality)
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality)
 }
 
 ORACLES: dict[str, str] = {

@@ -54,6 +54,13 @@ def piece_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def rolling_hashes(buf: np.ndarray, size: int) -> np.ndarray:
+    """The :func:`piece_hashes` of all pieces of `size` bytes, by slices."""
+    sums = prefix_sums(buf)
+    _, inverse = _grow(len(sums))
+    return mix((sums[size:] - sums[:-size]) * inverse[: len(sums) - size] + np.uint64(size))
+
+
 def text_chunks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about limit bytes, at least a row each; null: empty."""
     if texts.null_count:

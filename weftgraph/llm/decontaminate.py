@@ -202,7 +202,7 @@ def _search(weights, basis, items, near: float, share: float, answer_share: floa
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, near: float = 0.35, share: float = 0.65, answer_share: float = 0.5, rank: int = 96, stop_share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, near: float = 0.25, share: float = 0.65, answer_share: float = 0.5, rank: int = 96, stop_share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, first_word): the documents that hold a benchmark item, whole or paraphrased.
 

@@ -61,7 +61,7 @@ def rolling_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * inverse[: len(sums) - size] + np.uint64(size))
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about limit bytes, at least a row each; null: empty."""
     if texts.null_count:
         texts = texts.fill_null("")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._tables import bitmap, components, in_bitmap, stored
+from weftgraph.llm._tables import bitmap, components, in_bitmap, small_batches, stored
 from weftgraph.llm._text import BASE, LOWER, mix, piece_hashes, prefix_sums, sorted_distinct, text_chunks, word_spans
 
 #: Tokens below this share of the hash space are counted to find the frequent ones: prefixes consist of the
@@ -179,7 +179,8 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, log2_b
     wanted = rows.sparkSession.sparkContext.broadcast(bitmap(ids, "id", log2_bits))
     sets = rows.mapInArrow(_full_sets(words, wanted), "id bigint, tokens binary")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
-    return stored(both.mapInArrow(_compare(percent), "a bigint, b bigint").distinct(), "verified")
+    with small_batches(rows.sparkSession, 500):
+        return stored(both.mapInArrow(_compare(percent), "a bigint, b bigint").distinct(), "verified")
 
 
 def jaccard_components(

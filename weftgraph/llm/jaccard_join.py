@@ -195,6 +195,11 @@ def jaccard_components(
     a null component. An empty table gives no rows. frequent_from: how many components make a token frequent;
     minhashes: how many star keys; neither changes the result. Tokens are 64-bit hashes of shingles.
     """
+    with small_batches(docs.sparkSession, 1000):
+        return _joined(docs, words, percent, k, frequent_from, minhashes, id_col, text_col, log2_bits)
+
+
+def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: int, minhashes: int, id_col: str, text_col: str, log2_bits: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sizes = stored(rows.mapInArrow(_profile(words, minhashes), "id bigint, n bigint, h1 bigint, h2 bigint, low array<bigint>"), "sets")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, jaccard_join, pii, quality, sentencepiece
 from weftgraph.llm._tables import stored
-from weftgraph.llm.queries import TOKENIZERS, remainder, table
+from weftgraph.llm.queries import TOKENIZERS, remainder, table, text_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays; of rows that repeat
     an id and text, one. Rows with a null id stay."""
+    text_batches(spark)
     groups = jaccard_join.jaccard_components(docs, words=5, percent=80)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -40,6 +41,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, round_trip, ids): the piece ids of each whole text, decoded again as a check."""
+    text_batches(spark)
     pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
     out = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text"), pieces), pieces)
     same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def _pack(size: int, kind: str):  # noqa: ANN202
     """Blocks of up to size vectors of one dimension: ids, float64 components, int8 components and their scales."""
@@ -103,6 +106,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in best], pa.int64()), pa.array([b[1].tolist() for b in best], pa.list_(pa.int64())), pa.array([b[2].tolist() for b in best], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         lists = [list(zip([-s for s in scores], ids, strict=True)) for ids, scores in zip(rows["ids"], rows["scores"], strict=True)]
         best = [x for x, _ in zip(heapq.merge(*lists), range(k), strict=False)]
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": np.array([i for _, i in best], np.int64), "score": np.array([-s for s, _ in best], np.float64)})

@@ -15,7 +15,15 @@ from weftgraph.llm._tables import shared_dir, stored
 TOKENIZERS = "/opt/tokenizers"
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most in this session: 10,000 whole texts, with their ids or sets, fill a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

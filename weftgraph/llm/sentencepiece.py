@@ -10,9 +10,9 @@ others reach the texts that hold them by a join on the word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm._tables import stored
 from weftgraph.llm._text import gather_ranges, piece_hashes, prefix_sums, text_chunks
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SPACE = "▁"
 #: Longer words are cut into parts of so many bytes (a character is never cut); each part has its own lattice.
 MAX_WORD = 192
@@ -32,6 +35,7 @@ def load_pieces(path: str, scores: str = "rank") -> pd.DataFrame:
     left out. scores: "model" takes the file's scores (unigram models); "rank" takes minus the logarithm of the
     piece's rank, a log probability by Zipf's law up to a constant: the scores of a BPE model are merge ranks, whose sum says nothing about a
     path's probability."""
+    import pandas as pd
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -106,6 +110,8 @@ def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     a space standing for the space sign; it may have further columns. A character that no piece holds becomes its bytes' pieces. Of paths
     with the same score the one whose last pieces are longer wins. The piece table is broadcast: its size is that of the
     vocabulary."""
+    import pandas as pd  # not in the workers, where it takes memory for nothing
+
     spark = words.sparkSession
     plain = pieces[pieces["byte"] < 0]
     longest = int(plain["piece"].str.len().max())

@@ -43,7 +43,7 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """(doc_id, n_pieces, round_trip, ids): the piece ids of each whole text, decoded again as a check."""
     text_batches(spark)
     pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
-    out = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text"), pieces), pieces)
+    out = sentencepiece.encode(docs.select("doc_id", "text"), pieces, decode_to="decoded")
     same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), same.alias("round_trip"), "ids")
 

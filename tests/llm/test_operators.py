@@ -104,7 +104,8 @@ def test_sentencepiece(docs, max_words):
     pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
     table = {r.piece.replace("▁", " "): (r.id, r.score) for r in pieces.itertuples() if r.byte < 0}
     rows = sentencepiece.decode(sentencepiece.encode(docs, pieces, max_words=max_words), pieces).collect()
-    assert len(rows) == len(TEXTS) + 2
+    both = sentencepiece.encode(docs, pieces, max_words=max_words, decode_to="again").collect()
+    assert len(rows) == len(TEXTS) + 2 == len(both) and all(r.again == (r.text or "") for r in both)
     for r in rows:
         assert r.decoded == (r.text or "") and r.word in ("clash", "n", None)
         if r.text and len(r.text) < 500:

@@ -22,7 +22,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n + n // 8, (1 << 19) + (1 << 17))
         for i, base in enumerate((BASE, INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -61,7 +61,7 @@ def rolling_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * inverse[: len(sums) - size] + np.uint64(size))
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about limit bytes, at least a row each; null: empty."""
     if texts.null_count:
         texts = texts.fill_null("")

@@ -34,7 +34,7 @@ def remainder(id_col: str, modulus: int) -> Column:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as piece ids, and whether they decode to it."""
     pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
-    out = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
+    out = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, decode_to="decoded")
     same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), same.alias("round_trip"), "ids")
 

@@ -14,7 +14,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import stored
@@ -214,20 +214,26 @@ def _apply(shared, kept: int):  # noqa: ANN001, ANN202
     return run
 
 
-def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_words: int = 6_000_000) -> DataFrame:
+def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_words: int = 6_000_000, decode_to: str | None = None) -> DataFrame:
     """The rows of docs plus `ids`, the piece ids of the whole text with a space in front, as SentencePiece has it.
 
     A null or empty text has no pieces. Every other text decodes to itself: spaces are kept as they are, and a
     literal space sign (U+2581) is spelt in bytes. max_words bounds the broadcast; it doesn't change the result.
-    A column `ids` of docs is replaced.
+    A column `ids` of docs is replaced. decode_to: a column for the decoded texts; the same task then encodes and
+    decodes, with one worker instead of two.
     """
     spark = docs.sparkSession
     docs = docs.drop("ids")
     dictionary = word_dictionary(docs, pieces, text_col)
     words, whole = frequent_words(dictionary, max_words)
-    run = _apply(spark.sparkContext.broadcast(words), len(docs.columns))
+    apply = _apply(spark.sparkContext.broadcast(words), len(docs.columns))
+    spell = _speller(spark, pieces, decode_to) if decode_to else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return spell(apply(batches)) if spell else apply(batches)
+
     own = "array<struct<word:string,ids:array<int>>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, _missing array<string>"
+    schema = _schema(docs) + ", ids array<int>, _missing array<string>" + (f", `{decode_to}` string" if decode_to else "")
     rows = docs.withColumn("_text", F.col(text_col).cast("string"))
     out = rows.withColumn("_own", F.lit(None).cast(own)).mapInArrow(run, schema)
     if not whole:
@@ -238,20 +244,20 @@ def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_wo
     return out.drop("_missing")
 
 
-def decode(encoded: DataFrame, pieces: pd.DataFrame, to: str = "decoded") -> DataFrame:
-    """The rows of encoded plus the text of `ids` in the column `to`. Null ids give null; unknown ids nothing."""
+def _speller(spark: SparkSession, pieces: pd.DataFrame, to: str):  # noqa: ANN202
+    """Batches with a column `ids` get the column `to`, the texts."""
     size = int(pieces["id"].max()) + 1
     spelt = [b""] * size
     for r in pieces.itertuples():
         spelt[r.id] = bytes([r.byte]) if r.byte >= 0 else r.piece.replace(SPACE, " ").encode()
     sizes = np.array([len(s) for s in spelt] + [0], np.int64)
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(sizes) - sizes, sizes))
+    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(sizes) - sizes, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, sizes = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
                 ids = part.column("ids")
                 lengths = np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64)
                 flat = np.asarray(ids.flatten()).astype(np.int64)
@@ -261,6 +267,13 @@ def decode(encoded: DataFrame, pieces: pd.DataFrame, to: str = "decoded") -> Dat
                 texts = [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, to])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{to}` string"
-    return encoded.mapInArrow(run, schema)
+    return run
 
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def decode(encoded: DataFrame, pieces: pd.DataFrame, to: str = "decoded") -> DataFrame:
+    """The rows of encoded plus the text of `ids` in the column `to`. Null ids give null; unknown ids nothing."""
+    return encoded.mapInArrow(_speller(encoded.sparkSession, pieces, to), f"{_schema(encoded)}, `{to}` string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.describe import describe_step, describe_undo, node_label
-from weftgraph.operators import lookups, loops, reduction
+from weftgraph.operators import lookups, loops, motif_tree, reduction, schedule
 from weftgraph.operators.shared import settled
 from weftgraph.sources import ingest, op_log_io
 
@@ -217,9 +217,43 @@ def describe_ops(spark, sf):  # noqa: ANN001, ANN201
     return _log(spark, sf)[2].select("graph_id", "op_idx", describe_step().alias("step"), describe_undo().alias("undo"))
 
 
+def _loop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = settled(cyclic(spark, sf_dir))
+    return settled(schedule.op_log(settled(_weighted(spark, edges)), edges))
+
+
+def _loop_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _loop_log(spark, sf_dir)
+    return settled(motif_tree.motifs(log, motif_tree.loop_parents(log)))
+
+
+def op_log_loops(spark, sf):  # noqa: ANN001, ANN201
+    log = _loop_log(spark, sf)
+    cut = F.expr("array_join(transform(forward.edges, e -> concat(e.src, '>', e.dst)), ',')")
+    rows = log.select("graph_id", "op_idx", "kind", F.col("inverse.target").alias("target"), F.array_join("inverse.pred_edges", ",").alias("preds"), F.col("inverse.weight").alias("weight"), F.col("meta.header").alias("header"), F.array_join("meta.scc", ",").alias("members"), cut.alias("cut"), describe_step().alias("step"))
+    seen = schedule.scopes(log).select("graph_id", "op_idx", F.array_join("before", ",").alias("scope_before"), F.array_join("after", ",").alias("scope_after"))
+    return rows.join(seen, ["graph_id", "op_idx"])
+
+
+def motifs_loops(spark, sf):  # noqa: ANN001, ANN201
+    found = _loop_motifs(spark, sf)
+    lists = [F.array_join(c, ",").alias(c) for c in ("preds", "succs", "scc")]
+    return found.select("graph_id", "step", "parent_step", "kind", "node", "header", *lists)
+
+
+def metagraph_edges_loops(spark, sf):  # noqa: ANN001, ANN201
+    return motif_tree.metagraph_edges(_loop_motifs(spark, sf))
+
+
+def subgraphs_loops(spark, sf):  # noqa: ANN001, ANN201
+    found = _loop_motifs(spark, sf)
+    return motif_tree.subgraphs(found, motif_tree.metagraph_edges(found))
+
+
 _NAMES = (
     metagraph_edges_dag, graph_edges, graph_nodes, type_weights, graph_status, degrees, neighbours, terminals, next_terminal, induced_subgraph, removed_terminals, scc, terminal_sccs, loop_headers,
     back_edges, loop_nesting, residual_edges, residual_weights, residual_motif_kinds, dag_weights, op_log_dag, op_log_roundtrip, motifs_dag, motif_profile_dag, dag_violations, graph_as_of, frontier_as_of, truncate_append, reduction_progress, describe_ops,
+    op_log_loops, motifs_loops, metagraph_edges_loops, subgraphs_loops,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 

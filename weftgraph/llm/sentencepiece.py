@@ -50,20 +50,30 @@ def load_pieces(path: str, scores: str = "rank") -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "piece", "score", "byte"])
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def joints(pieces: pd.DataFrame) -> np.ndarray:
+    """256 x 256: whether some piece holds a character that ends in the one byte before a character that begins with the other."""
+    out = np.zeros((256, 256), bool)
+    for piece in pieces.loc[pieces["byte"] < 0, "piece"]:
+        raw = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
+        inner = (raw[1:] & 0xC0) != 0x80
+        out[raw[:-1][inner], raw[1:][inner]] = True
+    return out
+
+
+def _words(texts: pa.Array, joined: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, word starts, word ends, words before each text) of runs of texts, each text with a space in front.
 
-    A word is a run of spaces with the run of other signs behind it. Control signs are words of their own: only
-    bytes pieces hold them.
+    A word is a run of spaces with the run of other signs behind it, taken apart where no piece can reach across
+    (joined: the table of :func:`joints`), so that the best paths of its parts make up its own.
     """
     for row, buf, offsets in text_chunks(texts):
         full = np.diff(offsets) > 0
         buf = np.insert(buf, offsets[:-1][full], 32)
         offsets = offsets + np.concatenate([[0], np.cumsum(full)])
         n = len(buf)
-        space, control = buf == 32, buf < 32
-        start = control.copy()
-        start[1:] |= control[:-1] | (space[1:] & ~space[:-1])
+        space = buf == 32
+        start = np.zeros(n, bool)
+        start[1:] = space[1:] & ~space[:-1] | ~joined[buf[:-1], buf[1:]] & ((buf[1:] & 0xC0) != 0x80)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         start |= edge[:n]
@@ -81,7 +91,16 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         yield row, buf, starts, np.append(starts[1:], n) if len(starts) else starts, np.searchsorted(starts, offsets)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct(joined):  # noqa: ANN001, ANN202
+    """The distinct words of a task's texts; joined: a broadcast table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted_words(batches, joined.value)
+
+    return run
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Iterator[pa.RecordBatch]:
     hashes, counts, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
 
     def rows() -> Iterator[pa.RecordBatch]:
@@ -89,7 +108,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + 20000].view(np.int64)), pa.array([w.decode("utf-8", "replace") for w in words[i : i + 20000]], pa.string()), pa.array(counts[i : i + 20000])], ["hash", "word", "n"])
 
     for batch in batches:
-        for _, buf, starts, ends, _ in _words(batch.column(0)):
+        for _, buf, starts, ends, _ in _words(batch.column(0), joined):
             found, where, n = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_counts=True)
             place = np.searchsorted(hashes, found)
             known = place < len(hashes)
@@ -124,11 +143,15 @@ def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(-1000.0)).alias("score"))
     lattice = edges.groupBy(*words.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     node = "named_struct('score', {score}, 'start', {start}, 'id', {id})"
-    first = f"cast(array({node.format(score='0D', start='0', id='-1')}) as array<struct<score:double,start:int,id:int>>)"
-    new = node.format(score="best[e.start].score + e.score", start="e.start", id="e.id")
-    forward = f"""aggregate(edges, {first}, (best, e) ->
-        if(size(best) <= e.end, concat(best, array({new})),
-           if(best[e.start].score + e.score > best[e.end].score, concat(slice(best, 1, e.end), array({new})), best)))"""
+    # The edges come by their ends: the best one into the end at hand is held apart, and joins the array when the next end begins.
+    kind = "struct<score:double,start:int,id:int>"
+    zero = f"named_struct('best', cast(array() as array<{kind}>), 'end', 0, 'last', cast({node.format(score='0D', start='0', id='-1')} as {kind}))"
+    here = node.format(score="s.best[e.start].score + e.score", start="e.start", id="e.id")
+    ahead = node.format(score="if(e.start = s.end, s.last.score, s.best[e.start].score) + e.score", start="e.start", id="e.id")
+    forward = f"""aggregate(edges, {zero}, (s, e) ->
+        if(e.end > s.end, named_struct('best', concat(s.best, array(s.last)), 'end', e.end, 'last', {ahead}),
+           if(s.best[e.start].score + e.score > s.last.score, named_struct('best', s.best, 'end', s.end, 'last', {here}), s)),
+        s -> concat(s.best, array(s.last)))"""
     back = """aggregate(sequence(1, length(word)), named_struct('at', length(word), 'path', cast(array() as array<struct<id:int,start:int>>)),
         (s, i) -> if(s.at = 0, s, named_struct('at', best[s.at].start, 'path', concat(array(named_struct('id', best[s.at].id, 'start', best[s.at].start)), s.path))), s -> s.path)"""
     as_bytes = "transform(sequence(0, octet_length(c) - 1), i -> array({})[cast(conv(substring(hex(encode(c, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)])".format(",".join(map(str, byte_ids)) or "-1")
@@ -139,7 +162,7 @@ def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
 
 def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text") -> DataFrame:
     """(hash, word, n, ids) of the distinct words of all texts; n: how often it occurs."""
-    found = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''").mapInArrow(_distinct, "hash bigint, word string, n bigint")
+    found = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''").mapInArrow(_distinct(docs.sparkSession.sparkContext.broadcast(joints(pieces))), "hash bigint, word string, n bigint")
     words = found.groupBy("word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
     return stored(solve_words(words, pieces).select("hash", "word", "n", "ids"), "words")
 
@@ -179,10 +202,10 @@ def _apply(shared, kept: int):  # noqa: ANN001, ANN202
     """Encode texts (the column before the last); the last column: (word, ids) of words that aren't in shared, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, pool = shared.value
+        (hashes, at, pool), joined = shared.value
         for batch in batches:
             own = batch.column("_own")
-            for row, buf, starts, ends, before in _words(batch.column("_text")):
+            for row, buf, starts, ends, before in _words(batch.column("_text"), joined):
                 found, where, back = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_inverse=True)
                 place = np.searchsorted(hashes, found)
                 known = place < len(hashes)
@@ -226,7 +249,7 @@ def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_wo
     docs = docs.drop("ids")
     dictionary = word_dictionary(docs, pieces, text_col)
     words, whole = frequent_words(dictionary, max_words)
-    apply = _apply(spark.sparkContext.broadcast(words), len(docs.columns))
+    apply = _apply(spark.sparkContext.broadcast((words, joints(pieces))), len(docs.columns))
     spell = _speller(spark, pieces, decode_to) if decode_to else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

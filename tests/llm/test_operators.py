@@ -182,3 +182,14 @@ def test_decontaminate(spark, docs):
     assert got == {(100 + i, i) for i in range(5)} | {(200 + i, i) for i in range(5)}
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
     assert decontaminate.lcs([1, 2, 3, 4], [2, 9, 4, 3]) == 2
+
+
+def test_decontaminate_finds_an_item_in_half_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(n))
+    leak, other = text(40), text(40)
+    bench = spark.createDataFrame([(0, leak), (1, other)], "item_id bigint, text string")
+    for n in (60, 4):
+        rows = [(i, text(40) + (f" {leak} " if i % 2 else " ") + text(40)) for i in range(n)]
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+        assert got == {(i, 0) for i in range(1, n, 2)}

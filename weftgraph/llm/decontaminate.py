@@ -202,21 +202,21 @@ def _search(weights, basis, items, near: float, share: float, answer_share: floa
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, near: float = 0.25, share: float = 0.65, answer_share: float = 0.5, rank: int = 96, stop_share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, near: float = 0.25, share: float = 0.65, answer_share: float = 0.5, rank: int = 96, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, first_word): the documents that hold a benchmark item, whole or paraphrased.
 
-    Passages are 32 words, a new one every 16. They and the items are TF-IDF rows over the items' words (idf over all documents;
-    words in more than stop_share of them don't count), projected on `rank` singular directions of all
+    Passages are 32 words, a new one every 16. They and the items are TF-IDF rows over the items' words (idf over all documents:
+    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies), projected on `rank` singular directions of all
     passages and items. A pair with a cosine of `near` is compared: the longest common subsequence of the item's words
     and the passage's surroundings must reach `share` of the item, and that of its answer (the last line or
     sentence) answer_share of the answer. One row for a document and item, with its best passage. Null or
-    wordless texts and items match nothing, nor do items of stop words only; null ids take no part. Rows that repeat an id count as one document.
+    wordless texts and items match nothing; null ids take no part. Rows that repeat an id count as one document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text <> ''")
     blocks = max(1, -(-items.count() // ITEMS))
-    out = [_block(rows, items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), near, share, answer_share, rank, stop_share) for i in range(blocks)]
+    out = [_block(rows, items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), near, share, answer_share, rank) for i in range(blocks)]
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -224,7 +224,7 @@ def contaminated(
     return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.cosine", "b.lcs", "b.first_word")
 
 
-def _block(rows: DataFrame, items: DataFrame, near: float, share: float, answer_share: float, rank: int, stop_share: float) -> DataFrame:
+def _block(rows: DataFrame, items: DataFrame, near: float, share: float, answer_share: float, rank: int) -> DataFrame:
     spark = rows.sparkSession
     held = items.toArrow()
     keys, texts = held.column("id").to_pylist(), held.column("text").to_pylist()
@@ -241,7 +241,7 @@ def _block(rows: DataFrame, items: DataFrame, near: float, share: float, answer_
     counts = texts_table.mapInArrow(_df(len(vocabulary)), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.ones(len(vocabulary) + 1)
     df[counts.column("word").to_numpy()] = np.maximum(1, counts.column("df").to_numpy())
-    weights = np.where(df <= max(stop_share * total, 1), np.log1p(total / df), 0.0)
+    weights = np.log1p(total / df)
     weights[0] = 0
     number = lambda hs: [np.searchsorted(vocabulary, h) + 1 for h in hs]
     words, answers = number(hashes), number(answers)

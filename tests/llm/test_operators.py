@@ -193,3 +193,17 @@ def test_decontaminate_finds_an_item_in_half_of_all_rows(spark):
         rows = [(i, text(40) + (f" {leak} " if i % 2 else " ") + text(40)) for i in range(n)]
         got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
         assert got == {(i, 0) for i in range(1, n, 2)}
+
+
+def test_decontaminate_finds_whole_copies_at_any_rank_and_length(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 5)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = [text(n) for n in [4, 8, 20, 33, 50] * 8 + [700]]
+    rows = [(i, f"{text(37)} {x.upper()}, {text(41)}") for i, x in enumerate(items)] + [(100 + i, text(120)) for i in range(20)]
+    # One word of six is another one, far from the directions that are left.
+    rows += [(200 + i, " ".join(w if j % 6 else "other" for j, w in enumerate(x.split()))) for i, x in enumerate(items) if len(x) > 200]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.lcs for r in decontaminate.contaminated(df, bench, rank=2).collect()}
+    assert set(got) == {(i, i) for i in range(41)} | {(200 + i, i) for i, x in enumerate(items) if len(x) > 200}
+    assert all(got[i, i] == 1 for i in range(41))

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import stored
-from weftgraph.llm._text import LOWER, mix, piece_hashes, prefix_sums, sorted_distinct, text_chunks
+from weftgraph.llm._text import LOWER, gather_ranges, mix, piece_hashes, prefix_sums, sorted_distinct, text_chunks
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 #: Words of half a passage. Passages overlap by half; a last one may be shorter.
 HALF = 16
+#: Entries of a table of passages and items that are worked on at once.
+ENTRIES = 1 << 20
 #: Items that are searched for in one go; more go in blocks of so many, so what is broadcast has a fixed bound.
 ITEMS = 20_000
 
@@ -152,32 +154,136 @@ def lcs(x: list[int], y: list[int]) -> int:
     return len(x) - v.bit_count()
 
 
-def _checked(texts: list[np.ndarray], passages: Passages, items: tuple, near: float, share: float, answer_share: float) -> Iterator[tuple]:
-    """(text, item key, cosine, share of the item, first word) of the candidates that pass."""
-    keys, words, distinct, answers, latent = items
+class Items:
+    """The items of a block, made for the search: windows of passage size and each whole item as columns of unit length, in
+    the latent space and word by word, and for whole copies the place of each item's rarest word and a hash."""
+
+    def __init__(self, keys: list[int], words: list[np.ndarray], answers: list[np.ndarray], weights: np.ndarray, basis: np.ndarray, share: float) -> None:
+        self.keys, self.words, self.answers = keys, [x.tolist() for x in words], [x.tolist() for x in answers]
+        self.distinct = [set(x) for x in self.words]
+        parts = [[x, *(x[i : i + 2 * HALF] for i in range(0, len(x) - HALF, HALF) if len(x) > 2 * HALF)] if len(x) else [] for x in words]
+        self.owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+        columns = [np.unique(x, return_counts=True) for p in parts for x in p]
+        unit = [weights[x] * n for x, n in columns]
+        unit = [v / np.sqrt(v @ v) for v in unit]
+        latent = np.stack([v @ basis[x] for v, (x, _) in zip(unit, columns, strict=True)])
+        self.latent = (latent / np.maximum(1e-12, np.sqrt((latent**2).sum(axis=1)))[:, None]).astype(np.float32)
+        # Columns and shares by word: those of word w are the range first[w] to first[w + 1].
+        flat = np.concatenate([x for x, _ in columns])
+        order = np.argsort(flat, kind="stable")
+        self.first = np.searchsorted(flat[order], np.arange(len(weights) + 1))
+        self.column = np.repeat(np.arange(len(columns)), [len(x) for x, _ in columns])[order].astype(np.int32)
+        self.share = np.concatenate(unit)[order].astype(np.float32)
+        # Items of up to 6 halves by word, and how many of an item's words a region must hold for the share to be possible.
+        held = [np.unique(x) if len(x) <= 6 * HALF else x[:0] for x in words]
+        flat = np.concatenate(held)
+        order = np.argsort(flat, kind="stable")
+        self.held_first = np.searchsorted(flat[order], np.arange(len(weights) + 1))
+        self.held = np.repeat(np.arange(len(words)), [len(x) for x in held])[order]
+        self.least = np.array([len(x) - (1 - share) * len(w) if len(x) else 0 for x, w in zip(held, words, strict=True)])
+        whole = np.array([i for i, x in enumerate(words) if len(x)], np.int64)
+        at = np.array([int(weights[words[i]].argmax()) for i in whole], np.int64)
+        rare = np.array([words[i][k] for i, k in zip(whole, at, strict=True)], np.int64)
+        order = np.argsort(rare, kind="stable")
+        self.whole, self.at, self.rare = whole[order], at[order], np.searchsorted(rare[order], np.arange(len(weights) + 1))
+        self.sizes = np.array([len(words[i]) for i in self.whole], np.int64)
+        values = _word_values(len(weights))
+        self.hashes = np.concatenate([piece_hashes(prefix_sums(words[i], values), np.zeros(1, np.int64), np.array([len(words[i])])) for i in self.whole])
+
+
+def _word_values(n: int) -> np.ndarray:
+    """A number for each word of the vocabulary, to hash runs of words with."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _whole_copies(texts: list[np.ndarray], items: Items, values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, item, first word) of all copies of whole items, word by word."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    flat, ends = np.concatenate(texts), np.cumsum(sizes)
+    place = np.flatnonzero(items.rare[flat + 1] > items.rare[flat])
+    sums = prefix_sums(flat, values)
+    for place in np.array_split(place, max(1, len(place) * 8 // ENTRIES)):
+        n = items.rare[flat[place] + 1] - items.rare[flat[place]]
+        one = gather_ranges(items.rare[flat[place]], n)
+        begin = np.repeat(place, n) - items.at[one]
+        text = np.repeat(np.searchsorted(ends, place, "right"), n)
+        fits = (begin >= ends[text] - sizes[text]) & (begin + items.sizes[one] <= ends[text])
+        one, begin, text = one[fits], begin[fits], text[fits]
+        same = piece_hashes(sums, begin, begin + items.sizes[one]) == items.hashes[one]
+        for k, i, at in zip(text[same].tolist(), items.whole[one[same]].tolist(), begin[same].tolist(), strict=True):
+            if flat[at : at + len(items.words[i])].tolist() == items.words[i]:
+                yield k, i, at - int(ends[k] - sizes[k])
+
+
+def _cosines(passages: Passages, weights: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passages, their cosines with each item that has words) by blocks: the larger one of that in the latent space and that of the TF-IDF rows
+    themselves, which no rank bounds. A passage that repeats words counts as shorter than it is, so none falls short of its cosine."""
     size = np.sqrt((passages.y**2).sum(axis=1))
-    kept = np.flatnonzero(size > 1e-9)
-    cosine = (passages.y[kept] / size[kept, None]) @ latent.T
+    norm, columns = np.sqrt(passages.norm), len(items.latent)
+    starts = np.flatnonzero(np.concatenate([[True], items.owner[1:] != items.owner[:-1]]))
+    step = max(64, ENTRIES // columns)
+    for a in range(0, len(size), step):
+        b = min(len(size), a + step)
+        i, j = np.searchsorted(passages.half, [a, b + 1])
+        words = passages.words[i:j]
+        n = items.first[words + 1] - items.first[words]
+        at = gather_ranges(items.first[words], n)
+        entry = np.repeat((passages.half[i:j] - a) * columns, n) + items.column[at]
+        dots = np.bincount(entry, np.repeat(weights[words], n) * items.share[at], (b + 1 - a) * columns).reshape(-1, columns)
+        whole = (passages.text[a + 1 : b + 1] == passages.text[a : min(b, len(size) - 1)])[:, None]
+        dots[: len(whole)] += np.where(whole, dots[1 : len(whole) + 1], 0)
+        kept = np.flatnonzero(passages.is_first[a:b] & (norm[a:b] > 0))
+        exact = np.minimum(1, dots[kept] / norm[a:b][kept, None])
+        latent = (passages.y[a:b][kept] / np.maximum(1e-9, size[a:b][kept, None])) @ items.latent.T
+        yield a + kept, np.maximum.reduceat(np.maximum(exact, latent), starts, axis=1)
+
+
+def _possible(passages: Passages, items: Items) -> Iterator[np.ndarray]:
+    """For each stretch of 16 halves, whether it and what lies near it hold enough words of each item, in any order. None that
+    :func:`_checked` would find is left out: its regions reach 6 halves before a passage and behind it."""
+    n = len(passages.text)
+    for a in range(0, n, 16):
+        i, j = np.searchsorted(passages.half, [a - 6, a + 16 + 7])
+        words = sorted_distinct(passages.words[i:j])
+        size = items.held_first[words + 1] - items.held_first[words]
+        yield np.bincount(items.held[gather_ranges(items.held_first[words], size)], minlength=len(items.words)) >= items.least - 1e-9
+
+
+def _checked(texts: list[np.ndarray], passages: Passages, weights: np.ndarray, values: np.ndarray, items: Items, near: float, share: float, answer_share: float) -> Iterator[tuple]:
+    """(text, item key, cosine, share of the item, first word) of the whole copies and of the candidates that pass."""
+    words, answers, with_words = items.words, items.answers, np.unique(items.owner)
+    column = {int(c): k for k, c in enumerate(with_words)}
+    copies: dict[int, list[tuple[int, int]]] = {}
+    first = np.searchsorted(passages.text, np.arange(len(texts)))
+    for t, c, at in _whole_copies(texts, items, values):
+        p = int(first[t]) + at // HALF
+        copies.setdefault(p if passages.is_first[p] else p - 1, []).append((t, c))
+    possible = np.array(list(_possible(passages, items)))[:, with_words]
     last, region = -1, []
-    for r, c in zip(*(x.tolist() for x in np.nonzero(cosine >= near)), strict=True):
-        p, item = kept[r], words[c]
-        if (p, len(item) > HALF) != last:
-            # An item may begin before the passage and end behind it.
-            wide, last = 2 * HALF if len(item) <= HALF else 6 * HALF, (p, len(item) > HALF)
-            text, at = texts[passages.text[p]], passages.first[p]
-            region = text[max(0, at - wide) : at + 2 * HALF + wide]
-            region = region[region > 0].tolist()
-            there = set(region)
-        # Each word that isn't there is missing from the common subsequence.
-        if len(item) <= 6 * HALF and len(distinct[c] - there) > (1 - share) * len(item):
-            continue
-        near_by = region
-        if len(item) > 6 * HALF:
-            text, at = texts[passages.text[p]], passages.first[p]
-            near_by = text[max(0, at - 2 * len(item)) : at + 2 * len(item)].tolist()
-        ratio = lcs(item, near_by) / len(item)
-        if ratio >= share and lcs(answers[c], near_by) >= answer_share * len(answers[c]):
-            yield int(passages.text[p]), keys[c], float(cosine[r, c]), ratio, int(passages.first[p])
+    for kept, cosine in _cosines(passages, weights, items):
+        for r, p in enumerate(kept.tolist()) if copies else ():
+            for t, c in copies.get(p, ()):
+                yield t, items.keys[c], float(cosine[r, column[c]]), 1.0, int(passages.first[p])
+        for r, k in zip(*(x.tolist() for x in np.nonzero((cosine >= near) & possible[kept // 16])), strict=True):
+            c = int(with_words[k])
+            p, item = kept[r], words[c]
+            if (p, len(item) > HALF) != last:
+                # An item may begin before the passage and end behind it.
+                wide, last = 2 * HALF if len(item) <= HALF else 6 * HALF, (p, len(item) > HALF)
+                text, at = texts[passages.text[p]], passages.first[p]
+                region = text[max(0, at - wide) : at + 2 * HALF + wide]
+                region = region[region > 0].tolist()
+                there = set(region)
+            # Each word that isn't there is missing from the common subsequence.
+            if len(item) <= 6 * HALF and len(items.distinct[c] - there) > (1 - share) * len(item):
+                continue
+            near_by = region
+            if len(item) > 6 * HALF:
+                text, at = texts[passages.text[p]], passages.first[p]
+                near_by = text[max(0, at - 2 * len(item)) : at + 2 * len(item)].tolist()
+            ratio = lcs(item, near_by) / len(item)
+            if ratio >= share and lcs(answers[c], near_by) >= answer_share * len(answers[c]):
+                yield int(passages.text[p]), items.keys[c], float(cosine[r, k]), ratio, int(passages.first[p])
 
 
 def _search(weights, basis, items, near: float, share: float, answer_share: float):  # noqa: ANN001, ANN202
@@ -185,12 +291,13 @@ def _search(weights, basis, items, near: float, share: float, answer_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = weights.value, basis.value
+        values = _word_values(len(w))
         for batch in batches:
             texts = _numbers(batch.column("words"))
             ids, found = batch.column("id").to_pylist(), []
             for i in range(0, len(texts), 128):
                 part = texts[i : i + 128]
-                found += [(ids[i + t], *rest) for t, *rest in _checked(part, Passages(part, w, b), items.value, near, share, answer_share)]
+                found += [(ids[i + t], *rest) for t, *rest in _checked(part, Passages(part, w, b), w, values, items.value, near, share, answer_share)]
             best: dict[tuple, tuple] = {}
             for row in sorted(found, key=lambda f: (-f[3], -f[2], f[4])):
                 best.setdefault(row[:2], row)
@@ -207,10 +314,10 @@ def contaminated(
     """(doc_id, item_id, cosine, lcs, first_word): the documents that hold a benchmark item, whole or paraphrased.
 
     Passages are 32 words, a new one every 16. They and the items are TF-IDF rows over the items' words (idf over all documents:
-    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies), projected on `rank` singular directions of all
-    passages and items. A pair with a cosine of `near` is compared: the longest common subsequence of the item's words
+    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies), as they are and projected on `rank` singular directions of all
+    passages and items. An item is also cut into such passages. A pair with a cosine of `near`, either way, is compared: the longest common subsequence of the item's words
     and the passage's surroundings must reach `share` of the item, and that of its answer (the last line or
-    sentence) answer_share of the answer. One row for a document and item, with its best passage. Null or
+    sentence) answer_share of the answer. A copy of all words of an item in a row counts whatever its cosine. One row for a document and item, with its best passage. Null or
     wordless texts and items match nothing; null ids take no part. Rows that repeat an id count as one document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
@@ -261,7 +368,5 @@ def _block(rows: DataFrame, items: DataFrame, near: float, share: float, answer_
     basis = np.linalg.qr(pass_over(draw))[0]
     _, turn = np.linalg.eigh((lambda m: (m + m.T) / 2)(basis.T @ pass_over(basis)))
     basis = np.ascontiguousarray((basis @ turn[:, ::-1])[:, :rank]).astype(np.float32)
-    latent = np.stack([(weights[x, None] * basis[x]).sum(axis=0) for x in words])
-    latent /= np.maximum(1e-12, np.sqrt((latent**2).sum(axis=1)))[:, None]
-    shown = share_out((keys, [x.tolist() for x in words], [set(x.tolist()) for x in words], [x.tolist() for x in answers], latent.astype(np.float32)))
+    shown = share_out(Items(keys, words, answers, weights, basis, share))
     return texts_table.mapInArrow(_search(w, share_out(basis), shown, near, share, answer_share), empty)

@@ -207,3 +207,15 @@ def test_decontaminate_finds_whole_copies_at_any_rank_and_length(spark):
     got = {(r.doc_id, r.item_id): r.lcs for r in decontaminate.contaminated(df, bench, rank=2).collect()}
     assert set(got) == {(i, i) for i in range(41)} | {(200 + i, i) for i, x in enumerate(items) if len(x) > 200}
     assert all(got[i, i] == 1 for i in range(41))
+
+
+def test_sentencepiece_long_words(spark):
+    pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    table = {r.piece.replace("▁", " "): (r.id, r.score) for r in pieces.itertuples() if r.byte < 0}
+    rng = np.random.default_rng(4)
+    texts = ["x" * 900, "=" * 401, "-" * 300 + " a " + "=-" * 200, "".join(rng.choice(list("abcdeinorst"), 700)), "http://a.de/" + "station/interest" * 40, "的一是不了人我在有他" * 60, "é😀▁z" * 150]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for max_words in (1000, 1):
+        for r in sentencepiece.encode(df, pieces, max_words=max_words, decode_to="again").collect():
+            words = re.findall(r"[\x00-\x1f]| *[^ \x00-\x1f]+| +", " " + r.text)
+            assert r.again == r.text and r.ids == [i for w in words for i in viterbi(w, table)], r.text[:20]

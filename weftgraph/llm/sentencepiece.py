@@ -4,7 +4,8 @@ The distinct words of all texts are taken apart into all substrings of bounded l
 table keeps those that are pieces; grouped by word they are the edges of its lattice, and a fold with Spark's
 higher-order `aggregate` finds the best path (Viterbi). So each word is solved once, however often it occurs. The
 texts are then encoded by a dictionary of words: the most frequent ones, up to a fixed number, are broadcast; the
-others reach the texts that hold them by a join on the word.
+others reach the texts that hold them by a join on the word. Words of more than MAX_WORD bytes, which rarely come twice,
+stay out of the dictionary: the task that encodes a text finds their best path in the same lattice, in linear time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ if TYPE_CHECKING:
     import pandas as pd
 
 SPACE = "▁"
-#: Longer words are cut into parts of so many bytes (a character is never cut); each part has its own lattice.
+#: Longer words (in bytes) are solved whole where they stand, with :func:`best_path`.
 MAX_WORD = 192
 #: Words kept in a task before they are handed on.
 TASK_WORDS = 1_000_000
@@ -78,16 +79,6 @@ def _words(texts: pa.Array, joined: np.ndarray) -> Iterator[tuple[int, np.ndarra
         edge[offsets] = True
         start |= edge[:n]
         starts = np.flatnonzero(start)
-        sizes = np.diff(np.append(starts, n))
-        for i in np.flatnonzero(sizes > MAX_WORD):
-            at, end = starts[i], starts[i] + sizes[i]
-            while end - at > MAX_WORD:
-                cut = at + MAX_WORD
-                while cut > at + 1 and (buf[cut] & 0xC0) == 0x80:
-                    cut -= 1
-                start[cut] = True
-                at = cut
-        starts = np.flatnonzero(start)
         yield row, buf, starts, np.append(starts[1:], n) if len(starts) else starts, np.searchsorted(starts, offsets)
 
 
@@ -109,6 +100,8 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
 
     for batch in batches:
         for _, buf, starts, ends, _ in _words(batch.column(0), joined):
+            short = ends - starts <= MAX_WORD
+            starts, ends = starts[short], ends[short]
             found, where, n = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_counts=True)
             place = np.searchsorted(hashes, found)
             known = place < len(hashes)
@@ -160,6 +153,37 @@ def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     return lattice.select(*keep, F.expr(forward).alias("best")).select(*keep, F.expr(back).alias("path")).select(*keep, F.expr(ids).alias("ids"))
 
 
+def lattice_table(pieces: pd.DataFrame) -> tuple[dict[str, tuple[float, int]], dict[str, int], list[int]]:
+    """What :func:`best_path` needs: (score, id) by piece, the longest piece by its first two characters, ids of the bytes."""
+    plain = pieces[pieces["byte"] < 0]
+    table = {p.replace(SPACE, " "): (float(s), int(i)) for p, s, i in zip(plain["piece"], plain["score"], plain["id"], strict=True)}
+    reach: dict[str, int] = {}
+    for p in table:
+        reach[p[:2]] = max(len(p), reach.get(p[:2], 0))
+    return table, reach, [int(i) for i in pieces[pieces["byte"] >= 0].sort_values("byte")["id"]]
+
+
+def best_path(word: str, table: dict[str, tuple[float, int]], reach: dict[str, int], byte_ids: list[int]) -> list[int]:
+    """The ids that :func:`solve_words` gives a word, with the same choice between paths of one score. Edges come by their
+    start here, smallest first, so the first one into an end that is the best stays."""
+    n = len(word)
+    score, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
+    score[0] = 0.0
+    for i in range(n):
+        here, alone = score[i], table.get(word[i], (-1000.0, -1))
+        if here + alone[0] > score[i + 1]:
+            score[i + 1], back[i + 1] = here + alone[0], (i, alone[1])
+        for end in range(i + 2, min(n, i + reach.get(word[i : i + 2], 0)) + 1):
+            step = table.get(word[i:end])
+            if step and here + step[0] > score[end]:
+                score[end], back[end] = here + step[0], (i, step[1])
+    out, at = [], n
+    while at:
+        at, i = back[at]
+        out += [i] if i >= 0 else [byte_ids[b] for b in reversed(word[at].encode())] if byte_ids else [-1]
+    return out[::-1]
+
+
 def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text") -> DataFrame:
     """(hash, word, n, ids) of the distinct words of all texts; n: how often it occurs."""
     found = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''").mapInArrow(_distinct(docs.sparkSession.sparkContext.broadcast(joints(pieces))), "hash bigint, word string, n bigint")
@@ -202,7 +226,7 @@ def _apply(shared, kept: int):  # noqa: ANN001, ANN202
     """Encode texts (the column before the last); the last column: (word, ids) of words that aren't in shared, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, at, pool), joined = shared.value
+        (hashes, at, pool), joined, lattice = shared.value
         for batch in batches:
             own = batch.column("_own")
             for row, buf, starts, ends, before in _words(batch.column("_text"), joined):
@@ -216,7 +240,9 @@ def _apply(shared, kept: int):  # noqa: ANN001, ANN202
                 missing: list[list[str]] = [[] for _ in range(len(before) - 1)]
                 if not known.all():
                     word_of = {int(k): raw[starts[where[k]] : ends[where[k]]].decode("utf-8", "replace") for k in np.flatnonzero(~known)}
-                    told = {w["word"]: w["ids"] for r in range(row, row + len(before) - 1) if own[r].is_valid for w in own[r].as_py()}
+                    size_of = ends[where] - starts[where]
+                    long = {w: best_path(w, *lattice) for k, w in word_of.items() if size_of[k] > MAX_WORD}
+                    told = long | {w["word"]: w["ids"] for r in range(row, row + len(before) - 1) if own[r].is_valid for w in own[r].as_py()}
                     size = len(pool)
                     for k, w in word_of.items():
                         if w in told:
@@ -249,7 +275,7 @@ def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_wo
     docs = docs.drop("ids")
     dictionary = word_dictionary(docs, pieces, text_col)
     words, whole = frequent_words(dictionary, max_words)
-    apply = _apply(spark.sparkContext.broadcast((words, joints(pieces))), len(docs.columns))
+    apply = _apply(spark.sparkContext.broadcast((words, joints(pieces), lattice_table(pieces))), len(docs.columns))
     spell = _speller(spark, pieces, decode_to) if decode_to else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,19 +18,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs, model, 0.3)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a key `_row` of its own for each row. Keys are dense, as bitmaps take their low bits."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("_row", 33)
+    parts = (rows.agg(F.max(part)).first()[0] or 0) + 1
+    return rows.withColumn("_row", F.expr(f"(_row & {(1 << 33) - 1}L) * {parts}L") + part)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays; of rows that repeat
-    an id and text, one. Rows with a null id stay."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) one row stays, that with the smallest doc_id, null
+    ids last. Texts without words are in no group; of those that repeat an id and text, one stays."""
     text_batches(spark)
-    groups = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    groups = jaccard_join.jaccard_components(rows, words=5, percent=80, id_col="_row")
+    blank = F.expr("n_shingles = 0 and doc_id is not null")
+    # A row's group: its component, or id and text where that has no words.
+    group = [F.when(~blank, F.col("component_id")).alias("g"), F.when(blank, F.col("doc_id")).alias("i"), F.when(blank, F.col("text")).alias("t")]
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    kept = groups.join(rows.select("_row", "doc_id", F.expr("if(text rlike '[^ \\\\x09-\\\\x0D]', null, text)").alias("text")), "_row").select(*group, least.alias("r")).groupBy("g", "i", "t").agg(F.min("r").alias("r"))
+    return rows.join(kept.select("r._row"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    gone = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a benchmark item go, whatever their ids."""
+    rows = keyed(docs)
+    gone = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct()
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

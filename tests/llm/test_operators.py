@@ -159,6 +159,15 @@ def test_urls(spark):
     assert got[5][3] == "block" and got[6][2:] == (None, "block") and got[7] == ("good.org", "", None, "allow")
 
 
+def test_urls_link_farms_are_blocked(spark):
+    spam = "<a href='//spam.net/'> <a href='http://junk.net/x'>"
+    rows = [(1, "https://spam.net/es/1", "<a href='//good.org'>"), (2, "https://junk.net/fr/", None), (3, "https://good.org/", "<a href='//fine.org'>")]
+    rows += [(100 + i, f"https://www.farm{i}.org/", spam) for i in range(30)]
+    rows += [(200 + i, f"https://fine{i}.org/", "<a href='//spam.net/'> <a href='//good.org/'> <a href='//fine.org/'>") for i in range(30)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [i for i, v in got.items() if v == "block" and i > 2] == [i for i in got if 100 <= i < 200] and got[1] == got[2] == "block"
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, ("plain words, " if i % 4 else "BAD$$$ ||| ") * 20, i % 4 > 0) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, y boolean")

@@ -35,7 +35,8 @@ def matched(host: Column, path: Column, rules: tuple) -> Column:
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, weight): links between different hosts. weight: the share of this link among the source's links.
+    """(src, dst, weight, share): links between different hosts. weight: the share of this link among the source's links;
+    share: that among the links on its pages, or weight if these have none.
 
     Absolute and scheme-relative href targets count once for each host pair and page; besides, a host and the
     domain it belongs to vouch for each other, as one link each.
@@ -47,9 +48,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     links = links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     hosts = pages.select(host.alias("src")).where("src <> ''").distinct()
     parent = hosts.select("src", F.regexp_extract("src", r"^[^.]+\.([^.]+\..+)$", 1).alias("dst")).where("dst <> ''")
-    links = links.unionByName(parent.withColumn("n", F.lit(1))).unionByName(parent.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("n")))
-    links = links.groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    return links.join(links.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
+    vouched = parent.unionByName(parent.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst", F.lit(1).alias("n"), F.lit(0).alias("on_page"))
+    links = links.withColumn("on_page", F.col("n")).unionByName(vouched).groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("on_page").alias("on_page"))
+    weight = F.col("n") / F.col("total")
+    share = F.when(F.col("all_on_page") > 0, F.col("on_page") / F.greatest("all_on_page", F.lit(1))).otherwise(weight)
+    totals = links.groupBy("src").agg(F.sum("n").alias("total"), F.sum("on_page").alias("all_on_page"))
+    return links.join(totals, "src").select("src", "dst", weight.alias("weight"), share.alias("share"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 8) -> DataFrame:
@@ -68,9 +72,11 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, d
 
     A page that a rule fits gets its verdict. The rules' verdicts seed the propagation: a host's trust seed is the
     share of its pages that rules allow, its distrust seed the share that they block. Trust spreads along links;
-    distrust spreads against them, from a host to those that link to it. A page without a rule is blocked if its
-    host's distrust exceeds its trust by threshold * (1 - damping), what a host with that share of blocked pages
-    has from itself alone; else allowed. Null and malformed urls have an empty host and path, no rule, and are
+    distrust spreads against them, from a host to those that link to it, to each by the share of its own links, however many
+    they are: a host is as bad as what it links to. A page without a rule is blocked if its
+    host's distrust exceeds its trust by threshold * (1 - damping) at least, what a host with that share of blocked pages
+    has from itself alone (at a threshold and damping of a half also one all of whose links lead to blocked hosts); else
+    allowed. Distrust is within damping ** rounds of its limit. Null and malformed urls have an empty host and path, no rule, and are
     allowed. Ids may be null or repeat; rules must not repeat a host and path.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -81,12 +87,12 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, d
     )
     hosts = stored(hosts, "hosts")
     edges = stored(host_edges(rows), "edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    back = back.join(back.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
+    back = edges.where("share > 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("share").alias("weight"))
     trust = propagate(edges, hosts.select("host", (F.col("good") / F.col("n")).alias("seed")), damping, rounds)
     distrust = propagate(stored(back, "edges"), hosts.select("host", (F.col("bad") / F.col("n")).alias("seed")), damping, rounds)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
-    bad = F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > threshold * (1 - damping)
+    # The last digits of sums of shares don't decide.
+    bad = F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) >= threshold * (1 - damping) - 1e-9
     verdicts = scores.select("host", F.when(bad, "block").otherwise("allow").alias("by_host"))
     out = ruled.join(verdicts, "host", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))

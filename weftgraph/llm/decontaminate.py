@@ -1,5 +1,10 @@
-"""Benchmark decontamination by latent semantic retrieval: TF-IDF passages, a distributed randomised SVD
-(Halko, Martinsson and Tropp, 2011), cosine candidates, then longest common subsequences and an answer check."""
+"""Benchmark decontamination by latent semantic retrieval: TF-IDF passages, a distributed randomised SVD in one pass (Tropp,
+Yurtsever, Udell and Cevher, 2017), cosine candidates, then longest common subsequences and an answer check.
+
+The checks at the end ask for a share of an item's words. So a stretch of text that lacks too many of them can be left out before
+its cosine is worked out, and of n words that may be lacking at most, one of any n + 1 is there: only an item's rarest words are
+looked up, which keeps the search from touching each passage with each item.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import stored
-from weftgraph.llm._text import LOWER, gather_ranges, mix, piece_hashes, prefix_sums, sorted_distinct, text_chunks
+from weftgraph.llm._text import LOWER, gather_ranges, piece_hashes, prefix_sums, released, sorted_distinct, text_chunks
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 #: Words of half a passage. Passages overlap by half; a last one may be shorter.
 HALF = 16
-#: Entries of a table of passages and items that are worked on at once.
-ENTRIES = 1 << 20
 #: Items that are searched for in one go; more go in blocks of so many, so what is broadcast has a fixed bound.
 ITEMS = 20_000
+#: Rows of a sketch that travel together.
+BUCKET = 64
+#: An item's answer has so many words at least, a sentence that is judged by itself so many.
+ANSWER, SENTENCE = 10, 4
 
 
 def _word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,71 +81,70 @@ def _df(size: int):  # noqa: ANN202
     return run
 
 
-class Passages:
-    """The passages of some texts: two halves of HALF words, each half shared with the next passage."""
-
-    def __init__(self, texts: list[np.ndarray], weights: np.ndarray, basis: np.ndarray) -> None:
-        sizes = np.array([len(x) for x in texts], np.int64)
-        flat, begin, halves = np.concatenate(texts), np.cumsum(sizes) - sizes, -(-sizes // HALF)
-        base = np.cumsum(halves) - halves
-        hit = np.flatnonzero(weights[flat] > 0)
-        owner = np.repeat(np.arange(len(texts)), sizes)[hit]
-        self.words, self.half = flat[hit], base[owner] + (hit - begin[owner]) // HALF
-        n, w = int(halves.sum()), weights[self.words]
-        sums, squares = np.zeros((n + 1, basis.shape[1]), basis.dtype), np.bincount(self.half, w**2, n + 1)
-        if len(hit):
-            edges = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
-            sums[self.half[edges]] = np.add.reduceat(basis[self.words] * w[:, None].astype(basis.dtype), edges, axis=0)
-        self.text = np.repeat(np.arange(len(texts)), halves)
-        self.first = (np.arange(n) - base[self.text]) * HALF
-        # The last half of a text of several halves is no passage's first half.
-        whole = np.concatenate([self.text[1:] == self.text[:-1], [False]])
-        self.is_first = whole | (self.first == 0)
-        self.y = np.where(self.is_first[:, None], sums[:n] + np.where(whole[:, None], sums[1:], 0), 0)
-        self.norm = np.where(self.is_first, squares[:n] + np.where(whole, squares[1:], 0), 0)
-
-    def scattered(self, weights: np.ndarray, total: np.ndarray) -> None:
-        """Add A'(A basis) of the length-normed passages to total."""
-        share = self.y / np.maximum(self.norm, 1e-9)[:, None]
-        share[1:] += np.where((self.text[1:] == self.text[:-1])[:, None], share[:-1], 0).copy()
-        order = np.argsort(self.words, kind="stable")
-        if len(order):
-            words = self.words[order]
-            edges = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            rows = np.add.reduceat(share[self.half[order]], edges, axis=0)
-            total[words[edges]] += weights[words[edges], None] * rows
-
-
-def _gram(weights, basis):  # noqa: ANN001, ANN202
-    """A task's share of A'(A basis), A the passages' length-normed TF-IDF rows, as bytes of a matrix of fixed size."""
+def sketch_texts(texts: list[np.ndarray], weights: np.ndarray, draw: np.ndarray, total: np.ndarray) -> None:
+    """Add A'(A draw) to total, A being the length-normed TF-IDF rows of the passages of some texts: two halves of HALF words,
+    each half shared with the next passage."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    flat, begin, halves = np.concatenate(texts), np.cumsum(sizes) - sizes, -(-sizes // HALF)
+    base = np.cumsum(halves) - halves
+    hit = np.flatnonzero(flat)
+    if not len(hit):
+        return
+    owner = np.repeat(np.arange(len(texts)), sizes)[hit]
+    words, half = flat[hit], base[owner] + (hit - begin[owner]) // HALF
+    n, w = int(halves.sum()), weights[words]
+    sums, squares = np.zeros((n + 1, draw.shape[1]), draw.dtype), np.bincount(half, w**2, n + 1)
+    edges = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
+    sums[half[edges]] = np.add.reduceat(draw[words] * w[:, None].astype(draw.dtype), edges, axis=0)
+    text = np.repeat(np.arange(len(texts)), halves)
+    # A half begins a passage unless it is the last one of several.
+    whole = np.concatenate([text[1:] == text[:-1], [False]])
+    begins = whole | (np.arange(n) == base[text])
+    norm = squares[:n] + np.where(whole, squares[1:], 0)
+    share = np.where(begins[:, None], sums[:n] + np.where(whole[:, None], sums[1:], 0), 0) / np.maximum(norm, 1e-9)[:, None].astype(draw.dtype)
+    share[1:] += np.where(whole[:-1, None], share[:-1], 0).copy()
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    edges = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    total[words[edges]] += weights[words[edges], None] * np.add.reduceat(share[half[order]], edges, axis=0)
+
+
+def _sketch(weights, draw):  # noqa: ANN001, ANN202
+    """A task's share of A'(A draw): rows of the words that it has, BUCKET words in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = weights.value, basis.value.astype(np.float32)
-        total = np.zeros(b.shape)
+        w, d = weights.value, draw.value
+        total = np.zeros(d.shape)
         for batch in batches:
             texts = _numbers(batch.column("words"))
             for i in range(0, len(texts), 128):
-                Passages(texts[i : i + 128], w, b).scattered(w, total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+                sketch_texts(texts[i : i + 128], w, d, total)
+        for b in range(0, len(total), BUCKET):
+            if total[b : b + BUCKET].any():
+                yield pa.RecordBatch.from_arrays([pa.array([b // BUCKET]), pa.array([total[b : b + BUCKET].tobytes()], pa.binary())], ["bucket", "rows"])
 
     return run
 
 
-def tree_sum(parts: DataFrame, shape: tuple[int, int], fan_in: int = 24) -> np.ndarray:
-    """The sum of matrices of one shape, one in a row; a task adds fan_in or so, so the driver gets one."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum for each bucket. All rows of a bucket come to one task, which holds one sum for each, however many they are."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            x = np.frombuffer(x.as_buffer())
+            sums[b] = sums[b] + x if b in sums else x.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["bucket", "rows"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            for x in batch.column("m"):
-                total += np.frombuffer(x.as_buffer()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    n = parts.count()
-    while n > 1:
-        n = -(-n // fan_in)
-        parts = parts.repartition(n).mapInArrow(add, "m binary")
-    return sum((np.frombuffer(r.m).reshape(shape) for r in parts.toLocalIterator()), np.zeros(shape))
+def latent_basis(sketch: np.ndarray, draw: np.ndarray, rank: int) -> np.ndarray:
+    """The leading `rank` right singular vectors of A, from sketch = A'A draw alone (Nystrom, with a small shift for stability)."""
+    shift = 1e-9 * max(1e-30, float(np.linalg.norm(sketch)))
+    shifted = sketch + shift * draw
+    core = draw.T @ shifted
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-10 * max(1e-30, float(values.max(initial=0)))
+    left, _, _ = np.linalg.svd(shifted @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return np.ascontiguousarray(left[:, :rank]).astype(np.float32)
 
 
 def lcs(x: list[int], y: list[int]) -> int:
@@ -149,155 +155,146 @@ def lcs(x: list[int], y: list[int]) -> int:
     full = (1 << len(x)) - 1
     v = full
     for word in y:
-        u = v & masks.get(word, 0)
-        v = ((v + u) | (v - u)) & full
+        if word in masks:
+            u = v & masks[word]
+            v = ((v + u) | (v - u)) & full
     return len(x) - v.bit_count()
 
 
 class Items:
-    """The items of a block, made for the search: windows of passage size and each whole item as columns of unit length, in
-    the latent space and word by word, and for whole copies the place of each item's rarest word and a hash."""
-
-    def __init__(self, keys: list[int], words: list[np.ndarray], answers: list[np.ndarray], weights: np.ndarray, basis: np.ndarray, share: float) -> None:
-        self.keys, self.words, self.answers = keys, [x.tolist() for x in words], [x.tolist() for x in answers]
-        self.distinct = [set(x) for x in self.words]
-        parts = [[x, *(x[i : i + 2 * HALF] for i in range(0, len(x) - HALF, HALF) if len(x) > 2 * HALF)] if len(x) else [] for x in words]
-        self.owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
-        columns = [np.unique(x, return_counts=True) for p in parts for x in p]
-        unit = [weights[x] * n for x, n in columns]
-        unit = [v / np.sqrt(v @ v) for v in unit]
-        latent = np.stack([v @ basis[x] for v, (x, _) in zip(unit, columns, strict=True)])
-        self.latent = (latent / np.maximum(1e-12, np.sqrt((latent**2).sum(axis=1)))[:, None]).astype(np.float32)
-        # Columns and shares by word: those of word w are the range first[w] to first[w + 1].
-        flat = np.concatenate([x for x, _ in columns])
-        order = np.argsort(flat, kind="stable")
-        self.first = np.searchsorted(flat[order], np.arange(len(weights) + 1))
-        self.column = np.repeat(np.arange(len(columns)), [len(x) for x, _ in columns])[order].astype(np.int32)
-        self.share = np.concatenate(unit)[order].astype(np.float32)
-        # Items of up to 6 halves by word, and how many of an item's words a region must hold for the share to be possible.
-        held = [np.unique(x) if len(x) <= 6 * HALF else x[:0] for x in words]
-        flat = np.concatenate(held)
-        order = np.argsort(flat, kind="stable")
-        self.held_first = np.searchsorted(flat[order], np.arange(len(weights) + 1))
-        self.held = np.repeat(np.arange(len(words)), [len(x) for x in held])[order]
-        self.least = np.array([len(x) - (1 - share) * len(w) if len(x) else 0 for x, w in zip(held, words, strict=True)])
-        whole = np.array([i for i, x in enumerate(words) if len(x)], np.int64)
-        at = np.array([int(weights[words[i]].argmax()) for i in whole], np.int64)
-        rare = np.array([words[i][k] for i, k in zip(whole, at, strict=True)], np.int64)
-        order = np.argsort(rare, kind="stable")
-        self.whole, self.at, self.rare = whole[order], at[order], np.searchsorted(rare[order], np.arange(len(weights) + 1))
-        self.sizes = np.array([len(words[i]) for i in self.whole], np.int64)
-        values = _word_values(len(weights))
-        self.hashes = np.concatenate([piece_hashes(prefix_sums(words[i], values), np.zeros(1, np.int64), np.array([len(words[i])])) for i in self.whole])
-
-
-def _word_values(n: int) -> np.ndarray:
-    """A number for each word of the vocabulary, to hash runs of words with."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def _whole_copies(texts: list[np.ndarray], items: Items, values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, item, first word) of all copies of whole items, word by word."""
+    """The items of a block, made for the search.
+
+    Of an item's words, `need` have to be in a stretch of text, so of its rarest size - need + least words `least` have to. Stretches
+    are two steps long, a new one begins each step, and a step has room for twice the item.
+    """
+
+    def __init__(self, keys: list[int], parts: list[list[np.ndarray]], weights: np.ndarray, basis: np.ndarray, share: float) -> None:
+        parts = [[s.tolist() for s in p] for p in parts]
+        self.keys, self.words, self.sentences = keys, [sum(p, []) for p in parts], [_joined(p) for p in parts]
+        self.answers = [_last(p) for p in parts]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.need = np.maximum(1, np.ceil(share * self.size - 1e-9).astype(np.int64))
+        self.least = np.minimum(self.need, np.maximum(1, self.size // 5))
+        self.step = 2 * self.size + 2 * HALF
+        self.total = np.array([weights[x].sum() for x in self.words])
+        word, item, times = [], [], []
+        for i, x in enumerate(self.words):
+            rare = np.array(sorted(x, key=lambda k: (-weights[k], k))[: len(x) - int(self.need[i]) + int(self.least[i])], np.int64)
+            for k, n in zip(*np.unique(rare, return_counts=True), strict=True):
+                word.append(k)
+                item.append(i)
+                times.append(n)
+        order = np.argsort(np.array(word, np.int64), kind="stable")
+        # The items in which word k is a rare one: entries first[k] to first[k + 1].
+        self.first = np.searchsorted(np.array(word, np.int64)[order], np.arange(len(weights) + 1))
+        self.item, self.times = np.array(item, np.int64)[order], np.array(times, np.int64)[order]
+        self.rows = []
+        for x in self.words:
+            k, n = np.unique(np.array(x, np.int64), return_counts=True)
+            v = weights[k] * n
+            v = v / max(1e-12, float(np.sqrt(v @ v)))
+            y = v @ basis[k] if len(k) else np.zeros(basis.shape[1])
+            self.rows.append((k, v, (y / max(1e-12, float(np.sqrt(y @ y)))).astype(np.float32)))
+
+
+def _joined(parts: list[list[int]]) -> list[list[int]]:
+    """Sentences of SENTENCE words at least: shorter ones go with the one before."""
+    out: list[list[int]] = []
+    for p in parts:
+        if out and (len(p) < SENTENCE or len(out[-1]) < SENTENCE):
+            out[-1] = out[-1] + p
+        else:
+            out.append(p)
+    return out
+
+
+def _last(parts: list[list[int]]) -> list[int]:
+    """The answer: the last sentences that have ANSWER words together."""
+    out: list[int] = []
+    for p in reversed(parts):
+        out = p + out
+        if len(out) >= ANSWER:
+            break
+    return out
+
+
+def _stretches(texts: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int]]:
+    """(text, item, stretch) of the stretches that hold enough of an item's rarest words."""
     sizes = np.array([len(x) for x in texts], np.int64)
     flat, ends = np.concatenate(texts), np.cumsum(sizes)
-    place = np.flatnonzero(items.rare[flat + 1] > items.rare[flat])
-    sums = prefix_sums(flat, values)
-    for place in np.array_split(place, max(1, len(place) * 8 // ENTRIES)):
-        n = items.rare[flat[place] + 1] - items.rare[flat[place]]
-        one = gather_ranges(items.rare[flat[place]], n)
-        begin = np.repeat(place, n) - items.at[one]
-        text = np.repeat(np.searchsorted(ends, place, "right"), n)
-        fits = (begin >= ends[text] - sizes[text]) & (begin + items.sizes[one] <= ends[text])
-        one, begin, text = one[fits], begin[fits], text[fits]
-        same = piece_hashes(sums, begin, begin + items.sizes[one]) == items.hashes[one]
-        for k, i, at in zip(text[same].tolist(), items.whole[one[same]].tolist(), begin[same].tolist(), strict=True):
-            if flat[at : at + len(items.words[i])].tolist() == items.words[i]:
-                yield k, i, at - int(ends[k] - sizes[k])
-
-
-def _cosines(passages: Passages, weights: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(passages, their cosines with each item that has words) by blocks: the larger one of that in the latent space and that of the TF-IDF rows
-    themselves, which no rank bounds. A passage that repeats words counts as shorter than it is, so none falls short of its cosine."""
-    size = np.sqrt((passages.y**2).sum(axis=1))
-    norm, columns = np.sqrt(passages.norm), len(items.latent)
-    starts = np.flatnonzero(np.concatenate([[True], items.owner[1:] != items.owner[:-1]]))
-    step = max(64, ENTRIES // columns)
-    for a in range(0, len(size), step):
-        b = min(len(size), a + step)
-        i, j = np.searchsorted(passages.half, [a, b + 1])
-        words = passages.words[i:j]
-        n = items.first[words + 1] - items.first[words]
-        at = gather_ranges(items.first[words], n)
-        entry = np.repeat((passages.half[i:j] - a) * columns, n) + items.column[at]
-        dots = np.bincount(entry, np.repeat(weights[words], n) * items.share[at], (b + 1 - a) * columns).reshape(-1, columns)
-        whole = (passages.text[a + 1 : b + 1] == passages.text[a : min(b, len(size) - 1)])[:, None]
-        dots[: len(whole)] += np.where(whole, dots[1 : len(whole) + 1], 0)
-        kept = np.flatnonzero(passages.is_first[a:b] & (norm[a:b] > 0))
-        exact = np.minimum(1, dots[kept] / norm[a:b][kept, None])
-        latent = (passages.y[a:b][kept] / np.maximum(1e-9, size[a:b][kept, None])) @ items.latent.T
-        yield a + kept, np.maximum.reduceat(np.maximum(exact, latent), starts, axis=1)
-
-
-def _possible(passages: Passages, items: Items) -> Iterator[np.ndarray]:
-    """For each stretch of 16 halves, whether it and what lies near it hold enough words of each item, in any order. None that
-    :func:`_checked` would find is left out: its regions reach 6 halves before a passage and behind it."""
-    n = len(passages.text)
-    for a in range(0, n, 16):
-        i, j = np.searchsorted(passages.half, [a - 6, a + 16 + 7])
-        words = sorted_distinct(passages.words[i:j])
-        size = items.held_first[words + 1] - items.held_first[words]
-        yield np.bincount(items.held[gather_ranges(items.held_first[words], size)], minlength=len(items.words)) >= items.least - 1e-9
-
-
-def _checked(texts: list[np.ndarray], passages: Passages, weights: np.ndarray, values: np.ndarray, items: Items, near: float, share: float, answer_share: float) -> Iterator[tuple]:
-    """(text, item key, cosine, share of the item, first word) of the whole copies and of the candidates that pass."""
-    words, answers, with_words = items.words, items.answers, np.unique(items.owner)
-    column = {int(c): k for k, c in enumerate(with_words)}
-    copies: dict[int, list[tuple[int, int]]] = {}
-    first = np.searchsorted(passages.text, np.arange(len(texts)))
-    for t, c, at in _whole_copies(texts, items, values):
-        p = int(first[t]) + at // HALF
-        copies.setdefault(p if passages.is_first[p] else p - 1, []).append((t, c))
-    possible = np.array(list(_possible(passages, items)))[:, with_words]
-    last, region = -1, []
-    for kept, cosine in _cosines(passages, weights, items):
-        for r, p in enumerate(kept.tolist()) if copies else ():
-            for t, c in copies.get(p, ()):
-                yield t, items.keys[c], float(cosine[r, column[c]]), 1.0, int(passages.first[p])
-        for r, k in zip(*(x.tolist() for x in np.nonzero((cosine >= near) & possible[kept // 16])), strict=True):
-            c = int(with_words[k])
-            p, item = kept[r], words[c]
-            if (p, len(item) > HALF) != last:
-                # An item may begin before the passage and end behind it.
-                wide, last = 2 * HALF if len(item) <= HALF else 6 * HALF, (p, len(item) > HALF)
-                text, at = texts[passages.text[p]], passages.first[p]
-                region = text[max(0, at - wide) : at + 2 * HALF + wide]
-                region = region[region > 0].tolist()
-                there = set(region)
-            # Each word that isn't there is missing from the common subsequence.
-            if len(item) <= 6 * HALF and len(items.distinct[c] - there) > (1 - share) * len(item):
-                continue
-            near_by = region
-            if len(item) > 6 * HALF:
-                text, at = texts[passages.text[p]], passages.first[p]
-                near_by = text[max(0, at - 2 * len(item)) : at + 2 * len(item)].tolist()
-            ratio = lcs(item, near_by) / len(item)
-            if ratio >= share and lcs(answers[c], near_by) >= answer_share * len(answers[c]):
-                yield int(passages.text[p]), items.keys[c], float(cosine[r, k]), ratio, int(passages.first[p])
-
-
-def _search(weights, basis, items, near: float, share: float, answer_share: float):  # noqa: ANN001, ANN202
+    n = items.first[flat + 1] - items.first[flat] if len(items.item) else np.zeros(len(flat), np.int64)
+    n[flat == 0] = 0
+    at = np.flatnonzero(n)
+    if not len(at):
+        return
+    entry = gather_ranges(items.first[flat[at]], n[at])
+    at = np.repeat(at, n[at])
+    text = np.searchsorted(ends, at, "right")
+    item = items.item[entry]
+    stretch = (at - (ends - sizes)[text]) // items.step[item]
+    most = int(stretch.max()) + 1
+    group = (text * len(items.words) + item) * most + stretch
+    # A stretch covers its own step and the next one.
+    early = stretch > 0
+    keys = sorted_distinct(np.concatenate([group, group[early] - 1]) * len(items.item) + np.concatenate([entry, entry[early]]))
+    group, entry = keys // len(items.item), keys % len(items.item)
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    held, group = np.add.reduceat(items.times[entry], edges), group[edges]
+    item = group // most % len(items.words)
+    group = group[held >= items.least[item]]
+    yield from zip((group // most // len(items.words)).tolist(), (group // most % len(items.words)).tolist(), (group % most).tolist(), strict=True)
+
+
+def _cosine(region: np.ndarray, row: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, weights: np.ndarray, basis: np.ndarray) -> tuple[float, int]:
+    """The largest cosine of a passage of the region with an item, in the latent space or of the TF-IDF rows themselves, which no rank
+    bounds, and where that passage begins. Passages are as long as the item, two halves at least. A passage that repeats words
+    counts as shorter than it is, so none falls short of its cosine."""
+    words, shares, latent = row
+    w = weights[region]
+    place = np.minimum(np.searchsorted(words, region), len(words) - 1)
+    dots = np.where(words[place] == region, shares[place], 0) * w
+    step = max(HALF, size // 2)
+    edges = np.arange(0, len(region), step)
+    halves = np.add.reduceat(np.column_stack([dots, w * w, basis[region] * w[:, None]]), edges, axis=0)
+    if len(halves) > 1:
+        halves = halves[:-1] + halves[1:]
+    y = halves[:, 2:]
+    exact = halves[:, 0] / np.sqrt(np.maximum(1e-12, halves[:, 1]))
+    near = (y @ latent) / np.sqrt(np.maximum(1e-12, (y * y).sum(axis=1)))
+    best = np.minimum(1, np.maximum(exact, near))
+    return float(best.max()), int(edges[best.argmax()])
+
+
+def _checked(texts: list[np.ndarray], weights: np.ndarray, basis: np.ndarray, items: Items, near: float, share: float, answer_share: float, told: float) -> Iterator[tuple]:
+    """(text, item key, cosine, share of the item, first word) of the candidates that pass."""
+    for t, i, s in _stretches(texts, items):
+        item, step = items.words[i], int(items.step[i])
+        region = texts[t][s * step : (s + 2) * step]
+        region = region[region > 0]
+        there = set(region.tolist())
+        held = [w for w in item if w in there]
+        if len(held) < items.need[i] or weights[held].sum() < told * items.total[i]:
+            continue
+        cosine, first = _cosine(region, items.rows[i], len(item), weights, basis)
+        # Where nearly all words of an item are there, it doesn't matter what stands around them.
+        if cosine < near and len(held) < 0.9 * len(item):
+            continue
+        near_by = region.tolist()
+        ratio = max(lcs(item, near_by), sum(lcs(x, near_by) for x in items.sentences[i])) / len(item)
+        if ratio >= share and lcs(items.answers[i], near_by) >= answer_share * len(items.answers[i]):
+            yield t, items.keys[i], cosine, ratio, s * step + first
+
+
+def _search(weights, basis, items, near: float, share: float, answer_share: float, told: float):  # noqa: ANN001, ANN202
     """Pairs (document, item) that pass all checks, with the best passage of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = weights.value, basis.value
-        values = _word_values(len(w))
         for batch in batches:
             texts = _numbers(batch.column("words"))
             ids, found = batch.column("id").to_pylist(), []
             for i in range(0, len(texts), 128):
-                part = texts[i : i + 128]
-                found += [(ids[i + t], *rest) for t, *rest in _checked(part, Passages(part, w, b), w, values, items.value, near, share, answer_share)]
+                found += [(ids[i + t], *rest) for t, *rest in _checked(texts[i : i + 128], w, b, items.value, near, share, answer_share, told)]
             best: dict[tuple, tuple] = {}
             for row in sorted(found, key=lambda f: (-f[3], -f[2], f[4])):
                 best.setdefault(row[:2], row)
@@ -308,65 +305,66 @@ def _search(weights, basis, items, near: float, share: float, answer_share: floa
     return run
 
 
+def _sentences(texts: list[str]) -> list[list[np.ndarray]]:
+    """The hashes of the words of each sentence of each text."""
+    out = []
+    for text in texts:
+        parts = text.replace("\n", ". ").replace("? ", ". ").replace("! ", ". ").split(". ")
+        hashes = [h[a:b] for h, at in _word_hashes(pa.array(parts, pa.string())) for a, b in zip(at, at[1:], strict=False)]
+        out.append([h for h in hashes if len(h)])
+    return out
+
+
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, near: float = 0.25, share: float = 0.65, answer_share: float = 0.5, rank: int = 96, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, near: float = 0.25, share: float = 0.55, answer_share: float = 0.4, told: float = 0.45, rank: int = 64, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, first_word): the documents that hold a benchmark item, whole or paraphrased.
 
     Passages are 32 words, a new one every 16. They and the items are TF-IDF rows over the items' words (idf over all documents:
-    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies), as they are and projected on `rank` singular directions of all
-    passages and items. An item is also cut into such passages. A pair with a cosine of `near`, either way, is compared: the longest common subsequence of the item's words
-    and the passage's surroundings must reach `share` of the item, and that of its answer (the last line or
-    sentence) answer_share of the answer. A copy of all words of an item in a row counts whatever its cosine. One row for a document and item, with its best passage. Null or
-    wordless texts and items match nothing; null ids take no part. Rows that repeat an id count as one document.
+    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies), as they are and projected on `rank` singular
+    directions of all passages and items. An item counts in a stretch of text of some four times its length if a passage there has a cosine of `near`
+    with it, either way (or nine tenths of its words are there); the longest common subsequence with the stretch, of the item or of its
+    sentences one by one, which may then stand in another order, reaches `share` of the item; that of its answer (the last sentences
+    with ten words together) answer_share of the answer; and the item's words that are there have `told` of the weight of all of
+    them, so that common words alone don't make a match. One row for a document and item, with its best passage. Null or
+    wordless texts and items match nothing; null ids take no part. Rows that repeat an id count as one document. Columns may have any
+    names; an empty table on either side gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text <> ''")
-    blocks = max(1, -(-items.count() // ITEMS))
-    out = [_block(rows, items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), near, share, answer_share, rank) for i in range(blocks)]
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "first_word"), F.struct("lcs", "cosine", -F.col("first_word"))).alias("b"))
-    return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.cosine", "b.lcs", "b.first_word")
-
-
-def _block(rows: DataFrame, items: DataFrame, near: float, share: float, answer_share: float, rank: int) -> DataFrame:
-    spark = rows.sparkSession
     held = items.toArrow()
-    keys, texts = held.column("id").to_pylist(), held.column("text").to_pylist()
-    split = lambda t: [h[a:b] for h, at in _word_hashes(pa.array(t, pa.string())) for a, b in zip(at, at[1:], strict=False)]
-    answer = [([x for x in t.replace("\n", ". ").replace("? ", ". ").split(". ") if any(c.isalnum() for c in x)] or [""])[-1] for t in texts]
-    hashes, answers = split(texts), split(answer)
+    keys, parts = held.column("id").to_pylist(), _sentences(held.column("text").to_pylist())
     empty = "doc_id bigint, item_id bigint, cosine double, lcs double, first_word int"
-    vocabulary = sorted_distinct(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
+    vocabulary = sorted_distinct(np.concatenate([*(h for p in parts for h in p), np.zeros(0, np.uint64)]))
     if not len(vocabulary):
-        return spark.createDataFrame([], empty)
+        found = spark.createDataFrame([], empty)
+        return found.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
     share_out = spark.sparkContext.broadcast
-    texts_table = stored(rows.mapInArrow(_numbered(share_out(vocabulary)), "id bigint, words binary"), "passages")
+    texts_table = stored(rows.mapInArrow(released(_numbered(share_out(vocabulary))), "id bigint, words binary"), "passages")
     total = max(1, rows.count())
     counts = texts_table.mapInArrow(_df(len(vocabulary)), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.ones(len(vocabulary) + 1)
     df[counts.column("word").to_numpy()] = np.maximum(1, counts.column("df").to_numpy())
     weights = np.log1p(total / df)
     weights[0] = 0
-    number = lambda hs: [np.searchsorted(vocabulary, h) + 1 for h in hs]
-    words, answers = number(hashes), number(answers)
+    parts = [[np.searchsorted(vocabulary, h) + 1 for h in p] for p in parts]
     w = share_out(weights)
-    size = min(rank + 8, len(vocabulary))
-    draw = np.random.default_rng(7).standard_normal((len(vocabulary) + 1, size))
-
-    def pass_over(basis: np.ndarray) -> np.ndarray:
-        shares = stored(texts_table.mapInArrow(_gram(w, share_out(basis)), "m binary"), "gram")
-        z = tree_sum(shares, basis.shape)
-        for x in words:  # the items are rows of the matrix as well
-            v = np.zeros(len(weights))
-            np.add.at(v, x, weights[x])
-            z += np.outer(v, v @ basis) / max(1e-12, float(v @ v))
-        return z
-
-    basis = np.linalg.qr(pass_over(draw))[0]
-    _, turn = np.linalg.eigh((lambda m: (m + m.T) / 2)(basis.T @ pass_over(basis)))
-    basis = np.ascontiguousarray((basis @ turn[:, ::-1])[:, :rank]).astype(np.float32)
-    shown = share_out(Items(keys, words, answers, weights, basis, share))
-    return texts_table.mapInArrow(_search(w, share_out(basis), shown, near, share, answer_share), empty)
+    draw = np.random.default_rng(7).standard_normal((len(vocabulary) + 1, min(rank + 8, len(vocabulary)))).astype(np.float32)
+    shares = texts_table.mapInArrow(released(_sketch(w, share_out(draw))), "bucket bigint, rows binary")
+    sketch = np.zeros(draw.shape)
+    for r in shares.repartition("bucket").mapInArrow(_summed, "bucket bigint, rows binary").toLocalIterator():
+        sketch[r.bucket * BUCKET : (r.bucket + 1) * BUCKET] += np.frombuffer(r.rows).reshape(-1, draw.shape[1])
+    for p in parts:  # the items are rows of the matrix as well
+        x = np.concatenate(p) if p else np.zeros(0, np.int64)
+        k, n = np.unique(x, return_counts=True)
+        v = weights[k] * n
+        sketch[k] += np.outer(v, v @ draw[k]) / max(1e-12, float(v @ v))
+    basis = latent_basis(sketch, draw.astype(np.float64), rank)
+    shown, found = share_out(basis), None
+    for i in range(0, len(keys), ITEMS):
+        block = share_out(Items(keys[i : i + ITEMS], parts[i : i + ITEMS], weights, basis, share))
+        more = texts_table.mapInArrow(released(_search(w, shown, block, near, share, answer_share, told)), empty)
+        found = more if found is None else found.unionByName(more)
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "first_word"), F.struct("lcs", "cosine", -F.col("first_word"))).alias("b"))
+    return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.cosine", "b.lcs", "b.first_word")

@@ -108,7 +108,7 @@ def test_sentencepiece(docs, max_words):
     assert len(rows) == len(TEXTS) + 2 == len(both) and all(r.again == (r.text or "") for r in both)
     for r in rows:
         assert r.decoded == (r.text or "") and r.word in ("clash", "n", None)
-        if r.text and len(r.text) < 500:
+        if r.text:
             words = re.findall(r"[\x00-\x1f]| *[^ \x00-\x1f]+| +", " " + r.text)
             assert r.ids == [i for w in words for i in viterbi(w, table)], r.text
 

@@ -4,8 +4,7 @@ The distinct words of all texts are taken apart into all substrings of bounded l
 table keeps those that are pieces; grouped by word they are the edges of its lattice, and a fold with Spark's
 higher-order `aggregate` finds the best path (Viterbi). So each word is solved once, however often it occurs. The
 texts are then encoded by a dictionary of words: the most frequent ones, up to a fixed number, are broadcast; the
-others reach the texts that hold them by a join on the word. Words of more than MAX_WORD bytes, which rarely come twice,
-stay out of the dictionary: the task that encodes a text finds their best path in the same lattice, in linear time.
+others reach the texts that hold them by a join on the word.
 """
 
 from __future__ import annotations
@@ -17,18 +16,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm._tables import stored
-from weftgraph.llm._text import gather_ranges, piece_hashes, prefix_sums, text_chunks
+from weftgraph.llm._text import gather_ranges, piece_hashes, prefix_sums, released, text_chunks
 
 if TYPE_CHECKING:
     import pandas as pd
 
 SPACE = "▁"
-#: Longer words (in bytes) are solved whole where they stand, with :func:`best_path`.
-MAX_WORD = 192
+#: The score of a sign that no piece holds.
+NO_PIECE = -1000.0
+#: Words of more ids aren't broadcast.
+SHORT = 64
 #: Words kept in a task before they are handed on.
-TASK_WORDS = 1_000_000
+TASK_WORDS = 400_000
 
 
 def load_pieces(path: str, scores: str = "rank") -> pd.DataFrame:
@@ -100,8 +102,6 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
 
     for batch in batches:
         for _, buf, starts, ends, _ in _words(batch.column(0), joined):
-            short = ends - starts <= MAX_WORD
-            starts, ends = starts[short], ends[short]
             found, where, n = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_counts=True)
             place = np.searchsorted(hashes, found)
             known = place < len(hashes)
@@ -117,76 +117,79 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
     yield from rows()
 
 
-def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
-    """words plus `ids`: the piece ids of each word's best path. words: distinct by `word`,
-    a space standing for the space sign; it may have further columns. A character that no piece holds becomes its bytes' pieces. Of paths
-    with the same score the one whose last pieces are longer wins. The piece table is broadcast: its size is that of the
-    vocabulary."""
+def lattice(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
+    """(hash, key, head, edges): for each word the pieces that lie in it as (end, start, id, score, sign), sorted; id -1 and the sign
+    itself where no piece is a sign. head: the word's other columns. The piece table is broadcast: its size is that of the vocabulary."""
     import pandas as pd  # not in the workers, where it takes memory for nothing
 
-    spark = words.sparkSession
     plain = pieces[pieces["byte"] < 0]
     longest = int(plain["piece"].str.len().max())
-    table = spark.createDataFrame(pd.DataFrame({"piece": plain["piece"].str.replace(SPACE, " "), "id": plain["id"], "score": plain["score"]}), "piece string, id int, score double")
-    byte_ids = pieces[pieces["byte"] >= 0].sort_values("byte")["id"].tolist()
-    begins = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
-    parts = begins.withColumn("size", F.explode(F.expr(f"sequence(1, least({longest}, length(word) - start))")))
-    parts = parts.withColumn("piece", F.expr("substring(word, start + 1, size)"))
+    table = pd.DataFrame({"piece": plain["piece"].str.replace(SPACE, " "), "id": plain["id"], "score": plain["score"]})
+    table = words.sparkSession.createDataFrame(table, "piece string, id int, score double")
+    # What is exchanged holds a word once, with its first sign, and not once for each edge: long words stay linear.
+    parts = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    parts = parts.withColumn("tail", F.expr(f"substring(word, start + 1, {longest})"))
+    parts = parts.withColumn("size", F.explode(F.expr("sequence(1, length(tail))"))).withColumn("piece", F.expr("substring(tail, 1, size)"))
     edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(-1000.0)).alias("score"))
-    lattice = edges.groupBy(*words.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    node = "named_struct('score', {score}, 'start', {start}, 'id', {id})"
-    # The edges come by their ends: the best one into the end at hand is held apart, and joins the array when the next end begins.
-    kind = "struct<score:double,start:int,id:int>"
-    zero = f"named_struct('best', cast(array() as array<{kind}>), 'end', 0, 'last', cast({node.format(score='0D', start='0', id='-1')} as {kind}))"
-    here = node.format(score="s.best[e.start].score + e.score", start="e.start", id="e.id")
-    ahead = node.format(score="if(e.start = s.end, s.last.score, s.best[e.start].score) + e.score", start="e.start", id="e.id")
-    forward = f"""aggregate(edges, {zero}, (s, e) ->
-        if(e.end > s.end, named_struct('best', concat(s.best, array(s.last)), 'end', e.end, 'last', {ahead}),
-           if(s.best[e.start].score + e.score > s.last.score, named_struct('best', s.best, 'end', s.end, 'last', {here}), s)),
-        s -> concat(s.best, array(s.last)))"""
-    back = """aggregate(sequence(1, length(word)), named_struct('at', length(word), 'path', cast(array() as array<struct<id:int,start:int>>)),
-        (s, i) -> if(s.at = 0, s, named_struct('at', best[s.at].start, 'path', concat(array(named_struct('id', best[s.at].id, 'start', best[s.at].start)), s.path))), s -> s.path)"""
-    as_bytes = "transform(sequence(0, octet_length(c) - 1), i -> array({})[cast(conv(substring(hex(encode(c, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)])".format(",".join(map(str, byte_ids)) or "-1")
-    ids = f"flatten(transform(path, p -> if(p.id >= 0, array(p.id), transform(array(substring(word, p.start + 1, 1)), c -> {as_bytes})[0])))"
-    keep = words.columns
-    return lattice.select(*keep, F.expr(forward).alias("best")).select(*keep, F.expr(back).alias("path")).select(*keep, F.expr(ids).alias("ids"))
-
-
-def lattice_table(pieces: pd.DataFrame) -> tuple[dict[str, tuple[float, int]], dict[str, int], list[int]]:
-    """What :func:`best_path` needs: (score, id) by piece, the longest piece by its first two characters, ids of the bytes."""
-    plain = pieces[pieces["byte"] < 0]
-    table = {p.replace(SPACE, " "): (float(s), int(i)) for p, s, i in zip(plain["piece"], plain["score"], plain["id"], strict=True)}
-    reach: dict[str, int] = {}
-    for p in table:
-        reach[p[:2]] = max(len(p), reach.get(p[:2], 0))
-    return table, reach, [int(i) for i in pieces[pieces["byte"] >= 0].sort_values("byte")["id"]]
-
-
-def best_path(word: str, table: dict[str, tuple[float, int]], reach: dict[str, int], byte_ids: list[int]) -> list[int]:
-    """The ids that :func:`solve_words` gives a word, with the same choice between paths of one score. Edges come by their
-    start here, smallest first, so the first one into an end that is the best stays."""
-    n = len(word)
-    score, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
-    score[0] = 0.0
-    for i in range(n):
-        here, alone = score[i], table.get(word[i], (-1000.0, -1))
-        if here + alone[0] > score[i + 1]:
-            score[i + 1], back[i + 1] = here + alone[0], (i, alone[1])
-        for end in range(i + 2, min(n, i + reach.get(word[i : i + 2], 0)) + 1):
-            step = table.get(word[i:end])
-            if step and here + step[0] > score[end]:
-                score[end], back[end] = here + step[0], (i, step[1])
-    out, at = [], n
-    while at:
-        at, i = back[at]
-        out += [i] if i >= 0 else [byte_ids[b] for b in reversed(word[at].encode())] if byte_ids else [-1]
-    return out[::-1]
+    sign = F.when(F.col("id").isNull(), F.col("piece"))
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"), sign.alias("sign"))
+    head = F.when(F.expr("start = 0 and size = 1"), F.struct(words.columns))
+    edges = edges.select("hash", F.xxhash64("word").alias("key"), head.alias("head"), edge.alias("edge"))
+    return edges.groupBy("hash", "key").agg(F.max("head").alias("head"), F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _pushed(block: str, size: int) -> tuple[str, str, str]:
+    """SQL for a list that grows at its end in time linear in its length: full blocks of `size` in s.done, the open one in s.open.
+    Gives both, and the block before the open one, after `block` is appended to the open one."""
+    longer = f"concat(s.open, array({block}))"
+    full = f"size(s.open) = {size - 1}"
+    return f"if({full}, concat(s.done, array({longer})), s.done)", f"if({full}, slice(s.open, 1, 0), {longer})", f"if({full}, {longer}, s.before)"
+
+
+def viterbi_sql(block: int) -> tuple[str, str]:
+    """SQL of the two folds: over `edges` to the best edge into each place (an array, by place), and over that, `best`, backwards
+    to the path. Pieces are no longer than `block` signs, so scores are looked up in the open block or the one before it.
+
+    The edges come by their ends. The best one into the end at hand is s.last; it joins the list when the next end begins. An
+    edge has to be better to replace another, so of equal ones that with the smallest start stays, the longest piece."""
+    kind = "struct<score:double,start:int,id:int,sign:string>"
+    node = "named_struct('score', {score} + e.score, 'start', e.start, 'id', e.id, 'sign', e.sign)"
+    source = f"cast(named_struct('score', 0D, 'start', 0, 'id', -1, 'sign', null) as {kind})"
+    none, blocks = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
+    zero = f"named_struct('done', {blocks}, 'open', {none}, 'before', {none}, 'end', 0, 'last', {source})"
+    seen = f"if(e.start div {block} = s.end div {block}, s.open, s.before)[cast(e.start % {block} as int)].score"
+    done, opened, before = _pushed("s.last", block)
+    first = node.format(score=f"if(e.start = s.end, s.last.score, {seen})")
+    next_end = f"named_struct('done', {done}, 'open', {opened}, 'before', {before}, 'end', e.end, 'last', {first})"
+    better = f"named_struct('done', s.done, 'open', s.open, 'before', s.before, 'end', s.end, 'last', {node.format(score=seen)})"
+    step = f"if(e.end > s.end, {next_end}, if({seen} + e.score > s.last.score, {better}, s))"
+    forward = f"aggregate(edges, {zero}, (s, e) -> {step}, s -> flatten(concat(s.done, array(concat(s.open, array(s.last))))))"
+    done, opened, before = _pushed("best[s.at]", block)
+    begin = f"named_struct('at', size(best) - 1, 'done', {blocks}, 'open', {none}, 'before', {none})"
+    walk = f"named_struct('at', best[s.at].start, 'done', {done}, 'open', {opened}, 'before', {before})"
+    back = f"aggregate(best, {begin}, (s, e) -> if(s.at = 0, s, {walk}), s -> reverse(flatten(concat(s.done, array(s.open)))))"
+    return forward, back
+
+
+def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
+    """words plus `ids`: the piece ids of each word's best path. words: distinct by `word`, with a column `hash`,
+    a space standing for the space sign; it may have further columns. A character that no piece holds becomes its bytes' pieces. Of paths
+    with the same score the one whose last pieces are longer wins. Words have no greatest length."""
+    longest = int(pieces.loc[pieces["byte"] < 0, "piece"].str.len().max())
+    byte_ids = ",".join(map(str, pieces[pieces["byte"] >= 0].sort_values("byte")["id"].tolist())) or "-1"
+    forward, back = viterbi_sql(max(64, longest))
+    number = "cast(conv(substring(hex(encode(p.sign, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)"
+    as_bytes = f"transform(sequence(0, octet_length(p.sign) - 1), i -> array({byte_ids})[{number}])"
+    ids = F.expr(f"flatten(transform(path, p -> if(p.sign is null, array(p.id), {as_bytes})))")
+    solved = lattice(words, pieces).select("head", F.expr(forward).alias("best")).select("head", F.expr(back).alias("path"))
+    return solved.select("head.*", ids.alias("ids"))
 
 
 def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text") -> DataFrame:
     """(hash, word, n, ids) of the distinct words of all texts; n: how often it occurs."""
-    found = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''").mapInArrow(_distinct(docs.sparkSession.sparkContext.broadcast(joints(pieces))), "hash bigint, word string, n bigint")
+    joined = docs.sparkSession.sparkContext.broadcast(joints(pieces))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    found = texts.mapInArrow(released(_distinct(joined)), "hash bigint, word string, n bigint")
     words = found.groupBy("word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
     return stored(solve_words(words, pieces).select("hash", "word", "n", "ids"), "words")
 
@@ -194,103 +197,125 @@ def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
-        rows = [np.asarray(batch.column("hash")).tobytes(), np.asarray(ids.value_lengths()).astype("<u2").tobytes(), np.asarray(ids.flatten()).astype("<i4").tobytes()]
+        rows = [np.asarray(batch.column("hash")).tobytes(), np.asarray(ids.value_lengths()).astype("<i4").tobytes(), np.asarray(ids.flatten()).astype("<i4").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in rows], ["hash", "size", "ids"])
 
 
 def frequent_words(dictionary: DataFrame, max_words: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], bool]:
-    """Sorted hashes, places and ids of at most max_words words, the most frequent ones, and whether these are all.
+    """Sorted hashes, places and ids of at most max_words words of up to SHORT ids, the most frequent ones, and whether these are all.
 
-    The cut is a power of two of the count, found from a histogram. Words whose hashes are equal are left out."""
-    bins = dictionary.groupBy(F.floor(F.log2("n")).alias("b")).count().orderBy(F.desc("b")).collect()
+    The cut is a power of two of the count, found from a histogram. Words that share a hash with another word of the
+    dictionary are left out, so a hash in the result stands for one word of the texts."""
+    bins = dictionary.where(F.size("ids") <= SHORT).groupBy(F.floor(F.log2("n")).alias("b")).count().orderBy(F.desc("b")).collect()
     least, total = None, 0
     for b, n in bins:
         if total + n > max_words:
             break
         least, total = 1 << int(b), total + n
-    whole = total == sum(n for _, n in bins)
-    kept = dictionary.where("false") if least is None else dictionary if whole else dictionary.where(F.col("n") >= least)
+    shared = dictionary.groupBy("hash").count().where("count > 1").select("hash")
+    kept = dictionary.where("false" if least is None else f"n >= {least} and size(ids) <= {SHORT}").join(shared, "hash", "left_anti")
     rows = kept.select("hash", "ids").mapInArrow(_packed, "hash binary, size binary, ids binary").toArrow()
     read = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-    hashes, sizes, ids = read("hash", np.uint64), read("size", "<u2").astype(np.int32), read("ids", "<i4")
+    hashes, sizes, ids = read("hash", np.uint64), read("size", "<i4"), read("ids", "<i4")
     starts = np.cumsum(sizes, dtype=np.int64) - sizes
     order = np.argsort(hashes)
-    hashes, at = hashes[order], np.stack([starts[order], sizes[order]], axis=1).astype(np.int32)
-    twice = np.zeros(len(hashes), bool)
-    twice[1:] |= hashes[1:] == hashes[:-1]
-    twice[:-1] |= hashes[1:] == hashes[:-1]
-    return (hashes[~twice], at[~twice], ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids), whole and not twice.any()
+    at = np.stack([starts[order], sizes[order]], axis=1).astype(np.int32)
+    whole = len(hashes) == dictionary.count()
+    return (hashes[order], at, ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids), whole
+
+
+def _spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray]):  # noqa: ANN202
+    """For the distinct words among buf[start:end]: which one each is, where the first of each stands, its place and size in the ids
+    of held, and whether it is there."""
+    hashes, at, _ = held
+    found, first, which = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_inverse=True)
+    place = np.searchsorted(hashes, found)
+    known = place < len(hashes)
+    known[known] = hashes[place[known]] == found[known]
+    span = np.zeros((len(found), 2), np.int64)
+    span[known] = at[place[known]]
+    return which, first, span, known
+
 
+def _lacking(shared):  # noqa: ANN001, ANN202
+    """(key, word): the distinct words of each text that aren't in shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined = shared.value
+        for batch in batches:
+            keys = np.asarray(batch.column("key"))
+            for row, buf, starts, ends, before in _words(batch.column("text"), joined):
+                which, first, _, known = _spans(buf, starts, ends, held)
+                word = np.flatnonzero(~known[which])
+                text = np.searchsorted(before, word, "right") - 1
+                pairs = np.unique(text * max(1, len(known)) + which[word])
+                text, k = pairs // max(1, len(known)), pairs % max(1, len(known))
+                raw = buf.tobytes()
+                words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[k]].tolist(), ends[first[k]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row + text]), pa.array(words, pa.string())], ["key", "word"])
+
+    return run
 
-def _apply(shared, kept: int):  # noqa: ANN001, ANN202
-    """Encode texts (the column before the last); the last column: (word, ids) of words that aren't in shared, or null."""
+
+def _apply(shared):  # noqa: ANN001, ANN202
+    """Encode texts (the column text); own: (word, ids) of words that aren't in shared, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, at, pool), joined, lattice = shared.value
+        held, joined = shared.value
         for batch in batches:
-            own = batch.column("_own")
-            for row, buf, starts, ends, before in _words(batch.column("_text"), joined):
-                found, where, back = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_inverse=True)
-                place = np.searchsorted(hashes, found)
-                known = place < len(hashes)
-                known[known] = hashes[place[known]] == found[known]
-                span = np.zeros((len(found), 2), np.int64)
-                span[known] = at[place[known]]
-                ids, raw, extra = pool, buf.tobytes(), []
-                missing: list[list[str]] = [[] for _ in range(len(before) - 1)]
+            own = batch.column("own")
+            for row, buf, starts, ends, before in _words(batch.column("text"), joined):
+                which, first, span, known = _spans(buf, starts, ends, held)
+                ids, raw, extra = held[2], buf.tobytes(), []
                 if not known.all():
-                    word_of = {int(k): raw[starts[where[k]] : ends[where[k]]].decode("utf-8", "replace") for k in np.flatnonzero(~known)}
-                    size_of = ends[where] - starts[where]
-                    long = {w: best_path(w, *lattice) for k, w in word_of.items() if size_of[k] > MAX_WORD}
-                    told = long | {w["word"]: w["ids"] for r in range(row, row + len(before) - 1) if own[r].is_valid for w in own[r].as_py()}
-                    size = len(pool)
-                    for k, w in word_of.items():
-                        if w in told:
-                            span[k] = size, len(told[w])
-                            extra.extend(told[w])
-                            size += len(told[w])
-                    gone = np.array([k for k, w in word_of.items() if w not in told], np.int64)
-                    if len(gone):
-                        for i in np.flatnonzero(np.isin(back, gone)):
-                            missing[int(np.searchsorted(before, i, "right")) - 1].append(word_of[int(back[i])])
-                    ids = np.concatenate([pool.astype(np.int32), np.array(extra, np.int32)]) if extra else pool
-                span = span[back]
+                    told = {w["word"]: w["ids"] for r in range(row, row + len(before) - 1) if own[r].is_valid for w in own[r].as_py()}
+                    size = len(ids)
+                    for k in np.flatnonzero(~known).tolist():
+                        more = told[raw[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace")]
+                        span[k] = size, len(more)
+                        extra.append(np.array(more, np.int32))
+                        size += len(more)
+                    ids = np.concatenate([ids.astype(np.int32), *extra])
+                span = span[which]
                 ends_at = np.concatenate([[0], np.cumsum(span[:, 1])])[before]
                 out = pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(ids[gather_ranges(span[:, 0], span[:, 1])].astype(np.int32)))
-                part = batch.slice(row, len(before) - 1)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(kept)), out, pa.array([sorted(set(m)) for m in missing], pa.list_(pa.string()))], [*batch.schema.names[:kept], "ids", "_missing"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, len(before) - 1), out], ["row", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_words: int = 6_000_000, decode_to: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_words: int = 500_000, decode_to: str | None = None) -> DataFrame:
     """The rows of docs plus `ids`, the piece ids of the whole text with a space in front, as SentencePiece has it.
 
     A null or empty text has no pieces. Every other text decodes to itself: spaces are kept as they are, and a
-    literal space sign (U+2581) is spelt in bytes. max_words bounds the broadcast; it doesn't change the result.
-    A column `ids` of docs is replaced. decode_to: a column for the decoded texts; the same task then encodes and
+    literal space sign (U+2581) is spelt in bytes. max_words bounds the broadcast; it doesn't change the result. Rows and ids may
+    repeat, each row gets its ids; an empty table gives no rows.
+    A column `ids` of docs is replaced; other columns may have any name. decode_to: a column for the decoded texts; the same task then encodes and
     decodes, with one worker instead of two.
     """
     spark = docs.sparkSession
-    docs = docs.drop("ids")
     dictionary = word_dictionary(docs, pieces, text_col)
     words, whole = frequent_words(dictionary, max_words)
-    apply = _apply(spark.sparkContext.broadcast((words, joints(pieces), lattice_table(pieces))), len(docs.columns))
-    spell = _speller(spark, pieces, decode_to) if decode_to else None
+    shared = spark.sparkContext.broadcast((words, joints(pieces)))
+    apply, spell = _apply(shared), _speller(spark, pieces, decode_to) if decode_to else None
+    kept = docs.drop("ids", *([decode_to] if decode_to else []))
+    # The own columns of docs travel in one struct, so their names can't clash with those of this operator.
+    rows = docs.select(F.struct(kept.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    own = "array<struct<word:string,ids:array<int>>>"
+    if whole:
+        rows = rows.withColumn("own", F.lit(None).cast(own))
+    else:
+        rows = rows.withColumn("key", F.xxhash64("text"))
+        lacking = rows.select("key", "text").where("text <> ''").mapInArrow(released(_lacking(shared)), "key bigint, word string").distinct()
+        told = lacking.join(dictionary.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+        rows = rows.join(told, "key", "left").select("row", "text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return spell(apply(batches)) if spell else apply(batches)
 
-    own = "array<struct<word:string,ids:array<int>>>"
-    schema = _schema(docs) + ", ids array<int>, _missing array<string>" + (f", `{decode_to}` string" if decode_to else "")
-    rows = docs.withColumn("_text", F.col(text_col).cast("string"))
-    out = rows.withColumn("_own", F.lit(None).cast(own)).mapInArrow(run, schema)
-    if not whole:
-        lacking = out.where("size(_missing) > 0").select(F.xxhash64(F.col(text_col).cast("string")).alias("_key"), F.explode("_missing").alias("word")).distinct()
-        told = lacking.join(dictionary.select("word", "ids"), "word").groupBy("_key").agg(F.collect_list(F.struct("word", "ids")).alias("_own"))
-        again = rows.withColumn("_key", F.xxhash64("_text")).join(told, "_key").drop("_key").mapInArrow(run, schema)
-        out = out.where("size(_missing) = 0").unionByName(again)
-    return out.drop("_missing")
+    schema = T.StructType().add("row", kept.schema).add("ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add(decode_to, T.StringType()) if decode_to else schema
+    return rows.mapInArrow(released(run), schema).select("row.*", "ids", *([F.col(f"`{decode_to}`")] if decode_to else []))
 
 
 def _speller(spark: SparkSession, pieces: pd.DataFrame, to: str):  # noqa: ANN202
@@ -319,10 +344,7 @@ def _speller(spark: SparkSession, pieces: pd.DataFrame, to: str):  # noqa: ANN20
     return run
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def decode(encoded: DataFrame, pieces: pd.DataFrame, to: str = "decoded") -> DataFrame:
     """The rows of encoded plus the text of `ids` in the column `to`. Null ids give null; unknown ids nothing."""
-    return encoded.mapInArrow(_speller(encoded.sparkSession, pieces, to), f"{_schema(encoded)}, `{to}` string")
+    schema = T.StructType([*encoded.schema.fields]).add(to, T.StringType())
+    return encoded.mapInArrow(released(_speller(encoded.sparkSession, pieces, to)), schema)

@@ -118,8 +118,8 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
 
 
 def lattice(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
-    """(hash, key, head, edges): for each word the pieces that lie in it as (end, start, id, score, sign), sorted; id -1 and the sign
-    itself where no piece is a sign. head: the word's other columns. The piece table is broadcast: its size is that of the vocabulary."""
+    """(hash, key, head, edges): for each word the pieces that lie in it as (end, start, id, score), sorted; id -1 for a sign that is no
+    piece. head: the word's columns. The piece table is broadcast: its size is that of the vocabulary."""
     import pandas as pd  # not in the workers, where it takes memory for nothing
 
     plain = pieces[pieces["byte"] < 0]
@@ -127,14 +127,13 @@ def lattice(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     table = pd.DataFrame({"piece": plain["piece"].str.replace(SPACE, " "), "id": plain["id"], "score": plain["score"]})
     table = words.sparkSession.createDataFrame(table, "piece string, id int, score double")
     # What is exchanged holds a word once, with its first sign, and not once for each edge: long words stay linear.
-    parts = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    parts = words.withColumn("key", F.xxhash64("word")).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
     parts = parts.withColumn("tail", F.expr(f"substring(word, start + 1, {longest})"))
     parts = parts.withColumn("size", F.explode(F.expr("sequence(1, length(tail))"))).withColumn("piece", F.expr("substring(tail, 1, size)"))
     edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    sign = F.when(F.col("id").isNull(), F.col("piece"))
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"), sign.alias("sign"))
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"))
     head = F.when(F.expr("start = 0 and size = 1"), F.struct(words.columns))
-    edges = edges.select("hash", F.xxhash64("word").alias("key"), head.alias("head"), edge.alias("edge"))
+    edges = edges.select("hash", "key", head.alias("head"), edge.alias("edge"))
     return edges.groupBy("hash", "key").agg(F.max("head").alias("head"), F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
@@ -152,9 +151,9 @@ def viterbi_sql(block: int) -> tuple[str, str]:
 
     The edges come by their ends. The best one into the end at hand is s.last; it joins the list when the next end begins. An
     edge has to be better to replace another, so of equal ones that with the smallest start stays, the longest piece."""
-    kind = "struct<score:double,start:int,id:int,sign:string>"
-    node = "named_struct('score', {score} + e.score, 'start', e.start, 'id', e.id, 'sign', e.sign)"
-    source = f"cast(named_struct('score', 0D, 'start', 0, 'id', -1, 'sign', null) as {kind})"
+    kind = "struct<score:double,start:int,id:int>"
+    node = "named_struct('score', {score} + e.score, 'start', e.start, 'id', e.id)"
+    source = f"cast(named_struct('score', 0D, 'start', 0, 'id', -1) as {kind})"
     none, blocks = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
     zero = f"named_struct('done', {blocks}, 'open', {none}, 'before', {none}, 'end', 0, 'last', {source})"
     seen = f"if(e.start div {block} = s.end div {block}, s.open, s.before)[cast(e.start % {block} as int)].score"
@@ -178,9 +177,10 @@ def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     longest = int(pieces.loc[pieces["byte"] < 0, "piece"].str.len().max())
     byte_ids = ",".join(map(str, pieces[pieces["byte"] >= 0].sort_values("byte")["id"].tolist())) or "-1"
     forward, back = viterbi_sql(max(64, longest))
-    number = "cast(conv(substring(hex(encode(p.sign, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)"
-    as_bytes = f"transform(sequence(0, octet_length(p.sign) - 1), i -> array({byte_ids})[{number}])"
-    ids = F.expr(f"flatten(transform(path, p -> if(p.sign is null, array(p.id), {as_bytes})))")
+    number = "cast(conv(substring(hex(encode(sign, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)"
+    as_bytes = f"transform(sequence(0, octet_length(sign) - 1), i -> array({byte_ids})[{number}])"
+    of_sign = f"transform(array(substring(head.word, p.start + 1, 1)), sign -> {as_bytes})[0]"
+    ids = F.expr(f"flatten(transform(path, p -> if(p.id >= 0, array(p.id), {of_sign})))")
     solved = lattice(words, pieces).select("head", F.expr(forward).alias("best")).select("head", F.expr(back).alias("path"))
     return solved.select("head.*", ids.alias("ids"))
 

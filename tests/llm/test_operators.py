@@ -127,9 +127,49 @@ def test_pii(spark):
 
 
 def test_pii_terms_and_sanitised_text(spark):
-    rows = [(i, f"contact Zorblatt{'xy'[i % 2]} zaphod now me@x.org please number {i}") for i in range(4)] + [(i, f"please contact us now on day {i}") for i in range(4, 60)]
+    rows = [(i, f"contact Zorblatt{'xy'[i % 2]} zaphod now me@x.org please number {i} zaphod and {'word ' * 20} zaphod") for i in range(4)] + [(i, f"please contact us now on day {i}") for i in range(4, 60)]
+    rows += [(60, 'key "04dbebab91ab85687d33eeaaf9ac699e1188f962" 12345678901234567890123 abcdefghijklmnopqrstuvwxyz')]
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert "zaphod" not in clean[0] and "me@x.org" not in clean[0] and "please" in clean[0] and clean[30] == rows[30][1]
+    assert clean[60] == 'key "<SECRET>" 12345678901234567890123  ' or clean[60].startswith('key "<SECRET>" 12345678901234567890123')
+
+
+def test_pii_terms_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [a + b for a in ("Ab", "cod", "deda", "Fe", "gunu", "lo", "Mira") for b in ("rano", "si", "t", "umbo", "ve'l", "x-y")]
+    values = ["a@b.cd", "x.y@z.org", "10.0.0.1", "192.168.7.9", "+49 30 1234567"]
+    texts = [None, "", "a@b.cd", "a@b.cd"]
+    for _ in range(90):
+        part = [str(w) for w in rng.choice(words, 30, p=np.arange(1, len(words) + 1) ** 2 / sum(np.arange(1, len(words) + 1) ** 2))]
+        if rng.random() < 0.6:
+            part.insert(int(rng.integers(30)), str(rng.choice(values)))
+        texts.append(" ".join(part))
+    texts += texts[4:8]  # repeated rows count each time
+    docs = [(int(i), t, "clash", 1) for i, t in enumerate(texts)] + [(9, texts[9], "again", 2)]
+    df = spark.createDataFrame(docs, "doc_id int, text string, term string, key int").repartition(3)
+    got = [(r.doc_id, r.s) for r in pii.find_pii(df).selectExpr("doc_id", pii.listed("spans") + " as s").collect()]
+    term = re.compile(r"(?<![\w-])(?:[^\W\d_][^\W\d_'-]?(?:[^\W\d_]|['-]){2,}|[A-Z][a-z]{1,2})(?![\w-])")
+    kinds = (("email", r"[\w.]+@[\w.]+"), ("ip", r"\d+\.\d+\.\d+\.\d+"), ("phone", r"\+[\d ]+\d"))
+    spans = [[(k, m.start(), m.end(), m.group()) for k, p in kinds for m in re.finditer(p, t or "")] for _, t, _, _ in docs]
+    found = [[(m.group().lower(), m.start(), m.end(), m.group()) for m in term.finditer(t or "")] for _, t, _, _ in docs]
+    near = [{(s[3], w[0]) for s in ss for w in ws if w[2] > s[1] - 60 and w[1] < s[2] + 60 and (w[2] <= s[1] or w[1] >= s[2])} for ss, ws in zip(spans, found, strict=True)]
+    count = lambda test: sum(map(test, range(len(docs))))
+    told = {}
+    for e, w in set().union(*near):
+        n_e, n_t = count(lambda i, e=e: any(s[3] == e for s in spans[i])), count(lambda i, w=w: any(x[0] == w for x in found[i]))
+        told[e, w] = np.log2(len(docs) * count(lambda i, p=(e, w): p in near[i]) / (n_e * n_t)) / np.log2(len(docs) / n_e)
+    want, kinds_seen = [], set()
+    for i, (doc, _, _, _) in enumerate(docs):
+        marks = []
+        for w, a, b, raw in found[i]:
+            most = max([told.get((s[3], w), 0) for s in spans[i]], default=0)
+            if most >= 0.85 and all(b <= s[1] or a >= s[2] for s in spans[i]):
+                marks.append(("drop" if most >= 0.97 else "name" if raw != w else "term", a, b))
+        marks.sort(key=lambda m: (("name", "term", "drop").index(m[0]), m[1]))
+        kinds_seen |= {m[0] for m in marks}
+        want.append((doc, ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in [*spans[i], *marks])))
+    assert sorted(got) == sorted(want) and kinds_seen
+    assert pii.find_pii(df.where("false")).count() == 0 and pii.sanitise(df).columns == df.columns
 
 
 def test_nearest(spark):

@@ -1,4 +1,4 @@
-"""Personal data: fixed patterns, and terms that give protected entities away (information-theoretic sanitisation,
+"""Personal data: fixed patterns, secrets, and terms that give protected entities away (information-theoretic sanitisation,
 Sanchez and Batet, 2016). DataFrame functions only.
 
 The patterns are rewritten so that Java's backtracking matcher runs in linear time on any text and finds the same
@@ -23,8 +23,13 @@ KINDS = (
 )
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"(?<![\p{L}\p{N}_-])\p{L}[\p{L}'-]{3,}(?![\p{L}\p{N}_-])"
+#: A run of 20 signs or more that has letters and digits: a key, a token.
+SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+"
+#: A word of four letters or more, or of two or three with a capital.
+TERM = r"(?<![\p{L}\p{N}_-])(?:\p{L}[\p{L}'-]{3,}|\p{Lu}\p{L}{1,2})(?![\p{L}\p{N}_-])"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Signs of a text that are looked up together.
+REACH = 256
 
 
 def _matches(text: str, pattern: str, kind: str, test: str) -> str:
@@ -55,55 +60,84 @@ def listed(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
 
 
-def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 60, generalise: float = 0.85, remove: float = 0.97, min_contexts: int = 2, broadcast_rows: int = 100_000
-) -> DataFrame:
-    """(id, key, spans) for every row: base spans, then spans of kinds `term` (generalise) and `drop` (remove).
+def secret_spans(text: str = "text") -> Column:
+    """The spans of :data:`SECRET`, in order."""
+    clean = f"translate({text}, '\\u0001\\u0002', '\\ufffd\\ufffd')"
+    found = _matches(clean, _quoted(SECRET), "secret", "true")
+    return F.expr(f"if({text} rlike '[A-Za-z0-9_-]{{20}}', {found}, cast(array() as {SPAN}))")
+
+
+def term_spans(text: str = "text") -> Column:
+    """The spans of :data:`TERM`, in order; value is the term, in small letters."""
+    clean = f"translate({text}, '\\u0001\\u0002', '  ')"
+    return F.expr(f"transform({_matches(clean, _quoted(TERM), 'term', 'true')}, w -> named_struct('term', lower(w.value), 'start', w.start, 'end', w.end, 'name', lower(w.value) <> w.value))")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """96 bits of a row's id and text."""
+    return F.struct(F.xxhash64(id_col, text_col).alias("a"), F.hash(id_col, text_col).alias("b"))
+
+
+def near_terms(found: DataFrame, window: int) -> DataFrame:
+    """(row, entity, term): once for each row in which the term stands within `window` signs of the entity. found: row, spans, words.
+
+    Spans and words of a row meet by stretches of REACH signs, so a long text with many of both isn't a product."""
+    last, first = F.floor((F.col("s.end") + window) / REACH), F.floor(F.greatest(F.col("s.start") - window, F.lit(0)) / REACH)
+    spans = found.select("row", F.explode("spans").alias("s")).select("row", F.concat("s.kind", F.lit(":"), "s.value").alias("entity"), "s.start", "s.end", F.explode(F.sequence(first, last)).alias("at"))
+    words = found.select("row", F.explode("words").alias("w")).select("row", "w.term", F.col("w.start").alias("from"), F.col("w.end").alias("to"), F.floor(F.col("w.start") / REACH).alias("at"))
+    # A word that is part of an entity isn't a term beside it.
+    return spans.join(words, ["row", "at"]).where(f"to > start - {window} and from < end + {window} and (to <= start or from >= end)").select("row", "entity", "term").distinct()
+
+
+def disclosing(pairs: DataFrame, entities: DataFrame, terms: DataFrame, total: int, least: float) -> DataFrame:
+    """(entity, term, told) with told of `least` or more: PMI(e; t) / IC(e), in rows. pairs: row, entity, term; entities: entity, n_e;
+    terms: term, n_t."""
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(entities.where(f"n_e < {total}"), "entity").join(terms, "term")
+    told = F.expr(f"log2({total}D * n_et / (n_e * n_t)) / log2({total}D / n_e)")
+    return both.select("entity", "term", told.alias("told")).where(F.col("told") >= least)
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 60, generalise: float = 0.85, remove: float = 0.97, broadcast_rows: int = 300_000) -> DataFrame:
+    """(id, key, spans) for every row: base spans, then those of the kinds `secret`, `name` and `term` (generalise; a name has a capital) and
+    `drop` (remove), by kind and start.
 
-    An entity is the kind and value of a base span. A term is a word of four letters or more, A-Z as a-z, within
-    `window` code points before or after an entity. Over all documents, PMI(e; t) = log2(N n(e,t) / (n(e) n(t)))
-    estimates what t tells of e, in documents: n(e,t) counts those where t stands near e, n(t) those with t
-    anywhere. t gives e away if it stands with it in min_contexts different contexts at least and PMI / IC(e)
-    reaches `generalise`, where IC(e) = log2(N / n(e)) is all there is to know; from `remove` on, it is dropped.
-    Its occurrences near e are marked then, unless they touch a base span. Null and empty texts have no
-    spans. Ids may be null or repeat: rows are told apart by the hash of id and text (key).
+    An entity is the kind and value of a base span or secret. A term is a word of four letters or more, or of two or three with a
+    capital, A-Z as a-z, within `window` code points before or after an entity in some row. Over all rows, PMI(e; t) = log2(N n(e,t) / (n(e) n(t)))
+    estimates what t tells of e: n(e,t) counts the rows where t stands near e, n(e) those with e, n(t) those with t
+    anywhere, repeated rows each time. t gives e away if PMI / IC(e) reaches `generalise`, where IC(e) = log2(N / n(e)) is all there is to know;
+    from `remove` on, it is dropped. So a rare word beside an address that stands in one row goes too. In rows that hold e all occurrences of t are
+    marked then, unless they touch another span. An entity in every row has nothing to give away. Null and empty texts have no
+    spans. Ids may be null or repeat: rows are told apart by a hash of id and text (key). An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64(F.col("id"), F.col("text")))
-    found = rows.select("key", base_spans().alias("spans"), "text").where("size(spans) > 0")
-    near = f"""transform(spans, s -> named_struct('entity', concat(s.kind, ':', s.value), 'left', greatest(0, s.start - {window}),
-        'before', substring(text, greatest(0, s.start - {window}) + 1, s.start - greatest(0, s.start - {window})), 'right', s.end, 'after', substring(text, s.end + 1, {window})))"""
-    found = stored(found.select("key", "spans", F.expr(near).alias("near")), "spans")
-    sides = found.select("key", F.explode("near").alias("c"))
-    words = _matches("translate(x.words, '\\u0001\\u0002', '  ')", _quoted(TERM), "term", "true")
-    terms = sides.select("key", "c.entity", F.xxhash64("c.before", "c.after").alias("context"), F.explode(F.expr("array(named_struct('at', c.left, 'words', c.before), named_struct('at', c.right, 'words', c.after))")).alias("x"))
-    terms = terms.select("key", "entity", "context", F.col("x.at").alias("at"), F.explode(F.expr(words)).alias("w"))
-    terms = stored(terms.select("key", "entity", "context", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end")), "terms")
-    pairs = terms.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_et"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-    if min_contexts > 1:
-        pairs = pairs.where("c1 <> c2")
-    pairs = stored(pairs.select("entity", "term", "n_et"), "pairs")
-    entities = sides.select("key", "c.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("key", row_key("id", "text"))
+    found = rows.select("key", F.concat(base_spans(), secret_spans()).alias("spans"), "text").where("size(spans) > 0")
+    found = stored(found.select("key", "spans", term_spans().alias("words")).withColumn("row", F.monotonically_increasing_id()), "spans")
+    pairs = stored(near_terms(found, window), "pairs")
+    held = found.select("row", F.explode("spans").alias("s")).select("row", F.concat("s.kind", F.lit(":"), "s.value").alias("entity")).distinct()
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = stored(pairs.select("term").distinct(), "wanted")
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     if wanted.count() <= broadcast_rows:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.count()
-    told = pairs.join(entities, "entity").join(counts, "term").where(f"n_e < {total}")
-    told = told.withColumn("told", F.expr(f"log2({total}D * n_et / (n_e * n_t)) / log2({total}D / n_e)")).where(F.col("told") >= generalise)
-    marked = terms.join(told.select("entity", "term", "told"), ["entity", "term"])
-    marked = marked.groupBy("key", "start", "end").agg(F.max("told").alias("told"))
-    marked = marked.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.when(F.col("told") >= remove, "drop").otherwise("term").alias("kind"), "start", "end"))).alias("terms"))
-    clear = "filter(terms, t -> not exists(spans, s -> t.start < s.end and s.start < t.end))"
-    both = found.select("key", "spans").groupBy("key").agg(F.first("spans").alias("spans")).join(marked, "key", "left")
-    both = both.select("key", F.expr(f"concat(spans, coalesce(transform({clear}, t -> named_struct('kind', t.kind, 'start', t.start, 'end', t.end, 'value', cast(null as string))), cast(array() as {SPAN})))").alias("spans"))
+    told = disclosing(pairs, entities, counts, rows.count(), generalise)
+    # Per row the disclosing terms of its entities, then all their places.
+    marked = held.join(told, "entity").groupBy("row", "term").agg(F.max("told").alias("told")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("told"))
+    kind = f"case when told[w.term] >= {remove} then 'drop' when w.name then 'name' else 'term' end"
+    hits = "filter(words, w -> map_contains_key(told, w.term) and not exists(spans, s -> w.start < s.end and s.start < w.end))"
+    terms = f"array_sort(transform({hits}, w -> named_struct('kind', {kind}, 'start', w.start, 'end', w.end, 'value', cast(null as string))))"
+    order = "concat(filter({0}, t -> t.kind = 'name'), filter({0}, t -> t.kind = 'term'), filter({0}, t -> t.kind = 'drop'))".replace("{0}", "terms")
+    both = found.join(marked, "row", "left").withColumn("terms", F.expr(f"if(told is null, cast(array() as {SPAN}), {terms})"))
+    # Equal rows have equal spans.
+    both = both.select("key", F.concat("spans", F.expr(order)).alias("spans")).groupBy("key").agg(F.first("spans").alias("spans"))
     out = rows.select("id", "key").join(both, "key", "left")
     return out.select(F.col("id").alias(id_col), "key", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans"))
 
 
 def sanitised(text: str, spans: str) -> Column:
-    """SQL expressions of a text and its spans (of find_pii): the text with each base span as its kind in angle brackets,
-    generalised terms as <TERM>, dropped terms left out. Where spans overlap, the first one counts."""
+    """SQL expressions of a text and its spans (of find_pii): the text with each span as its kind in angle brackets,
+    dropped terms left out. Where spans overlap, the first one counts."""
     order = f"array_sort({spans}, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else b.end - a.end end)"
     label = "if(s.kind = 'drop', '', concat('<', upper(s.kind), '>'))"
     step = f"if(s.start < a.at, a, named_struct('at', s.end, 'out', concat(a.out, array(substring({text}, a.at + 1, s.start - a.at), {label}))))"
@@ -113,7 +147,9 @@ def sanitised(text: str, spans: str) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The rows of docs with sanitised texts; other columns stay. Null texts stay null."""
-    found = find_pii(docs, id_col, text_col, **options).where("size(spans) > 0").dropDuplicates(["key"]).select(F.col("key").alias("_pii_key"), F.col("spans").alias("_pii_spans"))
-    rows = docs.withColumn("_pii_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(found, "_pii_key", "left")
-    rows = rows.withColumn("_pii_spans", F.coalesce("_pii_spans", F.expr(f"cast(array() as {SPAN})")))
-    return rows.withColumn(text_col, sanitised(f"`{text_col}`", "_pii_spans")).select(docs.columns)
+    found = find_pii(docs, id_col, text_col, **options).where("size(spans) > 0").dropDuplicates(["key"]).select("key", "spans")
+    # The columns of docs travel in one struct, so their names can't clash.
+    rows = docs.select(F.struct(docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("key", row_key("id", "text")).join(found, "key", "left")
+    clean = rows.select("row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised("text", "spans")).alias("text"))
+    return clean.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))

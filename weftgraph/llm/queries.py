@@ -66,7 +66,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.expr("filter(spans, s -> s.kind in ('email', 'ip', 'card', 'phone'))")
     out = found.select("doc_id", "spans", base.alias("base"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return out.select("doc_id", *counts, F.sha2(F.expr(pii.listed("base")), 256).alias("base_sha256"), F.expr(pii.listed("spans")).alias("spans"))
+    private = F.expr("cast(size(filter(spans, s -> s.kind in ('email', 'ip', 'card', 'phone', 'secret'))) as bigint)")
+    return out.select("doc_id", *counts, F.sha2(F.expr(pii.listed("base")), 256).alias("base_sha256"), F.expr(pii.listed("spans")).alias("spans"), private.alias("n_private"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.describe import describe_step, describe_undo, node_label
 from weftgraph.operators import lookups, loops, motif_tree, reduction, schedule
-from weftgraph.operators.shared import settled
+from weftgraph.operators.shared import settled, shared_dir
 from weftgraph.sources import ingest, op_log_io
 
 #: One graph for each user and week, event types as nodes, an edge from an event to the next one.
@@ -169,8 +168,7 @@ def op_log_dag(spark, sf):  # noqa: ANN001, ANN201
 
 def op_log_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     log = _log(spark, sf)[2]
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{folder.rstrip('/')}/op-log-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/op-log-{uuid.uuid4().hex}"
     op_log_io.write_op_log(log, path)
     return _flat(op_log_io.read_op_log(spark, path))
 

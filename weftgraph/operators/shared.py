@@ -1,21 +1,53 @@
-"""Iteration state in the folder that all executors share."""
+"""Tables in the folder that all executors share: states of iterations and whatever is read more than once."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+_open: list[list[str]] = []
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df written to a table in spark.checkpoint.dir and read back: the plan of the next round starts
-    there, and a lost executor loses nothing. A local folder serves only where the setting is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset a local folder serves a local session (tests); on a cluster it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _local[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df written to a new table and read back: later plans start there, nothing is computed twice, and a lost executor
+    loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _open[-1:]:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """:func:`written` for the state of a round."""
+    return written(df, "round")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All tables written inside are removed at the end, so what is made from them has to be written elsewhere or collected before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,7 +6,8 @@ longer by k - 1 share k tokens (or all of them). Here the order puts frequent to
 token is a rare one, both prefixes hold it: rare tokens are indexed singly. If it is a frequent one, all shared
 tokens are frequent, and the extended prefixes share k frequent ones: those are indexed as k-token combinations,
 which are far rarer than the tokens. So no pair is lost, whatever the class of frequent tokens is; the class only
-saves work. It lives in a bitmap of a fixed size, the same in each task. Of two sets the smaller one needs only the
+saves work. A long set would have too many combinations: above a size all frequent tokens are indexed singly, and by sets that are
+a little smaller in both ways, so two sets that can be linked always share a way. The class lives in a bitmap of a fixed size, the same in each task. Of two sets the smaller one needs only the
 prefix for partners that are no smaller, n - ceil(2t / (1 + t) * n) + 1 tokens (indexed), the larger one the full one.
 
 Copies. Sets that are equal are joined once, through their smallest id. Near copies are first linked as stars
@@ -17,7 +18,6 @@ two components are joined, on pairs of different components. So a group of n nea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import bitmap, components, in_bitmap, small_batches, stored
-from weftgraph.llm._text import BASE, LOWER, mix, piece_hashes, prefix_sums, sorted_distinct, text_chunks, word_spans
+from weftgraph.llm._text import BASE, LOWER, gather_ranges, mix, piece_hashes, prefix_sums, released, sorted_distinct, text_chunks, word_spans
 
 #: Tokens below this share of the hash space are counted to find the frequent ones: prefixes consist of the
 #: smallest hashes, so the others hardly ever get into one.
@@ -119,10 +119,23 @@ def _counted(words: int, skip, whole):  # noqa: ANN001, ANN202
     return run
 
 
-def _prefixes(words: int, percent: int, k: int, frequent):  # noqa: ANN001, ANN202
+def _combined(rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place of the first, place of the last) of all combinations of k tokens."""
+    at = np.arange(len(rest))[:, None]
+    for _ in range(k - 1):  # each combination with all later places
+        more = len(rest) - 1 - at[:, -1]
+        at = np.hstack([np.repeat(at, more, axis=0), gather_ranges(at[:, -1] + 1, more)[:, None]])
+    mixed = rest[at[:, 0]]
+    for j in range(1, k):
+        mixed = mix(mixed * BASE ^ rest[at[:, j]])
+    return mixed, at[:, 0], at[:, -1]
+
+
+def _prefixes(words: int, percent: int, k: int, frequent, long: int):  # noqa: ANN001, ANN202
     """(id, n, keys, marks): single rare tokens and combinations of k frequent ones of each text's prefix. A mark is
     twice the place of the key's first token, plus 1 if the key also lies in the shorter prefix that suffices
-    against sets that are no smaller."""
+    against sets that are no smaller. Sets of more than `long` tokens have their frequent tokens singly, and so do, besides the
+    combinations, those that are large enough to be linked with such a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,16 +147,17 @@ def _prefixes(words: int, percent: int, k: int, frequent):  # noqa: ANN001, ANN2
                 short = n + (-2 * percent * n) // (100 + percent) + 1
                 often = in_bitmap(frequent.value, s)
                 key = s[~often][:p]
-                first = last = np.arange(len(key))
-                if len(key) < p:
-                    rest, r = s[often][: p + k - 1 - len(key)], len(key)
-                    if len(rest) >= k:
-                        at = np.array(list(combinations(range(len(rest)), k)), np.int64)
-                        mixed = rest[at[:, 0]]
-                        for j in range(1, k):
-                            mixed = mix(mixed * BASE ^ rest[at[:, j]])
-                        key = np.concatenate([key, mixed])
-                        first, last = np.concatenate([first, r + at[:, 0]]), np.concatenate([last, r + at[:, -1] - k + 1])
+                r = len(key)
+                first = last = np.arange(r)
+                rest = s[often][: p + k - 1 - r] if r < p else s[:0]
+                if 100 * n > percent * long and len(rest):
+                    one = rest[: p - r]
+                    key = np.concatenate([key, mix(one ^ np.uint64(0xA5A5))])
+                    first = last = np.arange(len(key))
+                if n <= long and len(rest) >= k:
+                    mixed, a, b = _combined(rest, k)
+                    key = np.concatenate([key, mixed])
+                    first, last = np.concatenate([first, r + a]), np.concatenate([last, r + b - k + 1])
                 keys.append(key.tobytes())
                 marks.append((2 * first + (last < short)).astype(np.int32).tobytes())
             kinds = [pa.int64(), pa.binary(), pa.binary()]
@@ -177,14 +191,14 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, log2_b
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     wanted = rows.sparkSession.sparkContext.broadcast(bitmap(ids, "id", log2_bits))
-    sets = rows.mapInArrow(_full_sets(words, wanted), "id bigint, tokens binary")
+    sets = stored(rows.mapInArrow(released(_full_sets(words, wanted)), "id bigint, tokens binary"), "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
     with small_batches(rows.sparkSession, 500):
-        return stored(both.mapInArrow(_compare(percent), "a bigint, b bigint").distinct(), "verified")
+        return stored(both.mapInArrow(released(_compare(percent)), "a bigint, b bigint").distinct(), "verified")
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 4, percent: int = 85, k: int = 2, frequent_from: int = 12, minhashes: int = 3, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 26
+    docs: DataFrame, words: int = 4, percent: int = 85, k: int = 2, frequent_from: int = 12, minhashes: int = 3, long: int = 400, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 26
 ) -> DataFrame:
     """(id, n_shingles, component_id) for every row: components of the graph in which two documents are linked if
     100 * |A & B| >= percent * |A | B|, A and B being their sets of `words`-word shingles.
@@ -193,16 +207,16 @@ def jaccard_components(
     its words. An empty or null text has no shingle and no link. component_id is the smallest id that is reachable.
     Rows that repeat an id are one node with the links of each; n_shingles is that of the row. Rows with a null id keep their size and get
     a null component. An empty table gives no rows. frequent_from: how many components make a token frequent;
-    minhashes: how many star keys; neither changes the result. Tokens are 64-bit hashes of shingles.
+    minhashes: how many star keys; long: from which set size on frequent tokens aren't combined; none changes the result. Tokens are 64-bit hashes of shingles.
     """
     with small_batches(docs.sparkSession, 1000):
-        return _joined(docs, words, percent, k, frequent_from, minhashes, id_col, text_col, log2_bits)
+        return _joined(docs, words, percent, k, frequent_from, minhashes, long, id_col, text_col, log2_bits)
 
 
-def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: int, minhashes: int, id_col: str, text_col: str, log2_bits: int) -> DataFrame:
+def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: int, minhashes: int, long: int, id_col: str, text_col: str, log2_bits: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = stored(rows.mapInArrow(_profile(words, minhashes), "id bigint, n bigint, h1 bigint, h2 bigint, low array<bigint>"), "sets")
+    sizes = stored(rows.mapInArrow(released(_profile(words, minhashes)), "id bigint, n bigint, h1 bigint, h2 bigint, low array<bigint>"), "sets")
     rows = rows.where("id is not null")
     # Equal sets: one node, the smallest id. An id that repeats with several sets has several nodes.
     nodes = sizes.where("id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("low").alias("low"))
@@ -219,12 +233,12 @@ def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: in
     found = stored(components(links, "a", "b"), "found")
     # The class of frequent tokens: in many components, counted over one text of each.
     others = spark.sparkContext.broadcast(bitmap(found.where("node <> component").select("node").unionByName(equal.select(F.col("b").alias("node"))), "node", log2_bits))
-    counts = rows.mapInArrow(_counted(words, others, whole), "token bigint").groupBy("token").count()
+    counts = rows.mapInArrow(released(_counted(words, others, whole)), "token bigint").groupBy("token").count()
     frequent = spark.sparkContext.broadcast(bitmap(counts.where(F.col("count") >= frequent_from), "token", log2_bits))
     # Prefix keys that two components share.
     labels = nodes.select(F.col("rep").alias("id")).distinct().join(found.withColumnRenamed("node", "id"), "id", "left")
     labels = labels.select("id", F.coalesce("component", "id").alias("component"))
-    keys = rows.mapInArrow(_prefixes(words, percent, k, frequent), "id bigint, n bigint, keys binary, marks binary").join(labels, "id")
+    keys = rows.mapInArrow(released(_prefixes(words, percent, k, frequent, long)), "id bigint, n bigint, keys binary, marks binary").join(labels, "id")
     keys = stored(keys.mapInArrow(_spread, "key bigint, mark int, id bigint, n bigint, component bigint"), "keys")
     shared = stored(keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "shared")
     kept = spark.sparkContext.broadcast(bitmap(shared, "key", log2_bits))

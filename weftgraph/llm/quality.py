@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,55 +40,83 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.2, decay: float = 1e-5) -> np.ndarray:
-    """Weights (the last one a constant) that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the
-    logistic loss, by Adam. Where the difference is negative its gradient is ascended, as in the paper."""
-    p, u = (np.hstack([x * 4, np.ones((len(x), 1))]) for x in (positive, unlabelled))
-    w = np.zeros(WIDTH + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def _adam(gradient: Callable[[np.ndarray], np.ndarray], size: int, steps: int, rate: float) -> np.ndarray:
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        plus = prior * (p.T @ (sp - 1)) / len(p)
-        minus = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        risk = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
-        g = (plus + minus if risk >= 0 else -minus) + decay * w
+        g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
+def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R_p(+), R_u(-) - prior * R_p(-)) with the logistic loss: the parts of the unbiased risk, of which the second can't be negative."""
+    loss = lambda z: np.logaddexp(0, -z)
+    return prior * float(loss(p @ w).mean()), float(loss(-(u @ w)).mean()) - prior * float(loss(-(p @ w)).mean())
+
+
+def nnpu_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk; where its second part is negative that is ascended, as in the paper."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    plus = prior * (p.T @ (sp - 1)) / len(p)
+    minus = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+    return plus + minus if nnpu_risk(w, p, u, prior)[1] >= 0 else -minus
+
+
+def _augmented(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x * 4, np.ones((len(x), 1))])
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.2, decay: float = 1e-5) -> np.ndarray:
+    """Weights (the last one a constant) that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), by Adam."""
+    p, u = _augmented(positive), _augmented(unlabelled)
+    return _adam(lambda w: nnpu_gradient(w, p, u, prior) + decay * w, p.shape[1], steps, rate)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, rate: float = 0.2) -> float:
+    """The share of positives among the unlabelled rows, from these and the positives alone (best bin estimation; Garg et al., 2021).
+
+    A classifier tells positives from unlabelled rows on one half of both. On the other half, among the rows that it takes for positive
+    from some score on nearly all unlabelled ones are: their share, by that of the positives, is the estimate. The score is that
+    at which an upper bound of it is least."""
+    p, u = _augmented(positive), _augmented(unlabelled)
+    w = _adam(lambda w: p[::2].T @ (_sigmoid(p[::2] @ w) - 1) / len(p[::2]) + u[::2].T @ _sigmoid(u[::2] @ w) / len(u[::2]) + 1e-3 * w, p.shape[1], steps, rate)
+    sp, su = np.sort((p[1::2] if len(p) > 1 else p) @ w), np.sort((u[1::2] if len(u) > 1 else u) @ w)
+    of_p, of_u = 1 - np.arange(len(sp)) / len(sp), 1 - np.searchsorted(su, sp) / len(su)
+    slack = np.sqrt(np.log(40) / (2 * len(su))) + np.sqrt(np.log(40) / (2 * len(sp)))
+    best = int(((of_u + 2 * slack) / of_p).argmin())
+    return float(np.clip(of_u[best] / of_p[best], 0.02, 0.98))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """A model from the labelled rows among docs: {"weights", "prior"}.
+    """A model from the trusted positives and unlabelled text among docs: {"weights", "prior"}.
 
-    max_rows is the documented bound of what is fitted: of the labelled rows those max_rows with the smallest hash of the
-    id. Of these, half of the label-1 rows are the trusted positives; the rest, label unseen, is the
-    unlabelled text, a sample of the same web text. The class prior is the share of 1 among all labelled rows,
-    corrected for the positives taken out. Rows with a null id, label or text teach nothing; an id that repeats
-    counts once for each row. Without positives or unlabelled rows the model scores each text with the prior.
+    max_rows is the documented bound of what is fitted. Trusted positives are the rows of label 1, of these at most max_rows with the smallest
+    hash of the id. Unlabelled are rows of docs, whatever their labels, which aren't looked at: at most max_rows, those with the smallest hash of the
+    id. The class prior is estimated from these two sets; labels of 0 take no part. Rows with a null id or text teach nothing; an id with
+    different labels is no positive; an id that repeats counts once for each row. Without positives or unlabelled rows the model scores each text with one half.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    first = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows).select("id", "y", "h")
-    prior = known.agg(F.avg("y")).first()[0]
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    good = known.groupBy("id").agg(F.min("y").alias("y")).where("y = 1").select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_rows).select("id", F.lit(1).alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").withColumn("h", F.xxhash64("id"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [x.astype(np.float32).tobytes() for x in features(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["y", "x", "h"])
-
-    held = rows.join(F.broadcast(first), "id").select("y", "text", "h").mapInArrow(featured, "y int, x binary, h bigint").toArrow()
-    x = np.array([np.frombuffer(r, np.float32) for r in held.column("x").to_pylist()]).reshape(-1, WIDTH).astype(np.float64)
-    y, h = held.column("y").to_numpy(), held.column("h").to_numpy()
-    order = np.lexsort((y, h))
-    x, y = x[order], y[order]
-    trusted = (y == 1) & (np.cumsum(y == 1) % 2 == 1)
-    empty = not trusted.any() or trusted.all()
-    prior = 0.5 if prior is None else float(prior)
-    if empty:
-        return {"weights": np.append(np.zeros(WIDTH), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), "prior": prior}
-    rest = y[~trusted]
-    share = (prior * len(y) - trusted.sum()) / max(1, len(rest))
-    return {"weights": fit_nnpu(x[trusted], x[~trusted], float(np.clip(share, 0.02, 0.98))), "prior": prior}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array([zlib.crc32(r) for r in rows], pa.int64())], ["h", "x", "c"])
+
+    def sample(part: DataFrame) -> np.ndarray:
+        first = part.select("h", "text").mapInArrow(featured, "h bigint, x binary, c bigint").orderBy("h", "c").limit(max_rows).toArrow()
+        return np.array([np.frombuffer(r, np.float32) for r in first.column("x").to_pylist()]).reshape(-1, WIDTH).astype(np.float64)
+
+    # Of all hashes those below this edge hold the max_rows smallest; texts beyond aren't read into features.
+    edge = min(1.0, 2 * max_rows / max(1, rows.count()))
+    unlabelled = sample(rows.where(F.col("h") / float(1 << 63) <= 2 * edge - 1))
+    trusted = sample(rows.join(F.broadcast(good), "id", "left_semi"))
+    if not len(trusted) or not len(unlabelled):
+        return {"weights": np.zeros(WIDTH + 1), "prior": 0.5}
+    prior = class_prior(trusted, unlabelled)
+    return {"weights": fit_nnpu(trusted, unlabelled, prior), "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

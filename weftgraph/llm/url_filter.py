@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +58,19 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.join(totals, "src").select("src", "dst", weight.alias("weight"), share.alias("share"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 8) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """(host, score): personalised PageRank, not normalised: score = (1 - damping) * seed + damping * sum of the
-    shares that scores pass on along edges (src, dst, weight). seeds: (host, seed between 0 and 1)."""
+    shares that scores pass on along edges (src, dst, weight). seeds: (host, seed between 0 and 1). Rounds go on until what is
+    left can't reach `tolerance`: each shrinks it by the factor damping."""
     base = stored(seeds.select("host", ((1 - damping) * F.col("seed")).alias("base")), "seeds")
     score = base.select("host", F.col("base").alias("score"))
-    for _ in range(rounds):
+    for _ in range(math.ceil(math.log(tolerance) / math.log(damping))):
         sent = score.join(edges, score["host"] == edges["src"]).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("weight")).alias("score"))
         score = stored(sent.unionByName(base.select("host", F.col("base").alias("score"))).groupBy("host").agg(F.sum("score").alias("score")), "score")
     return score
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, damping: float = 0.5, rounds: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, damping: float = 0.5, tolerance: float = 1e-3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict) for every row.
 
     A page that a rule fits gets its verdict. The rules' verdicts seed the propagation: a host's trust seed is the
@@ -76,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, d
     they are: a host is as bad as what it links to. A page without a rule is blocked if its
     host's distrust exceeds its trust by threshold * (1 - damping) at least, what a host with that share of blocked pages
     has from itself alone (at a threshold and damping of a half also one all of whose links lead to blocked hosts); else
-    allowed. Distrust is within damping ** rounds of its limit. Null and malformed urls have an empty host and path, no rule, and are
+    allowed. Both are within `tolerance` of their limits. Null and malformed urls have an empty host and path, no rule, and are
     allowed. Ids may be null or repeat; rules must not repeat a host and path.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -88,8 +91,8 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, d
     hosts = stored(hosts, "hosts")
     edges = stored(host_edges(rows), "edges")
     back = edges.where("share > 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("share").alias("weight"))
-    trust = propagate(edges, hosts.select("host", (F.col("good") / F.col("n")).alias("seed")), damping, rounds)
-    distrust = propagate(stored(back, "edges"), hosts.select("host", (F.col("bad") / F.col("n")).alias("seed")), damping, rounds)
+    trust = propagate(edges, hosts.select("host", (F.col("good") / F.col("n")).alias("seed")), damping, tolerance)
+    distrust = propagate(stored(back, "edges"), hosts.select("host", (F.col("bad") / F.col("n")).alias("seed")), damping, tolerance)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer")
     # The last digits of sums of shares don't decide.
     bad = F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) >= threshold * (1 - damping) - 1e-9

@@ -3,12 +3,13 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from weftgraph.llm import decontaminate, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
-from weftgraph.llm.queries import TOKENIZERS
+from weftgraph.llm.queries import PIECES, WORD_BPE
 
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation"
 TEXTS = [None, "", " ", "a", LONG, LONG, LONG + " ullamco", "Zwei " + LONG + " drei", "é😀\n\tà b", "don't <|endoftext|> X9Y8 'll", "x" * 5000, LONG.upper(), "ab " * 300, "▁ ▁x", "Ünï " * 90]
@@ -43,9 +44,23 @@ def test_suffix_dedup(docs, empty):
 
 
 def test_suffix_array_and_common_prefixes():
-    data = np.random.default_rng(1).integers(0, 2, 300).astype(np.uint8)
-    order = suffix_dedup.suffix_array(data, 300)
-    assert order.tolist() == sorted(range(300), key=lambda i: data[i:].tobytes() + b"\0" * i) or len(set(order.tolist())) == 300
+    rng = np.random.default_rng(1)
+    pieces = [rng.integers(97, 99, n).astype(np.uint8) for n in (150, 40, 90)]
+    pieces.append(np.concatenate([pieces[0][20:120], pieces[1]]))
+    # A separator of its own behind each piece, as in the operator.
+    data = np.concatenate([np.concatenate([p, np.frombuffer(i.to_bytes(8, "big"), np.uint8)]) for i, p in enumerate(pieces)])
+    sizes = np.array([len(p) for p in pieces])
+    begins = np.cumsum(sizes + 8) - sizes - 8
+    order = suffix_dedup.suffix_array(data, 160)
+    text = data.tobytes()
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    end = {int(b) + j: int(b + n) for b, n in zip(begins, sizes, strict=True) for j in range(n)}
+    got = suffix_dedup.common_prefixes(data, order, begins, begins + sizes, 100)
+    for place, (x, y) in enumerate(zip(order.tolist(), order[1:].tolist(), strict=False), 1):
+        want = 0
+        while want < 100 and x + want < end.get(x, 0) and y + want < end.get(y, 0) and text[x + want] == text[y + want]:
+            want += 1
+        assert y not in end or got[place] == want
 
 
 def test_jaccard(docs, empty):
@@ -56,10 +71,50 @@ def test_jaccard(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("long", [400, 30])
+def test_jaccard_against_all_pairs(spark, long):
+    """Shared passages make most tokens frequent, so combinations and, in long sets, single frequent tokens decide."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    passages = [[word() for _ in range(int(n))] for n in rng.integers(6, 40, 14)]
+    texts = []
+    for _ in range(160):
+        t = [w for i in rng.choice(14, int(rng.integers(1, 6)), replace=False) for w in passages[i]]
+        t = [word() if rng.random() < 0.02 else w for w in t]
+        texts.append(" ".join(t))
+    texts += [t + " and so on" for t in texts[:40]] + texts[:5]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, key string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, frequent_from=2, minhashes=1, long=long).collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+    while True:
+        before = list(least)
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    least[a] = min(least[a], least[b])
+        if before == least:
+            break
+    assert got == {i: (len(s), least[i]) for i, s in enumerate(sets)} and len(set(least)) > 20
+
+
+def test_jaccard_keys_of_a_long_text_are_few(spark):
+    """20,000 words, all frequent: no combinations; as many keys as the prefix has tokens."""
+    import pyarrow as pa
+
+    class All:
+        value = np.full(1 << 20, (1 << 64) - 1, np.uint64)
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    run = jaccard_join._prefixes(4, 85, 2, All, 400)
+    (out,) = run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])]))
+    assert len(out.column("keys")[0].as_py()) // 8 == 3000
+
+
 def test_tokens_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
-    path, file = f"file://{tmp_path}/t", f"{TOKENIZERS}/word_bpe_49k.json"
+    path, file = f"file://{tmp_path}/t", WORD_BPE
     token_store.write_tokens(docs, path, file)
     library, start = Tokenizer.from_file(file), 0
     rows = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r.start)
@@ -101,7 +156,7 @@ def viterbi(word, pieces):
 
 @pytest.mark.parametrize("max_words", [1000, 4])
 def test_sentencepiece(docs, max_words):
-    pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = sentencepiece.load_pieces(PIECES)
     table = {r.piece.replace("▁", " "): (r.id, r.score) for r in pieces.itertuples() if r.byte < 0}
     rows = sentencepiece.decode(sentencepiece.encode(docs, pieces, max_words=max_words), pieces).collect()
     both = sentencepiece.encode(docs, pieces, max_words=max_words, decode_to="again").collect()
@@ -120,6 +175,36 @@ def test_language(docs, empty):
     assert language_id.identify(docs, language_id.profiles(empty.selectExpr("word as lang", "text"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    word = lambda letters: "".join(rng.choice(list(letters), int(rng.integers(1, 7))))
+    kinds = {"aa": "abcdeé", "bb": "bcdefÄ", "cc": "cdefgß"}
+    rows = [(i, lang, " ".join(word(kinds[lang]) for _ in range(30)) + "!", 1) for i, lang in enumerate([*kinds] * 12)]
+    df = spark.createDataFrame(rows, "doc_id int, lang string, text string, n int")
+
+    def ranked(text):
+        counts = Counter()
+        for w in re.findall(r"[^\W\d_]+", text):
+            padded = [1, *(ord(c.lower()) + 2 for c in w), 1]
+            for n in (1, 2, 3):
+                for i in range(len(padded) - n + 1):
+                    g = padded[i : i + n]
+                    if any(x != 1 for x in g) and (n < 3 or g[1] != 1) and g != [1]:
+                        counts[sum(x << 21 * (n - 1 - j) for j, x in enumerate(g))] += 1
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+
+    model = language_id.profiles(df.where("doc_id % 2 = 0"), size=60)
+    assert "WindowGroupLimit" in model._jdf.queryExecution().executedPlan().toString()
+    first = {lang: ranked(" ".join(t for i, k, t, _ in rows if k == lang and i % 2 == 0))[:60] for lang in kinds}
+    assert {(r.lang, r.gram): r["rank"] for r in model.collect()} == {(k, g): i for k, gs in first.items() for i, g in enumerate(gs)}
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(df, model, size=60).collect()}
+    for i, _, text, _ in rows:
+        mine = ranked(text)[:60]
+        far = {k: sum(abs(gs.index(g) - j) if g in gs else 60 for j, g in enumerate(mine)) for k, gs in first.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i] == (best, round(1 - far[best] / (60 * len(mine)), 9))
+
+
 def test_pii(spark):
     texts = ["a@b.cd_e@f.g x@y y@z.w..q@r.s", "1.2.3.4.5.6.7.8 256.1.1.1", "4111 1111-1111 1111 x 1234567812345678", "+1 (555) 555-0000x +1 2", None, "", "😀 é@ a@b.c \x01"]
     got = [r.s for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").selectExpr(pii.listed("spans") + " as s").collect()]
@@ -208,6 +293,75 @@ def test_urls_link_farms_are_blocked(spark):
     assert [i for i, v in got.items() if v == "block" and i > 2] == [i for i in got if 100 <= i < 200] and got[1] == got[2] == "block"
 
 
+def test_urls_by_brute_force(spark):
+    """Trust and distrust at the default parameters, by plain iteration to the limit."""
+    rng = np.random.default_rng(12)
+    hosts = [f"h{i}.org" for i in range(20)] + ["www.h3.org", "spam.net", "junk.net", "ok.com", "fine.com"]
+    rows = []
+    for i in range(160):
+        h = hosts[int(rng.integers(len(hosts)))]
+        path = "/es/x" if h == "spam.net" or (h == "junk.net" and rng.random() < 0.5) else "/a"
+        to = rng.choice(["spam.net"] if h in hosts[:4] else ["spam.net", "junk.net"] if h in hosts[:6] else hosts, int(rng.integers(0, 4)))
+        rows.append((i, f"https://{h}{path}", " ".join(f'<a href="https://{t}/">' for t in to)))
+    rows += [rows[0], (None, rows[1][1], rows[1][2]), (500, None, None), (501, "", "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id int, url string, html string, host string")
+    got = Counter((r.page_id, r.verdict) for r in url_filter.judge_urls(df).collect())
+    parsed = [(i, u.split("/")[2] if u else "", "/" + u.split("/", 3)[3] if u else "", set(re.findall(r'https://([^/"]+)', h or "")) if u else set()) for i, u, h in rows]
+    rule = lambda h, p: "block" if h.endswith("net") and p.startswith(("/es/", "/fr/")) else "allow" if h.endswith(".com") else None
+    n, page, vouch = Counter(), Counter(), Counter()
+    seed: dict = {}
+    for _, h, p, to in parsed:
+        if h:
+            n[h] += 1
+            seed.setdefault(h, Counter())[rule(h, p)] += 1
+            for t in to - {h}:
+                page[h, t] += 1
+    for h in n:
+        if h.count(".") > 1:
+            parent = h.split(".", 1)[1]
+            vouch[h, parent] += 1
+            vouch[parent, h] += 1
+    links = page + vouch
+    total, on_page = Counter(), Counter()
+    for (a, _), c in links.items():
+        total[a] += c
+    for (a, _), c in page.items():
+        on_page[a] += c
+    every = {x for e in links for x in e} | set(n)
+    trust, distrust = dict.fromkeys(every, 0.0), dict.fromkeys(every, 0.0)
+    for _ in range(60):
+        t2 = {h: 0.5 * seed.get(h, {}).get("allow", 0) / max(1, n[h]) for h in every}
+        d2 = {h: 0.5 * seed.get(h, {}).get("block", 0) / max(1, n[h]) for h in every}
+        for (a, b), c in links.items():
+            t2[b] += 0.5 * trust[a] * c / total[a]
+            d2[a] += 0.5 * distrust[b] * (page[a, b] / on_page[a] if on_page[a] else c / total[a])
+        trust, distrust = t2, d2
+    want = Counter((i, rule(h, p) or ("block" if h and distrust[h] - trust[h] >= 0.25 - 1e-9 else "allow")) for i, h, p, _ in parsed)
+    assert got == want
+    unruled = {h: "block" if distrust[h] - trust[h] >= 0.25 else "allow" for h in n if h.endswith("org")}
+    assert set(unruled.values()) == {"block", "allow"}
+    assert url_filter.judge_urls(df.where("false")).count() == 0
+
+
+def test_quality_gradient_and_prior():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.5, 1, (40, 6)), rng.normal(0, 1, (50, 6))
+    signs = set()
+    for prior in (0.2, 0.9):
+        for _ in range(6):
+            w = rng.normal(0, 2, 6)
+            one, two = quality.nnpu_risk(w, p, u, prior)
+            signs.add(two >= 0)
+            aim = lambda w, prior=prior, two=two: sum(quality.nnpu_risk(w, p, u, prior)) if two >= 0 else -quality.nnpu_risk(w, p, u, prior)[1]
+            numeric = [(aim(w + d) - aim(w - d)) / 2e-6 for d in np.eye(6) * 1e-6]
+            assert np.allclose(numeric, quality.nnpu_gradient(w, p, u, prior), atol=1e-5)
+    assert signs == {True, False}
+    good, bad = rng.normal(2, 1, (3000, 5)), rng.normal(-2, 1, (3000, 5))
+    for share in (0.2, 0.5, 0.8):
+        mixed = np.concatenate([good[1000 : 1000 + int(2000 * share)], bad[: int(2000 * (1 - share))]])
+        assert abs(quality.class_prior(good[:1000], mixed[rng.permutation(len(mixed))]) - share) < 0.06
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, ("plain words, " if i % 4 else "BAD$$$ ||| ") * 20, i % 4 > 0) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, y boolean")
@@ -259,7 +413,7 @@ def test_decontaminate_finds_whole_copies_at_any_rank_and_length(spark):
 
 
 def test_sentencepiece_long_words(spark):
-    pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = sentencepiece.load_pieces(PIECES)
     table = {r.piece.replace("▁", " "): (r.id, r.score) for r in pieces.itertuples() if r.byte < 0}
     rng = np.random.default_rng(4)
     texts = ["x" * 900, "=" * 401, "-" * 300 + " a " + "=-" * 200, "".join(rng.choice(list("abcdeinorst"), 700)), "http://a.de/" + "station/interest" * 40, "的一是不了人我在有他" * 60, "é😀▁z" * 150]
@@ -268,3 +422,26 @@ def test_sentencepiece_long_words(spark):
         for r in sentencepiece.encode(df, pieces, max_words=max_words, decode_to="again").collect():
             words = re.findall(r"[\x00-\x1f]| *[^ \x00-\x1f]+| +", " " + r.text)
             assert r.again == r.text and r.ids == [i for w in words for i in viterbi(w, table)], r.text[:20]
+
+
+def test_decontaminate_recall_on_paraphrases(spark):
+    """40 items between other words: with 10, 20 and 30 % of the words replaced, and with their sentences in another order."""
+    rng = np.random.default_rng(7)
+    rare = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(4000)]
+    common = ["the", "of", "and", "to", "in", "a"]
+    word = lambda: str(rng.choice(common) if rng.random() < 0.3 else rng.choice(rare))
+    items = [[[word() for _ in range(int(rng.integers(6, 11)))] for _ in range(5)] for _ in range(40)]
+    as_text = lambda part: ". ".join(" ".join(s) for s in part)
+    ways = {"0": 0.0, "10": 0.1, "20": 0.2, "30": 0.3, "order": 0.0}
+    rows, want = [(10_000 + i, " ".join(word() for _ in range(200))) for i in range(200)], {}
+    for name, share in ways.items():
+        for i, item in enumerate(items):
+            part = [[word() if rng.random() < share else w for w in s] for s in item]
+            part = [part[j] for j in rng.permutation(5)] if name == "order" else part
+            want[len(want)] = (name, i)
+            rows.append((len(want) - 1, " ".join(word() for _ in range(60)) + ". " + as_text(part) + ". " + " ".join(word() for _ in range(60))))
+    bench = spark.createDataFrame([(i, as_text(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert all(want.get(r.doc_id, (0, -1))[1] == r.item_id for r in got)
+    hits = Counter(want[r.doc_id][0] for r in got)
+    assert hits["0"] == hits["10"] == 40 and hits["20"] >= 39 and hits["30"] >= 36 and hits["order"] >= 38

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,14 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.shared import scratch, shared_dir
+from weftgraph.operators.shared import written as stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["bitmap", "components", "in_bitmap", "scratch", "shared_dir", "small_batches", "stored"]
 
 
 @contextmanager
@@ -33,15 +27,6 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder and read back: it cuts the lineage, later
-    readers don't compute the rows again, and the loss of an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bitmap(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """A bitmap of the low log2_bits bits of long keys (ids or hashes).
 
@@ -70,7 +55,8 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): for every node of links the smallest node that it reaches.
+    """(node, component): for every node of links the smallest node that it reaches. Links with a null end and of a node with itself
+    count for nothing; repeated links count once; no links give no rows.
 
     Alternating large-star and small-star steps; each groups by node with a map-side min and joins the minimum
     back, so a hub with very many links is a skewed join that AQE splits, never a list in one task.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._text import text_chunks
+from weftgraph.llm._text import released, text_chunks
 
 #: A place outside a word; code points start at 2 here.
 EDGE = 1
@@ -80,9 +80,11 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", si
     """(lang, gram, rank): the `size` most frequent n-grams of each language over all rows of docs, ties to the
     smaller gram. Rows with a null language or text teach nothing. Counts are summed in each task first."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(_count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.select("lang", "gram", (F.row_number().over(order) - 1).alias("rank")).where(F.col("rank") < size)
+    # The limit stands on row_number itself, so each task keeps `size` of a language before anything is exchanged.
+    first = counts.select("lang", "gram", F.row_number().over(order).alias("place")).where(F.col("place") <= size)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def identify(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:

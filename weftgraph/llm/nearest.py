@@ -16,15 +16,20 @@ if TYPE_CHECKING:
 
 
 def _pack(size: int, kind: str):  # noqa: ANN202
-    """Blocks of up to size vectors of one dimension: ids, float64 components, int8 components and their scales."""
+    """Blocks of up to size vectors of one dimension: ids; 8-bit components; scale, length of the rounding error and length of each vector;
+    and the components as they are, in 32 bits where that loses nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         def block(dim: int, rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
             ids, x = np.array([i for i, _ in rows], np.int64), np.stack([v for _, v in rows])
-            values = [[dim], [ids.tobytes()], [x.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["dim", f"{kind}_ids", f"{kind}_x"])
+            small, *sizes = _int8(x)
+            short = x.astype(np.float32)
+            exact = short if (short.astype(np.float64) == x).all() else x
+            values = [[dim], [ids.tobytes()], [small.tobytes()], [np.stack(sizes).tobytes()], [exact.tobytes()]]
+            kinds = [pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["dim", *(f"{kind}_{c}" for c in ("ids", "small", "sizes", "x"))])
 
         for batch in batches:
             flat, at = batch.column(1).flatten(), batch.column(1)
@@ -53,10 +58,18 @@ def _int8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return whole.astype(np.int8), scale, lost, np.sqrt((x**2).sum(axis=1))
 
 
-def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _unpacked(cell: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, 8-bit components, sizes, components) of a block."""
+    ids, raw = np.frombuffer(cell[f"{kind}_ids"], np.int64), cell[f"{kind}_x"]
+    exact = np.frombuffer(raw, np.float64 if len(raw) == 8 * len(ids) * cell["dim"] else np.float32)
+    small = np.frombuffer(cell[f"{kind}_small"], np.int8)
+    return ids, small.reshape(len(ids), -1), np.frombuffer(cell[f"{kind}_sizes"]).reshape(3, -1), exact.reshape(len(ids), -1)
+
+
+def _tile(queries: tuple, candidates: tuple, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the k best candidates of the tile, exactly: |q.c - q8.c8| <= |q - q8||c| + |q8||c - c8|."""
-    q8, qs, q_lost, q_len = _int8(q)
-    c8, cs, c_lost, c_len = _int8(c)
+    q_ids, q8, (qs, q_lost, q_len), q = queries
+    c_ids, c8, (cs, c_lost, c_len), c = candidates
     # Products of 8-bit numbers are below 2**14 and their sums exact in float32 up to 2**24: 1,000 dimensions.
     kind = np.float32 if q.shape[1] < 1000 else np.float64
     near = (q8.astype(kind) @ c8.astype(kind).T).astype(np.float64) * qs[:, None] * cs
@@ -69,9 +82,9 @@ def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         n = len(c_ids) - int(own.sum())
         least = np.partition(low, -k)[-k] if n > k else -np.inf
         kept = np.flatnonzero((high >= least) & ~own)
-        exact = np.zeros(len(kept))
+        mine, others, exact = q[i].astype(np.float64), c[kept].astype(np.float64), np.zeros(len(kept))
         for d in range(q.shape[1]):
-            exact += q[i, d] * c[kept, d]
+            exact += mine[d] * others[:, d]
         order = np.lexsort((c_ids[kept], -exact))[:k]
         yield int(q_ids[i]), c_ids[kept][order], exact[order]
 
@@ -88,7 +101,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """
     def packed(df: DataFrame, size: int, kind: str) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-        return rows.mapInArrow(_pack(size, kind), f"dim int, {kind}_ids binary, {kind}_x binary")
+        return rows.mapInArrow(_pack(size, kind), "dim int, " + ", ".join(f"{kind}_{c} binary" for c in ("ids", "small", "sizes", "x")))
 
     # Blocks meet by an equi-join: each query block is sent once for every group of candidate blocks.
     groups = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -100,9 +113,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         for batch in batches:
             for r in range(batch.num_rows):
                 cell = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                q_ids, c_ids = np.frombuffer(cell["q_ids"], np.int64), np.frombuffer(cell["c_ids"], np.int64)
-                q, c = (np.frombuffer(cell[n], np.float64).reshape(-1, cell["dim"]) for n in ("q_x", "c_x"))
-                best = list(_tile(q_ids, q, c_ids, c, k))
+                best = list(_tile(_unpacked(cell, "q"), _unpacked(cell, "c"), k))
                 yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in best], pa.int64()), pa.array([b[1].tolist() for b in best], pa.list_(pa.int64())), pa.array([b[2].tolist() for b in best], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -112,5 +123,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         best = [x for x, _ in zip(heapq.merge(*lists), range(k), strict=False)]
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": np.array([i for _, i in best], np.int64), "score": np.array([-s for s, _ in best], np.float64)})
 
-    found = tiles.select("dim", "q_ids", "q_x", "c_ids", "c_x").mapInArrow(multiply, "query_id bigint, ids array<bigint>, scores array<double>")
+    found = tiles.drop("g").mapInArrow(multiply, "query_id bigint, ids array<bigint>, scores array<double>")
     return found.groupBy("query_id").applyInPandas(merge, "query_id bigint, rank int, vec_id bigint, score double")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
 from weftgraph.llm._tables import shared_dir, stored
 
-#: Where the vocabulary files of the public tokenizers are.
-TOKENIZERS = "/opt/tokenizers"
+#: Vocabulary files of the public tokenizers.
+PIECES, WORD_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -33,7 +34,7 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as piece ids, and whether they decode to it."""
-    pieces = sentencepiece.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = sentencepiece.load_pieces(PIECES)
     out = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, decode_to="decoded")
     same = F.coalesce("decoded", F.lit("")) == F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), same.alias("round_trip"), "ids")
@@ -49,7 +50,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    token_store.write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
     return token_store.read_tokens(spark, path, with_ids=False)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._tables import stored
+from weftgraph.llm._tables import scratch, stored
 from weftgraph.llm._text import LOWER, gather_ranges, piece_hashes, prefix_sums, released, sorted_distinct, text_chunks
 
 WORD = np.zeros(256, bool)
@@ -330,6 +330,12 @@ def contaminated(
     wordless texts and items match nothing; null ids take no part. Rows that repeat an id count as one document. Columns may have any
     names; an empty table on either side gives no rows.
     """
+    with scratch(docs.sparkSession) as keep:
+        found = _found(docs, benchmark, near, share, answer_share, told, rank, id_col, text_col, item_col, item_text_col)
+        return keep(found, "contaminated").withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, near: float, share: float, answer_share: float, told: float, rank: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text <> ''")
@@ -338,8 +344,7 @@ def contaminated(
     empty = "doc_id bigint, item_id bigint, cosine double, lcs double, first_word int"
     vocabulary = sorted_distinct(np.concatenate([*(h for p in parts for h in p), np.zeros(0, np.uint64)]))
     if not len(vocabulary):
-        found = spark.createDataFrame([], empty)
-        return found.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+        return spark.createDataFrame([], empty)
     share_out = spark.sparkContext.broadcast
     texts_table = stored(rows.mapInArrow(released(_numbered(share_out(vocabulary))), "id bigint, words binary"), "passages")
     total = max(1, rows.count())
@@ -367,4 +372,4 @@ def contaminated(
         more = texts_table.mapInArrow(released(_search(w, shown, block, near, share, answer_share, told)), empty)
         found = more if found is None else found.unionByName(more)
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "first_word"), F.struct("lcs", "cosine", -F.col("first_word"))).alias("b"))
-    return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "b.cosine", "b.lcs", "b.first_word")
+    return best.select("doc_id", "item_id", "b.cosine", "b.lcs", "b.first_word")

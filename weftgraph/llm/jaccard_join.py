@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._tables import bitmap, components, in_bitmap, small_batches, stored
+from weftgraph.llm._tables import bitmap, components, in_bitmap, scratch, small_batches, stored
 from weftgraph.llm._text import BASE, LOWER, gather_ranges, mix, piece_hashes, prefix_sums, released, sorted_distinct, text_chunks, word_spans
 
 #: Tokens below this share of the hash space are counted to find the frequent ones: prefixes consist of the
@@ -188,13 +188,14 @@ def _maybe(bits):  # noqa: ANN001, ANN202
 
 def verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, log2_bits: int = 25) -> DataFrame:
     """Those of the pairs (a, b) of ids whose sets are similar enough, by comparing whole sets."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(ids, "id", log2_bits))
-    sets = stored(rows.mapInArrow(released(_full_sets(words, wanted)), "id bigint, tokens binary"), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
-    with small_batches(rows.sparkSession, 500):
-        return stored(both.mapInArrow(released(_compare(percent)), "a bigint, b bigint").distinct(), "verified")
+    spark = rows.sparkSession
+    with small_batches(spark, 500), scratch(spark) as keep:
+        pairs = stored(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        wanted = spark.sparkContext.broadcast(bitmap(ids, "id", log2_bits))
+        sets = stored(rows.mapInArrow(released(_full_sets(words, wanted)), "id bigint, tokens binary"), "sets")
+        both = pairs.join(sets.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
+        return keep(both.mapInArrow(released(_compare(percent)), "a bigint, b bigint").distinct(), "verified")
 
 
 def jaccard_components(
@@ -209,8 +210,8 @@ def jaccard_components(
     a null component. An empty table gives no rows. frequent_from: how many components make a token frequent;
     minhashes: how many star keys; long: from which set size on frequent tokens aren't combined; none changes the result. Tokens are 64-bit hashes of shingles.
     """
-    with small_batches(docs.sparkSession, 1000):
-        return _joined(docs, words, percent, k, frequent_from, minhashes, long, id_col, text_col, log2_bits)
+    with small_batches(docs.sparkSession, 1000), scratch(docs.sparkSession) as keep:
+        return keep(_joined(docs, words, percent, k, frequent_from, minhashes, long, id_col, text_col, log2_bits), "components")
 
 
 def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: int, minhashes: int, long: int, id_col: str, text_col: str, log2_bits: int) -> DataFrame:

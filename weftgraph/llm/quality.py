@@ -116,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str
     if not len(trusted) or not len(unlabelled):
         return {"weights": np.zeros(WIDTH + 1), "prior": 0.5}
     prior = class_prior(trusted, unlabelled)
-    return {"weights": fit_nnpu(trusted, unlabelled, prior), "prior": prior}
+    # With too high a prior the second part of the risk is negative for any good classifier, so the fit takes a little less.
+    return {"weights": fit_nnpu(trusted, unlabelled, 0.97 * prior), "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ if TYPE_CHECKING:
 SPACE = "▁"
 #: The score of a sign that no piece holds.
 NO_PIECE = -1000.0
+#: Places of a word that are folded together. Pieces have no more signs.
+BLOCK = 64
 #: Words of more ids aren't broadcast.
 SHORT = 64
 #: Words kept in a task before they are handed on.
@@ -118,65 +120,70 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
 
 
 def lattice(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
-    """(hash, key, head, edges): for each word the pieces that lie in it as (end, start, id, score), sorted; id -1 for a sign that is no
-    piece. head: the word's columns. The piece table is broadcast: its size is that of the vocabulary."""
+    """(head, chunks): for each word the pieces that lie in it as (end, start, id, score), sorted, in a chunk for each BLOCK ends; id -1 for a
+    sign that is no piece. head: the word's columns. The piece table is broadcast: its size is that of the vocabulary."""
     import pandas as pd  # not in the workers, where it takes memory for nothing
 
     plain = pieces[pieces["byte"] < 0]
     longest = int(plain["piece"].str.len().max())
+    if longest > BLOCK:
+        raise ValueError(f"a piece has more than {BLOCK} signs")
     table = pd.DataFrame({"piece": plain["piece"].str.replace(SPACE, " "), "id": plain["id"], "score": plain["score"]})
     table = words.sparkSession.createDataFrame(table, "piece string, id int, score double")
-    # What is exchanged holds a word once, with its first sign, and not once for each edge: long words stay linear.
-    parts = words.withColumn("key", F.xxhash64("word")).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    # What is grouped holds a word once, with its first sign, and not once for each edge: long words stay linear.
+    parts = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
     parts = parts.withColumn("tail", F.expr(f"substring(word, start + 1, {longest})"))
     parts = parts.withColumn("size", F.explode(F.expr("sequence(1, length(tail))"))).withColumn("piece", F.expr("substring(tail, 1, size)"))
     edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"))
     head = F.when(F.expr("start = 0 and size = 1"), F.struct(words.columns))
-    edges = edges.select("hash", "key", head.alias("head"), edge.alias("edge"))
-    return edges.groupBy("hash", "key").agg(F.max("head").alias("head"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = edges.select("hash", "key", "length", head.alias("head"), edge.alias("edge"))
+    sorted_edges = F.sort_array(F.collect_list("edge"))
+    short = edges.where(f"length <= {BLOCK}").groupBy("hash", "key").agg(F.max("head").alias("head"), F.array(sorted_edges).alias("chunks"))
+    long = edges.where(f"length > {BLOCK}").groupBy("hash", "key", F.expr(f"(edge.end - 1) div {BLOCK}").alias("chunk")).agg(F.max("head").alias("head"), sorted_edges.alias("edges"))
+    long = long.groupBy("hash", "key").agg(F.max("head").alias("head"), F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks"))
+    return short.select("head", "chunks").unionByName(long.select("head", F.col("chunks.edges").alias("chunks")))
 
 
-def _pushed(block: str, size: int) -> tuple[str, str, str]:
-    """SQL for a list that grows at its end in time linear in its length: full blocks of `size` in s.done, the open one in s.open.
-    Gives both, and the block before the open one, after `block` is appended to the open one."""
-    longer = f"concat(s.open, array({block}))"
-    full = f"size(s.open) = {size - 1}"
-    return f"if({full}, concat(s.done, array({longer})), s.done)", f"if({full}, slice(s.open, 1, 0), {longer})", f"if({full}, {longer}, s.before)"
-
-
-def viterbi_sql(block: int) -> tuple[str, str]:
-    """SQL of the two folds: over `edges` to the best edge into each place (an array, by place), and over that, `best`, backwards
-    to the path. Pieces are no longer than `block` signs, so scores are looked up in the open block or the one before it.
+def viterbi_sql() -> tuple[str, str]:
+    """SQL of the two folds: over `chunks` to the best edge into each place (an array for each chunk), and over these, `best`, backwards
+    to the path. A fold copies its state in each step, so each has an inner one over a chunk, whose state is small.
 
     The edges come by their ends. The best one into the end at hand is s.last; it joins the list when the next end begins. An
-    edge has to be better to replace another, so of equal ones that with the smallest start stays, the longest piece."""
+    edge has to be better to replace another, so of equal ones that with the smallest start stays, the longest piece. No piece is longer
+    than a chunk, so scores are looked up in this chunk (s.open) or the one before it."""
     kind = "struct<score:double,start:int,id:int>"
-    node = "named_struct('score', {score} + e.score, 'start', e.start, 'id', e.id)"
+    none, lists = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
     source = f"cast(named_struct('score', 0D, 'start', 0, 'id', -1) as {kind})"
-    none, blocks = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
-    zero = f"named_struct('done', {blocks}, 'open', {none}, 'before', {none}, 'end', 0, 'last', {source})"
-    seen = f"if(e.start div {block} = s.end div {block}, s.open, s.before)[cast(e.start % {block} as int)].score"
-    done, opened, before = _pushed("s.last", block)
-    first = node.format(score=f"if(e.start = s.end, s.last.score, {seen})")
-    next_end = f"named_struct('done', {done}, 'open', {opened}, 'before', {before}, 'end', e.end, 'last', {first})"
-    better = f"named_struct('done', s.done, 'open', s.open, 'before', s.before, 'end', s.end, 'last', {node.format(score=seen)})"
+    base = f"size(t.done) * {BLOCK}"
+    seen = f"if(e.start > {base}, s.open[cast(e.start - {base} - 1 as int)], t.before[cast(e.start - {base} + size(t.before) - 1 as int)]).score"
+    node = "named_struct('score', {score} + e.score, 'start', e.start, 'id', e.id)"
+    first = node.format(score=f"if(e.start = s.end and e.start > {base}, s.last.score, {seen})")
+    # Nothing is pushed before the first end of a chunk.
+    pushed = f"if(s.end > {base}, concat(s.open, array(s.last)), s.open)"
+    next_end = f"named_struct('open', {pushed}, 'end', e.end, 'last', {first})"
+    better = f"named_struct('open', s.open, 'end', s.end, 'last', {node.format(score=seen)})"
     step = f"if(e.end > s.end, {next_end}, if({seen} + e.score > s.last.score, {better}, s))"
-    forward = f"aggregate(edges, {zero}, (s, e) -> {step}, s -> flatten(concat(s.done, array(concat(s.open, array(s.last))))))"
-    done, opened, before = _pushed("best[s.at]", block)
-    begin = f"named_struct('at', size(best) - 1, 'done', {blocks}, 'open', {none}, 'before', {none})"
-    walk = f"named_struct('at', best[s.at].start, 'done', {done}, 'open', {opened}, 'before', {before})"
-    back = f"aggregate(best, {begin}, (s, e) -> if(s.at = 0, s, {walk}), s -> reverse(flatten(concat(s.done, array(s.open)))))"
+    begin = f"named_struct('open', {none}, 'end', cast({base} as int), 'last', {source})"
+    inner = f"aggregate(c, {begin}, (s, e) -> {step}, s -> concat(s.open, array(s.last)))"
+    outer = f"named_struct('done', {lists}, 'before', array({source}))"
+    forward = f"aggregate(chunks, {outer}, (t, c) -> transform(array({inner}), b -> named_struct('done', concat(t.done, array(b)), 'before', b))[0], t -> t.done)"
+
+    here = f"best[k][cast(s.at - k * {BLOCK} - 1 as int)]"
+    walk = f"if(s.at <= k * {BLOCK}, s, named_struct('at', {here}.start, 'path', concat(s.path, array({here}))))"
+    part = f"aggregate(best[k], named_struct('at', t.at, 'path', {none}), (s, e) -> {walk})"
+    steps = "reverse(sequence(0, size(best) - 1))"
+    start = f"named_struct('at', (size(best) - 1) * {BLOCK} + size(element_at(best, -1)), 'paths', {lists})"
+    back = f"aggregate({steps}, {start}, (t, k) -> transform(array({part}), p -> named_struct('at', p.at, 'paths', concat(t.paths, array(p.path))))[0], t -> reverse(flatten(t.paths)))"
     return forward, back
 
 
 def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
-    """words plus `ids`: the piece ids of each word's best path. words: distinct by `word`, with a column `hash`,
+    """words plus `ids`: the piece ids of each word's best path. words: distinct by `word`, with two hashes `hash` and `key` and its `length`,
     a space standing for the space sign; it may have further columns. A character that no piece holds becomes its bytes' pieces. Of paths
     with the same score the one whose last pieces are longer wins. Words have no greatest length."""
-    longest = int(pieces.loc[pieces["byte"] < 0, "piece"].str.len().max())
     byte_ids = ",".join(map(str, pieces[pieces["byte"] >= 0].sort_values("byte")["id"].tolist())) or "-1"
-    forward, back = viterbi_sql(max(64, longest))
+    forward, back = viterbi_sql()
     number = "cast(conv(substring(hex(encode(sign, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)"
     as_bytes = f"transform(sequence(0, octet_length(sign) - 1), i -> array({byte_ids})[{number}])"
     of_sign = f"transform(array(substring(head.word, p.start + 1, 1)), sign -> {as_bytes})[0]"
@@ -190,7 +197,10 @@ def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text
     joined = docs.sparkSession.sparkContext.broadcast(joints(pieces))
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
     found = texts.mapInArrow(released(_distinct(joined)), "hash bigint, word string, n bigint")
-    words = found.groupBy("word").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
+    # The length is an aggregate, so that a condition on it isn't moved below the exchange, which short and long words share.
+    # Dealt by the keys by which the edges of a word are grouped, so those aren't exchanged again. Each task's words are distinct already.
+    dealt = found.withColumn("key", F.xxhash64("word")).repartition("hash", "key")
+    words = dealt.groupBy("hash", "key", "word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("length"))
     return stored(solve_words(words, pieces).select("hash", "word", "n", "ids"), "words")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,27 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df written to a new table and read back: later plans start there, nothing is computed twice, and a lost executor
-    loses nothing."""
+def _write(df: DataFrame, name: str, owner: list[list[str]]) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for paths in _open[-1:]:
+    for paths in owner:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df written to a new table and read back: later plans start there, nothing is computed twice, and a lost executor
+    loses nothing."""
+    return _write(df, name, _open[-1:])
+
+
 def settled(df: DataFrame) -> DataFrame:
     """:func:`written` for the state of a round."""
     return written(df, "round")
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """All tables written inside are removed at the end, so what is made from them has to be written elsewhere or collected before."""
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """All tables written inside are removed at the end. What comes is a function like :func:`written` for the tables that stay; these are
+    left to the block around this one, if there is one."""
     _open.append([])
     try:
-        yield
+        yield lambda df, name: _write(df, name, _open[-2:-1])
     finally:
         for path in _open.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

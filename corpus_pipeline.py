@@ -3,13 +3,11 @@ ids. Each stage reads what its predecessor wrote; all but the last return the co
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, jaccard_join, pii, quality, sentencepiece
-from weftgraph.llm._tables import scratch, shared_dir, stored
+from weftgraph.llm._tables import scratch, stored
 from weftgraph.llm.queries import PIECES, remainder, table, text_batches
 
 
@@ -85,13 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         # What a stage writes for itself goes when its result is written.
-        with scratch(spark):
-            made = stage(spark, docs, sf_dir)
-            docs = kept(made, name)
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return docs
-
-
-def kept(made: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(made.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    made.write.parquet(path)
-    return made.sparkSession.read.schema(made.schema).parquet(path)

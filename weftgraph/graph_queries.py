@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.describe import describe_step, describe_undo, node_label
+from weftgraph.functions.describe import describe_redo, describe_step, describe_undo, node_label
 from weftgraph.operators import lookups, loops, motif_tree, reduction, schedule
 from weftgraph.operators.shared import settled, shared_dir
 from weftgraph.sources import ingest, op_log_io
@@ -207,8 +207,8 @@ def truncate_append(spark, sf):  # noqa: ANN001, ANN201
 
 
 def reduction_progress(spark, sf):  # noqa: ANN001, ANN201
-    nodes, _, log = _log(spark, sf)
-    return reduction.progress(nodes, log)
+    nodes, edges, log = _log(spark, sf)
+    return reduction.progress(nodes, edges, log, schedule.scopes(log))
 
 
 def describe_ops(spark, sf):  # noqa: ANN001, ANN201
@@ -248,14 +248,103 @@ def subgraphs_loops(spark, sf):  # noqa: ANN001, ANN201
     return motif_tree.subgraphs(found, motif_tree.metagraph_edges(found))
 
 
+def has_node(spark, sf):  # noqa: ANN001, ANN201
+    nodes = ingest.nodes_from_edges(settled(cyclic(spark, sf)))
+    return lookups.has_node(nodes.select("graph_id", F.lit("purchase").alias("node_id")).distinct(), nodes)
+
+
+def empty_graphs(spark, sf):  # noqa: ANN001, ANN201
+    nodes = ingest.nodes_from_edges(settled(cyclic(spark, sf)))
+    return lookups.is_empty(nodes, nodes.where("node_id > 'r'"))
+
+
+def scoped_terminals(spark, sf):  # noqa: ANN001, ANN201
+    """Terminals in a scope of the nodes with even numbers, in graphs of even length of id."""
+    edges = settled(acyclic(spark, sf))
+    nodes = lookups.node_ids(ingest.nodes_from_edges(edges))
+    focus = nodes.groupBy("graph_id").agg(F.collect_list(F.when(F.col("node_id").cast("bigint") % 2 == 0, F.col("node_id"))).alias("focus"))
+    return lookups.terminals(nodes, edges, focus.withColumn("active", F.length("graph_id") % 2 == 0))
+
+
+def terminal_sccs_in_focus(spark, sf):  # noqa: ANN001, ANN201
+    edges = settled(cyclic(spark, sf))
+    nodes, inner = lookups.induced_subgraph(*(lambda n: (n, edges, n.where("node_id < 'r'")))(ingest.nodes_from_edges(edges)))
+    return loops.terminal_sccs(loops.strongly_connected_components(nodes, inner), edges, nodes)
+
+
+def removed_edges(spark, sf):  # noqa: ANN001, ANN201
+    edges = settled(cyclic(spark, sf))
+    return lookups.remove_edges(edges, edges.where("dst < 'p'"))
+
+
+def restored_edges(spark, sf):  # noqa: ANN001, ANN201
+    edges = settled(cyclic(spark, sf))
+    cut = edges.where("dst < 'p'")
+    return lookups.restore_edges(lookups.remove_edges(edges, cut), cut)
+
+
+def restored_nodes(spark, sf):  # noqa: ANN001, ANN201
+    """The first op of each graph done and undone."""
+    nodes, edges, log = _log(spark, sf)
+    first = settled(log.where("op_idx = 0"))
+    left = lookups.remove_nodes(nodes, edges, first.select("graph_id", F.col("inverse.target").alias("node_id")))
+    return lookups.restore_nodes(*left, first)[0].select("graph_id", "node_id", F.col("weight0").alias("weight"))
+
+
+def opaque_motifs(spark, sf):  # noqa: ANN001, ANN201
+    """Every third op has a kind that nothing knows."""
+    log = _log(spark, sf)[2].withColumn("kind", F.when(F.col("op_idx") % 3 == 0, "annotate").otherwise(F.col("kind")))
+    return reduction.motifs(log).select("graph_id", "step", "kind", "node", F.array_join("preds", ",").alias("preds"))
+
+
+def describe_redos(spark, sf):  # noqa: ANN001, ANN201
+    return _log(spark, sf)[2].select("graph_id", "op_idx", describe_redo().alias("redo"))
+
+
+def motif_counts_dag(spark, sf):  # noqa: ANN001, ANN201
+    found = reduction.motifs(_log(spark, sf)[2])
+    return reduction.motif_counts(found.withColumn("parent_step", F.lit(None).cast("bigint")))
+
+
+def turned_edges(spark, sf):  # noqa: ANN001, ANN201
+    """Violations where every edge into an even step is turned round."""
+    found = settled(reduction.motifs(_log(spark, sf)[2]).withColumn("parent_step", F.lit(None).cast("bigint")))
+    even = F.col("dst_step") % 2 == 0
+    ways = reduction.metagraph_edges(found).select("graph_id", F.lit(None).cast("bigint").alias("parent_step"), F.when(even, F.col("dst_step")).otherwise(F.col("src_step")).alias("src_step"), F.when(even, F.col("src_step")).otherwise(F.col("dst_step")).alias("dst_step"))
+    return motif_tree.metagraph_violations(found, ways).select("graph_id", "src_step", "dst_step", "reason")
+
+
+def node_steps_dag(spark, sf):  # noqa: ANN001, ANN201
+    return reduction.node_steps(reduction.motifs(_log(spark, sf)[2]))
+
+
+def metagraph_violations_loops(spark, sf):  # noqa: ANN001, ANN201
+    found = _loop_motifs(spark, sf)
+    return motif_tree.metagraph_violations(found, motif_tree.metagraph_edges(found))
+
+
+def motif_counts_loops(spark, sf):  # noqa: ANN001, ANN201
+    return reduction.motif_counts(_loop_motifs(spark, sf))
+
+
+def reduction_progress_loops(spark, sf):  # noqa: ANN001, ANN201
+    edges = settled(cyclic(spark, sf))
+    nodes = settled(_weighted(spark, edges))
+    log = settled(schedule.op_log(nodes, edges))
+    return reduction.progress(nodes, edges, log, settled(schedule.scopes(log)))
+
+
 _NAMES = (
     metagraph_edges_dag, graph_edges, graph_nodes, type_weights, graph_status, degrees, neighbours, terminals, next_terminal, induced_subgraph, removed_terminals, scc, terminal_sccs, loop_headers,
     back_edges, loop_nesting, residual_edges, residual_weights, residual_motif_kinds, dag_weights, op_log_dag, op_log_roundtrip, motifs_dag, motif_profile_dag, dag_violations, graph_as_of, frontier_as_of, truncate_append, reduction_progress, describe_ops,
-    op_log_loops, motifs_loops, metagraph_edges_loops, subgraphs_loops,
+    op_log_loops, motifs_loops, metagraph_edges_loops, subgraphs_loops, has_node, empty_graphs, scoped_terminals, terminal_sccs_in_focus, removed_edges, restored_edges, restored_nodes, opaque_motifs,
+    describe_redos, motif_counts_dag, turned_edges, node_steps_dag, metagraph_violations_loops, motif_counts_loops, reduction_progress_loops,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}
 
 _C = f"with recursive every as ({CYCLIC.format(events='events')}), c as (select * from every where src <> dst), n as (select graph_id, src as node_id from c union select graph_id, dst from c)"
+#: The edges between nodes below r.
+FOCUS = "(select * from every where src <> dst and src < 'r' and dst < 'r')"
 _REACH = _C + """, r as (select graph_id, src as a, dst as b from c union select r.graph_id, r.a, c.dst from r join c on r.graph_id = c.graph_id and r.b = c.src),
  mutual as (select x.graph_id, x.a, x.b from r x join r y on x.graph_id = y.graph_id and x.a = y.b and x.b = y.a),
  parts as (select n.graph_id, n.node_id, least(n.node_id, coalesce(min(m.b), n.node_id)) as scc_id from n left join mutual m on m.graph_id = n.graph_id and m.a = n.node_id group by 1, 2),
@@ -298,6 +387,18 @@ ORACLES: dict[str, str] = {
     "graph_as_of": f"{_LOG}, a as (select l.graph_id, l.node_id, 1 + coalesce((select sum(g.weight) from d join l g on g.graph_id = d.graph_id and g.node_id = d.dst where d.graph_id = l.graph_id and d.src = l.node_id and g.op_idx < k.k), 0) as weight from l join k on k.graph_id = l.graph_id where l.op_idx >= k.k) select graph_id, node_id, cast(weight as bigint) as weight, case when weight > 1 then node_id || chr(10) || 'w=' || cast(cast(weight as bigint) as varchar) else node_id end as label from a",
     "frontier_as_of": f"{_LOG} select l.graph_id, l.node_id from l join k on k.graph_id = l.graph_id where l.op_idx >= k.k and not exists (select 1 from d join l g on g.graph_id = d.graph_id and g.node_id = d.dst where d.graph_id = l.graph_id and d.src = l.node_id and g.op_idx >= k.k)",
     "truncate_append": f"{_LOG}, o as ({_OPS}) select o.* from o join k on k.graph_id = o.graph_id where op_idx < k.k union all select o.graph_id, o.op_idx + k.k, kind, target, preds, weight from o join k on k.graph_id = o.graph_id where op_idx = 0",
-    "reduction_progress": f"{_LOG} select graph_id, op_idx + 1 as cursor, total - op_idx - 1 as live from l",
+    "reduction_progress": f"{_LOG} select l.graph_id, l.op_idx + 1 as cursor, total - l.op_idx - 1 as live, (select count(*) from l x where x.graph_id = l.graph_id and x.op_idx > l.op_idx and not exists (select 1 from d join l y on y.graph_id = d.graph_id and y.node_id = d.dst where d.graph_id = x.graph_id and d.src = x.node_id and y.op_idx > l.op_idx)) as frontier, false as zoomed from l",
+    "has_node": f"{_C} select graph_id, 'purchase' as node_id, bool_or(node_id = 'purchase') as present from n group by 1",
+    "empty_graphs": f"{_C} select graph_id from n group by 1 having max(node_id) <= 'r'",
+    "scoped_terminals": f"{_D} select n.* from n where not exists (select 1 from d where d.graph_id = n.graph_id and src = node_id) and (length(graph_id) % 2 = 1 or cast(node_id as bigint) % 2 = 0)",
+    "terminal_sccs_in_focus": f"{_REACH.replace('(select * from every where src <> dst)', FOCUS)} select distinct graph_id, scc_id, scc_size from s where scc_size > 1 and not exists (select 1 from w where w.graph_id = s.graph_id and sa = s.scc_id and sb <> sa)",
+    "removed_edges": f"{_C} select * from c where not dst < 'p'",
+    "restored_edges": f"{_C} select * from c",
+    "restored_nodes": f"{_D} select *, cast(1 as bigint) as weight from n",
+    "opaque_motifs": f"{_LOG} select graph_id, step, case when op_idx % 3 = 0 then 'annotate' else kind end as kind, case when op_idx % 3 = 0 then null else node_id end as node, case when op_idx % 3 = 0 then '' else preds end as preds from m",
+    "describe_redos": f"{_LOG} select graph_id, op_idx, 'Redo remove [' || node_id || ']' as redo from l",
+    "motif_counts_dag": f"{_LOG} select graph_id, cast(null as bigint) as parent_step, kind, count(*) as n from m group by 1, 2, 3",
+    "turned_edges": f"{_LOG}, e as ({_META}) select graph_id, dst_step as src_step, src_step as dst_step, 'order' as reason from e where dst_step % 2 = 0",
+    "node_steps_dag": f"{_LOG} select graph_id, node_id as node, step from m",
     "describe_ops": f"{_LOG} select graph_id, op_idx, 'Removed [' || node_id || ']  (weight=' || cast(weight as varchar) || ')' as step, 'Undo remove [' || node_id || ']' as undo from l",
 }

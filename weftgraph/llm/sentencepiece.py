@@ -119,9 +119,10 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
     yield from rows()
 
 
-def lattice(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
-    """(head, chunks): for each word the pieces that lie in it as (end, start, id, score), sorted, in a chunk for each BLOCK ends; id -1 for a
-    sign that is no piece. head: the word's columns. The piece table is broadcast: its size is that of the vocabulary."""
+def lattice(words: DataFrame, pieces: pd.DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(head, edges) of words of up to BLOCK signs, (head, chunks) of the longer ones: for each word the pieces that lie in it as (end, start,
+    id, score), sorted; a chunk for each BLOCK ends; id -1 for a sign that is no piece. head: the word's columns. The piece table is
+    broadcast: its size is that of the vocabulary."""
     import pandas as pd  # not in the workers, where it takes memory for nothing
 
     plain = pieces[pieces["byte"] < 0]
@@ -139,18 +140,36 @@ def lattice(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     head = F.when(F.expr("start = 0 and size = 1"), F.struct(words.columns))
     edges = edges.select("hash", "key", "length", head.alias("head"), edge.alias("edge"))
     sorted_edges = F.sort_array(F.collect_list("edge"))
-    short = edges.where(f"length <= {BLOCK}").groupBy("hash", "key").agg(F.max("head").alias("head"), F.array(sorted_edges).alias("chunks"))
+    short = edges.where(f"length <= {BLOCK}").groupBy("hash", "key").agg(F.max("head").alias("head"), sorted_edges.alias("edges"))
     long = edges.where(f"length > {BLOCK}").groupBy("hash", "key", F.expr(f"(edge.end - 1) div {BLOCK}").alias("chunk")).agg(F.max("head").alias("head"), sorted_edges.alias("edges"))
     long = long.groupBy("hash", "key").agg(F.max("head").alias("head"), F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks"))
-    return short.select("head", "chunks").unionByName(long.select("head", F.col("chunks.edges").alias("chunks")))
+    return short.select("head", "edges"), long.select("head", F.col("chunks.edges").alias("chunks"))
 
 
-def viterbi_sql() -> tuple[str, str]:
-    """SQL of the two folds: over `chunks` to the best edge into each place (an array for each chunk), and over these, `best`, backwards
-    to the path. A fold copies its state in each step, so each has an inner one over a chunk, whose state is small.
+def short_viterbi_sql() -> tuple[str, str]:
+    """SQL of the two folds for a short word: over `edges` to the best edge into each place (an array, by place), and over
+    that, `best`, backwards to the path.
 
-    The edges come by their ends. The best one into the end at hand is s.last; it joins the list when the next end begins. An
-    edge has to be better to replace another, so of equal ones that with the smallest start stays, the longest piece. No piece is longer
+    The edges come by their ends. The best one into the end at hand is s.last; it joins the array when the next end begins. An
+    edge has to be better to replace another, so of equal ones that with the smallest start stays, the longest piece."""
+    kind = "struct<score:double,start:int,id:int>"
+    node = "named_struct('score', {0} + e.score, 'start', e.start, 'id', e.id)"
+    source = f"cast(named_struct('score', 0D, 'start', 0, 'id', -1) as {kind})"
+    zero = f"named_struct('best', cast(array() as array<{kind}>), 'end', 0, 'last', {source})"
+    seen = "s.best[e.start].score"
+    first = node.format(f"if(e.start = s.end, s.last.score, {seen})")
+    next_end = f"named_struct('best', concat(s.best, array(s.last)), 'end', e.end, 'last', {first})"
+    better = f"named_struct('best', s.best, 'end', s.end, 'last', {node.format(seen)})"
+    step = f"if(e.end > s.end, {next_end}, if({seen} + e.score > s.last.score, {better}, s))"
+    forward = f"aggregate(edges, {zero}, (s, e) -> {step}, s -> concat(s.best, array(s.last)))"
+    walk = "named_struct('at', best[s.at].start, 'path', concat(array(best[s.at]), s.path))"
+    begin = f"named_struct('at', size(best) - 1, 'path', cast(array() as array<{kind}>))"
+    return forward, f"aggregate(best, {begin}, (s, e) -> if(s.at = 0, s, {walk}), s -> s.path)"
+
+
+def long_viterbi_sql() -> tuple[str, str]:
+    """:func:`short_viterbi_sql` for a long word: over `chunks` to an array of nodes for each chunk, and over these, `best`, backwards
+    to the path. A fold copies its state in each step, so each has an inner one over a chunk, whose state is small. No piece is longer
     than a chunk, so scores are looked up in this chunk (s.open) or the one before it."""
     kind = "struct<score:double,start:int,id:int>"
     none, lists = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
@@ -183,13 +202,13 @@ def solve_words(words: DataFrame, pieces: pd.DataFrame) -> DataFrame:
     a space standing for the space sign; it may have further columns. A character that no piece holds becomes its bytes' pieces. Of paths
     with the same score the one whose last pieces are longer wins. Words have no greatest length."""
     byte_ids = ",".join(map(str, pieces[pieces["byte"] >= 0].sort_values("byte")["id"].tolist())) or "-1"
-    forward, back = viterbi_sql()
+    short, long = lattice(words, pieces)
+    solved = [part.select("head", F.expr(a).alias("best")).select("head", F.expr(b).alias("path")) for part, (a, b) in ((short, short_viterbi_sql()), (long, long_viterbi_sql()))]
     number = "cast(conv(substring(hex(encode(sign, 'utf-8')), 2 * i + 1, 2), 16, 10) as int)"
     as_bytes = f"transform(sequence(0, octet_length(sign) - 1), i -> array({byte_ids})[{number}])"
     of_sign = f"transform(array(substring(head.word, p.start + 1, 1)), sign -> {as_bytes})[0]"
     ids = F.expr(f"flatten(transform(path, p -> if(p.id >= 0, array(p.id), {of_sign})))")
-    solved = lattice(words, pieces).select("head", F.expr(forward).alias("best")).select("head", F.expr(back).alias("path"))
-    return solved.select("head.*", ids.alias("ids"))
+    return solved[0].unionByName(solved[1]).select("head.*", ids.alias("ids"))
 
 
 def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text") -> DataFrame:

@@ -60,9 +60,10 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> tu
     return kept, inner.join(ends.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
 
 
-def terminals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without a successor."""
-    return nodes.join(edges.select("graph_id", F.col("src").alias("node_id")), NODE, "left_anti")
+def terminals(nodes: DataFrame, edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Nodes without a successor, with scope (see :func:`in_scope`) those in it. Successors outside the scope count as well."""
+    found = nodes.join(edges.select("graph_id", F.col("src").alias("node_id")), NODE, "left_anti")
+    return found if scope is None else in_scope(found, scope)
 
 
 def next_terminal(nodes: DataFrame, edges: DataFrame) -> DataFrame:

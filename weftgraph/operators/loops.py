@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.lookups import induced_subgraph
 from weftgraph.operators.shared import settled
 
 #: Steps along edges in one job.
@@ -32,8 +33,24 @@ def strongly_connected_components(nodes: DataFrame, edges: DataFrame) -> DataFra
 
     Forward-backward with colours (Fleischer, Hendrickson and Pinar, 2000; Orzan, 2004): nodes without a way in or
     out are components of their own and are trimmed; each other node takes the smallest id that reaches it as its
-    colour; what reaches the colour's root within the colour is the root's component; the rest goes round again.
+    colour; what reaches the colour's root within the colour is the root's component; the rest goes round again. So it is with
+    large graphs; those of up to SMALL nodes need no rounds, see :func:`small_components`.
     """
+    every = nodes.select("graph_id", "node_id").distinct()
+    size = every.groupBy("graph_id").count()
+    marked = settled(every.join(size, "graph_id").withColumn("small", F.col("count") <= SMALL).drop("count"))
+    inner = edges.select("graph_id", "src", "dst").where("src <> dst").distinct()
+    small, large = marked.where("small").select("graph_id", "node_id"), marked.where("not small").select("graph_id", "node_id")
+    graphs = small.select("graph_id").distinct()
+    out = small_components(small, inner.join(graphs, "graph_id", "left_semi"))
+    if not large.isEmpty():
+        out = out.unionByName(large_components(large, inner.join(graphs, "graph_id", "left_anti")))
+    sizes = out.groupBy("graph_id", "scc_id").agg(F.count("*").alias("scc_size"))
+    return settled(out.join(sizes, ["graph_id", "scc_id"]).select("graph_id", "node_id", "scc_id", "scc_size"))
+
+
+def large_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node_id, scc_id), by rounds over all graphs together."""
     key = F.struct("graph_id", "node_id")
     left = settled(nodes.select(key.alias("k")).distinct())
     links = settled(edges.where("src <> dst").select(F.struct("graph_id", F.col("src").alias("node_id")).alias("a"), F.struct("graph_id", F.col("dst").alias("node_id")).alias("b")).distinct())
@@ -62,9 +79,7 @@ def strongly_connected_components(nodes: DataFrame, edges: DataFrame) -> DataFra
         out = out.join(every, "k", "left")
     else:
         out = out.withColumn("scc_id", F.lit(None).cast("string"))
-    out = out.select("k.graph_id", "k.node_id", F.coalesce("scc_id", "own").alias("scc_id"))
-    sizes = out.groupBy("graph_id", "scc_id").agg(F.count("*").alias("scc_size"))
-    return settled(out.join(sizes, ["graph_id", "scc_id"]).select("graph_id", "node_id", "scc_id", "scc_size"))
+    return out.select("k.graph_id", "k.node_id", F.coalesce("scc_id", "own").alias("scc_id"))
 
 
 def headers(scc: DataFrame, edges: DataFrame) -> DataFrame:
@@ -80,8 +95,11 @@ def headers(scc: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def terminal_sccs(scc: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, scc_id, scc_size) of components of two or more nodes without an edge that leaves them."""
+def terminal_sccs(scc: DataFrame, edges: DataFrame, focus: DataFrame | None = None) -> DataFrame:
+    """(graph_id, scc_id, scc_size) of components of two or more nodes without an edge that leaves them; with focus (graph_id, node_id)
+    only edges between its nodes count, so scc has to be that of the subgraph."""
+    if focus is not None:
+        edges = induced_subgraph(focus, edges, focus)[1]
     of = scc.select("graph_id", "node_id", "scc_id")
     ways = edges.join(of.withColumnsRenamed({"node_id": "src", "scc_id": "a"}), ["graph_id", "src"]).join(of.withColumnsRenamed({"node_id": "dst", "scc_id": "b"}), ["graph_id", "dst"])
     leaving = ways.where("a <> b").select("graph_id", F.col("a").alias("scc_id"))
@@ -129,20 +147,50 @@ def loop_nesting(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
 def node_weights(nodes: DataFrame, residual: DataFrame) -> DataFrame:
     """(graph_id, node_id, weight): weight0 plus the weights of all residual successors, which is the sum over all
-    paths from the node. Paths of one length more are added in each step; null where a sum leaves 64 bits."""
-    links = residual.select("graph_id", "src", F.col("dst").alias("node_id"))
-    total = nodes.select("graph_id", "node_id", F.col("weight0").alias("weight"))
-    step, parts = total, [total]
+    paths from the node; null where a sum leaves 64 bits, and for nodes that reach a cycle.
+
+    Level by level from the terminals: a node whose successors are all known is summed, once. A level is one job, which
+    reads the nodes that aren't known yet."""
+    key, links = ["graph_id", "node_id"], residual.select("graph_id", "src", F.col("dst").alias("node_id"))
+    outs = residual.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.count("*").alias("left"))
+    # left: how many successors are still to come; over: whether a sum left its range.
+    state = nodes.join(outs, key, "left").select(*key, F.col("weight0").alias("weight"), F.coalesce("left", F.lit(0)).alias("left"), F.lit(False).alias("over"))
+    done = []
     while True:
-        for _ in range(HOPS):
-            step = links.join(step, ["graph_id", "node_id"]).groupBy("graph_id", "src").agg(F.try_sum("weight").alias("weight")).withColumnRenamed("src", "node_id")
-            parts.append(step)
-        every = parts[0]
-        for more in parts[1:]:
-            every = every.unionByName(more)
-        step = settled(step)
-        # A sum that overflowed on the way stays null.
-        total = settled(every.groupBy("graph_id", "node_id").agg(F.when(F.count("weight") == F.count("*"), F.try_sum("weight")).alias("weight")))
-        parts = [total]
-        if step.isEmpty():
-            return total
+        state = settled(state)
+        new, waiting = (state.where(f"left {sign} 0") for sign in ("=", ">"))
+        done.append(new.select(*key, F.expr("if(over, null, weight)").alias("weight")))
+        if new.isEmpty() or waiting.isEmpty():
+            break
+        gain = links.join(new, key).groupBy("graph_id", F.col("src").alias("node_id")).agg(
+            F.expr("if(bool_or(over or weight is null), null, try_sum(weight))").alias("gain"), F.count("*").alias("came")
+        )
+        total = F.expr("case when came is null then weight else try_add(weight, gain) end")
+        state = waiting.join(gain, key, "left").select(
+            *key, total.alias("weight"), (F.col("left") - F.coalesce("came", F.lit(0))).alias("left"), F.expr("over or (came is not null and try_add(weight, gain) is null)").alias("over")
+        )
+    done.append(waiting.select(*key, F.lit(None).cast("bigint").alias("weight")))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: Graphs of up to so many nodes are closed in a row each: a node's reach is the bits of a long.
+SMALL = 63
+
+
+def small_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node_id, scc_id) of graphs of up to SMALL nodes, in one job: the nodes of a graph are numbered in order, each has
+    the numbers that it reaches as bits, and a fold over the numbers lets each node reach on through every other one (Warshall, 1962). Nodes
+    that reach each other are a component, its smallest number names it. nodes: distinct; edges between them."""
+    names = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list("node_id")).alias("names"))
+    outs = edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst")).alias("outs"))
+    bit = "shiftleft(1L, cast({0} as int))"
+    own = f"aggregate(filter(outs, e -> e.src = n), {bit.format('i')}, (b, e) -> b | {bit.format('(array_position(names, e.dst) - 1)')})"
+    close = f"aggregate(sequence(0, size(reach) - 1), reach, (r, k) -> transform(r, x -> if(x & {bit.format('k')} <> 0, x | r[k], x)))"
+    least = f"transform(reach, (x, i) -> filter(sequence(0, i), j -> x & {bit.format('j')} <> 0 and reach[j] & {bit.format('i')} <> 0)[0])"
+    rows = names.join(outs, "graph_id", "left").withColumn("outs", F.coalesce("outs", F.expr("cast(array() as array<struct<src:string,dst:string>>)")))
+    rows = rows.select("graph_id", "names", F.expr(f"transform(names, (n, i) -> {own})").alias("reach")).withColumn("reach", F.expr(close)).withColumn("least", F.expr(least))
+    found = rows.select("graph_id", "names", F.posexplode("names").alias("i", "node_id"), "least")
+    return found.select("graph_id", "node_id", F.expr("names[least[i]]").alias("scc_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.schedule import op_log
 from weftgraph.operators.shared import settled
 
 OP = ["graph_id", "op_idx"]
@@ -106,3 +107,31 @@ def subgraphs(found: DataFrame, ways: DataFrame) -> DataFrame:
     lines = ways.where("parent_step is not null").groupBy("graph_id", F.col("parent_step").alias("loop_step")).agg(F.count("*").alias("n_edges"))
     own = found.where("kind = 'loop'").select("graph_id", F.col("step").alias("loop_step"), "parent_step")
     return own.join(inner, ["graph_id", "loop_step"]).join(lines, ["graph_id", "loop_step"], "left").fillna(0, ["n_edges"])
+
+
+def node_steps(found: DataFrame) -> DataFrame:
+    """(graph_id, parent_step, node, step) of the motifs that restore a node, by level."""
+    return found.where("node is not null").select("graph_id", "parent_step", "node", "step")
+
+
+def metagraph_violations(found: DataFrame, ways: DataFrame) -> DataFrame:
+    """(graph_id, parent_step, src_step, dst_step, reason) of what a metagraph must not have: an edge that doesn't lead to a later step (order), one
+    that names a step which is no motif of its level (unknown_step), a level whose parent is no loop (not_a_loop; without steps)."""
+    level = found.select("graph_id", F.coalesce("parent_step", F.lit(-1)).alias("level"), "step", F.lit(True).alias("there"))
+    lines = ways.select("graph_id", F.coalesce("parent_step", F.lit(-1)).alias("level"), "src_step", "dst_step")
+    for side in ("src_step", "dst_step"):
+        lines = lines.join(level.withColumnsRenamed({"step": side, "there": f"has_{side}"}), ["graph_id", "level", side], "left")
+    reason = F.expr("case when has_src_step is null or has_dst_step is null then 'unknown_step' when src_step >= dst_step then 'order' end")
+    wrong = lines.select("graph_id", F.expr("nullif(level, -1)").alias("parent_step"), "src_step", "dst_step", reason.alias("reason")).where("reason is not null")
+    loops = found.where("kind = 'loop'").select("graph_id", F.col("step").alias("parent_step"))
+    held = found.where("parent_step is not null").select("graph_id", "parent_step").distinct().join(loops, ["graph_id", "parent_step"], "left_anti")
+    none = F.lit(None).cast("bigint")
+    return wrong.unionByName(held.select("graph_id", "parent_step", none.alias("src_step"), none.alias("dst_step"), F.lit("not_a_loop").alias("reason")))
+
+
+def metagraph_of(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(motifs, edges, subgraphs) of graphs: reduced, taken apart into motifs and linked. nodes: with weight0."""
+    log = settled(op_log(nodes, edges))
+    found = settled(motifs(log, loop_parents(log)))
+    ways = settled(metagraph_edges(found))
+    return found, ways, subgraphs(found, ways)

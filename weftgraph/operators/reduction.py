@@ -65,20 +65,31 @@ def motif_profile(found: DataFrame) -> DataFrame:
     return found.rollup("kind").agg(F.count("*").alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), "n")
 
 
+def motif_counts(found: DataFrame) -> DataFrame:
+    """(graph_id, parent_step, kind, n): how many motifs of each kind each level of each graph has; the top level has no parent_step."""
+    return found.groupBy("graph_id", "parent_step", "kind").agg(F.count("*").alias("n"))
+
+
 def graph_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Live nodes with weights, and live edges, after the first k ops of each graph. cursor: graph_id, k."""
-    ops = log.where("kind = 'remove_node'").join(cursor, "graph_id")
-    gone = ops.where("op_idx < k").select("graph_id", F.col("inverse.target").alias("node_id"), "inverse.weight_deltas")
+    """Live nodes with weights, and live edges, after the first k ops of each graph, removals and loop breaks. cursor: graph_id, k."""
+    past = log.join(cursor, "graph_id").where("op_idx < k")
+    gone = past.where("kind = 'remove_node'").select("graph_id", F.col("inverse.target").alias("node_id"), "inverse.weight_deltas")
+    cut = past.where("kind = 'remove_edges'").select("graph_id", F.explode("forward.edges").alias("e")).select("graph_id", "e.src", "e.dst")
     gain = gone.select("graph_id", F.explode("weight_deltas").alias("node_id", "d")).groupBy(NODE).agg(F.sum("d").alias("d"))
     live = nodes.join(gone.select(NODE), NODE, "left_anti").join(gain, NODE, "left")
     live = live.select("graph_id", "node_id", (F.col("weight0") + F.coalesce("d", F.lit(0))).alias("weight"))
-    left = edges.join(gone.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_anti")
+    left = edges.select("graph_id", "src", "dst").join(cut, ["graph_id", "src", "dst"], "left_anti")
+    left = left.join(gone.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_anti")
     return live, left.join(gone.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_anti").select("graph_id", "src", "dst")
 
 
-def frontier_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame) -> DataFrame:
+def frontier_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The terminals after the first k ops, with seen (of schedule.scopes) those in the scope at that time."""
     live, left = graph_as_of(nodes, edges, log, cursor)
-    return terminals(live, left)
+    if seen is None:
+        return terminals(live, left)
+    scope = seen.join(cursor, "graph_id").where("op_idx = k - 1").select("graph_id", (F.size("after") > 0).alias("active"), F.col("after").alias("focus"))
+    return terminals(live, left, scope)
 
 
 def truncate_and_append(log: DataFrame, cursor: DataFrame, new_ops: DataFrame) -> DataFrame:
@@ -88,9 +99,30 @@ def truncate_and_append(log: DataFrame, cursor: DataFrame, new_ops: DataFrame) -
     return kept.unionByName(moved)
 
 
-def progress(nodes: DataFrame, log: DataFrame) -> DataFrame:
-    """(graph_id, cursor, live) after each op."""
+def progress(nodes: DataFrame, edges: DataFrame, log: DataFrame, seen: DataFrame) -> DataFrame:
+    """(graph_id, cursor, live, frontier, zoomed) after each op: live nodes, how many of them could be removed next (terminals in the scope),
+    and whether a scope is active. seen: of schedule.scopes.
+
+    A node is a terminal from when its last edge goes (with its successor or by a break) to its own removal. Each scope is a
+    stretch of ops; a node counts in those that hold it, so what is summed are starts and ends of such stretches."""
+    key = ["graph_id", "node_id"]
+    removed = log.where("kind = 'remove_node'").select("graph_id", F.col("inverse.target").alias("node_id"), F.col("op_idx").alias("gone"))
+    cut = log.where("kind = 'remove_edges'").select("graph_id", "op_idx", F.explode("forward.edges").alias("e")).select("graph_id", "e.src", "e.dst", F.col("op_idx").alias("at"))
+    ways = edges.select("graph_id", "src", "dst").join(cut, ["graph_id", "src", "dst"], "left").join(removed.withColumnsRenamed({"node_id": "dst", "gone": "with_dst"}), ["graph_id", "dst"])
+    free = ways.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.max(F.coalesce("at", "with_dst")).alias("free"))
+    spans = removed.join(free, key, "left").fillna(-1, ["free"])
+    # Stretches: a new one begins where a loop breaks and where a scope ends.
+    new = Window.partitionBy("graph_id").orderBy("op_idx")
+    scope = seen.select("graph_id", "op_idx", (F.size("after") > 0).alias("zoomed"), F.size("before").alias("n"), "after")
+    begins = log.select("graph_id", "op_idx", "kind", "meta.scc").join(scope, ["graph_id", "op_idx"]).where("kind = 'remove_edges' or (not zoomed and n > 0)")
+    begins = begins.select("graph_id", F.col("op_idx").alias("from"), F.expr("if(kind = 'remove_edges', scc, null)").alias("scc"))
+    begins = log.select("graph_id").distinct().select("graph_id", F.lit(-1).cast("bigint").alias("from"), F.lit(None).cast("array<string>").alias("scc")).unionByName(begins)
+    stretches = begins.withColumn("to", F.coalesce(F.lead("from").over(Window.partitionBy("graph_id").orderBy("from")), F.lit((1 << 62))))
+    inside = spans.join(stretches, "graph_id").where("(scc is null or array_contains(scc, node_id)) and greatest(free, from) < least(gone, to)")
+    inside = inside.select("graph_id", F.expr("greatest(free, from)").alias("a"), F.expr("least(gone, to)").alias("b"))
+    steps = inside.select("graph_id", F.greatest("a", F.lit(0)).alias("op_idx"), F.lit(1).alias("d")).unionByName(inside.select("graph_id", F.greatest("b", F.lit(0)).alias("op_idx"), F.lit(-1).alias("d")))
+    steps = steps.groupBy("graph_id", "op_idx").agg(F.sum("d").alias("d"))
     total = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    seen = Window.partitionBy("graph_id").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, 0)
-    gone = F.sum(F.when(F.col("kind") == "remove_node", 1).otherwise(0)).over(seen)
-    return log.withColumn("gone", gone).join(total, "graph_id").select("graph_id", (F.col("op_idx") + 1).alias("cursor"), (F.col("n") - F.col("gone")).alias("live"))
+    rows = log.select("graph_id", "op_idx", (F.col("kind") == "remove_node").cast("int").alias("one")).join(steps, ["graph_id", "op_idx"], "left").join(total, "graph_id").join(scope.select("graph_id", "op_idx", "zoomed"), ["graph_id", "op_idx"])
+    past = new.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("graph_id", (F.col("op_idx") + 1).alias("cursor"), (F.col("n") - F.sum("one").over(past)).alias("live"), F.sum(F.coalesce("d", F.lit(0))).over(past).alias("frontier"), "zoomed")

@@ -1,26 +1,66 @@
-"""Op logs as interchange JSON: one array of ops for each graph, in order."""
+"""Op logs as interchange JSON: for each graph one array of ops in order, edges as lists of two, scopes in meta."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EDGE = "struct<src:string,dst:string>"
-FORWARD = f"struct<target:string,edges:array<{EDGE}>>"
-INVERSE = f"struct<target:string,pred_edges:array<string>,succ_edges:array<string>,weight:bigint,node_type:string,weight_deltas:map<string,bigint>,edges:array<{EDGE}>>"
-META = "struct<header:string,scc:array<string>>"
+from weftgraph.operators.schedule import scopes
+
+EDGES = "array<array<string>>"
+SCOPE = "struct<active:boolean,focus:array<string>>"
+OPS = f"""array<struct<kind:string, forward:struct<target:string,edges:{EDGES}>,
+    inverse:struct<target:string,pred_edges:array<string>,succ_edges:array<string>,weight:bigint,node_type:string,weight_deltas:map<string,bigint>,edges:{EDGES}>,
+    meta:struct<header:string,scc:array<string>,scope_snapshot:{SCOPE},scope_after:{SCOPE}>>>"""
+
+
+def _pairs(struct: str) -> str:
+    return f"transform({struct}.edges, e -> array(e.src, e.dst))"
+
+
+def ops_to_json(op_log: DataFrame) -> DataFrame:
+    """(graph_id, value): the JSON array of a graph's ops, each with kind, forward, inverse and meta; what an op hasn't got is left out. meta holds
+    the scope before and after the op. A graph's ops have to fit into a row, as they do in its file."""
+    seen = scopes(op_log)
+    scope = "named_struct('active', size({0}) > 0, 'focus', {0})"
+    op = F.struct(
+        "op_idx",
+        F.struct(
+            "kind",
+            F.expr(f"named_struct('target', forward.target, 'edges', {_pairs('forward')})").alias("forward"),
+            F.expr(f"""named_struct('target', inverse.target, 'pred_edges', inverse.pred_edges, 'succ_edges', inverse.succ_edges, 'weight', inverse.weight,
+                'node_type', inverse.node_type, 'weight_deltas', inverse.weight_deltas, 'edges', {_pairs('inverse')})""").alias("inverse"),
+            F.expr(f"named_struct('header', meta.header, 'scc', meta.scc, 'scope_snapshot', {scope.format('before')}, 'scope_after', {scope.format('after')})").alias("meta"),
+        ).alias("op"),
+    )
+    rows = op_log.join(seen, ["graph_id", "op_idx"]).groupBy("graph_id").agg(F.array_sort(F.collect_list(op), lambda a, b: (a["op_idx"] - b["op_idx"]).cast("int")).alias("ops"))
+    return rows.select("graph_id", F.to_json(F.transform("ops", lambda x: x["op"])).alias("value"))
+
+
+def ops_from_json(rows: DataFrame) -> DataFrame:
+    """(graph_id, op_idx, kind, forward, inverse, meta) of (graph_id, value); the position in the array is op_idx. forward, inverse and meta
+    may be absent and are empty then; an op without a kind is an error. meta has scope_snapshot and scope_after besides."""
+    ops = rows.select("graph_id", F.posexplode(F.from_json("value", OPS)).alias("op_idx", "op"))
+    kind = F.coalesce("op.kind", F.raise_error(F.concat(F.lit("an op without a kind in "), "graph_id")).cast("string"))
+    edges = "transform(op.{0}.edges, e -> named_struct('src', e[0], 'dst', e[1]))"
+    forward = F.expr(f"named_struct('target', op.forward.target, 'edges', {edges.format('forward')})")
+    inverse = F.expr(f"""named_struct('target', op.inverse.target, 'pred_edges', op.inverse.pred_edges, 'succ_edges', op.inverse.succ_edges, 'weight', op.inverse.weight,
+        'node_type', op.inverse.node_type, 'weight_deltas', op.inverse.weight_deltas, 'edges', {edges.format('inverse')})""")
+    meta = F.expr("named_struct('header', op.meta.header, 'scc', op.meta.scc, 'scope_snapshot', op.meta.scope_snapshot, 'scope_after', op.meta.scope_after)")
+    return ops.select("graph_id", F.col("op_idx").cast("bigint").alias("op_idx"), kind.alias("kind"), forward.alias("forward"), inverse.alias("inverse"), meta.alias("meta"))
 
 
 def write_op_log(op_log: DataFrame, path: str) -> None:
-    """A line for each graph: its id and the JSON array of its ops (kind, forward, inverse, meta)."""
-    op = F.struct("op_idx", F.struct("kind", "forward", "inverse", "meta").alias("op"))
-    rows = op_log.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(op), lambda a, b: (a["op_idx"] - b["op_idx"]).cast("int")), lambda x: x["op"]).alias("ops"))
-    rows.select(F.to_json(F.struct("graph_id", "ops")).alias("value")).write.text(path)
+    """A line for each graph: its id and its ops as text of the interchange format."""
+    ops_to_json(op_log).write.json(path)
 
 
 def read_op_log(spark: SparkSession, path: str) -> DataFrame:
-    """(graph_id, op_idx, kind, forward, inverse, meta); the position in the array is op_idx."""
-    schema = f"graph_id string, ops array<struct<kind:string,forward:{FORWARD},inverse:{INVERSE},meta:{META}>>"
-    rows = spark.read.text(path).select(F.from_json("value", schema).alias("g"))
-    ops = rows.select("g.graph_id", F.posexplode("g.ops").alias("op_idx", "op"))
-    return ops.select("graph_id", F.col("op_idx").cast("bigint").alias("op_idx"), "op.kind", "op.forward", "op.inverse", "op.meta")
+    """What :func:`write_op_log` wrote, as :func:`ops_from_json` gives it."""
+    return ops_from_json(spark.read.schema("graph_id string, value string").json(path))
+
+
+def read_op_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold one JSON array of ops each, as one-graph tools write them; graph_id is the file's name without its ending."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\\.json)?$", 1)
+    return ops_from_json(spark.read.text(path, wholetext=True).select(name.alias("graph_id"), "value"))

@@ -62,5 +62,5 @@ def read_op_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_op_files(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array of ops each, as one-graph tools write them; graph_id is the file's name without its ending."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\\.json)?$", 1)
+    name = F.regexp_replace("_metadata.file_name", "[.]json$", "")
     return ops_from_json(spark.read.text(path, wholetext=True).select(name.alias("graph_id"), "value"))

@@ -218,7 +218,7 @@ def word_dictionary(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text
     found = texts.mapInArrow(released(_distinct(joined)), "hash bigint, word string, n bigint")
     # The length is an aggregate, so that a condition on it isn't moved below the exchange, which short and long words share.
     # Dealt by the keys by which the edges of a word are grouped, so those aren't exchanged again. Each task's words are distinct already.
-    dealt = found.withColumn("key", F.xxhash64("word")).repartition("hash", "key")
+    dealt = found.repartition("hash").withColumn("key", F.xxhash64("word"))
     words = dealt.groupBy("hash", "key", "word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("length"))
     return stored(solve_words(words, pieces).select("hash", "word", "n", "ids"), "words")
 
@@ -313,11 +313,11 @@ def _apply(shared):  # noqa: ANN001, ANN202
     return run
 
 
-def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_words: int = 500_000, decode_to: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, pieces: pd.DataFrame, text_col: str = "text", max_words: int = 3_000_000, decode_to: str | None = None) -> DataFrame:
     """The rows of docs plus `ids`, the piece ids of the whole text with a space in front, as SentencePiece has it.
 
     A null or empty text has no pieces. Every other text decodes to itself: spaces are kept as they are, and a
-    literal space sign (U+2581) is spelt in bytes. max_words bounds the broadcast; it doesn't change the result. Rows and ids may
+    literal space sign (U+2581) is spelt in bytes. max_words bounds the broadcast (some 25 bytes a word); it doesn't change the result. Rows and ids may
     repeat, each row gets its ids; an empty table gives no rows.
     A column `ids` of docs is replaced; other columns may have any name. decode_to: a column for the decoded texts; the same task then encodes and
     decodes, with one worker instead of two.

@@ -26,23 +26,67 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id bigint, text string, word string")
 
 
-def test_suffix_dedup(docs, empty):
-    got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.remove_repeats(docs).collect()}
-    seen, texts = set(), sorted(enumerate(TEXTS))
-    for i, t in texts:
-        b = (t or "").encode()
+def without_repeats(texts):
+    """(n_removed, n_spans, kept_sha256) of each text, by a set of all strings of 100 bytes seen so far."""
+    seen, out = set(), []
+    for b in texts:
         gone = bytearray(len(b))
         for s in range(len(b) - 99):
             if b[s : s + 100] in seen:
                 gone[s : s + 100] = b"\1" * 100
             seen.add(b[s : s + 100])
-        r = got[i, len(b)]
         left = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        assert (r.n_removed, r.n_spans, r.kept_sha256) == (sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()), i
+        out.append((sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(docs, empty):
+    got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.remove_repeats(docs).collect()}
+    texts = [(t or "").encode() for t in TEXTS]
+    for i, want in enumerate(without_repeats(texts)):
+        r = got[i, len(texts[i])]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == want, i
     assert got[None, len(LONG)].n_removed == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_merges_shards(spark, monkeypatch):
+    """Every repeated anchor is hot, so all repeats go through the runs and their merge; passages stand in different surroundings."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", 12)
+    monkeypatch.setattr(suffix_dedup, "RANGE_STRINGS", 300)
+    rng = np.random.default_rng(11)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passages = [noise(int(n)) for n in rng.integers(90, 260, 4)] + [noise(60) + "\0\0" + noise(70) + "\0" * 130, "ab" * 90]
+    texts = []
+    for _ in range(150):
+        parts = [noise(int(rng.integers(0, 40)))]
+        for i in rng.integers(0, len(passages), int(rng.integers(1, 4))):
+            cut = int(rng.integers(0, 30))
+            parts += [passages[i][cut:], noise(int(rng.integers(0, 40)))]
+        texts.append("".join(parts))
+    ids = rng.permutation(150).tolist()
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)) + [(ids[0], texts[0])], "doc_id bigint, text string").repartition(7)
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    by_id = [t.encode() for _, t in sorted(zip(ids, texts, strict=True))]
+    want = without_repeats(by_id)
+    assert [got[i] for i in range(150)] == want and sum(w[0] for w in want) > 20_000
+
+
+def test_merge_of_runs():
+    rng = np.random.default_rng(2)
+    strings = sorted({bytes(x) for x in rng.integers(0, 3, (60, 4)).astype(np.uint8)})
+    for _ in range(50):
+        a, b = (sorted(rng.choice(len(strings), int(rng.integers(1, 30)), replace=False).tolist()) for _ in "ab")
+        place = {(w, i): (int(rng.integers(0, 5)) * 2 + w, int(rng.integers(0, 9))) for w in (0, 1) for i in range(len(strings))}
+        run = lambda w, r: (np.array([strings[i] for i in r], "S4"), np.array([place[w, i][0] for i in r], np.int64), np.array([place[w, i][1] for i in r], np.int32))
+        (keys, ids, starts), later = suffix_dedup.merge_runs(run(0, a), run(1, b))
+        every = sorted({*a, *b})
+        first = [min(place[w, i] for w, r in ((0, a), (1, b)) if i in r) for i in every]
+        assert keys.tolist() == np.array([strings[i] for i in every], "S4").tolist() and list(zip(ids, starts, strict=True)) == first
+        assert sorted(zip(*(x.tolist() for x in later), strict=True)) == sorted(max(place[0, i], place[1, i]) for i in {*a} & {*b})
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(97, 99, n).astype(np.uint8) for n in (150, 40, 90)]

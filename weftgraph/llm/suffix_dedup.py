@@ -7,8 +7,13 @@ occurs once in all documents sends nothing. In a shard equal segments collapse t
 anchor still has different segments, a suffix array over them, refined by doubling to `length` bytes, and the
 common prefixes of its neighbours give the classes of equal strings.
 
-Anchors with very many occurrences are dealt out by document as well. Such shards keep the first occurrence of each
-segment, and a second round merges those.
+Anchors with very many occurrences are dealt out by document instead, so no group grows with one passage. Each shard
+keeps the first occurrence of each of their segments, and of equal segments of all shards again the first stays. What is
+left are different segments with the same anchor. They are dealt out by document once more; each shard's suffix array
+and common prefixes give its different strings in order, a sorted run. Shards are merged by binary search: runs are cut at
+common borders, and in each range between two borders the runs are merged pairwise by looking up the strings of the one in
+the other, whole strings compared. Of equal strings the first occurrence stays, the other ones are repeats. A string
+stands in a run once at most, so even one in every document comes only as often as there are shards.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import bitmap, in_bitmap, stored
@@ -29,6 +34,15 @@ ANCHOR = 32
 HOT = 2000
 ROW = "shard int, anchor bigint, segment bigint, id bigint, start int, n int, place int, bytes binary"
 RANGE = "id bigint, first int, last int, anchor bigint, segment bigint, n int, place int, bytes binary"
+#: A block of a sorted run (its strings, ids and starts packed, its smallest string), or a range of repeats.
+RUN = "id bigint, first int, last int, low binary, size int, keys binary, ids binary, starts binary"
+PIECE = "range int, keys binary, ids binary, starts binary"
+#: Rows of a shard in the first round, segments of one in the second.
+SHARD_ROWS, SHARD_SEGMENTS = 60_000, 5_000
+#: Strings of a block of a run, and of a range.
+BLOCK, RANGE_STRINGS = 5_000, 100_000
+#: Strings among which the borders of the ranges are chosen, at most.
+SAMPLE = 20_000
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +165,36 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     return out
 
 
+def _classes(held: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, segment, offset, class) of all strings of the segments, in the order of their suffixes; place in bytes: see
+    :func:`_begins`. Equal strings have the same class, and classes grow with the strings."""
+    # A separator of its own behind each segment makes all suffixes different: Kasai's bound needs their full order.
+    sizes = np.array([len(x) for x in held], np.int64)
+    flat = np.frombuffer(b"".join(y for i, x in enumerate(held) for y in (x, i.to_bytes(8, "big"))), np.uint8)
+    begins = _begins(sizes)
+    order = suffix_array(flat, int(sizes.max()) + 8)
+    shared = common_prefixes(flat, order, begins, begins + sizes, length)
+    kind = np.cumsum(shared < length)
+    piece = np.repeat(np.arange(len(sizes)), sizes + 8)[order]
+    offset = order - begins[piece]
+    string = np.flatnonzero(offset <= sizes[piece] - length)
+    return flat, piece[string], offset[string], kind[string]
+
+
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    """Where segments of these sizes begin, each with a separator of eight bytes behind it."""
+    return np.cumsum(sizes + 8) - sizes - 8
+
+
+def _again(kind: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by class, id and start, and in it where classes begin and which strings are repeats. Equal ids and starts are one place."""
+    by = np.lexsort((at, owner, kind))
+    kind, owner, at = kind[by], owner[by], at[by]
+    fresh = np.concatenate([[True], kind[1:] != kind[:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(kind)), 0))
+    return by, np.flatnonzero(fresh), np.flatnonzero((owner != owner[first]) | (at != at[first]))
+
+
 def _repeats(anchor, segment, ids, start, n, place, data, length):  # noqa: ANN001, ANN202
     """For rows in the order of (anchor, segment, id, start): whether a row is its segment's first occurrence, and the
     rows' ranges of repeated strings as (row, first, last). data: bytes by row, somewhere in each segment."""
@@ -167,23 +211,11 @@ def _repeats(anchor, segment, ids, start, n, place, data, length):  # noqa: ANN0
     several = np.flatnonzero(same | np.append(same[1:], False))
     if len(several):
         held = dict(zip(number[[i for i, d in enumerate(data) if d is not None]].tolist(), [d for d in data if d is not None], strict=True))
-        # A separator of its own behind each segment makes all suffixes different: Kasai's bound needs their full order.
-        sizes = np.array([len(held[k]) for k in several.tolist()], np.int64)
-        flat = np.frombuffer(b"".join(x for i, k in enumerate(several.tolist()) for x in (held[k], i.to_bytes(8, "big"))), np.uint8)
-        begins = np.cumsum(sizes + 8) - sizes - 8
-        order = suffix_array(flat, int(sizes.max()) + 8)
-        shared = common_prefixes(flat, order, begins, begins + sizes, length)
-        kind = np.cumsum(shared < length)
-        piece = np.repeat(np.arange(len(sizes)), sizes + 8)[order]
-        offset = order - begins[piece]
-        string = np.flatnonzero(offset <= sizes[piece] - length)
-        piece, offset, kind = piece[string], offset[string], kind[string]
+        _, piece, offset, kind = _classes([held[k] for k in several.tolist()], length)
         row = head[several][piece]
         owner, at = ids[row], start[row] + offset
-        by = np.lexsort((at, owner, kind))
-        kind, owner, at, row = kind[by], owner[by], at[by], row[by]
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], kind[1:] != kind[:-1]]), np.arange(len(kind)), 0))
-        again = np.flatnonzero((owner != owner[first]) | (at != at[first]))
+        by, _, again = _again(kind, owner, at)
+        row, at = row[by], at[by]
         row, at = row[again], at[again]
         by = np.lexsort((at, row))
         row, at = row[by], at[by]
@@ -233,6 +265,125 @@ def _shard(length: int, hot):  # noqa: ANN001, ANN202
     return run
 
 
+def _runs(length: int):  # noqa: ANN202
+    """The sorted run of a shard's different strings, in blocks, and the ranges of those that repeat within it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, start = np.asarray(table.column("id")), np.asarray(table.column("start"))
+        held = table.column("bytes").to_pylist()
+        flat, piece, offset, kind = _classes(held, length)
+        place = _begins(np.array([len(x) for x in held], np.int64))[piece] + offset
+        owner, at = ids[piece], start[piece] + offset
+        by, fresh, again = _again(kind, owner, at)
+        strings = np.lib.stride_tricks.sliding_window_view(flat, length)
+        owner, at, place = owner[by], at[by].astype(np.int32), place[by]
+        blocks = [fresh[i : i + BLOCK] for i in range(0, len(fresh), BLOCK)]
+        packed = [(strings[place[f[0]]].tobytes(), len(f), strings[place[f]].tobytes(), owner[f].tobytes(), at[f].tobytes()) for f in blocks]
+        by = np.lexsort((at[again], owner[again]))
+        who, when = owner[again][by], at[again][by]
+        edges = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (when[1:] != when[:-1] + 1)])) if len(who) else by
+        last = when[np.append(edges[1:], len(who)) - 1] if len(who) else when
+        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        cols = [pa.array([None] * len(blocks) + v, t) for v, t in zip([who[edges].tolist(), when[edges].tolist(), last.tolist()], [pa.int64(), pa.int32(), pa.int32()], strict=True)]
+        cols += [pa.array([p[i] for p in packed] + [None] * len(edges), t) for i, t in enumerate(kinds)]
+        return pa.Table.from_arrays(cols, ["id", "first", "last", "low", "size", "keys", "ids", "starts"])
+
+    return run
+
+
+def _cut_runs(length: int, borders):  # noqa: ANN001, ANN202
+    """Blocks of runs, cut at the borders (broadcast, sorted) by binary search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for keys, ids, starts in zip(batch.column("keys"), batch.column("ids"), batch.column("starts"), strict=True):
+                keys, ids, starts = keys.as_buffer(), ids.as_buffer(), starts.as_buffer()
+                cuts = np.searchsorted(np.frombuffer(keys, f"S{length}"), borders.value).tolist()
+                raw = [memoryview(keys), memoryview(ids), memoryview(starts)]
+                for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(ids) // 8], strict=True)):
+                    if a < b:
+                        for c, v in zip(out, (k, *(bytes(x[a * w : b * w]) for x, w in zip(raw, (length, 8, 4), strict=True))), strict=True):
+                            c.append(v)
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "keys", "ids", "starts"])
+
+    return run
+
+
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def merge_runs(a: Run, b: Run) -> tuple[Run, tuple[np.ndarray, np.ndarray]]:
+    """Two sorted runs of different strings (strings, ids, starts) as one, and the (ids, starts) of the later occurrences of strings
+    in both. The strings of b are looked up in a by binary search."""
+    (keys, ids, starts), (more, who, when) = a, b
+    place = np.searchsorted(keys, more)
+    both = place < len(keys)
+    both[both] = keys[place[both]] == more[both]
+    at, who_b, when_b = place[both], who[both], when[both]
+    ahead = (who_b < ids[at]) | (who_b == ids[at]) & (when_b < starts[at])
+    later = np.where(ahead, ids[at], who_b), np.where(ahead, starts[at], when_b)
+    ids, starts = ids.copy(), starts.copy()
+    ids[at], starts[at] = np.where(ahead, who_b, ids[at]), np.where(ahead, when_b, starts[at])
+    new = ~both
+    merged = tuple(np.insert(x, place[new], y[new]) for x, y in zip((keys, ids, starts), b, strict=True))
+    return merged, later
+
+
+def _merge(length: int):  # noqa: ANN202
+    """The repeats of a range: all its runs merged, two at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = (f"S{length}", np.int64, np.int32)
+        runs = [tuple(np.frombuffer(x.as_buffer(), k) for x, k in zip(row, kinds, strict=True)) for row in zip(*(table.column(c) for c in ("keys", "ids", "starts")), strict=True)]
+        later = []
+        while len(runs) > 1:
+            pairs = [merge_runs(x, y) for x, y in zip(runs[::2], runs[1::2], strict=False)]
+            later += [gone for _, gone in pairs]
+            runs = [m for m, _ in pairs] + (runs[-1:] if len(runs) % 2 else [])
+        who = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in later)])
+        when = np.concatenate([np.zeros(0, np.int32), *(s for _, s in later)])
+        by = np.lexsort((when, who))
+        who, when = who[by], when[by]
+        edges = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (when[1:] != when[:-1] + 1)])) if len(who) else by
+        last = when[np.append(edges[1:], len(who)) - 1] if len(who) else when
+        return pa.Table.from_arrays([pa.array(x) for x in (who[edges], when[edges], last)], ["id", "first", "last"])
+
+    return run
+
+
+def _merged_shards(first: DataFrame, length: int, shards: int, log2_bits: int) -> DataFrame:
+    """Ranges of the repeats among hot anchors' segments, the first ones of each shard of the first round."""
+    spark = first.sparkSession
+    # An anchor and segment stand in each shard of the first round once at most.
+    equal = Window.partitionBy("anchor", "segment").orderBy("id", "start")
+    first = stored(first.withColumn("lead", F.row_number().over(equal) == 1), "segments")
+    ranges = first.where("not lead").selectExpr("id", "start as first", "start + n - 1 as last")
+    lead = first.where("lead")
+    several = lead.groupBy("anchor").count().where("count > 1")
+    split = spark.sparkContext.broadcast(bitmap(several, "anchor", log2_bits))
+
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(split.value, batch.column("anchor").to_numpy())))
+
+    total = several.agg(F.sum("count")).first()[0] or 0
+    if not total:
+        return ranges
+    parts = max(shards // 4, total // SHARD_SEGMENTS)
+    dealt = lead.select("anchor", "id", "start", "bytes").mapInArrow(differing, "anchor bigint, id bigint, start int, bytes binary")
+    dealt = dealt.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts})"))
+    runs = stored(dealt.groupBy("part").applyInArrow(_runs(length), RUN), "runs")
+    blocks = runs.where("low is not null")
+    wanted = max(shards // 4, (blocks.agg(F.sum("size")).first()[0] or 0) // RANGE_STRINGS)
+    sample = np.array([bytes(r.low) for r in blocks.select("low").orderBy(F.xxhash64("low")).limit(SAMPLE).collect()], f"S{length}")
+    sample.sort()
+    borders = spark.sparkContext.broadcast(np.unique(sample[np.arange(1, wanted) * len(sample) // wanted]))
+    merged = blocks.mapInArrow(_cut_runs(length, borders), PIECE).groupBy("range").applyInArrow(_merge(length), "id bigint, first int, last int")
+    return ranges.unionByName(runs.where("low is null").select("id", "first", "last")).unionByName(merged)
+
+
 def _cut(length: int):  # noqa: ANN202
     """What is left of each text: columns id, text, ranges (null: none)."""
 
@@ -275,11 +426,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     share = spark.sparkContext.broadcast
     counts = stored(used.mapInArrow(_anchor_hashes(length), "anchor bigint").groupBy("anchor").count().where("count > 1"), "anchors")
     repeated, hot = share(bitmap(counts, "anchor", log2_bits)), share(bitmap(counts.where(F.col("count") >= HOT), "anchor", log2_bits - 3))
-    shards = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    occurrences = counts.agg(F.sum("count")).first()[0] or 0
+    shards = max(4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), occurrences // SHARD_ROWS)
     found = used.mapInArrow(_segments(length, shards, repeated, hot), ROW).groupBy("shard").applyInArrow(_shard(length, hot), RANGE)
     found = stored(found, "ranges")
-    merged = found.where("bytes is not null").withColumnRenamed("first", "start").groupBy("anchor").applyInArrow(_shard(length, None), RANGE)
-    ranges = stored(found.where("bytes is null").select("id", "first", "last").unionByName(merged.select("id", "first", "last")), "ranges")
+    merged = _merged_shards(found.where("bytes is not null").withColumnRenamed("first", "start"), length, shards, log2_bits - 3)
+    ranges = stored(found.where("bytes is null").select("id", "first", "last").unionByName(merged), "ranges")
     cut = share(bitmap(ranges, "id", log2_bits - 1))
 
     def chosen(within: bool):  # noqa: ANN202

@@ -34,15 +34,15 @@ ANCHOR = 32
 HOT = 2000
 ROW = "shard int, anchor bigint, segment bigint, id bigint, start int, n int, place int, bytes binary"
 RANGE = "id bigint, first int, last int, anchor bigint, segment bigint, n int, place int, bytes binary"
-#: A block of a sorted run (its strings, ids and starts packed, its smallest string), or a range of repeats.
-RUN = "id bigint, first int, last int, low binary, size int, keys binary, ids binary, starts binary"
+#: A block of a sorted run (its strings, ids and starts packed, strings of it at even distances), or a range of repeats.
+RUN = "id bigint, first int, last int, sample binary, size int, keys binary, ids binary, starts binary"
 PIECE = "range int, keys binary, ids binary, starts binary"
 #: Rows of a shard in the first round, segments of one in the second.
 SHARD_ROWS, SHARD_SEGMENTS = 60_000, 5_000
 #: Strings of a block of a run, and of a range.
 BLOCK, RANGE_STRINGS = 5_000, 100_000
-#: Strings among which the borders of the ranges are chosen, at most.
-SAMPLE = 20_000
+#: Strings of each block, and of all, among which the borders of the ranges are chosen; where they lie changes no result.
+BLOCK_SAMPLE, SAMPLE = 16, 20_000
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +278,8 @@ def _runs(length: int):  # noqa: ANN202
         strings = np.lib.stride_tricks.sliding_window_view(flat, length)
         owner, at, place = owner[by], at[by].astype(np.int32), place[by]
         blocks = [fresh[i : i + BLOCK] for i in range(0, len(fresh), BLOCK)]
-        packed = [(strings[place[f[0]]].tobytes(), len(f), strings[place[f]].tobytes(), owner[f].tobytes(), at[f].tobytes()) for f in blocks]
+        even = [f[np.arange(BLOCK_SAMPLE) * len(f) // BLOCK_SAMPLE] for f in blocks]
+        packed = [(strings[place[e]].tobytes(), len(f), strings[place[f]].tobytes(), owner[f].tobytes(), at[f].tobytes()) for e, f in zip(even, blocks, strict=True)]
         by = np.lexsort((at[again], owner[again]))
         who, when = owner[again][by], at[again][by]
         edges = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (when[1:] != when[:-1] + 1)])) if len(who) else by
@@ -286,7 +287,7 @@ def _runs(length: int):  # noqa: ANN202
         kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         cols = [pa.array([None] * len(blocks) + v, t) for v, t in zip([who[edges].tolist(), when[edges].tolist(), last.tolist()], [pa.int64(), pa.int32(), pa.int32()], strict=True)]
         cols += [pa.array([p[i] for p in packed] + [None] * len(edges), t) for i, t in enumerate(kinds)]
-        return pa.Table.from_arrays(cols, ["id", "first", "last", "low", "size", "keys", "ids", "starts"])
+        return pa.Table.from_arrays(cols, ["id", "first", "last", "sample", "size", "keys", "ids", "starts"])
 
     return run
 
@@ -375,13 +376,13 @@ def _merged_shards(first: DataFrame, length: int, shards: int, log2_bits: int) -
     dealt = lead.select("anchor", "id", "start", "bytes").mapInArrow(differing, "anchor bigint, id bigint, start int, bytes binary")
     dealt = dealt.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts})"))
     runs = stored(dealt.groupBy("part").applyInArrow(_runs(length), RUN), "runs")
-    blocks = runs.where("low is not null")
+    blocks = runs.where("sample is not null")
     wanted = max(shards // 4, (blocks.agg(F.sum("size")).first()[0] or 0) // RANGE_STRINGS)
-    sample = np.array([bytes(r.low) for r in blocks.select("low").orderBy(F.xxhash64("low")).limit(SAMPLE).collect()], f"S{length}")
-    sample.sort()
+    some = blocks.select("sample").orderBy(F.xxhash64("sample")).limit(SAMPLE // BLOCK_SAMPLE).collect()
+    sample = np.sort(np.frombuffer(b"".join(r.sample for r in some), f"S{length}"))
     borders = spark.sparkContext.broadcast(np.unique(sample[np.arange(1, wanted) * len(sample) // wanted]))
     merged = blocks.mapInArrow(_cut_runs(length, borders), PIECE).groupBy("range").applyInArrow(_merge(length), "id bigint, first int, last int")
-    return ranges.unionByName(runs.where("low is null").select("id", "first", "last")).unionByName(merged)
+    return ranges.unionByName(runs.where("sample is null").select("id", "first", "last")).unionByName(merged)
 
 
 def _cut(length: int):  # noqa: ANN202

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._text import text_chunks
+from weftgraph.llm._text import give_back, text_chunks
 
 #: Classes of bytes: letters in lower and upper case, digits, white space, line ends, sentence signs, bars, others.
 CLASSES = 8
@@ -43,7 +43,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _adam(gradient: Callable[[np.ndarray], np.ndarray], size: int, steps: int, rate: float) -> np.ndarray:
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
-        g = gradient(w)
+        g = np.asarray(gradient(w), np.float64)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -51,20 +51,23 @@ def _adam(gradient: Callable[[np.ndarray], np.ndarray], size: int, steps: int, r
 
 def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
     """(prior * R_p(+), R_u(-) - prior * R_p(-)) with the logistic loss: the parts of the unbiased risk, of which the second can't be negative."""
-    loss = lambda z: np.logaddexp(0, -z)
+    loss, w = lambda z: np.logaddexp(0, -z), w.astype(p.dtype)
     return prior * float(loss(p @ w).mean()), float(loss(-(u @ w)).mean()) - prior * float(loss(-(p @ w)).mean())
 
 
 def nnpu_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
     """The gradient of the non-negative risk; where its second part is negative that is ascended, as in the paper."""
-    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    v = w.astype(p.dtype)  # else each product would copy the rows to the kind of w
+    sp, su = _sigmoid(p @ v), _sigmoid(u @ v)
     plus = prior * (p.T @ (sp - 1)) / len(p)
     minus = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
     return plus + minus if nnpu_risk(w, p, u, prior)[1] >= 0 else -minus
 
 
 def _augmented(x: np.ndarray) -> np.ndarray:
-    return np.hstack([x * 4, np.ones((len(x), 1))])
+    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    np.multiply(x, 4, out=out[:, :-1])
+    return out
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.2, decay: float = 1e-5) -> np.ndarray:
@@ -79,9 +82,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300,
     A classifier tells positives from unlabelled rows on one half of both. On the other half, among the rows that it takes for positive
     from some score on nearly all unlabelled ones are: their share, by that of the positives, is the estimate. The score is that
     at which an upper bound of it is least."""
-    p, u = _augmented(positive), _augmented(unlabelled)
-    w = _adam(lambda w: p[::2].T @ (_sigmoid(p[::2] @ w) - 1) / len(p[::2]) + u[::2].T @ _sigmoid(u[::2] @ w) / len(u[::2]) + 1e-3 * w, p.shape[1], steps, rate)
-    sp, su = np.sort((p[1::2] if len(p) > 1 else p) @ w), np.sort((u[1::2] if len(u) > 1 else u) @ w)
+    p, u = _augmented(positive[::2]), _augmented(unlabelled[::2])
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        w = w.astype(p.dtype)
+        return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 1e-3 * w
+
+    w = _adam(gradient, p.shape[1], steps, rate)
+    sp, su = (np.sort(4 * (x[1::2] if len(x) > 1 else x) @ w[:-1].astype(x.dtype) + w[-1]) for x in (positive, unlabelled))
     of_p, of_u = 1 - np.arange(len(sp)) / len(sp), 1 - np.searchsorted(su, sp) / len(su)
     slack = np.sqrt(np.log(40) / (2 * len(su))) + np.sqrt(np.log(40) / (2 * len(sp)))
     best = int(((of_u + 2 * slack) / of_p).argmin())
@@ -107,7 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str
 
     def sample(part: DataFrame) -> np.ndarray:
         first = part.select("h", "text").mapInArrow(featured, "h bigint, x binary, c bigint").orderBy("h", "c").limit(max_rows).toArrow()
-        return np.array([np.frombuffer(r, np.float32) for r in first.column("x").to_pylist()]).reshape(-1, WIDTH).astype(np.float64)
+        out = np.empty((first.num_rows, WIDTH), np.float32)
+        for i, r in enumerate(first.column("x")):
+            out[i] = np.frombuffer(r.as_buffer(), np.float32)
+        return out
 
     # Of all hashes those below this edge hold the max_rows smallest; texts beyond aren't read into features.
     edge = min(1.0, 2 * max_rows / max(1, rows.count()))
@@ -117,7 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str
         return {"weights": np.zeros(WIDTH + 1), "prior": 0.5}
     prior = class_prior(trusted, unlabelled)
     # With too high a prior the second part of the risk is negative for any good classifier, so the fit takes a little less.
-    return {"weights": fit_nnpu(trusted, unlabelled, 0.97 * prior), "prior": prior}
+    model = {"weights": fit_nnpu(trusted, unlabelled, 0.97 * prior), "prior": prior}
+    del trusted, unlabelled
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

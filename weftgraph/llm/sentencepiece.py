@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm._tables import stored
-from weftgraph.llm._text import gather_ranges, piece_hashes, prefix_sums, released, text_chunks
+from weftgraph.llm._text import gather_ranges, give_back, piece_hashes, prefix_sums, released, text_chunks
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -244,13 +244,18 @@ def frequent_words(dictionary: DataFrame, max_words: int) -> tuple[tuple[np.ndar
     shared = dictionary.groupBy("hash").count().where("count > 1").select("hash")
     kept = dictionary.where("false" if least is None else f"n >= {least} and size(ids) <= {SHORT}").join(shared, "hash", "left_anti")
     rows = kept.select("hash", "ids").mapInArrow(_packed, "hash binary, size binary, ids binary").toArrow()
-    read = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-    hashes, sizes, ids = read("hash", np.uint64), read("size", "<i4"), read("ids", "<i4")
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+
+    def read(column: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(r.as_buffer(), kind) for r in rows.column(column)] + [np.zeros(0, kind)])
+
+    hashes, sizes, ids = read("hash", "<u8"), read("size", "<i4"), read("ids", "<i4")
+    del rows
+    ids = ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids
     order = np.argsort(hashes)
-    at = np.stack([starts[order], sizes[order]], axis=1).astype(np.int32)
-    whole = len(hashes) == dictionary.count()
-    return (hashes[order], at, ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids), whole
+    at = np.stack([(np.cumsum(sizes, dtype=np.int32) - sizes)[order], sizes[order]], axis=1)
+    hashes = hashes[order]
+    give_back()
+    return (hashes, at, ids), len(hashes) == dictionary.count()
 
 
 def _spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray]):  # noqa: ANN202

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.llm import decontaminate, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
@@ -115,8 +116,14 @@ def test_jaccard(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("long", [400, 30])
-def test_jaccard_against_all_pairs(spark, long):
+class _All:
+    """A bitmap in which all tokens are frequent."""
+
+    value = np.full(1 << 20, (1 << 64) - 1, np.uint64)
+
+
+@pytest.mark.parametrize(("long", "k"), [(400, 2), (400, 3), (30, 2)])
+def test_jaccard_against_all_pairs(spark, long, k):
     """Shared passages make most tokens frequent, so combinations and, in long sets, single frequent tokens decide."""
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
@@ -128,7 +135,7 @@ def test_jaccard_against_all_pairs(spark, long):
         texts.append(" ".join(t))
     texts += [t + " and so on" for t in texts[:40]] + texts[:5]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, key string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, frequent_from=2, minhashes=1, long=long).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, frequent_from=2, minhashes=1, long=long, k=k).collect()}
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
     least = list(range(len(texts)))
     while True:
@@ -142,15 +149,32 @@ def test_jaccard_against_all_pairs(spark, long):
     assert got == {i: (len(s), least[i]) for i, s in enumerate(sets)} and len(set(least)) > 20
 
 
-def test_jaccard_keys_of_a_long_text_are_few(spark):
-    """20,000 words, all frequent: no combinations; as many keys as the prefix has tokens."""
-    import pyarrow as pa
+def test_jaccard_pairs_share_a_key_that_tells_enough():
+    """Of all linked pairs of random sets, all tokens frequent, each shares a key whose places leave room for what the sets share."""
+    rng = np.random.default_rng(11)
+    for k in (2, 3):
+        run, seen = jaccard_join._prefixes(1, 80, k, _All, 400), 0
+        for _ in range(150):
+            n = int(rng.integers(1, 120))
+            one = rng.choice(400, n, replace=False)
+            other = np.concatenate([rng.permutation(one)[: n - int(rng.integers(0, 1 + n // 8))], 400 + rng.choice(400, int(rng.integers(0, 1 + n // 8)), replace=False)])
+            small, large = sorted((one, other), key=len)
+            same = len(np.intersect1d(small, large))
+            if 100 * same < 80 * (len(small) + len(large) - same):
+                continue
+            seen += 1
+            (out,) = run(iter([pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([" ".join(f"w{i}" for i in x) for x in (small, large)])], ["id", "text"])]))
+            (ka, ma), (kb, mb) = ((np.frombuffer(out.column("keys")[i].as_py(), np.int64), np.frombuffer(out.column("marks")[i].as_py(), np.int32)) for i in (0, 1))
+            need = 80 * (len(small) + len(large))
+            left = {key for key, mark in zip(ka.tolist(), ma.tolist(), strict=True) if mark % 2 and 180 * (len(small) - mark // 2) >= need}
+            assert left & {key for key, mark in zip(kb.tolist(), mb.tolist(), strict=True) if 180 * (len(large) - mark // 2) >= need}
+        assert seen > 50
 
-    class All:
-        value = np.full(1 << 20, (1 << 64) - 1, np.uint64)
 
+def test_jaccard_keys_of_a_long_text_are_few(spark):
+    """20,000 words, all frequent: no combinations; as many keys as the prefix has tokens."""
     text = " ".join(f"w{i}" for i in range(20_000))
-    run = jaccard_join._prefixes(4, 85, 2, All, 400)
+    run = jaccard_join._prefixes(4, 85, 2, _All, 400)
     (out,) = run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])]))
     assert len(out.column("keys")[0].as_py()) // 8 == 3000
 

@@ -6,7 +6,9 @@ longer by k - 1 share k tokens (or all of them). Here the order puts frequent to
 token is a rare one, both prefixes hold it: rare tokens are indexed singly. If it is a frequent one, all shared
 tokens are frequent, and the extended prefixes share k frequent ones: those are indexed as k-token combinations,
 which are far rarer than the tokens. So no pair is lost, whatever the class of frequent tokens is; the class only
-saves work. A long set would have too many combinations: above a size all frequent tokens are indexed singly, and by sets that are
+saves work. Near copies share very many combinations, and each would bring the pair
+again; so a key counts only if both sets have room behind its last token for what they must share, given that
+it is the k-th shared one. A long set would have too many combinations: above a size all frequent tokens are indexed singly, and by sets that are
 a little smaller in both ways, so two sets that can be linked always share a way. The class lives in a bitmap of a fixed size, the same in each task. Of two sets the smaller one needs only the
 prefix for partners that are no smaller, n - ceil(2t / (1 + t) * n) + 1 tokens (indexed), the larger one the full one.
 
@@ -119,8 +121,8 @@ def _counted(words: int, skip, whole):  # noqa: ANN001, ANN202
     return run
 
 
-def _combined(rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place of the first, place of the last) of all combinations of k tokens."""
+def _combined(rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the last token) of all combinations of k tokens."""
     at = np.arange(len(rest))[:, None]
     for _ in range(k - 1):  # each combination with all later places
         more = len(rest) - 1 - at[:, -1]
@@ -128,14 +130,15 @@ def _combined(rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     mixed = rest[at[:, 0]]
     for j in range(1, k):
         mixed = mix(mixed * BASE ^ rest[at[:, j]])
-    return mixed, at[:, 0], at[:, -1]
+    return mixed, at[:, -1]
 
 
 def _prefixes(words: int, percent: int, k: int, frequent, long: int):  # noqa: ANN001, ANN202
-    """(id, n, keys, marks): single rare tokens and combinations of k frequent ones of each text's prefix. A mark is
-    twice the place of the key's first token, plus 1 if the key also lies in the shorter prefix that suffices
-    against sets that are no smaller. Sets of more than `long` tokens have their frequent tokens singly, and so do, besides the
-    combinations, those that are large enough to be linked with such a set."""
+    """(id, n, keys, marks): single rare tokens and combinations of k frequent ones of each text's prefix. A mark is twice the place of a
+    single token, or that of a combination's last token less k - 1, plus 1 if the key also lies in the shorter prefix that suffices
+    against sets that are no smaller: from that place on a set has as many tokens as it can share, if the combination is that of the first k shared
+    tokens. Sets of more than `long` tokens have their frequent tokens singly, and so do, besides the
+    combinations, those that are large enough to be linked with such a set, and those so small that k - 1 shared tokens can link them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,20 +149,20 @@ def _prefixes(words: int, percent: int, k: int, frequent, long: int):  # noqa: A
                 p = n + (-percent * n) // 100 + 1 if n else 0
                 short = n + (-2 * percent * n) // (100 + percent) + 1
                 often = in_bitmap(frequent.value, s)
-                key = s[~often][:p]
-                r = len(key)
-                first = last = np.arange(r)
+                found = [s[~often][:p]]
+                r = len(found[0])
+                places = [np.arange(r)]
                 rest = s[often][: p + k - 1 - r] if r < p else s[:0]
-                if 100 * n > percent * long and len(rest):
-                    one = rest[: p - r]
-                    key = np.concatenate([key, mix(one ^ np.uint64(0xA5A5))])
-                    first = last = np.arange(len(key))
-                if n <= long and len(rest) >= k:
-                    mixed, a, b = _combined(rest, k)
-                    key = np.concatenate([key, mixed])
-                    first, last = np.concatenate([first, r + a]), np.concatenate([last, r + b - k + 1])
-                keys.append(key.tobytes())
-                marks.append((2 * first + (last < short)).astype(np.int32).tobytes())
+                if len(rest) and (100 * n > percent * long or percent * n <= 100 * (k - 1)):
+                    found.append(mix(rest[: p - r] ^ np.uint64(0xA5A5)))
+                    places.append(r + np.arange(len(found[-1])))
+                if n <= long:
+                    mixed, last = _combined(rest, k)
+                    found.append(mixed)
+                    places.append(r + last - k + 1)
+                place = np.concatenate(places)
+                keys.append(np.concatenate(found).tobytes())
+                marks.append((2 * place + (place < short)).astype(np.int32).tobytes())
             kinds = [pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip([sizes, keys, marks], kinds, strict=True))], ["id", "n", "keys", "marks"])
 
@@ -246,7 +249,7 @@ def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: in
     keys = stored(keys.mapInArrow(_maybe(kept), keys.schema).join(shared, "key").select("key", "mark", "id", "n", "component"), "shared")
     left = keys.where("mark % 2 = 1").select("key", F.col("id").alias("a"), "n", F.expr("n - mark div 2").alias("rest_a"), F.col("component").alias("ca"))
     right = keys.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.expr("n - mark div 2").alias("rest_b"), F.col("component").alias("cb"))
-    # A key whose first token is the first shared one leaves enough tokens behind it on both sides.
+    # Enough tokens are left from the place in the mark on, on both sides.
     room = f"({100 + percent}) * least(rest_a, rest_b) >= {percent} * (n + m)"
     pairs = left.join(right, "key").where(f"ca <> cb and (n < m or n = m and a < b) and {fits} and {room}")
     more = verified(rows, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, percent)

@@ -202,7 +202,7 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, log2_b
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = 4, percent: int = 85, k: int = 2, frequent_from: int = 12, minhashes: int = 3, long: int = 400, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 26
+    docs: DataFrame, words: int = 4, percent: int = 85, k: int = 2, frequent_from: int = 12, minhashes: int = 8, long: int = 400, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 26
 ) -> DataFrame:
     """(id, n_shingles, component_id) for every row: components of the graph in which two documents are linked if
     100 * |A & B| >= percent * |A | B|, A and B being their sets of `words`-word shingles.

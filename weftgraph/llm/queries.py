@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
+from weftgraph.llm import decontaminate, filter_audit, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
 from weftgraph.llm._tables import shared_dir, stored
 
 #: Vocabulary files of the public tokenizers.
@@ -91,18 +91,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op4_suffix_dedup, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality)
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op4_suffix_dedup, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {
     "op8_nearest": """
         with v as (select vec_id, cast(embedding as double[]) as e from embeddings
                    where vec_id is not null and len(embedding) > 0
-                     and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-                     and len(list_filter(embedding, x -> x <> 0)) > 0),
+                     and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+                     and len([x for x in embedding if x <> 0]) > 0),
         s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e) as score
               from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op13_filter_audit": r"""
+        with d as (select coalesce(source, '') as part, doc_id, coalesce(text, '') as t from documents),
+        w as (select *, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] as ws from d),
+        m as (select part, doc_id, cast(len(ws) < 200 as int) + 2 * cast(100 * len(list_distinct(ws)) < 50 * len(ws) as int)
+                + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) as int) + 8 * cast(regexp_matches(t, '[#$%&*|]') as int)
+                + 16 * cast(doc_id > min(doc_id) over (partition by t) as int) as mask from w),
+        c as (select part, mask, count(*) as n, count(*) filter (l.quality = 1) as good, count(*) filter (l.toxic = 1) as toxic
+              from m left join labels l using (doc_id) group by 1, 2),
+        f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(x, bit)),
+        o as (select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+              from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s as (select filter_order, step, bits[step] as bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) as int) as before from o, (select unnest(range(1, 6)) as step)),
+        r as (select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (before | bit) = 0), 0) as kept, coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0) as removed,
+                coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0) as redundant, coalesce(sum(n) filter (mask = bit), 0) as unique_fails,
+                coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0) as good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0) as toxic_lost
+              from c, s group by 1, 2, 3, 4)
+        select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+          cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+          cast(sum(removed) over (partition by part, bit) as bigint) as shapley from r""",
 }

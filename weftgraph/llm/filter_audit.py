@@ -143,7 +143,7 @@ def dealing_keys(open_rows: DataFrame, range_texts: int) -> DataFrame:
     return rows.withColumn("key", F.when(length.isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), length))).select(*open_rows.columns, "key")
 
 
-def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", range_texts: int = 2000) -> DataFrame:
+def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", range_texts: int = 100) -> DataFrame:
     """(id, part, mask) for every row: the bit of each filter of ABCDE, from 1 to 16, that the row fails.
 
     A: fewer than 200 words; B: fewer than half of the words are different; C: more than 2 % of the code points are A-Z; D: any of

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, filter_audit, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
+from weftgraph.llm import collocations, decontaminate, filter_audit, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
 from weftgraph.llm._tables import shared_dir, stored
 
 #: Vocabulary files of the public tokenizers.
@@ -91,12 +91,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op4_suffix_dedup, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality, op13_filter_audit)
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op4_suffix_dedup, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality, op11_collocations, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {
@@ -109,6 +113,24 @@ ORACLES: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op11_collocations": r"""
+        with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+        w as (select lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] as ws from p),
+        n as (select lang, sum(len(ws)) as n from w group by 1),
+        s as (select lang, ws, unnest(range(1, 5)) as m from w),
+        g as (select lang, m, ws, unnest(range(1, len(ws) - m + 2)) as i from s),
+        f as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, any_value(ws[i:i + m - 1]) as words, any_value(m) as m, count(*) as f from g group by 1, 2 having count(*) >= 30),
+        c as (select *, unnest(range(1, m)) as k from f where m > 1),
+        x as (select c.lang, c.phrase, c.words, c.f as a, k, l.f as l, r.f as r, cast(c.f as hugeint) * 2000000 // (cast(l.f as hugeint) + r.f) as score
+              from c join f l on l.lang = c.lang and l.phrase = array_to_string(c.words[1:k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.words[k + 1:], ' ')),
+        b as (select *, row_number() over (partition by lang, phrase order by score, k) as place from x),
+        i as (select lang, m, words, f, unnest(range(2, m)) as size from f where m > 2),
+        j as (select lang, words, f, size, unnest(range(1, m - size + 2)) as b from i),
+        h as (select lang, array_to_string(words[b:b + size - 1], ' ') as phrase, max(f) as longer from j group by 1, 2),
+        k as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank from b left join h on h.lang = b.lang and h.phrase = b.phrase
+              where place = 1 and (longer is null or cast(longer as hugeint) * 100 < cast(a as hugeint) * 80))
+        select k.lang, rank, k.phrase, a, l, r, cast(n.n as bigint) as n, cast(score as bigint) as score from k join n on n.lang = k.lang where rank <= 2000""",
     "op13_filter_audit": r"""
         with d as (select coalesce(source, '') as part, doc_id, coalesce(text, '') as t from documents),
         w as (select *, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] as ws from d),

@@ -4,10 +4,10 @@ Each word of a piece opens one window: itself and the up to three words behind i
 a ROLLUP over their columns sums them to all shorter phrases: what begins with a, b is the sum of the windows that begin with
 a, b, whatever follows. So no n-grams of other lengths are ever made.
 
-A phrase of `least` occurrences consists of words and of neighbouring pairs of `least` occurrences (Agrawal and Srikant, 1994). Windows therefore end before
-a rarer word or pair, which changes no count that matters and leaves few different windows. Frequent words and pairs are found by counts of
-their hashes and stand in bitmaps, sized by their number up to a fixed limit; words and pairs that share a hash or a place with one of them only cost
-rows, which the counts of the windows' own words drop later.
+A phrase of `least` occurrences consists of words, neighbouring pairs and triples of `least` occurrences (Agrawal and Srikant, 1994). Windows therefore
+end before a rarer word, pair or triple, which changes no count that matters and leaves few different windows. Which are frequent enough is found
+beforehand, from counts of hashes, length by length, and kept in bitmaps that are sized by their number up to a fixed limit; what shares a hash or a
+place with a frequent one only costs rows, which the counts of the windows' own words drop later.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ ENDS_PIECE, ENDS_WORD = np.zeros(256, bool), np.zeros(256, bool)
 ENDS_PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 ENDS_WORD[[32, 9]] = True
 #: Bytes of text whose windows are counted together, and different hashes that a task holds before it passes them on.
-CHUNK, HELD = 1 << 22, 1 << 21
+CHUNK, HELD = 1 << 20, 1 << 21
 #: Bits of a bitmap at most, as a power of two: 32 MB.
 MOST_BITS = 28
 #: Parts of a language that are ranked by themselves first.
@@ -67,16 +67,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield spans, low, hashes, langs
 
 
-def _pairs(spans: tuple, hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which known words have a known word behind them in their piece, and hashes of these pairs."""
-    first = np.zeros(len(hashes), bool)
-    first[:-1] = known[:-1] & known[1:] & (spans[3][1:] == spans[3][:-1])
-    at = np.flatnonzero(first)
-    return first, mix(hashes[at] * BASE ^ hashes[at + 1])
-
-
-def _count(frequent=None):  # noqa: ANN001, ANN202
-    """(hash, occurrences) of words with their language or, with a bitmap of the frequent ones, of pairs of these; summed over the task."""
+def _frequent(spans: tuple, hashes: np.ndarray, bitmaps: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For phrases of 1, 2, .. len(bitmaps) words, which words begin one that is frequent; then the words that begin a phrase of one word
+    more whose parts are frequent, and hashes of these phrases."""
+    together = np.zeros(len(hashes), bool)
+    together[:-1] = spans[3][1:] == spans[3][:-1]
+    begins, grown, may = [], hashes, np.ones(len(hashes), bool)
+    for length, bits in enumerate(bitmaps, 1):
+        at = np.flatnonzero(may)
+        known = np.zeros(len(hashes), bool)
+        known[at] = in_bitmap(bits.value, grown[at])
+        begins.append(known)
+        may = np.zeros(len(hashes), bool)
+        may[:-1] = known[:-1] & known[1:] & together[:-1]
+        at = np.flatnonzero(may)
+        longer = np.zeros(len(hashes), np.uint64)
+        longer[at] = mix(grown[at] * BASE ^ hashes[at + length])
+        grown = longer
+    return begins, np.flatnonzero(may), grown
+
+
+def _count(bitmaps: list):  # noqa: ANN202
+    """(hash, occurrences) of phrases that are a word longer than the last of the bitmaps has, by language; summed over the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
@@ -92,9 +104,8 @@ def _count(frequent=None):  # noqa: ANN001, ANN202
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "n"])
 
         for spans, _, hashes, _ in _chunks(batches):
-            if frequent is not None:
-                hashes = _pairs(spans, hashes, in_bitmap(frequent.value, hashes))[1]
-            parts.append(np.unique(hashes, return_counts=True))
+            _, at, grown = _frequent(spans, hashes, bitmaps)
+            parts.append(np.unique(grown[at], return_counts=True))
             if sum(len(k) for k, _ in parts) > HELD:
                 keys, counts = merged()
                 parts = []
@@ -114,15 +125,16 @@ def _dense(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, at
 
 
-def _windows(frequent, together):  # noqa: ANN001, ANN202
-    """(lang, w1 .. w4, n): the different windows of each chunk. A window's words and pairs are all frequent; '' pads it, and stands for rare words in w1."""
+def _windows(bitmaps: list):  # noqa: ANN202
+    """(lang, w1 .. w4, n): the different windows of each chunk, all of whose words, pairs and triples are frequent; '' pads them, and stands for rare words in w1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for spans, low, hashes, langs in _chunks(batches):
             starts, ends, text, _ = spans
             if not len(starts):
                 continue
-            known = in_bitmap(frequent.value, hashes)
+            begins = _frequent(spans, hashes, bitmaps)[0]
+            known = begins[0]
             where, size = starts[known], ends[known] - starts[known]
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
             strings = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(low[gather_ranges(where, size)]))
@@ -130,13 +142,11 @@ def _windows(frequent, together):  # noqa: ANN001, ANN202
             coded = strings.dictionary_encode()
             code = np.zeros(len(starts) + LONGEST, np.int64)
             code[: len(starts)][known] = coded.indices.to_numpy() + 1
-            first, pairs = _pairs(spans, hashes, known)
-            beside = np.zeros(len(starts) + LONGEST, bool)
-            beside[np.flatnonzero(first)[in_bitmap(together.value, pairs)]] = True
-            columns, open_ = [code[: len(starts)]], np.ones(len(starts), bool)
+            columns = [code[: len(starts)]]
             for i in range(1, LONGEST):
-                open_ = open_ & beside[i - 1 : len(starts) + i - 1]
-                columns.append(np.where(open_, code[i : len(starts) + i], 0))
+                # The longest window has frequent parts, as its own count is still to come.
+                whole = begins[i] if i < len(begins) else begins[-1] & np.append(begins[-1][1:], False)
+                columns.append(np.where(whole, code[i : len(starts) + i], 0))
             of = langs.dictionary_encode()
             number, first = of.indices.to_numpy()[text].astype(np.int64), None
             for column in columns:
@@ -153,14 +163,12 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     """(lang, size, words, f): phrases of one to four words that occur `least` times or more in a language, and for each language a row of
     size 0 with the number of all its words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def often(known=None):  # noqa: ANN001, ANN202
-        counts = rows.mapInArrow(released(_count(known)), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        found = stored(counts.where(F.col("n") >= least).select("h"), "frequent")
-        return docs.sparkSession.sparkContext.broadcast(bitmap(found, "h", min(MOST_BITS, max(16, int(16 * found.count()).bit_length()))))
-
-    frequent = often()
-    windows = rows.mapInArrow(released(_windows(frequent, often(frequent))), f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n bigint")
+    bitmaps: list = []
+    for _ in range(1, LONGEST):
+        counts = rows.mapInArrow(released(_count(list(bitmaps))), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+        often = stored(counts.where(F.col("n") >= least).select("h"), "frequent")
+        bitmaps.append(docs.sparkSession.sparkContext.broadcast(bitmap(often, "h", min(MOST_BITS, max(16, int(16 * often.count()).bit_length())))))
+    windows = rows.mapInArrow(released(_windows(bitmaps)), f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n bigint")
     sums = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Level 2 ** m - 1 has lost m columns; a padded one is no phrase of its length.
     size = F.expr(f"{LONGEST} - cast(bit_count(level) as int)")

@@ -4,10 +4,10 @@ Each word of a piece opens one window: itself and the up to three words behind i
 a ROLLUP over their columns sums them to all shorter phrases: what begins with a, b is the sum of the windows that begin with
 a, b, whatever follows. So no n-grams of other lengths are ever made.
 
-A phrase of `least` occurrences consists of words, neighbouring pairs and triples of `least` occurrences (Agrawal and Srikant, 1994). Windows therefore
-end before a rarer word, pair or triple, which changes no count that matters and leaves few different windows. Which are frequent enough is found
-beforehand, from counts of hashes, length by length, and kept in bitmaps that are sized by their number up to a fixed limit; what shares a hash or a
-place with a frequent one only costs rows, which the counts of the windows' own words drop later.
+All parts of a phrase of `least` occurrences have as many (Agrawal and Srikant, 1994). Windows therefore end before the word that makes them rarer, which
+changes no count that matters and leaves few different windows. What is frequent enough is found beforehand, from counts of hashes, length
+by length, and kept in bitmaps that are sized by their number up to a fixed limit; what shares a hash or a place with something frequent only
+costs rows, which the counts of the windows' own words drop later.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def _dense(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(bitmaps: list):  # noqa: ANN202
-    """(lang, w1 .. w4, n): the different windows of each chunk, all of whose words, pairs and triples are frequent; '' pads them, and stands for rare words in w1."""
+    """(lang, w1 .. w4, n): the different windows of each chunk, all of whose parts are frequent; '' pads them, and stands for rare words in w1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for spans, low, hashes, langs in _chunks(batches):
@@ -144,9 +144,7 @@ def _windows(bitmaps: list):  # noqa: ANN202
             code[: len(starts)][known] = coded.indices.to_numpy() + 1
             columns = [code[: len(starts)]]
             for i in range(1, LONGEST):
-                # The longest window has frequent parts, as its own count is still to come.
-                whole = begins[i] if i < len(begins) else begins[-1] & np.append(begins[-1][1:], False)
-                columns.append(np.where(whole, code[i : len(starts) + i], 0))
+                columns.append(np.where(begins[i], code[i : len(starts) + i], 0))
             of = langs.dictionary_encode()
             number, first = of.indices.to_numpy()[text].astype(np.int64), None
             for column in columns:
@@ -164,7 +162,7 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     size 0 with the number of all its words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bitmaps: list = []
-    for _ in range(1, LONGEST):
+    for _ in range(LONGEST):
         counts = rows.mapInArrow(released(_count(list(bitmaps))), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
         often = stored(counts.where(F.col("n") >= least).select("h"), "frequent")
         bitmaps.append(docs.sparkSession.sparkContext.broadcast(bitmap(often, "h", min(MOST_BITS, max(16, int(16 * often.count()).bit_length())))))

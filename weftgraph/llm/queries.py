@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import collocations, decontaminate, filter_audit, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, url_filter
+from weftgraph.llm import collocations, decontaminate, filter_audit, jaccard_join, language_id, nearest, pii, quality, sentencepiece, suffix_dedup, token_store, toxicity, url_filter
 from weftgraph.llm._tables import shared_dir, stored
 
 #: Vocabulary files of the public tokenizers.
@@ -95,12 +95,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(remainder("doc_id", 3) != 1))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "nearest")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op4_suffix_dedup, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality, op11_collocations, op13_filter_audit)
+    f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_token_store, op4_suffix_dedup, op5_jaccard_join, op6_pii, op7_decontaminate, op8_nearest, op9_url_filter, op10_quality, op11_collocations, op12_toxicity, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {

@@ -3,7 +3,7 @@
 Terms are words and the first 4 to 7 bytes of longer words, as insults come inflected. Of these only the terms that labelled rows mark
 as toxic count by themselves; all others would drown them, so any other word is one and the same term. Examples that hold marked terms are indexed: postings by term, examples in
 blocks of 64 with the largest weight of each term in each block (block-max indexes: Ding and Suel, 2011). A query adds up, for each block, what its terms could
-give at most, reads the blocks in that order, and ends when no block can reach its k-th best example any more; so the neighbours are exact.
+give at most, reads the best blocks in that order, a few first and then more at once, and ends when no other block can reach its k-th best example; so the neighbours are exact.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm._tables import stored
 from weftgraph.llm._text import LOWER, gather_ranges, give_back, mix, piece_hashes, prefix_sums, released, text_chunks
 
 STEMS = (4, 5, 6, 7)
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 BLOCK = 64
-#: Likelihood ratio from which a term counts, and how many count at most.
-LEAST_RATIO, MOST_TERMS = 16.0, 4096
+#: A term counts if its likelihood ratio reaches this and its share of toxic rows is so many times that of clean ones; so many count at most.
+LEAST_RATIO, LEAST_LIFT, MOST_TERMS = 16.0, 4, 1024
 #: Neighbours that vote, the power of their cosine that weighs them, and the weight of the share of toxic rows beside them.
 NEIGHBOURS, POWER, PRIOR_WEIGHT = 20, 4, 0.2
 #: Query vectors whose results a task remembers.
@@ -93,30 +94,41 @@ class BlockMaxIndex:
         """The k rows of the largest products with the query, larger ones first, then smaller rows; their products; blocks read."""
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        rows, scores, read = np.zeros(0, np.int64), np.zeros(0), 0
-        for b in order.tolist():
+        rows, scores, read, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while read < len(order):
+            some = order[read : read + step]
             # A block whose bound only ties may hold a smaller row.
-            if bound[b] <= 0 or len(rows) == k and bound[b] < scores[-1] - 1e-9:
+            some = some[bound[some] >= (scores[-1] - 1e-9 if len(rows) == k else 1e-12)]
+            if not len(some):
                 break
-            read += 1
-            begin, end = self.begins[terms * self.blocks + b], self.begins[terms * self.blocks + b + 1]
-            at = gather_ranges(begin, end - begin)
-            found = np.bincount(self.row[at] - b * BLOCK, self.weight[at] * np.repeat(weights, end - begin), BLOCK)
+            read, step = read + len(some), 8 * step
+            places = terms[:, None] * self.blocks + some
+            begin, size = self.begins[places], self.begins[places + 1] - self.begins[places]
+            at = gather_ranges(begin.ravel(), size.ravel())
+            slot = np.zeros(self.blocks, np.int64)
+            slot[some] = np.arange(len(some))
+            found = np.bincount(slot[self.row[at] // BLOCK] * BLOCK + self.row[at] % BLOCK, self.weight[at] * np.repeat(weights, size.sum(axis=1)), len(some) * BLOCK)
             own = np.flatnonzero(found > 0)
-            rows, scores = np.concatenate([rows, own + b * BLOCK]), np.concatenate([scores, found[own]])
-            best = np.lexsort((rows, -scores))[:k]
+            rows, scores = np.concatenate([rows, some[own // BLOCK] * BLOCK + own % BLOCK]), np.concatenate([scores, found[own]])
+            if len(rows) > k:
+                near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                best = near[np.lexsort((rows[near], -scores[near]))][:k]
+            else:
+                best = np.lexsort((rows, -scores))
             rows, scores = rows[best], scores[best]
         return rows, scores, read
 
 
-def _examples(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> tuple[pa.Table, dict]:
-    """At most max_rows texts of each label, those with the smallest hash of their ids, and how many of each label there are."""
+def _examples(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict]:
+    """(id, text, y, first) of at most max_rows texts of each label, those with the smallest hash of their ids; first is one of the rows with equal texts and labels. Also how many ids of each label there are."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y", F.xxhash64("id").alias("h"))
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = known.where("y = 1").orderBy("h", "id").limit(max_rows).unionByName(known.where("y = 0").orderBy("h", "id").limit(max_rows))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return rows.join(F.broadcast(chosen), "id"), total
+    rows = stored(rows.join(F.broadcast(chosen), "id").select("id", "text", "y", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("n")), "examples")
+    first = rows.groupBy("t", "y").agg(F.min("n").alias("n")).select("n", F.lit(True).alias("first"))
+    return rows.join(first, "n", "left").select("id", "text", "y", F.coalesce("first", F.lit(False)).alias("first")), total
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -144,13 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(term[at].view(np.int64)), pa.array(one), pa.array(np.diff(np.append(at, len(term))) - one)], ["term", "a", "b"])
 
     # Equal texts of one label are one row here, or their every word would look like a mark.
-    once = rows.groupBy("text", "y").agg(F.min("id").alias("id"))
+    once = rows.where("first")
     size = {r.y: r.n for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = total.get(1, 0) / sum(total.values()) if total else 0.5
     if not size.get(0) or not size.get(1):
         return {"vocabulary": Vocabulary(np.zeros(0, np.uint64)), "index": None, "base": share}
     marks = once.select("text", "y").mapInArrow(released(hashed), "term bigint, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 2")
-    marks = marks.where(f"a * {size[0]} > b * {size[1]}")
+    marks = marks.where(f"a * {size[0]} > {LEAST_LIFT} * b * {size[1]}")
     # Dunning's likelihood ratio (1993) of the four cells: term or not, toxic or clean.
     n, t = float(size[0] + size[1]), float(size[1])
     cells = (("a", f"{t}D * (a + b)"), ("b", f"{n - t}D * (a + b)"), (f"({t}D - a)", f"{t}D * ({n}D - a - b)"), (f"({n - t}D - b)", f"{n - t}D * ({n}D - a - b)"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def describe_step() -> Column:
-    """Over columns of an op log."""
+    """Over columns of an op log. An op of another kind shows the whole `forward` of its payload."""
+    other = F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.forward", "variant")), F.to_json("forward"))
     names = F.concat(F.lit("['"), F.array_join("meta.scc", "', '"), F.lit("']"))
     removed = F.format_string("Removed [%s]  (weight=%s)", F.col("forward.target"), F.col("inverse.weight").cast("string"))
     broken = F.format_string("Loop %s → header [%s], back-edges cut", names, F.coalesce("meta.header", F.lit("?")))
-    return F.when(F.col("kind") == "remove_node", removed).when(F.col("kind") == "remove_edges", broken).otherwise(F.concat("kind", F.lit(": "), F.to_json("forward")))
+    return F.when(F.col("kind") == "remove_node", removed).when(F.col("kind") == "remove_edges", broken).otherwise(F.concat("kind", F.lit(": "), other))
 
 
 def describe_undo(word: str = "Undo") -> Column:

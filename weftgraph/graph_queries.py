@@ -334,7 +334,82 @@ def reduction_progress_loops(spark, sf):  # noqa: ANN001, ANN201
     return reduction.progress(nodes, edges, log, settled(schedule.scopes(log)))
 
 
+def _thrice(log: DataFrame) -> DataFrame:
+    """Cursors behind the first op, in the middle and before the last op of each graph's log."""
+    n = log.groupBy("graph_id").agg(F.count("*").alias("n"))
+    return n.select("graph_id", F.explode(F.array_distinct(F.expr("array(1L, n div 2, n - 1)"))).alias("k"))
+
+
+def graphs_as_of(spark, sf):  # noqa: ANN001, ANN201
+    nodes, edges, log = _log(spark, sf)
+    return reduction.graph_as_of(nodes, edges, log, _thrice(log))[0]
+
+
+def edges_as_of(spark, sf):  # noqa: ANN001, ANN201
+    nodes, edges, log = _log(spark, sf)
+    return reduction.graph_as_of(nodes, edges, log, _thrice(log))[1]
+
+
+def frontiers_as_of(spark, sf):  # noqa: ANN001, ANN201
+    nodes, edges, log = _log(spark, sf)
+    return reduction.frontier_as_of(nodes, edges, log, _thrice(log)).select("graph_id", "k", "node_id")
+
+
+def _annotated(log: DataFrame) -> DataFrame:
+    """Every third op replaced by one of a kind, and with fields, that nothing here knows."""
+    note = F.to_json(F.struct(F.lit("annotate").alias("kind"), F.struct(F.concat(F.lit("seen "), F.col("inverse.target")).alias("note"), F.array(F.struct(F.col("op_idx").alias("at"))).alias("marks")).alias("forward")))
+    third = F.col("op_idx") % 3 == 0
+    return log.withColumns({"kind": F.when(third, "annotate").otherwise(F.col("kind")), "payload": F.when(third, note)})
+
+
+def annotated_roundtrip(spark, sf):  # noqa: ANN001, ANN201
+    """Ops of an unknown kind, written and read again, with a field of their own and the text of the op."""
+    path = f"{shared_dir(spark)}/op-log-{uuid.uuid4().hex}"
+    op_log_io.write_op_log(_annotated(_log(spark, sf)[2]), path)
+    back = op_log_io.read_op_log(spark, path)
+    mark = F.try_variant_get(F.try_parse_json("payload"), "$.forward.marks[0].at", "bigint")
+    return back.select("graph_id", "op_idx", "kind", F.col("inverse.target").alias("target"), mark.alias("mark"), describe_step().alias("step"))
+
+
+def annotated_motifs(spark, sf):  # noqa: ANN001, ANN201
+    found = reduction.motifs(_annotated(_log(spark, sf)[2]))
+    return found.select("graph_id", "step", "kind", "node", F.array_join("preds", ",").alias("preds"))
+
+
+def op_files_roundtrip(spark, sf):  # noqa: ANN001, ANN201
+    path = f"{shared_dir(spark)}/op-files-{uuid.uuid4().hex}"
+    op_log_io.write_op_files(_log(spark, sf)[2], path)
+    return _flat(op_log_io.read_op_files(spark, path))
+
+
+def broken_files(spark, sf):  # noqa: ANN001, ANN201
+    """The status of each graph's text, of which some are cut short, wrapped or without a kind."""
+    rows = op_log_io.ops_to_json(_log(spark, sf)[2])
+    n = F.length("graph_id") % 4
+    value = F.when(n == 0, F.concat("value", F.lit("]"))).when(n == 1, F.concat(F.lit('{"ops":'), "value", F.lit("}"))).when(n == 2, F.lit('[{"forward": {}}]')).otherwise(F.col("value"))
+    return op_log_io.json_status(rows.withColumn("value", value))
+
+
+def heavy_status(spark, sf):  # noqa: ANN001, ANN201
+    """Nodes of a weight of which four leave 64 bits."""
+    edges = settled(acyclic(spark, sf))
+    return schedule.reduction_status(settled(ingest.nodes_from_edges(edges)), edges, spark.createDataFrame([("basic", 1 << 61)], "name string, default_weight bigint"))
+
+
+def metagraph_of_dag(spark, sf):  # noqa: ANN001, ANN201
+    edges = settled(acyclic(spark, sf))
+    return motif_tree.metagraph_of(settled(_weighted(spark, edges)), edges)[1]
+
+
+def wrong_levels(spark, sf):  # noqa: ANN001, ANN201
+    """Violations where every third motif is put below the one before it, which is no loop, and the edges stay as they are."""
+    found = settled(reduction.motifs(_log(spark, sf)[2]))
+    ways = reduction.metagraph_edges(found).withColumn("parent_step", F.lit(None).cast("bigint"))
+    return motif_tree.metagraph_violations(found.withColumn("parent_step", F.when(F.col("step") % 3 == 2, F.col("step") - 1)), ways)
+
+
 _NAMES = (
+    graphs_as_of, edges_as_of, frontiers_as_of, annotated_roundtrip, annotated_motifs, op_files_roundtrip, broken_files, heavy_status, metagraph_of_dag, wrong_levels,
     metagraph_edges_dag, graph_edges, graph_nodes, type_weights, graph_status, degrees, neighbours, terminals, next_terminal, induced_subgraph, removed_terminals, scc, terminal_sccs, loop_headers,
     back_edges, loop_nesting, residual_edges, residual_weights, residual_motif_kinds, dag_weights, op_log_dag, op_log_roundtrip, motifs_dag, motif_profile_dag, dag_violations, graph_as_of, frontier_as_of, truncate_append, reduction_progress, describe_ops,
     op_log_loops, motifs_loops, metagraph_edges_loops, subgraphs_loops, has_node, empty_graphs, scoped_terminals, terminal_sccs_in_focus, removed_edges, restored_edges, restored_nodes, opaque_motifs,
@@ -362,7 +437,19 @@ _LOG = _D + """, p as (select graph_id, node_id as v, node_id as at from n union
  k as (select distinct graph_id, cast(total // 2 as bigint) as k from l)"""
 _OPS = "select graph_id, op_idx, 'remove_node' as kind, node_id as target, preds, weight from l"
 _META = "select distinct x.graph_id, y.step as src_step, x.step as dst_step from m x join d on d.graph_id = x.graph_id and d.dst = x.node_id join m y on y.graph_id = d.graph_id and y.node_id = d.src"
+_THRICE = f"{_LOG}, c as (select distinct graph_id, cast(unnest([1, total // 2, total - 1]) as bigint) as k from l)"
 ORACLES: dict[str, str] = {
+    "graphs_as_of": f"{_THRICE}, a as (select l.graph_id, c.k, l.node_id, 1 + coalesce((select sum(g.weight) from d join l g on g.graph_id = d.graph_id and g.node_id = d.dst where d.graph_id = l.graph_id and d.src = l.node_id and g.op_idx < c.k), 0) as weight from l join c on c.graph_id = l.graph_id where l.op_idx >= c.k) select graph_id, k, node_id, cast(weight as bigint) as weight from a",
+    "edges_as_of": f"{_THRICE} select d.graph_id, c.k, d.src, d.dst from d join c on c.graph_id = d.graph_id join l s on s.graph_id = d.graph_id and s.node_id = d.src join l t on t.graph_id = d.graph_id and t.node_id = d.dst where least(s.op_idx, t.op_idx) >= c.k",
+    "frontiers_as_of": f"{_THRICE} select l.graph_id, c.k, l.node_id from l join c on c.graph_id = l.graph_id where l.op_idx >= c.k and not exists (select 1 from d join l g on g.graph_id = d.graph_id and g.node_id = d.dst where d.graph_id = l.graph_id and d.src = l.node_id and g.op_idx >= c.k)",
+    "annotated_roundtrip": f"""{_LOG} select graph_id, op_idx, case when op_idx % 3 = 0 then 'annotate' else 'remove_node' end as kind, case when op_idx % 3 > 0 then node_id end as target, case when op_idx % 3 = 0 then op_idx end as mark,
+        case when op_idx % 3 = 0 then 'annotate: {{"marks":[{{"at":' || cast(op_idx as varchar) || '}}],"note":"seen ' || node_id || '"}}' else 'Removed [' || node_id || ']  (weight=' || cast(weight as varchar) || ')' end as step from l""",
+    "annotated_motifs": f"{_LOG} select graph_id, step, case when op_idx % 3 = 0 then 'annotate' else kind end as kind, case when op_idx % 3 = 0 then null else node_id end as node, case when op_idx % 3 = 0 then '' else preds end as preds from m",
+    "op_files_roundtrip": f"{_LOG} {_OPS}",
+    "broken_files": f"{_D} select distinct graph_id, case length(graph_id) % 4 when 0 then 'broken_json' when 1 then 'no_array' when 2 then 'op_without_kind' else 'ok' end as status from n",
+    "heavy_status": f"{_LOG} select graph_id, case when max(weight) >= 4 then 'weight_overflow' else 'ok' end as status from w group by 1",
+    "metagraph_of_dag": f"{_LOG}, e as ({_META}) select graph_id, cast(null as bigint) as parent_step, src_step, dst_step from e",
+    "wrong_levels": f"{_LOG}, e as ({_META}) select graph_id, cast(null as bigint) as parent_step, src_step, dst_step, 'unknown_step' as reason from e where src_step % 3 = 2 or dst_step % 3 = 2 union all select graph_id, step - 1, null, null, 'not_a_loop' from m where step % 3 = 2",
     "graph_edges": f"{_C} select * from c",
     "graph_nodes": f"{_C} select *, 'basic' as node_type from n",
     "type_weights": f"{_C} select *, case when node_id = 'purchase' then 'purchase' else 'basic' end as node_type, cast(case when node_id = 'purchase' then 3 else 1 end as bigint) as weight0 from n",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ordering import numbered
 from weftgraph.operators.schedule import op_log
 from weftgraph.operators.shared import settled
 
@@ -64,8 +65,8 @@ def motifs(log: DataFrame, parents: DataFrame) -> DataFrame:
     every = settled(every)
     loop, node = F.col("kind") == "remove_edges", F.col("kind") == "remove_node"
     key = F.when(loop, F.concat("path", F.array(F.lit(LAST)))).otherwise(F.col("path"))
-    rows = log.join(every, OP).withColumn("step", (F.row_number().over(Window.partitionBy("graph_id").orderBy(key)) - 1).cast("bigint"))
-    rows = settled(rows.drop("path").join(tree, OP))
+    steps = numbered(log.select(*OP, "kind").join(every, OP).select(*OP, key.alias("path")), ["path"], "step").drop("path")
+    rows = settled(log.join(steps, OP).join(tree, OP))
 
     broken = rows.where("kind = 'remove_edges'").select("graph_id", F.col("op_idx").alias("loop_idx"), F.explode("meta.scc").alias("member"))
     named = rows.where("kind = 'remove_node'").select("graph_id", F.col("forward.target").alias("target"), "parent_idx", F.explode("inverse.pred_edges").alias("pred"))

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.loops import node_weights
-from weftgraph.operators.lookups import NODE, predecessors, terminals
+from weftgraph.operators.lookups import NODE, predecessors
+from weftgraph.operators.ordering import numbered
 
 
 def op_log(nodes: DataFrame, residual: DataFrame) -> DataFrame:
     """The removals of graphs without loops: op_idx orders a graph's nodes by (weight, node_id).
 
     Without loops a priority queue of terminals by (weight, id) pops in sorted order, because a predecessor always
-    weighs more: so the whole schedule is one window. nodes: with weight0 of 1 or more.
+    weighs more: so the whole schedule is one sort. nodes: with weight0 of 1 or more.
     """
     weights = node_weights(nodes, residual)
     rows = nodes.join(weights, NODE).join(predecessors(nodes, residual), NODE)
-    order = Window.partitionBy("graph_id").orderBy("weight", "node_id")
     none = F.array().cast("array<string>")
     edges = F.lit(None).cast("array<struct<src:string,dst:string>>")
     deltas = F.map_from_arrays("preds", F.transform("preds", lambda p: F.col("weight")))
-    return rows.select(
-        "graph_id", (F.row_number().over(order) - 1).cast("bigint").alias("op_idx"), F.lit("remove_node").alias("kind"),
+    return numbered(rows, ["weight", "node_id"], "op_idx").select(
+        "graph_id", "op_idx", F.lit("remove_node").alias("kind"),
         F.struct(F.col("node_id").alias("target"), edges.alias("edges")).alias("forward"),
         F.struct(F.col("node_id").alias("target"), F.col("preds").alias("pred_edges"), none.alias("succ_edges"), "weight", "node_type", deltas.alias("weight_deltas"), edges.alias("edges")).alias("inverse"),
         F.struct(F.lit(None).cast("string").alias("header"), F.lit(None).cast("array<string>").alias("scc")).alias("meta"),
+        F.lit(None).cast("string").alias("payload"),
     )
 
 
@@ -37,11 +38,10 @@ def motif_kinds(nodes: DataFrame, residual: DataFrame) -> DataFrame:
 
 def motifs(log: DataFrame) -> DataFrame:
     """Top-level motifs of a log of removals in the order of reconstruction; ops of other kinds are opaque motifs."""
-    order = Window.partitionBy("graph_id").orderBy(F.desc("op_idx"))
     n, node = F.size("inverse.pred_edges"), F.col("kind") == "remove_node"
     kind = F.when(~node, F.col("kind")).when(n == 0, "entry").when(n == 1, "linear").otherwise("merge")
     preds = F.when(node, F.array_sort("inverse.pred_edges")).otherwise(F.array().cast("array<string>"))
-    return log.select("graph_id", (F.row_number().over(order) - 1).cast("bigint").alias("step"), kind.alias("kind"), F.when(node, F.col("inverse.target")).alias("node"), preds.alias("preds"), "op_idx")
+    return numbered(log.withColumn("back", -F.col("op_idx")), ["back"], "step").select("graph_id", "step", kind.alias("kind"), F.when(node, F.col("inverse.target")).alias("node"), preds.alias("preds"), "op_idx")
 
 
 def node_steps(found: DataFrame) -> DataFrame:
@@ -70,26 +70,44 @@ def motif_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("graph_id", "parent_step", "kind").agg(F.count("*").alias("n"))
 
 
+#: A graph's nodes and edges are dealt to so many bins, and its cursors go to each, so that one large graph is many tasks' work.
+BINS = 32
+
+
+def _bin(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BINS)).alias("bin")
+
+
 def graph_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Live nodes with weights, and live edges, after the first k ops of each graph, removals and loop breaks. cursor: graph_id, k."""
-    past = log.join(cursor, "graph_id").where("op_idx < k")
-    gone = past.where("kind = 'remove_node'").select("graph_id", F.col("inverse.target").alias("node_id"), "inverse.weight_deltas")
-    cut = past.where("kind = 'remove_edges'").select("graph_id", F.explode("forward.edges").alias("e")).select("graph_id", "e.src", "e.dst")
-    gain = gone.select("graph_id", F.explode("weight_deltas").alias("node_id", "d")).groupBy(NODE).agg(F.sum("d").alias("d"))
-    live = nodes.join(gone.select(NODE), NODE, "left_anti").join(gain, NODE, "left")
-    live = live.select("graph_id", "node_id", (F.col("weight0") + F.coalesce("d", F.lit(0))).alias("weight"))
-    left = edges.select("graph_id", "src", "dst").join(cut, ["graph_id", "src", "dst"], "left_anti")
-    left = left.join(gone.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_anti")
-    return live, left.join(gone.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_anti").select("graph_id", "src", "dst")
+    """(graph_id, k, node_id, weight) and (graph_id, k, src, dst): what is left after the first k ops, removals and loop breaks.
+
+    cursor: graph_id, k; a graph may have any number of cursors, repeated ones count once. Nodes and edges live from the start to an op, so each is compared with
+    its graph's cursors by the number of that op, and a weight adds up the changes before k."""
+    at = cursor.select("graph_id", "k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1)).cast("array<bigint>")))
+    gone = log.where("kind = 'remove_node'").select("graph_id", F.col("inverse.target").alias("node_id"), F.col("op_idx").alias("gone"), "inverse.weight_deltas")
+    changes = gone.select("graph_id", F.explode("weight_deltas").alias("node_id", "d"), "gone").select("*", _bin("node_id"))
+    gain = changes.join(at, ["graph_id", "bin"]).where("gone < k").groupBy("graph_id", "k", "node_id").agg(F.sum("d").alias("d"))
+    ends = gone.select(*NODE, "gone")
+    live = nodes.join(ends, NODE, "left").select(*NODE, "weight0", "gone", _bin("node_id")).join(at, ["graph_id", "bin"]).where("gone is null or gone >= k")
+    live = live.join(gain, ["graph_id", "k", "node_id"], "left").select("graph_id", "k", "node_id", (F.col("weight0") + F.coalesce("d", F.lit(0))).alias("weight"))
+    cut = log.where("kind = 'remove_edges'").select("graph_id", F.explode("forward.edges").alias("e"), "op_idx").groupBy("graph_id", "e.src", "e.dst").agg(F.min("op_idx").alias("cut"))
+    left = edges.select("graph_id", "src", "dst").join(cut, ["graph_id", "src", "dst"], "left")
+    for side in ("src", "dst"):
+        left = left.join(ends.withColumnsRenamed({"node_id": side, "gone": f"{side}_gone"}), ["graph_id", side], "left")
+    left = left.select("graph_id", "src", "dst", F.least("cut", "src_gone", "dst_gone").alias("gone"), _bin("src")).join(at, ["graph_id", "bin"])
+    return live, left.where("gone is null or gone >= k").select("graph_id", "k", "src", "dst")
 
 
 def frontier_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The terminals after the first k ops, with seen (of schedule.scopes) those in the scope at that time."""
+    """The terminals (graph_id, k, node_id, weight) after the first k ops, for all cursors; with seen (of schedule.scopes) those in the scope at that time."""
     live, left = graph_as_of(nodes, edges, log, cursor)
+    ends = live.join(left.select("graph_id", "k", F.col("src").alias("node_id")), ["graph_id", "k", "node_id"], "left_anti")
     if seen is None:
-        return terminals(live, left)
-    scope = seen.join(cursor, "graph_id").where("op_idx = k - 1").select("graph_id", (F.size("after") > 0).alias("active"), F.col("after").alias("focus"))
-    return terminals(live, left, scope)
+        return ends
+    scope = seen.where("size(after) > 0").select("graph_id", (F.col("op_idx") + 1).alias("k"), F.explode("after").alias("node_id"), F.lit(True).alias("inside"))
+    zoomed = scope.select("graph_id", "k", F.lit(True).alias("zoomed")).distinct()
+    both = ends.join(scope, ["graph_id", "k", "node_id"], "left").join(zoomed, ["graph_id", "k"], "left")
+    return both.where("zoomed is null or inside").select(ends.columns)
 
 
 def truncate_and_append(log: DataFrame, cursor: DataFrame, new_ops: DataFrame) -> DataFrame:

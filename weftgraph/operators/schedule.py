@@ -1,7 +1,7 @@
 """The ordered reduction of graphs with loops.
 
 Between two breaks a graph's terminals leave in the order of (weight, node_id), so the whole order is one sort by (epoch,
-removals before the break, weight, node_id). Only the small tables of loops go round by round, all graphs in step.
+removals before the break, weight, node_id), dealt by ranges. Only the small tables of loops go round by round, all graphs in step.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.lookups import NODE, predecessors
 from weftgraph.operators.loops import HOPS, loop_nesting, node_weights
+from weftgraph.operators.ordering import numbered
 from weftgraph.operators.shared import settled
+from weftgraph.sources.ingest import validate_graphs, with_default_weights
 
 LOOP = ["graph_id", "loop_id"]
 EDGES = "array<struct<src:string,dst:string>>"
@@ -133,9 +135,21 @@ def op_log(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.struct(no_text.alias("target"), F.lit(None).cast("array<string>").alias("pred_edges"), F.lit(None).cast("array<string>").alias("succ_edges"), F.lit(None).cast("bigint").alias("weight"), no_text.alias("node_type"), F.lit(None).cast("map<string,bigint>").alias("weight_deltas"), "edges").alias("inverse"),
         F.struct("header", F.col("members").alias("scc")).alias("meta"),
     )
-    order = Window.partitionBy("graph_id").orderBy("epoch", "is_break", "weight", "node_id")
-    numbered = removed.unionByName(broken).withColumn("op_idx", (F.row_number().over(order) - 1).cast("bigint"))
-    return numbered.select("graph_id", "op_idx", "kind", "forward", "inverse", "meta")
+    rows = numbered(removed.unionByName(broken), ["epoch", "is_break", "weight", "node_id"], "op_idx")
+    return rows.select("graph_id", "op_idx", "kind", "forward", "inverse", "meta", F.lit(None).cast("string").alias("payload"))
+
+
+def reduction_status(nodes: DataFrame, edges: DataFrame, node_types: DataFrame) -> DataFrame:
+    """(graph_id, status) as :func:`validate_graphs` gives it, but `self_loop` only where no break cuts it, and `weight_overflow` where a weight
+    leaves 64 bits. Every graph has a row; those with the status ok are the ones that :func:`op_log` orders."""
+    found = settled(validate_graphs(nodes, edges, node_types))
+    fit = found.where("status in ('ok', 'self_loop')").select("graph_id")
+    nodes, edges = (settled(t.join(fit, "graph_id", "left_semi")) for t in (with_default_weights(nodes, node_types), edges))
+    residual = loop_nesting(nodes, edges)[1]
+    uncut = settled(residual.where("src = dst").select("graph_id", F.lit(True).alias("uncut")).distinct())
+    heavy = node_weights(*(t.join(uncut, "graph_id", "left_anti") for t in (nodes, residual))).where("weight is null").select("graph_id", F.lit(True).alias("heavy")).distinct()
+    status = F.when(~F.col("status").isin("ok", "self_loop"), F.col("status")).when(F.col("uncut"), "self_loop").when(F.col("heavy"), "weight_overflow").otherwise("ok")
+    return found.join(uncut, "graph_id", "left").join(heavy, "graph_id", "left").select("graph_id", status.alias("status"))
 
 
 def scopes(log: DataFrame) -> DataFrame:

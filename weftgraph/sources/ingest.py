@@ -30,15 +30,16 @@ def define_types(node_types: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def validate_graphs(nodes: DataFrame, edges: DataFrame, node_types: DataFrame) -> DataFrame:
-    """(graph_id, status) for every graph: the first that fits of dangling_edge, unknown_type, non_positive_weight,
-    self_loop (any edge from a node to itself; loop nesting may still cut it), ok."""
+    """(graph_id, status) for every graph: the first that fits of repeated_node (two rows of one key), dangling_edge, unknown_type, non_positive_weight,
+    self_loop (any edge from a node to itself; loop nesting may still cut it, see schedule.reduction_status), ok."""
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id"))
     dangling = ends.join(nodes, ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit(1).alias("bad"))
+    repeated = nodes.groupBy("graph_id", "node_id").count().where("count > 1").select("graph_id", F.lit(0).alias("bad"))
     typed = with_default_weights(nodes, node_types)
     unknown = typed.where("weight0 is null").select("graph_id", F.lit(2).alias("bad"))
     light = typed.where("weight0 < 1").select("graph_id", F.lit(3).alias("bad"))
     loops = edges.where("src = dst").select("graph_id", F.lit(4).alias("bad"))
     graphs = nodes.select("graph_id", F.lit(5).alias("bad")).unionByName(edges.select("graph_id", F.lit(5).alias("bad")))
-    worst = graphs.unionByName(dangling).unionByName(unknown).unionByName(light).unionByName(loops).groupBy("graph_id").agg(F.min("bad").alias("bad"))
-    names = F.array(*map(F.lit, ("dangling_edge", "unknown_type", "non_positive_weight", "self_loop", "ok")))
-    return worst.select("graph_id", F.element_at(names, F.col("bad")).alias("status"))
+    worst = graphs.unionByName(repeated).unionByName(dangling).unionByName(unknown).unionByName(light).unionByName(loops).groupBy("graph_id").agg(F.min("bad").alias("bad"))
+    names = F.array(*map(F.lit, ("repeated_node", "dangling_edge", "unknown_type", "non_positive_weight", "self_loop", "ok")))
+    return worst.select("graph_id", F.element_at(names, F.col("bad") + 1).alias("status"))

@@ -1,4 +1,6 @@
-"""Op logs as interchange JSON: for each graph one array of ops in order, edges as lists of two, scopes in meta."""
+"""Op logs as interchange JSON: for each graph one array of ops in order, edges as lists of two, scopes in meta.
+
+Ops of the kinds remove_node and remove_edges have typed columns. An op of any other kind keeps its fields as JSON in `payload`, whatever they are."""
 
 from __future__ import annotations
 
@@ -9,45 +11,63 @@ from weftgraph.operators.schedule import scopes
 
 EDGES = "array<array<string>>"
 SCOPE = "struct<active:boolean,focus:array<string>>"
-OPS = f"""array<struct<kind:string, forward:struct<target:string,edges:{EDGES}>,
+OP = f"""struct<kind:string, forward:struct<target:string,edges:{EDGES}>,
     inverse:struct<target:string,pred_edges:array<string>,succ_edges:array<string>,weight:bigint,node_type:string,weight_deltas:map<string,bigint>,edges:{EDGES}>,
-    meta:struct<header:string,scc:array<string>,scope_snapshot:{SCOPE},scope_after:{SCOPE}>>>"""
+    meta:struct<header:string,scc:array<string>,scope_snapshot:{SCOPE},scope_after:{SCOPE}>>"""
 
 
 def _pairs(struct: str) -> str:
     return f"transform({struct}.edges, e -> array(e.src, e.dst))"
 
 
-def ops_to_json(op_log: DataFrame) -> DataFrame:
-    """(graph_id, value): the JSON array of a graph's ops, each with kind, forward, inverse and meta; what an op hasn't got is left out. meta holds
-    the scope before and after the op. A graph's ops have to fit into a row, as they do in its file."""
-    seen = scopes(op_log)
+def _op_texts(op_log: DataFrame) -> DataFrame:
+    """(graph_id, op_idx, text): each op as a JSON object with kind, forward, inverse and meta; what an op hasn't got is left out of these.
+    meta holds the scope before and after the op; an op with a payload is that."""
     scope = "named_struct('active', size({0}) > 0, 'focus', {0})"
     op = F.struct(
-        "op_idx",
-        F.struct(
-            "kind",
-            F.expr(f"named_struct('target', forward.target, 'edges', {_pairs('forward')})").alias("forward"),
-            F.expr(f"""named_struct('target', inverse.target, 'pred_edges', inverse.pred_edges, 'succ_edges', inverse.succ_edges, 'weight', inverse.weight,
-                'node_type', inverse.node_type, 'weight_deltas', inverse.weight_deltas, 'edges', {_pairs('inverse')})""").alias("inverse"),
-            F.expr(f"named_struct('header', meta.header, 'scc', meta.scc, 'scope_snapshot', {scope.format('before')}, 'scope_after', {scope.format('after')})").alias("meta"),
-        ).alias("op"),
+        "kind",
+        F.expr(f"named_struct('target', forward.target, 'edges', {_pairs('forward')})").alias("forward"),
+        F.expr(f"""named_struct('target', inverse.target, 'pred_edges', inverse.pred_edges, 'succ_edges', inverse.succ_edges, 'weight', inverse.weight,
+            'node_type', inverse.node_type, 'weight_deltas', inverse.weight_deltas, 'edges', {_pairs('inverse')})""").alias("inverse"),
+        F.expr(f"named_struct('header', meta.header, 'scc', meta.scc, 'scope_snapshot', {scope.format('before')}, 'scope_after', {scope.format('after')})").alias("meta"),
     )
-    rows = op_log.join(seen, ["graph_id", "op_idx"]).groupBy("graph_id").agg(F.array_sort(F.collect_list(op), lambda a, b: (a["op_idx"] - b["op_idx"]).cast("int")).alias("ops"))
-    return rows.select("graph_id", F.to_json(F.transform("ops", lambda x: x["op"])).alias("value"))
+    return op_log.join(scopes(op_log), ["graph_id", "op_idx"]).select("graph_id", "op_idx", F.coalesce("payload", F.to_json(op)).alias("text"))
+
+
+def ops_to_json(op_log: DataFrame) -> DataFrame:
+    """(graph_id, value): the JSON array of a graph's ops in a row; :func:`write_op_files` has no such row."""
+    rows = _op_texts(op_log).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("op_idx", "text"))).alias("ops"))
+    return rows.select("graph_id", F.concat(F.lit("["), F.array_join("ops.text", ","), F.lit("]")).alias("value"))
+
+
+def json_status(rows: DataFrame) -> DataFrame:
+    """(graph_id, status) of (graph_id, value): `ok`, `broken_json`, `no_array` (JSON of another shape), or `op_without_kind`."""
+    read = rows.select("graph_id", F.try_parse_json("value").alias("v"))
+    read = read.select("graph_id", "v", F.try_variant_get("v", "$", "array<variant>").alias("ops"))
+    kinds = F.expr("forall(ops, o -> try_variant_get(o, '$.kind', 'string') is not null)")
+    return read.select("graph_id", F.when(F.col("v").isNull(), "broken_json").when(F.col("ops").isNull(), "no_array").when(~kinds, "op_without_kind").otherwise("ok").alias("status"))
 
 
 def ops_from_json(rows: DataFrame) -> DataFrame:
-    """(graph_id, op_idx, kind, forward, inverse, meta) of (graph_id, value); the position in the array is op_idx. forward, inverse and meta
-    may be absent and are empty then; an op without a kind is an error. meta has scope_snapshot and scope_after besides."""
-    ops = rows.select("graph_id", F.posexplode(F.from_json("value", OPS)).alias("op_idx", "op"))
-    kind = F.coalesce("op.kind", F.raise_error(F.concat(F.lit("an op without a kind in "), "graph_id")).cast("string"))
+    """(graph_id, op_idx, kind, forward, inverse, meta, payload) of (graph_id, value); the position in the array is op_idx.
+
+    forward, inverse and meta may be absent and are empty then. meta has scope_snapshot and scope_after besides. Text that isn't a JSON array, and an op
+    without a kind, are errors that name the graph; filter by :func:`json_status` first to leave such rows out. payload is null for the two typed
+    kinds; else it is the op with these four fields, each with all that it holds."""
+    broken = F.raise_error(F.concat(F.lit("no JSON array of ops in "), "graph_id")).cast("array<variant>")
+    read = rows.select("graph_id", F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), broken).alias("ops"))
+    ops = read.select("graph_id", F.posexplode("ops").alias("op_idx", "v"))
+    kind = F.coalesce(F.try_variant_get("v", "$.kind", "string"), F.raise_error(F.concat(F.lit("an op without a kind in "), "graph_id")).cast("string"))
+    part = "coalesce(try_variant_get(v, '$.{0}', 'variant'), parse_json('{{}}'))"
+    whole = F.expr(f"to_json(named_struct('kind', kind, {', '.join(f"'{p}', {part.format(p)}" for p in ('forward', 'inverse', 'meta'))}))")
+    ops = ops.select("graph_id", "op_idx", "v", kind.alias("kind")).withColumn("op", F.from_json(F.to_json("v"), OP))
     edges = "transform(op.{0}.edges, e -> named_struct('src', e[0], 'dst', e[1]))"
     forward = F.expr(f"named_struct('target', op.forward.target, 'edges', {edges.format('forward')})")
     inverse = F.expr(f"""named_struct('target', op.inverse.target, 'pred_edges', op.inverse.pred_edges, 'succ_edges', op.inverse.succ_edges, 'weight', op.inverse.weight,
         'node_type', op.inverse.node_type, 'weight_deltas', op.inverse.weight_deltas, 'edges', {edges.format('inverse')})""")
     meta = F.expr("named_struct('header', op.meta.header, 'scc', op.meta.scc, 'scope_snapshot', op.meta.scope_snapshot, 'scope_after', op.meta.scope_after)")
-    return ops.select("graph_id", F.col("op_idx").cast("bigint").alias("op_idx"), kind.alias("kind"), forward.alias("forward"), inverse.alias("inverse"), meta.alias("meta"))
+    payload = F.when(~F.col("kind").isin("remove_node", "remove_edges"), whole)
+    return ops.select("graph_id", F.col("op_idx").cast("bigint").alias("op_idx"), "kind", forward.alias("forward"), inverse.alias("inverse"), meta.alias("meta"), payload.alias("payload"))
 
 
 def write_op_log(op_log: DataFrame, path: str) -> None:
@@ -60,7 +80,23 @@ def read_op_log(spark: SparkSession, path: str) -> DataFrame:
     return ops_from_json(spark.read.schema("graph_id string, value string").json(path))
 
 
+def write_op_files(op_log: DataFrame, path: str) -> None:
+    """A file for each graph, with one JSON array, in a folder `graph_id=...` of its own; an op in a line.
+
+    A graph's ops come to one task, sorted, and are written one by one, so a long log is never a row; brackets and commas are added to the lines."""
+    last = op_log.groupBy("graph_id").agg(F.max("op_idx").alias("last"))
+    begin, end = F.when(F.col("op_idx") == 0, "[").otherwise(""), F.when(F.col("op_idx") == F.col("last"), "]").otherwise(",")
+    lines = _op_texts(op_log).join(last, "graph_id").select("graph_id", "op_idx", F.concat(begin, "text", end).alias("value"))
+    # By id, so that no file is begun twice.
+    lines.repartition("graph_id").sortWithinPartitions("graph_id", "op_idx").select("graph_id", "value").write.partitionBy("graph_id").option("maxRecordsPerFile", 0).text(path)
+
+
 def read_op_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one JSON array of ops each, as one-graph tools write them; graph_id is the file's name without its ending."""
-    name = F.regexp_replace("_metadata.file_name", "[.]json$", "")
-    return ops_from_json(spark.read.text(path, wholetext=True).select(name.alias("graph_id"), "value"))
+    """Files that hold one JSON array of ops each, as one-graph tools and :func:`write_op_files` write them. graph_id is that of the folder, else the
+    file's name without its ending."""
+    folder = F.regexp_extract("_metadata.file_path", "/graph_id=([^/]*)/[^/]*$", 1)
+    # The path is an encoded one, and so is the folder's name in it.
+    decoded = lambda c: F.url_decode(F.regexp_replace(c, "[+]", "%2B"))
+    name = F.when(folder != "", decoded(decoded(folder))).otherwise(F.regexp_replace("_metadata.file_name", "[.]json$", ""))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return ops_from_json(files.select(name.alias("graph_id"), "value"))

@@ -131,9 +131,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     if wanted.count() <= broadcast_rows:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = disclosing(pairs, entities, counts, rows.count(), generalise)
-    # Per row the disclosing terms of its entities, then all their places.
-    marked = held.join(told, "entity").groupBy("row", "term").agg(F.max("told").alias("told")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("told"))
+    told = stored(disclosing(pairs, entities, counts, rows.count(), generalise), "told")
+    # Per row the disclosing terms of its entities that it holds, then all their places. Rows and terms meet by entity and term, so an entity
+    # of many rows and many terms is no product of both.
+    telling = told.select("term").distinct()
+    inside = found.select("row", F.explode(F.expr("array_distinct(transform(words, w -> w.term))")).alias("term")).join(telling, "term", "left_semi")
+    marked = held.join(inside, "row").join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("told").alias("told")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("told"))
     kind = f"case when told[w.term] >= {remove} then 'drop' when w.name then 'name' else 'term' end"
     hits = "filter(words, w -> map_contains_key(told, w.term) and not exists(spans, s -> w.start < s.end and s.start < w.end))"
     terms = f"array_sort(transform({hits}, w -> named_struct('kind', {kind}, 'start', w.start, 'end', w.end, 'value', cast(null as string))))"

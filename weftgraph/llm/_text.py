@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Words of more bytes are told apart by a cryptographic hash: longer ones can be built so that their sums of powers are equal.
+LONG_WORD = 64
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -56,6 +60,14 @@ def piece_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words buf[start:end] by which words are told apart: :func:`piece_hashes`, of long words BLAKE2b of their bytes."""
+    out = piece_hashes(prefix_sums(buf), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def rolling_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     """The :func:`piece_hashes` of all pieces of `size` bytes, by slices."""
     sums = prefix_sums(buf)

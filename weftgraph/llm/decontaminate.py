@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import scratch, stored
-from weftgraph.llm._text import LOWER, gather_ranges, piece_hashes, prefix_sums, released, sorted_distinct, text_chunks
+from weftgraph.llm._text import LOWER, gather_ranges, released, sorted_distinct, text_chunks, word_hashes
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -44,7 +44,7 @@ def _word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start[1:] &= ~word[:-1] | edge[1:-1]
         last[:-1] &= ~word[1:] | edge[1:-1]
         starts = np.flatnonzero(start)
-        yield piece_hashes(prefix_sums(low), starts, np.flatnonzero(last) + 1), np.searchsorted(starts, offsets)
+        yield word_hashes(low, starts, np.flatnonzero(last) + 1), np.searchsorted(starts, offsets)
 
 
 def _numbered(vocabulary):  # noqa: ANN001, ANN202

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._tables import bitmap, components, in_bitmap, scratch, small_batches, stored
-from weftgraph.llm._text import BASE, LOWER, gather_ranges, mix, piece_hashes, prefix_sums, released, sorted_distinct, text_chunks, word_spans
+from weftgraph.llm._text import BASE, LOWER, gather_ranges, mix, released, sorted_distinct, text_chunks, word_hashes, word_spans
 
 #: Tokens below this share of the hash space are counted to find the frequent ones: prefixes consist of the
 #: smallest hashes, so the others hardly ever get into one.
@@ -42,7 +42,7 @@ def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     for _, buf, offsets in text_chunks(texts):
         low = LOWER[buf]
         starts, ends, before = word_spans(low, offsets)
-        word = piece_hashes(prefix_sums(low), starts, ends)
+        word = word_hashes(low, starts, ends)
         if len(word) >= words:
             shingle = np.zeros(len(word) - words + 1, np.uint64)
             for i in range(words):

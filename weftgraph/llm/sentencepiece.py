@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm._tables import stored
-from weftgraph.llm._text import gather_ranges, give_back, piece_hashes, prefix_sums, released, text_chunks
+from weftgraph.llm._text import gather_ranges, give_back, released, text_chunks, word_hashes
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -104,7 +104,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch], joined: np.ndarray) -> Ite
 
     for batch in batches:
         for _, buf, starts, ends, _ in _words(batch.column(0), joined):
-            found, where, n = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_counts=True)
+            found, where, n = np.unique(word_hashes(buf, starts, ends), return_index=True, return_counts=True)
             place = np.searchsorted(hashes, found)
             known = place < len(hashes)
             known[known] = hashes[place[known]] == found[known]
@@ -262,7 +262,7 @@ def _spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, held: tuple[np
     """For the distinct words among buf[start:end]: which one each is, where the first of each stands, its place and size in the ids
     of held, and whether it is there."""
     hashes, at, _ = held
-    found, first, which = np.unique(piece_hashes(prefix_sums(buf), starts, ends), return_index=True, return_inverse=True)
+    found, first, which = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
     place = np.searchsorted(hashes, found)
     known = place < len(hashes)
     known[known] = hashes[place[known]] == found[known]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm._text import IS_SPACE, LOWER, gather_ranges, piece_hashes, prefix_sums, text_chunks
+from weftgraph.llm._text import IS_SPACE, LOWER, gather_ranges, text_chunks, word_hashes
 
 LANES = 1024
 #: Steps of all lanes between two checkpoints, and in a block.
@@ -163,7 +163,7 @@ class PieceEncoder:
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         low, starts, ends = self.pieces(buf, offsets)
-        hashes = piece_hashes(prefix_sums(low), starts, ends)
+        hashes = word_hashes(low, starts, ends)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)

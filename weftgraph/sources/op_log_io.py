@@ -40,12 +40,18 @@ def ops_to_json(op_log: DataFrame) -> DataFrame:
     return rows.select("graph_id", F.concat(F.lit("["), F.array_join("ops.text", ","), F.lit("]")).alias("value"))
 
 
+def _parsed(rows: DataFrame) -> DataFrame:
+    """(graph_id, v, ops): v is null where value isn't one whole JSON text, ops where it is no array. A parser of JSON stops behind the first
+    value, so the text is read as a field with another one behind it."""
+    read = rows.select("graph_id", F.try_parse_json(F.concat(F.lit('{"a":'), "value", F.lit(',"b":1}'))).alias("v"))
+    read = read.select("graph_id", F.when(F.try_variant_get("v", "$.b", "int") == 1, F.col("v")).alias("v"))
+    return read.select("graph_id", "v", F.try_variant_get("v", "$.a", "array<variant>").alias("ops"))
+
+
 def json_status(rows: DataFrame) -> DataFrame:
     """(graph_id, status) of (graph_id, value): `ok`, `broken_json`, `no_array` (JSON of another shape), or `op_without_kind`."""
-    read = rows.select("graph_id", F.try_parse_json("value").alias("v"))
-    read = read.select("graph_id", "v", F.try_variant_get("v", "$", "array<variant>").alias("ops"))
     kinds = F.expr("forall(ops, o -> try_variant_get(o, '$.kind', 'string') is not null)")
-    return read.select("graph_id", F.when(F.col("v").isNull(), "broken_json").when(F.col("ops").isNull(), "no_array").when(~kinds, "op_without_kind").otherwise("ok").alias("status"))
+    return _parsed(rows).select("graph_id", F.when(F.col("v").isNull(), "broken_json").when(F.col("ops").isNull(), "no_array").when(~kinds, "op_without_kind").otherwise("ok").alias("status"))
 
 
 def ops_from_json(rows: DataFrame) -> DataFrame:
@@ -55,7 +61,7 @@ def ops_from_json(rows: DataFrame) -> DataFrame:
     without a kind, are errors that name the graph; filter by :func:`json_status` first to leave such rows out. payload is null for the two typed
     kinds; else it is the op with these four fields, each with all that it holds."""
     broken = F.raise_error(F.concat(F.lit("no JSON array of ops in "), "graph_id")).cast("array<variant>")
-    read = rows.select("graph_id", F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), broken).alias("ops"))
+    read = _parsed(rows).select("graph_id", F.coalesce("ops", broken).alias("ops"))
     ops = read.select("graph_id", F.posexplode("ops").alias("op_idx", "v"))
     kind = F.coalesce(F.try_variant_get("v", "$.kind", "string"), F.raise_error(F.concat(F.lit("an op without a kind in "), "graph_id")).cast("string"))
     part = "coalesce(try_variant_get(v, '$.{0}', 'variant'), parse_json('{{}}'))"

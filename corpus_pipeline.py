@@ -75,7 +75,7 @@ STAGES = [
     ("sentencepiece", sentencepiece_stage),
 ]
 
-#: No SQL: training, the singular vectors and the best paths can't be stated in it; tests/llm/test_pipeline.py has each stage on awkward rows.
+#: No SQL: training, the singular vectors and the best paths can't be stated in it; tests/llm/test_pipeline.py has stages 2 and 3 on awkward rows.
 ORACLE_SQL = None
 
 

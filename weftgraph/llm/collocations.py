@@ -167,6 +167,8 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
         often = stored(counts.where(F.col("n") >= least).select("h"), "frequent")
         bitmaps.append(docs.sparkSession.sparkContext.broadcast(bitmap(often, "h", min(MOST_BITS, max(16, int(16 * often.count()).bit_length())))))
     windows = rows.mapInArrow(released(_windows(bitmaps)), f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n bigint")
+    # Each window is summed over all tasks before the ROLLUP makes a row of it for each length.
+    windows = windows.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     sums = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Level 2 ** m - 1 has lost m columns; a padded one is no phrase of its length.
     size = F.expr(f"{LONGEST} - cast(bit_count(level) as int)")

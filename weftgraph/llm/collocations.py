@@ -6,7 +6,7 @@ a, b, whatever follows. So no n-grams of other lengths are ever made.
 
 All parts of a phrase of `least` occurrences have as many (Agrawal and Srikant, 1994). Windows therefore end before the word that makes them rarer, which
 changes no count that matters and leaves few different windows. What is frequent enough is found beforehand, from counts of hashes, length
-by length, and kept in bitmaps that are sized by their number up to a fixed limit; what shares a hash or a place with something frequent only
+by length, and kept in bitmaps that are sized by their number up to a fixed limit; what shares a hash or both its places with something frequent only
 costs rows, which the counts of the windows' own words drop later.
 """
 
@@ -31,8 +31,8 @@ ENDS_PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 ENDS_WORD[[32, 9]] = True
 #: Bytes of text whose windows are counted together, and different hashes that a task holds before it passes them on.
 CHUNK, HELD = 1 << 20, 1 << 21
-#: Bits of a bitmap at most, as a power of two: 32 MB.
-MOST_BITS = 28
+#: Bits of a bitmap at most, as a power of two: 32 MB; up to there, bits for each of its hashes at least.
+MOST_BITS, BITS_EACH = 28, 64
 #: Parts of a language that are ranked by themselves first.
 SALTS = 64
 
@@ -67,6 +67,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield spans, low, hashes, langs
 
 
+def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether both places of hashes, by their low and by their high bits, are set."""
+    out = in_bitmap(bits, hashes)
+    out[out] = in_bitmap(bits, hashes[out] >> np.uint64(32))
+    return out
+
+
+def _both_places(often: DataFrame) -> np.ndarray:
+    """The bitmap of :func:`_known` of the hashes h in often."""
+    size = min(MOST_BITS, max(16, (BITS_EACH * often.count()).bit_length()))
+    return bitmap(often.select(F.explode(F.expr("array(h, shiftrightunsigned(h, 32))")).alias("h")), "h", size)
+
+
 def _frequent(spans: tuple, hashes: np.ndarray, bitmaps: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For phrases of 1, 2, .. len(bitmaps) words, which words begin one that is frequent; then the words that begin a phrase of one word
     more whose parts are frequent, and hashes of these phrases."""
@@ -76,7 +89,7 @@ def _frequent(spans: tuple, hashes: np.ndarray, bitmaps: list) -> tuple[list[np.
     for length, bits in enumerate(bitmaps, 1):
         at = np.flatnonzero(may)
         known = np.zeros(len(hashes), bool)
-        known[at] = in_bitmap(bits.value, grown[at])
+        known[at] = _known(bits.value, grown[at])
         begins.append(known)
         may = np.zeros(len(hashes), bool)
         may[:-1] = known[:-1] & known[1:] & together[:-1]
@@ -165,7 +178,7 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     for _ in range(LONGEST):
         counts = rows.mapInArrow(released(_count(list(bitmaps))), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
         often = stored(counts.where(F.col("n") >= least).select("h"), "frequent")
-        bitmaps.append(docs.sparkSession.sparkContext.broadcast(bitmap(often, "h", min(MOST_BITS, max(16, int(16 * often.count()).bit_length())))))
+        bitmaps.append(docs.sparkSession.sparkContext.broadcast(_both_places(often)))
     windows = rows.mapInArrow(released(_windows(bitmaps)), f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n bigint")
     # Each window is summed over all tasks before the ROLLUP makes a row of it for each length.
     windows = windows.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))

@@ -33,6 +33,10 @@ ENDS_WORD[[32, 9]] = True
 CHUNK, HELD = 1 << 20, 1 << 21
 #: Bits of a bitmap at most, as a power of two: 32 MB; up to there, bits for each of its hashes at least.
 MOST_BITS, BITS_EACH = 28, 64
+#: Low bits of a hash that are its bucket, at least, and the greatest count of an entry.
+BUCKET_BITS, MOST_TIMES = 10, 127
+#: Bits of a hash by which its second place in a bitmap lies higher; MOST_BITS + SECOND bits are known of each, BUCKET_BITS + 32.
+SECOND = 14
 #: Parts of a language that are ranked by themselves first.
 SALTS = 64
 
@@ -68,16 +72,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether both places of hashes, by their low and by their high bits, are set."""
+    """Whether both places of hashes, by their low and by higher bits, are set."""
     out = in_bitmap(bits, hashes)
-    out[out] = in_bitmap(bits, hashes[out] >> np.uint64(32))
+    out[out] = in_bitmap(bits, hashes[out] >> np.uint64(SECOND))
     return out
 
 
 def _both_places(often: DataFrame) -> np.ndarray:
     """The bitmap of :func:`_known` of the hashes h in often."""
     size = min(MOST_BITS, max(16, (BITS_EACH * often.count()).bit_length()))
-    return bitmap(often.select(F.explode(F.expr("array(h, shiftrightunsigned(h, 32))")).alias("h")), "h", size)
+    return bitmap(often.select(F.explode(F.expr(f"array(h, shiftrightunsigned(h, {SECOND}))")).alias("h")), "h", size)
 
 
 def _frequent(spans: tuple, hashes: np.ndarray, bitmaps: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -100,8 +104,9 @@ def _frequent(spans: tuple, hashes: np.ndarray, bitmaps: list) -> tuple[list[np.
     return begins, np.flatnonzero(may), grown
 
 
-def _count(bitmaps: list):  # noqa: ANN202
-    """(hash, occurrences) of phrases that are a word longer than the last of the bitmaps has, by language; summed over the task."""
+def _count(bitmaps: list, bits: int):  # noqa: ANN202
+    """(bucket, lows, ns): occurrences of phrases that are a word longer than the last of the bitmaps has, by language, summed over the task. Of
+    a phrase's hash the low `bits` bits are its bucket, the next 32 stand in lows; counts of more than MOST_TIMES are dealt to several entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
@@ -114,11 +119,21 @@ def _count(bitmaps: list):  # noqa: ANN202
             return every[at], np.add.reduceat(n, at) if len(at) else n
 
         def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "n"])
+            times = -(-counts // MOST_TIMES)
+            key, n = np.repeat(keys, times), np.full(int(times.sum()), MOST_TIMES)
+            n[np.cumsum(times) - 1] = counts - (times - 1) * MOST_TIMES
+            bucket = key >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
+            offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key.astype(np.uint32).view(np.int32), n.astype(np.int8))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *lists], ["bucket", "lows", "ns"])
 
         for spans, _, hashes, _ in _chunks(batches):
             _, at, grown = _frequent(spans, hashes, bitmaps)
-            parts.append(np.unique(grown[at], return_counts=True))
+            grown = grown[at]
+            # Sorted by bucket, so each bucket's are together.
+            turned = (grown & np.uint64((1 << bits) - 1)) << np.uint64(32) | grown >> np.uint64(bits) & np.uint64(0xFFFFFFFF)
+            parts.append(np.unique(turned, return_counts=True))
             if sum(len(k) for k, _ in parts) > HELD:
                 keys, counts = merged()
                 parts = []
@@ -131,6 +146,15 @@ def _count(bitmaps: list):  # noqa: ANN202
     return run
 
 
+def _often(rows: DataFrame, bitmaps: list, least: int) -> DataFrame:
+    """(h): the hashes that :func:`_count` counts `least` times or more, by as many bits as a bitmap's two places take, or more. They travel
+    as arrays, a row for each task and bucket, which takes half the room of a row for each."""
+    bits = max(BUCKET_BITS, (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    packed = rows.mapInArrow(released(_count(list(bitmaps), bits)), "bucket int, lows array<int>, ns array<tinyint>").repartition("bucket")
+    each = packed.select("bucket", F.inline(F.arrays_zip("lows", "ns"))).groupBy("bucket", "lows").agg(F.sum("ns").alias("n"))
+    return each.where(F.col("n") >= least).select(F.expr(f"bucket + shiftleft(cast(lows as bigint) & 4294967295L, {bits})").alias("h"))
+
+
 def _dense(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers for the pairs (high, low), and a place of each number."""
     pair = high.astype(np.int64) * (int(low.max(initial=0)) + 1) + low
@@ -176,8 +200,7 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bitmaps: list = []
     for _ in range(LONGEST):
-        counts = rows.mapInArrow(released(_count(list(bitmaps))), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        often = stored(counts.where(F.col("n") >= least).select("h"), "frequent")
+        often = stored(_often(rows, bitmaps, least), "frequent")
         bitmaps.append(docs.sparkSession.sparkContext.broadcast(_both_places(often)))
     windows = rows.mapInArrow(released(_windows(bitmaps)), f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n bigint")
     # Each window is summed over all tasks before the ROLLUP makes a row of it for each length.

@@ -13,12 +13,15 @@ a little smaller in both ways, so two sets that can be linked always share a way
 prefix for partners that are no smaller, n - ceil(2t / (1 + t) * n) + 1 tokens (indexed), the larger one the full one.
 
 Copies. Sets that are equal are joined once, through their smallest id. Near copies are first linked as stars
-around the smallest id that shares one of a few minimum hashes with them, each star's link verified; then only tokens that occur in
-two components are joined, on pairs of different components. So a group of n near copies costs n verifications.
+around the smallest id that shares one of a few minimum hashes with them, each star's link verified. A group whose
+smallest ids lie apart from it is left in many components that share minimum hashes; further stars around other nodes join these. Then only
+tokens that occur in two components are joined, on pairs of different components. So a group of n near copies costs some n verifications a
+round. Sets that are nearly similar enough are all compared: no link may be lost.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,6 +204,36 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, log2_b
         return keep(both.mapInArrow(released(_compare(percent)), "a bigint, b bigint").distinct(), "verified")
 
 
+def linked_further(rows: DataFrame, keyed: DataFrame, links: DataFrame, words: int, percent: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """links with those that further stars find, and their components (node, component).
+
+    keyed: (rep, n, low), a row for each minimum hash of a node. Where `parts` components or more share a minimum hash, one node of each, another in each
+    round, is compared with that of one of them. A round has no more pairs than (minimum hash, component); it joins the components of near copies
+    whose first hub lies apart from all of them. Rounds go on while one pair in eight is a link, and each link leaves a component less.
+    """
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    # A rep that repeats with several sets is one node.
+    keyed = stored(keyed.groupBy("rep", "low").agg(F.max("n").alias("n")), "keyed")
+    for step in itertools.count():
+        found = stored(components(links, "a", "b"), "found")
+        labelled = keyed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        drawn = F.xxhash64("rep", F.lit(step))
+        one = labelled.groupBy("low", "component").agg(F.min(F.struct(drawn.alias("at"), "rep", "n")).alias("one"))
+        hubs = one.groupBy("low").agg(F.count("*").alias("size"), F.min("one").alias("hub")).where(F.col("size") >= parts)
+        hubs = hubs.select("low", F.col("hub.rep").alias("a"), F.col("hub.n").alias("m"))
+        pairs = one.select("low", F.col("one.rep").alias("b"), F.col("one.n").alias("n")).join(hubs, "low").where(f"a <> b and {fits}")
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+        tried = pairs.count()
+        if not tried:
+            return links, found
+        more = verified(rows, pairs, words, percent)
+        linked = more.count()
+        if linked:
+            links = links.unionByName(more)
+        if 8 * linked < tried:
+            return links, stored(components(links, "a", "b"), "found") if linked else found
+
+
 def jaccard_components(
     docs: DataFrame, words: int = 4, percent: int = 85, k: int = 2, frequent_from: int = 12, minhashes: int = 8, long: int = 400, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 26
 ) -> DataFrame:
@@ -234,7 +267,7 @@ def _joined(docs: DataFrame, words: int, percent: int, k: int, frequent_from: in
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = keyed.join(stars, "low").where(f"a <> rep and {fits}").select("a", F.col("rep").alias("b")).distinct()
     links = verified(rows, pairs, words, percent)
-    found = stored(components(links, "a", "b"), "found")
+    links, found = linked_further(rows, keyed, links, words, percent, frequent_from)
     # The class of frequent tokens: in many components, counted over one text of each.
     others = spark.sparkContext.broadcast(bitmap(found.where("node <> component").select("node").unionByName(equal.select(F.col("b").alias("node"))), "node", log2_bits))
     counts = rows.mapInArrow(released(_counted(words, others, whole)), "token bigint").groupBy("token").count()

@@ -1,9 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval: TF-IDF passages, a distributed randomised SVD in one pass (Tropp,
-Yurtsever, Udell and Cevher, 2017), cosine candidates, then longest common subsequences and an answer check.
+Yurtsever, Udell and Cevher, 2017), candidates by cosine in the latent space, then longest common subsequences and an answer check.
 
-The checks at the end ask for a share of an item's words. So a stretch of text that lacks too many of them can be left out before
-its cosine is worked out, and of n words that may be lacking at most, one of any n + 1 is there: only an item's rarest words are
-looked up, which keeps the search from touching each passage with each item.
+Candidates are all windows of a text whose latent cosine with an item reaches a bound; they are as long as the item. An item's rarest words
+bring further ones, so that whole copies are found at any rank: of n words that a copy may lack, one of any n + 1 is there.
 """
 
 from __future__ import annotations
@@ -22,8 +21,13 @@ WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 #: Words of half a passage. Passages overlap by half; a last one may be shorter.
 HALF = 16
-#: Items that are searched for in one go; more go in blocks of so many, so what is broadcast has a fixed bound.
-ITEMS = 20_000
+#: Items that are searched for in one go end with so many, or so many words; more go in blocks, each with its own vocabulary and latent
+#: space, so what is broadcast has a fixed bound (some 60 MB) but for an item that is longer itself.
+ITEMS, ITEM_WORDS = 1_000, 200_000
+#: Windows begin at multiples of so many words.
+UNIT = 8
+#: Words whose rows of the basis or the draw are taken at a time; also the words of texts that are looked at together, a text at least.
+PIECE = 1 << 16
 #: Rows of a sketch that travel together.
 BUCKET = 64
 #: An item's answer has so many words at least, a sentence that is judged by itself so many.
@@ -68,6 +72,18 @@ def _numbers(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in column]
 
 
+def _groups(texts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the first, texts): runs of 128 texts or PIECE words at most, a text at least."""
+    begin, words = 0, 0
+    for i, x in enumerate(texts):
+        if i > begin and (i - begin == 128 or words + len(x) > PIECE):
+            yield begin, texts[begin:i]
+            begin, words = i, 0
+        words += len(x)
+    if texts:
+        yield begin, texts[begin:]
+
+
 def _df(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size + 1, np.int64)
@@ -116,9 +132,8 @@ def _sketch(weights, draw):  # noqa: ANN001, ANN202
         w, d = weights.value, draw.value
         total = np.zeros(d.shape)
         for batch in batches:
-            texts = _numbers(batch.column("words"))
-            for i in range(0, len(texts), 128):
-                sketch_texts(texts[i : i + 128], w, d, total)
+            for _, texts in _groups(_numbers(batch.column("words"))):
+                sketch_texts(texts, w, d, total)
         for b in range(0, len(total), BUCKET):
             if total[b : b + BUCKET].any():
                 yield pa.RecordBatch.from_arrays([pa.array([b // BUCKET]), pa.array([total[b : b + BUCKET].tobytes()], pa.binary())], ["bucket", "rows"])
@@ -137,14 +152,24 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def latent_basis(sketch: np.ndarray, draw: np.ndarray, rank: int) -> np.ndarray:
-    """The leading `rank` right singular vectors of A, from sketch = A'A draw alone (Nystrom, with a small shift for stability)."""
+    """The leading `rank` right singular vectors of A, from sketch = A'A draw alone (Nystrom, with a small shift for stability), each
+    divided by the root of its singular value: in full length the few directions of common words decide each cosine, at equal lengths noise does."""
     shift = 1e-9 * max(1e-30, float(np.linalg.norm(sketch)))
     shifted = sketch + shift * draw
     core = draw.T @ shifted
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-10 * max(1e-30, float(values.max(initial=0)))
-    left, _, _ = np.linalg.svd(shifted @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return np.ascontiguousarray(left[:, :rank]).astype(np.float32)
+    left, sizes, _ = np.linalg.svd(shifted @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    sizes = np.maximum(sizes[:rank], 1e-3 * sizes[:1])
+    return np.ascontiguousarray(left[:, :rank] / np.sqrt(sizes)).astype(np.float32)
+
+
+def _width(size: int) -> int:
+    """The length of the windows for items of so many words: 16, 24, 32, 48, 64, 96 and so on, that which holds it."""
+    n = 2 * UNIT
+    while n < size:
+        n = n * 3 // 2 if n & (n - 1) == 0 else n * 4 // 3
+    return n
 
 
 def lcs(x: list[int], y: list[int]) -> int:
@@ -188,13 +213,17 @@ class Items:
         # The items in which word k is a rare one: entries first[k] to first[k + 1].
         self.first = np.searchsorted(np.array(word, np.int64)[order], np.arange(len(weights) + 1))
         self.item, self.times = np.array(item, np.int64)[order], np.array(times, np.int64)[order]
-        self.rows = []
-        for x in self.words:
+        self.rows, self.classes = [], {}
+        for i, x in enumerate(self.words):
+            if x:
+                self.classes.setdefault(_width(len(x)), []).append(i)
             k, n = np.unique(np.array(x, np.int64), return_counts=True)
             v = weights[k] * n
             v = v / max(1e-12, float(np.sqrt(v @ v)))
             y = v @ basis[k] if len(k) else np.zeros(basis.shape[1])
             self.rows.append((k, v, (y / max(1e-12, float(np.sqrt(y @ y)))).astype(np.float32)))
+        # For each window length: its items, and their latent rows as columns.
+        self.classes = {n: (np.array(i), np.stack([self.rows[k][2] for k in i], axis=1)) for n, i in sorted(self.classes.items())}
 
 
 def _joined(parts: list[list[int]]) -> list[list[int]]:
@@ -245,6 +274,38 @@ def _stretches(texts: list[np.ndarray], items: Items) -> Iterator[tuple[int, int
     yield from zip((group // most // len(items.words)).tolist(), (group // most % len(items.words)).tolist(), (group % most).tolist(), strict=True)
 
 
+def latent_windows(texts: list[np.ndarray], scaled: np.ndarray, items: Items, near: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text, item, first word, words, cosine) of all windows whose latent cosine with an item is `near` or more.
+
+    scaled: rows of the basis times the words' weights. A window is as long as the item, up to half more, or the whole of a shorter text; one
+    begins each quarter of its length, at multiples of UNIT words."""
+    units = np.array([-(-len(x) // UNIT) for x in texts], np.int64)
+    begin = np.cumsum(units) - units
+    padded = np.zeros(int(units.sum()) * UNIT, np.int64)
+    for x, b in zip(texts, (begin * UNIT).tolist(), strict=True):
+        padded[b : b + len(x)] = x
+    sums, piece = np.zeros((len(padded) // UNIT + 1, scaled.shape[1])), PIECE // UNIT
+    for i in range(0, len(sums) - 1, piece):
+        part = scaled[padded[i * UNIT : (i + piece) * UNIT]].reshape(-1, UNIT, scaled.shape[1]).sum(axis=1)
+        np.cumsum(part, axis=0, dtype=np.float64, out=sums[i + 1 : i + 1 + len(part)])
+        sums[i + 1 : i + 1 + len(part)] += sums[i]
+    for width, (which, rows) in items.classes.items():
+        long, step = width // UNIT, max(1, width // UNIT // 4)
+        n = np.maximum(0, -(-(units - long) // step)) + 1
+        text = np.repeat(np.arange(len(texts)), n)
+        first = begin[text] + gather_ranges(np.zeros(len(n), np.int64), n) * step
+        last = np.minimum(first + long, begin[text] + units[text])
+        # Blocks of windows and items, so that scores have a bound.
+        for j in range(0, len(first), PIECE // 8):
+            y = (sums[last[j : j + PIECE // 8]] - sums[first[j : j + PIECE // 8]]).astype(np.float32)
+            y /= np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", y, y)))[:, None]
+            for i in range(0, len(which), 256):
+                scores = y @ rows[:, i : i + 256]
+                at, item = np.nonzero(scores >= near)
+                cosines, at = np.minimum(1, scores[at, item]), at + j
+                yield from zip(text[at].tolist(), which[i + item].tolist(), ((first[at] - begin[text[at]]) * UNIT).tolist(), [width] * len(at), cosines.tolist(), strict=True)
+
+
 def _cosine(region: np.ndarray, row: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, weights: np.ndarray, basis: np.ndarray) -> tuple[float, int]:
     """The largest cosine of a passage of the region with an item, in the latent space or of the TF-IDF rows themselves, which no rank
     bounds, and where that passage begins. Passages are as long as the item, two halves at least. A passage that repeats words
@@ -265,36 +326,44 @@ def _cosine(region: np.ndarray, row: tuple[np.ndarray, np.ndarray, np.ndarray],
     return float(best.max()), int(edges[best.argmax()])
 
 
-def _checked(texts: list[np.ndarray], weights: np.ndarray, basis: np.ndarray, items: Items, near: float, share: float, answer_share: float, told: float) -> Iterator[tuple]:
+def _agreement(region: np.ndarray, i: int, items: Items, weights: np.ndarray, share: float, answer_share: float, told: float) -> float:
+    """The share of item i that the longest common subsequence with the region has, 0 where a check fails."""
+    item = items.words[i]
+    near_by = region[region > 0].tolist()
+    there = set(near_by)
+    held = [w for w in item if w in there]
+    if len(held) < share * len(item) - 1e-9 or weights[held].sum() < told * items.total[i]:
+        return 0.0
+    ratio = max(lcs(item, near_by), sum(lcs(x, near_by) for x in items.sentences[i])) / len(item)
+    good = ratio >= share - 1e-9 and lcs(items.answers[i], near_by) >= answer_share * len(items.answers[i])
+    return ratio if good else 0.0
+
+
+def _checked(texts: list[np.ndarray], weights: np.ndarray, basis: np.ndarray, scaled: np.ndarray, items: Items, near: float, reworded: float, share: float, answer_share: float, told: float) -> Iterator[tuple]:
     """(text, item key, cosine, share of the item, first word) of the candidates that pass."""
+    for t, i, first, width, cosine in latent_windows(texts, scaled, items, near):
+        ratio = _agreement(texts[t][max(0, first - width // 2) : first + width + width // 2], i, items, weights, reworded, answer_share, told)
+        if ratio:
+            yield t, items.keys[i], cosine, ratio, first
     for t, i, s in _stretches(texts, items):
-        item, step = items.words[i], int(items.step[i])
+        step = int(items.step[i])
         region = texts[t][s * step : (s + 2) * step]
-        region = region[region > 0]
-        there = set(region.tolist())
-        held = [w for w in item if w in there]
-        if len(held) < items.need[i] or weights[held].sum() < told * items.total[i]:
-            continue
-        cosine, first = _cosine(region, items.rows[i], len(item), weights, basis)
-        # Where nearly all words of an item are there, it doesn't matter what stands around them.
-        if cosine < near and len(held) < 0.9 * len(item):
-            continue
-        near_by = region.tolist()
-        ratio = max(lcs(item, near_by), sum(lcs(x, near_by) for x in items.sentences[i])) / len(item)
-        if ratio >= share and lcs(items.answers[i], near_by) >= answer_share * len(items.answers[i]):
+        ratio = _agreement(region, i, items, weights, share, answer_share, told)
+        if ratio:
+            cosine, first = _cosine(region, items.rows[i], len(items.words[i]), weights, basis)
             yield t, items.keys[i], cosine, ratio, s * step + first
 
 
-def _search(weights, basis, items, near: float, share: float, answer_share: float, told: float):  # noqa: ANN001, ANN202
+def _search(weights, basis, items, *bounds: float):  # noqa: ANN001, ANN202
     """Pairs (document, item) that pass all checks, with the best passage of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = weights.value, basis.value
+        scaled = b * w[:, None].astype(np.float32)
         for batch in batches:
-            texts = _numbers(batch.column("words"))
             ids, found = batch.column("id").to_pylist(), []
-            for i in range(0, len(texts), 128):
-                found += [(ids[i + t], *rest) for t, *rest in _checked(texts[i : i + 128], w, b, items.value, near, share, answer_share, told)]
+            for i, texts in _groups(_numbers(batch.column("words"))):
+                found += [(ids[i + t], *rest) for t, *rest in _checked(texts, w, b, scaled, items.value, *bounds)]
             best: dict[tuple, tuple] = {}
             for row in sorted(found, key=lambda f: (-f[3], -f[2], f[4])):
                 best.setdefault(row[:2], row)
@@ -315,39 +384,58 @@ def _sentences(texts: list[str]) -> list[list[np.ndarray]]:
     return out
 
 
+def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[list[np.ndarray]]]]:
+    """Keys and sentences of the items, ITEMS at most or ITEM_WORDS words and one item more."""
+    keys, parts, words = [], [], 0
+    for row in items.toLocalIterator():
+        keys.append(row.id)
+        parts += _sentences([row.text])
+        words += sum(map(len, parts[-1]))
+        if len(keys) == ITEMS or words >= ITEM_WORDS:
+            yield keys, parts
+            keys, parts, words = [], [], 0
+    yield keys, parts
+
+
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, near: float = 0.25, share: float = 0.55, answer_share: float = 0.4, told: float = 0.45, rank: int = 64, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, near: float = 0.6, reworded: float = 0.45, share: float = 0.55, answer_share: float = 0.4, told: float = 0.45, rank: int = 64, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, first_word): the documents that hold a benchmark item, whole or paraphrased.
 
-    Passages are 32 words, a new one every 16. They and the items are TF-IDF rows over the items' words (idf over all documents:
-    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies), as they are and projected on `rank` singular
-    directions of all passages and items. An item counts in a stretch of text of some four times its length if a passage there has a cosine of `near`
-    with it, either way (or nine tenths of its words are there); the longest common subsequence with the stretch, of the item or of its
-    sentences one by one, which may then stand in another order, reaches `share` of the item; that of its answer (the last sentences
-    with ten words together) answer_share of the answer; and the item's words that are there have `told` of the weight of all of
-    them, so that common words alone don't make a match. One row for a document and item, with its best passage. Null or
+    The matrix has the documents' passages (32 words, a new one every 16) and the items as TF-IDF rows over the items' words (idf over all documents:
+    log(1 + N / df), which a word in all of them has too, so no leak hides itself by its copies); items together weigh as much as all
+    passages, so the `rank` singular directions tell items apart. Candidates are a text's windows of an item's length that have a
+    latent cosine of `near` with it. The longest common subsequence with the window and half its length on either side, of the item or of its sentences one by one,
+    which may then stand in another order, reaches `reworded` of the item; that of its answer (the last sentences with ten
+    words together) answer_share of the answer; and the item's words that are there have `told` of the weight of all of them, so that common words
+    alone don't make a match. Stretches of four times an item's length that hold enough of its rarest words are candidates too, whatever their cosine; there the subsequence
+    reaches `share`. One row for a document and item, with its best passage. Items go in blocks of 1,000, each with a latent space and two passes of its own. Null or
     wordless texts and items match nothing; null ids take no part. Rows that repeat an id count as one document. Columns may have any
-    names; an empty table on either side gives no rows.
+    names; an empty table on either side gives no rows. Texts and items may be of any length; the windows of an item longer than the text are that text.
     """
-    with scratch(docs.sparkSession) as keep:
-        found = _found(docs, benchmark, near, share, answer_share, told, rank, id_col, text_col, item_col, item_text_col)
-        return keep(found, "contaminated").withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
-
-
-def _found(docs: DataFrame, benchmark: DataFrame, near: float, share: float, answer_share: float, told: float, rank: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text <> ''")
-    held = items.toArrow()
-    keys, parts = held.column("id").to_pylist(), _sentences(held.column("text").to_pylist())
-    empty = "doc_id bigint, item_id bigint, cosine double, lcs double, first_word int"
-    vocabulary = sorted_distinct(np.concatenate([*(h for p in parts for h in p), np.zeros(0, np.uint64)]))
-    if not len(vocabulary):
-        return spark.createDataFrame([], empty)
-    share_out = spark.sparkContext.broadcast
+    found = spark.createDataFrame([], FOUND)
+    with scratch(spark) as keep:
+        total = max(1, rows.count())
+        for keys, parts in _blocks(items):
+            if any(parts):
+                with scratch(spark) as kept:
+                    found = found.unionByName(kept(_found(rows, total, keys, parts, rank, near, reworded, share, answer_share, told), "block"))
+        best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "first_word"), F.struct("lcs", "cosine", -F.col("first_word"))).alias("b"))
+        best = best.select("doc_id", "item_id", "b.cosine", "b.lcs", "b.first_word")
+        return keep(best, "contaminated").withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+
+
+FOUND = "doc_id bigint, item_id bigint, cosine double, lcs double, first_word int"
+
+
+def _found(rows: DataFrame, total: int, keys: list[int], parts: list[list[np.ndarray]], rank: int, *bounds: float) -> DataFrame:
+    """The rows for one block of items."""
+    vocabulary = sorted_distinct(np.concatenate([h for p in parts for h in p]))
+    share_out = rows.sparkSession.sparkContext.broadcast
     texts_table = stored(rows.mapInArrow(released(_numbered(share_out(vocabulary))), "id bigint, words binary"), "passages")
-    total = max(1, rows.count())
     counts = texts_table.mapInArrow(_df(len(vocabulary)), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.ones(len(vocabulary) + 1)
     df[counts.column("word").to_numpy()] = np.maximum(1, counts.column("df").to_numpy())
@@ -360,16 +448,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, near: float, share: float, ans
     sketch = np.zeros(draw.shape)
     for r in shares.repartition("bucket").mapInArrow(_summed, "bucket bigint, rows binary").toLocalIterator():
         sketch[r.bucket * BUCKET : (r.bucket + 1) * BUCKET] += np.frombuffer(r.rows).reshape(-1, draw.shape[1])
-    for p in parts:  # the items are rows of the matrix as well
+    # Items are rows of the matrix as well, repeated until they are as many as the passages.
+    passages = texts_table.agg(F.sum(F.ceil(F.length("words") / (4 * HALF)))).first()[0] or 0
+    times = max(1, passages / len(parts))
+    for p in parts:
         x = np.concatenate(p) if p else np.zeros(0, np.int64)
         k, n = np.unique(x, return_counts=True)
         v = weights[k] * n
-        sketch[k] += np.outer(v, v @ draw[k]) / max(1e-12, float(v @ v))
+        sketch[k] += times * np.outer(v, v @ draw[k]) / max(1e-12, float(v @ v))
     basis = latent_basis(sketch, draw.astype(np.float64), rank)
-    shown, found = share_out(basis), None
-    for i in range(0, len(keys), ITEMS):
-        block = share_out(Items(keys[i : i + ITEMS], parts[i : i + ITEMS], weights, basis, share))
-        more = texts_table.mapInArrow(released(_search(w, shown, block, near, share, answer_share, told)), empty)
-        found = more if found is None else found.unionByName(more)
-    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "first_word"), F.struct("lcs", "cosine", -F.col("first_word"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.cosine", "b.lcs", "b.first_word")
+    block = share_out(Items(keys, parts, weights, basis, bounds[2]))
+    return texts_table.mapInArrow(released(_search(w, share_out(basis), block, *bounds)), FOUND)

@@ -208,7 +208,7 @@ def truncate_append(spark, sf):  # noqa: ANN001, ANN201
 
 def reduction_progress(spark, sf):  # noqa: ANN001, ANN201
     nodes, edges, log = _log(spark, sf)
-    return reduction.progress(nodes, edges, log, schedule.scopes(log))
+    return reduction.progress(nodes, edges, log)
 
 
 def describe_ops(spark, sf):  # noqa: ANN001, ANN201
@@ -331,7 +331,7 @@ def reduction_progress_loops(spark, sf):  # noqa: ANN001, ANN201
     edges = settled(cyclic(spark, sf))
     nodes = settled(_weighted(spark, edges))
     log = settled(schedule.op_log(nodes, edges))
-    return reduction.progress(nodes, edges, log, settled(schedule.scopes(log)))
+    return reduction.progress(nodes, edges, log)
 
 
 def _thrice(log: DataFrame) -> DataFrame:

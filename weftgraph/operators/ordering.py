@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.shared import settled
@@ -23,3 +23,23 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     begin = "x._first - aggregate(slice(_spans, 1, i), 0L, (n, y) -> n + y._n)"
     begins = spans.select("graph_id", F.expr(f"inline(transform(_spans, (x, i) -> named_struct('_range', x._range, '_begin', {begin})))"))
     return dealt.join(begins, ["graph_id", "_range"]).withColumn(name, F.col("_place") - F.col("_begin")).select(*rows.columns, name)
+
+
+#: Ops of a graph that lie in one window; a graph has a row for each such chunk beyond that.
+CHUNK = 1 << 16
+
+
+def before_each(rows: DataFrame, sums: list[str], tops: list[str]) -> DataFrame:
+    """rows with the sums (0 at first) and greatest values (null at first) of columns over their graph's rows of smaller op_idx, as `<column>_before`.
+
+    Rows lie in chunks by op_idx, whose own totals are added up in turn, so one large graph is many tasks' work. Nulls count for nothing; rows
+    of one op_idx would count for each other in no defined order."""
+    rows = rows.withColumn("_chunk", F.floor(F.col("op_idx") / CHUNK))
+    totals = rows.groupBy("graph_id", "_chunk").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in tops))
+    earlier = Window.partitionBy("graph_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("graph_id", "_chunk", *(F.sum(c).over(earlier).alias(f"_{c}") for c in sums), *(F.max(c).over(earlier).alias(f"_{c}") for c in tops))
+    within = Window.partitionBy("graph_id", "_chunk").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)
+    here = {c: F.sum(c).over(within) for c in sums} | {c: F.max(c).over(within) for c in tops}
+    rows = rows.withColumns({f"{c}_before": x for c, x in here.items()}).join(totals, ["graph_id", "_chunk"])
+    found = {f"{c}_before": F.coalesce(f"{c}_before", F.lit(0)) + F.coalesce(f"_{c}", F.lit(0)) for c in sums} | {f"{c}_before": F.greatest(f"{c}_before", f"_{c}") for c in tops}
+    return rows.withColumns(found).drop("_chunk", *(f"_{c}" for c in [*sums, *tops]))

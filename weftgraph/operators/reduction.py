@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.loops import node_weights
 from weftgraph.operators.lookups import NODE, predecessors
-from weftgraph.operators.ordering import numbered
+from weftgraph.operators.ordering import before_each, numbered
+from weftgraph.operators.schedule import scope_members, scope_of_ops
 
 
 def op_log(nodes: DataFrame, residual: DataFrame) -> DataFrame:
@@ -98,16 +99,17 @@ def graph_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: Data
     return live, left.where("gone is null or gone >= k").select("graph_id", "k", "src", "dst")
 
 
-def frontier_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The terminals (graph_id, k, node_id, weight) after the first k ops, for all cursors; with seen (of schedule.scopes) those in the scope at that time."""
+def frontier_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame, scoped: bool = False) -> DataFrame:
+    """The terminals (graph_id, k, node_id, weight) after the first k ops, for all cursors; scoped: those in the scope at that time."""
     live, left = graph_as_of(nodes, edges, log, cursor)
     ends = live.join(left.select("graph_id", "k", F.col("src").alias("node_id")), ["graph_id", "k", "node_id"], "left_anti")
-    if seen is None:
+    if not scoped:
         return ends
-    scope = seen.where("size(after) > 0").select("graph_id", (F.col("op_idx") + 1).alias("k"), F.explode("after").alias("node_id"), F.lit(True).alias("inside"))
-    zoomed = scope.select("graph_id", "k", F.lit(True).alias("zoomed")).distinct()
-    both = ends.join(scope, ["graph_id", "k", "node_id"], "left").join(zoomed, ["graph_id", "k"], "left")
-    return both.where("zoomed is null or inside").select(ends.columns)
+    members = scope_members(log)
+    active = scope_of_ops(log, members).where("broke is not null").select("graph_id", (F.col("op_idx") + 1).alias("k"), "broke")
+    zoomed = ends.join(active.join(cursor.select("graph_id", "k").distinct(), ["graph_id", "k"]), ["graph_id", "k"], "left")
+    inside = zoomed.join(members.select("graph_id", "broke", "node_id", F.lit(True).alias("inside")), ["graph_id", "broke", "node_id"], "left")
+    return inside.where("broke is null or inside").select(ends.columns)
 
 
 def truncate_and_append(log: DataFrame, cursor: DataFrame, new_ops: DataFrame) -> DataFrame:
@@ -117,30 +119,28 @@ def truncate_and_append(log: DataFrame, cursor: DataFrame, new_ops: DataFrame) -
     return kept.unionByName(moved)
 
 
-def progress(nodes: DataFrame, edges: DataFrame, log: DataFrame, seen: DataFrame) -> DataFrame:
+def progress(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> DataFrame:
     """(graph_id, cursor, live, frontier, zoomed) after each op: live nodes, how many of them could be removed next (terminals in the scope),
-    and whether a scope is active. seen: of schedule.scopes.
+    and whether a scope is active.
 
-    A node is a terminal from when its last edge goes (with its successor or by a break) to its own removal. Each scope is a
-    stretch of ops; a node counts in those that hold it, so what is summed are starts and ends of such stretches."""
-    key = ["graph_id", "node_id"]
+    A node is a terminal from when its last edge goes (with its successor or by a break) to its own removal. Starts and ends of these spans are summed
+    up over the ops, once for all nodes and once for the members of scopes, from their break to the next one; the scope after an op says which counts."""
     removed = log.where("kind = 'remove_node'").select("graph_id", F.col("inverse.target").alias("node_id"), F.col("op_idx").alias("gone"))
     cut = log.where("kind = 'remove_edges'").select("graph_id", "op_idx", F.explode("forward.edges").alias("e")).select("graph_id", "e.src", "e.dst", F.col("op_idx").alias("at"))
     ways = edges.select("graph_id", "src", "dst").join(cut, ["graph_id", "src", "dst"], "left").join(removed.withColumnsRenamed({"node_id": "dst", "gone": "with_dst"}), ["graph_id", "dst"])
     free = ways.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.max(F.coalesce("at", "with_dst")).alias("free"))
-    spans = removed.join(free, key, "left").fillna(-1, ["free"])
-    # Stretches: a new one begins where a loop breaks and where a scope ends.
-    new = Window.partitionBy("graph_id").orderBy("op_idx")
-    scope = seen.select("graph_id", "op_idx", (F.size("after") > 0).alias("zoomed"), F.size("before").alias("n"), "after")
-    begins = log.select("graph_id", "op_idx", "kind", "meta.scc").join(scope, ["graph_id", "op_idx"]).where("kind = 'remove_edges' or (not zoomed and n > 0)")
-    begins = begins.select("graph_id", F.col("op_idx").alias("from"), F.expr("if(kind = 'remove_edges', scc, null)").alias("scc"))
-    begins = log.select("graph_id").distinct().select("graph_id", F.lit(-1).cast("bigint").alias("from"), F.lit(None).cast("array<string>").alias("scc")).unionByName(begins)
-    stretches = begins.withColumn("to", F.coalesce(F.lead("from").over(Window.partitionBy("graph_id").orderBy("from")), F.lit((1 << 62))))
-    inside = spans.join(stretches, "graph_id").where("(scc is null or array_contains(scc, node_id)) and greatest(free, from) < least(gone, to)")
-    inside = inside.select("graph_id", F.expr("greatest(free, from)").alias("a"), F.expr("least(gone, to)").alias("b"))
-    steps = inside.select("graph_id", F.greatest("a", F.lit(0)).alias("op_idx"), F.lit(1).alias("d")).unionByName(inside.select("graph_id", F.greatest("b", F.lit(0)).alias("op_idx"), F.lit(-1).alias("d")))
-    steps = steps.groupBy("graph_id", "op_idx").agg(F.sum("d").alias("d"))
-    total = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    rows = log.select("graph_id", "op_idx", (F.col("kind") == "remove_node").cast("int").alias("one")).join(steps, ["graph_id", "op_idx"], "left").join(total, "graph_id").join(scope.select("graph_id", "op_idx", "zoomed"), ["graph_id", "op_idx"])
-    past = new.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("graph_id", (F.col("op_idx") + 1).alias("cursor"), (F.col("n") - F.sum("one").over(past)).alias("live"), F.sum(F.coalesce("d", F.lit(0))).over(past).alias("frontier"), "zoomed")
+    spans = removed.join(free, NODE, "left").fillna(-1, ["free"])
+    members = scope_members(log)
+    scope = scope_of_ops(log, members)
+    # A break before a break: the scope of the first ends with the second.
+    after = log.where("kind = 'remove_edges' and meta.scc is not null").select("graph_id", "op_idx").join(scope, ["graph_id", "op_idx"]).select("graph_id", F.col("last").alias("broke"), F.col("op_idx").alias("until"))
+    inside = members.select(*NODE, "broke").join(spans, NODE).join(after, ["graph_id", "broke"], "left")
+    inside = inside.select("graph_id", F.greatest("free", "broke").alias("a"), F.least("gone", "until").alias("b"), F.lit(0).alias("all"), F.lit(1).alias("in_scope"))
+    counted = inside.unionByName(spans.select("graph_id", F.col("free").alias("a"), F.col("gone").alias("b"), F.lit(1).alias("all"), F.lit(0).alias("in_scope"))).where("a < b")
+    steps = counted.select("graph_id", F.expr("inline(array(struct(greatest(a, 0L) as op_idx, all as n, in_scope as m), struct(b as op_idx, -all as n, -in_scope as m)))"))
+    steps = steps.groupBy("graph_id", "op_idx").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    rows = log.select("graph_id", "op_idx", (F.col("kind") == "remove_node").cast("int").alias("one")).join(steps, ["graph_id", "op_idx"], "left").fillna(0, ["n", "m"])
+    rows = before_each(rows, ["one", "n", "m"], []).join(scope.select("graph_id", "op_idx", F.col("broke").isNotNull().alias("zoomed")), ["graph_id", "op_idx"])
+    rows = rows.join(nodes.groupBy("graph_id").agg(F.count("*").alias("total")), "graph_id")
+    frontier = F.when(F.col("zoomed"), F.col("m") + F.col("m_before")).otherwise(F.col("n") + F.col("n_before"))
+    return rows.select("graph_id", (F.col("op_idx") + 1).alias("cursor"), (F.col("total") - F.col("one") - F.col("one_before")).alias("live"), frontier.alias("frontier"), "zoomed")

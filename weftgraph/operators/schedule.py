@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.lookups import NODE, predecessors
 from weftgraph.operators.loops import HOPS, loop_nesting, node_weights
-from weftgraph.operators.ordering import numbered
+from weftgraph.operators.ordering import before_each, numbered
 from weftgraph.operators.shared import settled
 from weftgraph.sources.ingest import validate_graphs, with_default_weights
 
@@ -152,16 +152,35 @@ def reduction_status(nodes: DataFrame, edges: DataFrame, node_types: DataFrame)
     return found.join(uncut, "graph_id", "left").join(heavy, "graph_id", "left").select("graph_id", status.alias("status"))
 
 
+def scope_members(log: DataFrame) -> DataFrame:
+    """(graph_id, broke, place, node_id, gone): the members of each broken loop in order, with the op of the break and the next op that takes the
+    member out (null: none does). A scope at any op is the members that are not yet gone, so all scopes together are as long as the
+    breaks' own lists."""
+    held = log.where("kind = 'remove_edges'").select("graph_id", F.col("op_idx").alias("broke"), F.posexplode("meta.scc").alias("place", "node_id"))
+    gone = log.where("kind = 'remove_node'").select("graph_id", F.col("forward.target").alias("node_id"), F.col("op_idx").alias("gone"))
+    later = F.min(F.when(F.col("gone") > F.col("broke"), F.col("gone")))
+    return held.join(gone, NODE, "left").groupBy("graph_id", "broke", "place", "node_id").agg(later.alias("gone"))
+
+
+def scope_of_ops(log: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(graph_id, op_idx, last, broke): the last loop break before each op, and that whose scope is active after it; null is none."""
+    mine = F.when((F.col("kind") == "remove_edges") & F.col("meta.scc").isNotNull(), F.col("op_idx"))
+    rows = before_each(log.select("graph_id", "op_idx", mine.alias("own")), [], ["own"])
+    rows = rows.select("graph_id", "op_idx", F.col("own_before").alias("last"), F.coalesce("own", "own_before").alias("now"))
+    members = scope_members(log) if members is None else members
+    ends = members.groupBy("graph_id", F.col("broke").alias("now")).agg(F.max(F.coalesce("gone", F.lit(1 << 62))).alias("end"))
+    rows = rows.join(ends, ["graph_id", "now"], "left")
+    return rows.select("graph_id", "op_idx", "last", F.when(F.col("op_idx") < F.col("end"), F.col("now")).alias("broke"))
+
+
 def scopes(log: DataFrame) -> DataFrame:
     """(graph_id, op_idx, before, after): the members of the last broken loop that are still there before and after each op; an
-    empty array is no scope. A list for each op, so for loops of moderate size."""
-    past = Window.partitionBy("graph_id").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)
-    broke = F.when(F.col("kind") == "remove_edges", F.col("meta.scc"))
-    rows = log.select("graph_id", "op_idx", "kind", F.when(F.col("kind") == "remove_node", F.col("forward.target")).alias("gone"), broke.alias("scc"))
-    rows = rows.withColumns({"n": F.count("scc").over(past), "last": F.last("scc", ignorenulls=True).over(past)})
-    part = Window.partitionBy("graph_id", "n").orderBy("op_idx")
-    rows = rows.withColumn("removed", F.collect_list("gone").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    empty array is no scope. A list for each op, made of :func:`scope_members` for those who write or show them."""
+    members = scope_members(log)
+    lists = members.groupBy("graph_id", F.col("broke").alias("last")).agg(F.array_sort(F.collect_list(F.struct("place", "node_id", "gone"))).alias("held"))
+    rows = log.select("graph_id", "op_idx", F.when(F.col("kind") == "remove_edges", F.col("meta.scc")).alias("scc"))
+    rows = rows.join(scope_of_ops(log, members).select("graph_id", "op_idx", "last"), ["graph_id", "op_idx"]).join(lists, ["graph_id", "last"], "left")
     none = F.array().cast("array<string>")
-    after = F.coalesce("scc", F.array_except("last", "removed"), none)
-    before = F.coalesce(F.array_except("last", F.array_except("removed", F.array("gone"))), none)
-    return rows.select("graph_id", "op_idx", before.alias("before"), after.alias("after"))
+    before = F.expr("transform(filter(held, x -> coalesce(x.gone >= op_idx, true)), x -> x.node_id)")
+    after = F.expr("transform(filter(held, x -> coalesce(x.gone > op_idx, true)), x -> x.node_id)")
+    return rows.select("graph_id", "op_idx", F.coalesce(before, none).alias("before"), F.coalesce("scc", after, none).alias("after"))

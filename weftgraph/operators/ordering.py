@@ -8,14 +8,36 @@ from pyspark.sql import functions as F
 from weftgraph.operators.shared import settled
 
 
+#: Ops of a graph that lie in one window; a graph has a row for each such chunk beyond that.
+CHUNK = 1 << 16
+
+
+def large_graphs(rows: DataFrame) -> DataFrame:
+    """(graph_id, n) of the graphs with more than CHUNK rows; there is one for each CHUNK rows at most, so a join may broadcast them."""
+    return settled(rows.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with the column `name`: their number from 0 in the ascending order of columns within their graph_id, nulls first.
 
+    A graph of up to CHUNK rows is a window, the rows of larger ones are dealt by ranges. The order has to tell all rows of a graph apart."""
+    rows = settled(rows)
+    large = large_graphs(rows)
+    place = (F.row_number().over(Window.partitionBy("graph_id").orderBy(*order)) - 1).cast("bigint")
+    if large.isEmpty():
+        return rows.withColumn(name, place)
+    large = F.broadcast(large.select("graph_id"))
+    return rows.join(large, "graph_id", "left_anti").select(*rows.columns, place.alias(name)).unionByName(_by_ranges(rows.join(large, "graph_id", "left_semi").select(rows.columns), order, name))
+
+
+def _by_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """:func:`numbered` for large graphs.
+
     Rows are dealt by ranges of (graph_id, order) and sorted within, so a large graph lies in as many ranges as it fills. A row's number is its
     place in its range, less where its graph begins there, plus the graph's rows in the ranges before. What is gathered of a graph is a
-    number for each range that holds some of it. The order has to tell all rows of a graph apart.
+    number for each range that holds some of it.
     """
-    dealt = settled(rows).repartitionByRange("graph_id", *order).sortWithinPartitions("graph_id", *order)
+    dealt = rows.repartitionByRange("graph_id", *order).sortWithinPartitions("graph_id", *order)
     # The upper bits are the range, the others count its rows in order.
     dealt = settled(dealt.withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
     held = dealt.groupBy("graph_id", "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
@@ -25,10 +47,6 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.join(begins, ["graph_id", "_range"]).withColumn(name, F.col("_place") - F.col("_begin")).select(*rows.columns, name)
 
 
-#: Ops of a graph that lie in one window; a graph has a row for each such chunk beyond that.
-CHUNK = 1 << 16
-
-
 def before_each(rows: DataFrame, sums: list[str], tops: list[str]) -> DataFrame:
     """rows with the sums (0 at first) and greatest values (null at first) of columns over their graph's rows of smaller op_idx, as `<column>_before`.
 

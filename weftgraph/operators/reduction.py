@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.loops import node_weights
 from weftgraph.operators.lookups import NODE, predecessors
-from weftgraph.operators.ordering import before_each, numbered
+from weftgraph.operators.ordering import CHUNK, before_each, large_graphs, numbered
 from weftgraph.operators.schedule import scope_members, scope_of_ops
 
 
@@ -71,38 +71,40 @@ def motif_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("graph_id", "parent_step", "kind").agg(F.count("*").alias("n"))
 
 
-#: A graph's nodes and edges are dealt to so many bins, and its cursors go to each, so that one large graph is many tasks' work.
-BINS = 32
-
-
-def _bin(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BINS)).alias("bin")
+def _binned(rows: DataFrame, large: DataFrame, column: str) -> DataFrame:
+    """rows with their bin: a large graph's are dealt by column to one for each CHUNK of its rows, all others are 0."""
+    n = F.col("n") + 1
+    return rows.join(F.broadcast(large), "graph_id", "left").select(*rows.columns, F.coalesce(F.pmod(F.xxhash64(column), F.floor(n / CHUNK) + 1), F.lit(0).cast("bigint")).alias("bin"))
 
 
 def graph_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(graph_id, k, node_id, weight) and (graph_id, k, src, dst): what is left after the first k ops, removals and loop breaks.
 
     cursor: graph_id, k; a graph may have any number of cursors, repeated ones count once. Nodes and edges live from the start to an op, so each is compared with
-    its graph's cursors by the number of that op, and a weight adds up the changes before k."""
-    at = cursor.select("graph_id", "k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1)).cast("array<bigint>")))
+    its graph's cursors by the number of that op, and a weight adds up the changes before k. Large graphs lie in bins, and their cursors go to each, so that one large graph is many
+    tasks' work; cursors of other graphs stay one row each. Nothing here is broadcast but the list of large graphs: a table's estimate by its files is far below what it fills."""
+    nodes, edges, log = (t.hint("merge") for t in (nodes, edges, log))
+    large = large_graphs(nodes.select("graph_id").unionByName(edges.select("graph_id")))
+    at = cursor.select("graph_id", "k").distinct().join(F.broadcast(large), "graph_id", "left")
+    at = at.select("graph_id", "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.floor((F.col("n") + 1) / CHUNK), F.lit(0).cast("bigint")))).alias("bin")).hint("merge")
     gone = log.where("kind = 'remove_node'").select("graph_id", F.col("inverse.target").alias("node_id"), F.col("op_idx").alias("gone"), "inverse.weight_deltas")
-    changes = gone.select("graph_id", F.explode("weight_deltas").alias("node_id", "d"), "gone").select("*", _bin("node_id"))
-    gain = changes.join(at, ["graph_id", "bin"]).where("gone < k").groupBy("graph_id", "k", "node_id").agg(F.sum("d").alias("d"))
+    changes = _binned(gone.select("graph_id", F.explode("weight_deltas").alias("node_id", "d"), "gone"), large, "node_id")
+    gain = changes.join(at, ["graph_id", "bin"]).where("gone < k").groupBy("graph_id", "k", "node_id").agg(F.sum("d").alias("d")).hint("merge")
     ends = gone.select(*NODE, "gone")
-    live = nodes.join(ends, NODE, "left").select(*NODE, "weight0", "gone", _bin("node_id")).join(at, ["graph_id", "bin"]).where("gone is null or gone >= k")
+    live = _binned(nodes.join(ends, NODE, "left").select(*NODE, "weight0", "gone"), large, "node_id").join(at, ["graph_id", "bin"]).where("gone is null or gone >= k")
     live = live.join(gain, ["graph_id", "k", "node_id"], "left").select("graph_id", "k", "node_id", (F.col("weight0") + F.coalesce("d", F.lit(0))).alias("weight"))
     cut = log.where("kind = 'remove_edges'").select("graph_id", F.explode("forward.edges").alias("e"), "op_idx").groupBy("graph_id", "e.src", "e.dst").agg(F.min("op_idx").alias("cut"))
     left = edges.select("graph_id", "src", "dst").join(cut, ["graph_id", "src", "dst"], "left")
     for side in ("src", "dst"):
         left = left.join(ends.withColumnsRenamed({"node_id": side, "gone": f"{side}_gone"}), ["graph_id", side], "left")
-    left = left.select("graph_id", "src", "dst", F.least("cut", "src_gone", "dst_gone").alias("gone"), _bin("src")).join(at, ["graph_id", "bin"])
+    left = _binned(left.select("graph_id", "src", "dst", F.least("cut", "src_gone", "dst_gone").alias("gone")), large, "src").join(at, ["graph_id", "bin"])
     return live, left.where("gone is null or gone >= k").select("graph_id", "k", "src", "dst")
 
 
 def frontier_as_of(nodes: DataFrame, edges: DataFrame, log: DataFrame, cursor: DataFrame, scoped: bool = False) -> DataFrame:
     """The terminals (graph_id, k, node_id, weight) after the first k ops, for all cursors; scoped: those in the scope at that time."""
     live, left = graph_as_of(nodes, edges, log, cursor)
-    ends = live.join(left.select("graph_id", "k", F.col("src").alias("node_id")), ["graph_id", "k", "node_id"], "left_anti")
+    ends = live.join(left.select("graph_id", "k", F.col("src").alias("node_id")).hint("merge"), ["graph_id", "k", "node_id"], "left_anti")
     if not scoped:
         return ends
     members = scope_members(log)

@@ -53,7 +53,9 @@ def motifs(log: DataFrame, parents: DataFrame) -> DataFrame:
     Steps count ops backwards, what a loop holds before the loop itself: a sort by the path of op numbers from the top, with a
     largest number behind a loop's own path. Ops of unknown kinds are opaque motifs.
     """
-    tree = settled(log.select(OP).join(parents, OP, "left"))
+    # By its files and those of its columns that are read a table is estimated far below what it fills: no broadcast goes by that.
+    log, parents = log.hint("merge"), parents.hint("merge")
+    tree = settled(log.select(OP).join(parents, OP, "left")).hint("merge")
     level = tree.where("parent_idx is null").select(*OP, F.array(-F.col("op_idx")).alias("path"))
     every = level = settled(level)
     while True:
@@ -62,20 +64,20 @@ def motifs(log: DataFrame, parents: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         every = every.unionByName(level)
-    every = settled(every)
+    every = settled(every).hint("merge")
     loop, node = F.col("kind") == "remove_edges", F.col("kind") == "remove_node"
     key = F.when(loop, F.concat("path", F.array(F.lit(LAST)))).otherwise(F.col("path"))
     steps = numbered(log.select(*OP, "kind").join(every, OP).select(*OP, key.alias("path")), ["path"], "step").drop("path")
-    rows = settled(log.join(steps, OP).join(tree, OP))
+    rows = settled(log.join(steps.hint("merge"), OP).join(tree, OP)).hint("merge")
 
     broken = rows.where("kind = 'remove_edges'").select("graph_id", F.col("op_idx").alias("loop_idx"), F.explode("meta.scc").alias("member"))
     named = rows.where("kind = 'remove_node'").select("graph_id", F.col("forward.target").alias("target"), "parent_idx", F.explode("inverse.pred_edges").alias("pred"))
     of_child = named.where("parent_idx is not null").withColumnRenamed("parent_idx", "loop_idx")
     outer = of_child.join(broken.withColumnRenamed("member", "pred"), ["graph_id", "loop_idx", "pred"], "left_anti")
-    before = outer.groupBy("graph_id", "loop_idx").agg(F.array_sort(F.collect_set("pred")).alias("outer_preds"))
+    before = outer.groupBy("graph_id", "loop_idx").agg(F.array_sort(F.collect_set("pred")).alias("outer_preds")).hint("merge")
     after = named.join(broken.withColumnRenamed("member", "pred"), ["graph_id", "pred"]).select("graph_id", "loop_idx", "target")
     after = after.join(broken.withColumnRenamed("member", "target"), ["graph_id", "loop_idx", "target"], "left_anti")
-    after = after.groupBy("graph_id", "loop_idx").agg(F.array_sort(F.collect_set("target")).alias("outer_succs"))
+    after = after.groupBy("graph_id", "loop_idx").agg(F.array_sort(F.collect_set("target")).alias("outer_succs")).hint("merge")
     steps = rows.select("graph_id", F.col("op_idx").alias("parent_idx"), F.col("step").alias("parent_step"))
     faces = [t.withColumnRenamed("loop_idx", "op_idx") for t in (before, after)]
     out = rows.join(steps, ["graph_id", "parent_idx"], "left").join(faces[0], OP, "left").join(faces[1], OP, "left")
@@ -92,7 +94,7 @@ def metagraph_edges(found: DataFrame) -> DataFrame:
     """(graph_id, parent_step, src_step, dst_step): within each level, from the motif that restores a predecessor to the motif that
     names it, and from a loop to the motif that restores its successor. A loop stands for all its members; of two owners of a
     node the later counts."""
-    found = found.withColumn("level", F.coalesce("parent_step", F.lit(-1)))
+    found = found.hint("merge").withColumn("level", F.coalesce("parent_step", F.lit(-1)))
     stands = F.when(F.col("kind") == "loop", F.col("scc")).when(F.col("node").isNotNull(), F.array("node"))
     owner = found.select("graph_id", "level", "step", F.explode(stands).alias("node")).groupBy("graph_id", "level", "node").agg(F.max("step").alias("owner"))
     into = found.select("graph_id", "level", F.explode("preds").alias("node"), "step").join(owner, ["graph_id", "level", "node"])
@@ -104,6 +106,7 @@ def metagraph_edges(found: DataFrame) -> DataFrame:
 
 def subgraphs(found: DataFrame, ways: DataFrame) -> DataFrame:
     """(graph_id, loop_step, parent_step, n_motifs, n_edges) of the loops that hold motifs."""
+    found, ways = found.hint("merge"), ways.hint("merge")
     inner = found.where("parent_step is not null").groupBy("graph_id", F.col("parent_step").alias("loop_step")).agg(F.count("*").alias("n_motifs"))
     lines = ways.where("parent_step is not null").groupBy("graph_id", F.col("parent_step").alias("loop_step")).agg(F.count("*").alias("n_edges"))
     own = found.where("kind = 'loop'").select("graph_id", F.col("step").alias("loop_step"), "parent_step")
@@ -118,6 +121,7 @@ def node_steps(found: DataFrame) -> DataFrame:
 def metagraph_violations(found: DataFrame, ways: DataFrame) -> DataFrame:
     """(graph_id, parent_step, src_step, dst_step, reason) of what a metagraph must not have: an edge that doesn't lead to a later step (order), one
     that names a step which is no motif of its level (unknown_step), a level whose parent is no loop (not_a_loop; without steps)."""
+    found, ways = found.hint("merge"), ways.hint("merge")
     level = found.select("graph_id", F.coalesce("parent_step", F.lit(-1)).alias("level"), "step", F.lit(True).alias("there"))
     lines = ways.select("graph_id", F.coalesce("parent_step", F.lit(-1)).alias("level"), "src_step", "dst_step")
     for side in ("src_step", "dst_step"):

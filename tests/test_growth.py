@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import loops, motif_tree, ordering, reduction, schedule
+from weftgraph.sources import op_log_io
 
 
 def tables(spark, graphs, loose=False):
@@ -93,3 +94,11 @@ def test_motifs_without_broadcasts_by_estimates(spark):
     log = schedule.op_log(*tables(spark, some(4, False)))
     out = motif_tree.motifs(log, motif_tree.loop_parents(log))
     assert not broadcasts(out) and not broadcasts(motif_tree.metagraph_edges(out))
+
+
+def test_text_of_ops_is_parsed_once(spark, tmp_path):
+    spark.createDataFrame([("a", "[]"), ("b", '[{"kind": "note", "n": 1}, {"kind": "remove_node", "forward": {"target": "x"}}]')], "graph_id string, value string").write.json(f"file://{tmp_path}/log")
+    ops = op_log_io.read_op_log(spark, f"file://{tmp_path}/log")
+    assert [(r.graph_id, r.op_idx, r.kind) for r in ops.orderBy("op_idx").collect()] == [("b", 0, "note"), ("b", 1, "remove_node")]
+    plan = ops._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('concat({"a":') == 1

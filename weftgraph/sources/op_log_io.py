@@ -31,7 +31,11 @@ def _op_texts(op_log: DataFrame) -> DataFrame:
             'node_type', inverse.node_type, 'weight_deltas', inverse.weight_deltas, 'edges', {_pairs('inverse')})""").alias("inverse"),
         F.expr(f"named_struct('header', meta.header, 'scc', meta.scc, 'scope_snapshot', {scope.format('before')}, 'scope_after', {scope.format('after')})").alias("meta"),
     )
-    return op_log.join(scopes(op_log), ["graph_id", "op_idx"]).select("graph_id", "op_idx", F.coalesce("payload", F.to_json(op)).alias("text"))
+    # Graphs without a break have no scopes; the others' are looked up, not all ops'.
+    broken = op_log.where("kind = 'remove_edges'").select("graph_id").distinct().hint("merge")
+    seen, none = scopes(op_log.join(broken, "graph_id", "left_semi")), F.array().cast("array<string>")
+    rows = op_log.hint("merge").join(seen, ["graph_id", "op_idx"], "left").withColumns({c: F.coalesce(c, none) for c in ("before", "after")})
+    return rows.select("graph_id", "op_idx", F.coalesce("payload", F.to_json(op)).alias("text"))
 
 
 def ops_to_json(op_log: DataFrame) -> DataFrame:
@@ -62,7 +66,8 @@ def ops_from_json(rows: DataFrame) -> DataFrame:
     kinds; else it is the op with these four fields, each with all that it holds."""
     broken = F.raise_error(F.concat(F.lit("no JSON array of ops in "), "graph_id")).cast("array<variant>")
     read = _parsed(rows).select("graph_id", F.coalesce("ops", broken).alias("ops"))
-    ops = read.select("graph_id", F.posexplode("ops").alias("op_idx", "v"))
+    # The outer form: for the other one a filter on the array is inferred, which parses the text again for each condition.
+    ops = read.select("graph_id", F.posexplode_outer("ops").alias("op_idx", "v")).where("op_idx is not null")
     kind = F.coalesce(F.try_variant_get("v", "$.kind", "string"), F.raise_error(F.concat(F.lit("an op without a kind in "), "graph_id")).cast("string"))
     part = "coalesce(try_variant_get(v, '$.{0}', 'variant'), parse_json('{{}}'))"
     whole = F.expr(f"to_json(named_struct('kind', kind, {', '.join(f"'{p}', {part.format(p)}" for p in ('forward', 'inverse', 'meta'))}))")

@@ -74,7 +74,7 @@ def test_nesting_of_deep_loops_takes_few_jobs(spark):
 def test_numbers_of_small_and_large_graphs(spark, monkeypatch):
     rows = spark.range(200).select(F.concat(F.lit("g"), (F.col("id") % 7 * F.col("id") % 5).cast("string")).alias("graph_id"), (F.col("id") * 37 % 211).alias("x"))
     small = found(ordering.numbered(rows, ["x"], "n"))
-    monkeypatch.setattr(ordering, "CHUNK", 30)
+    monkeypatch.setattr(ordering, "WINDOW", 30)
     assert found(ordering.numbered(rows, ["x"], "n")) == small
 
 

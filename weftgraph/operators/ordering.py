@@ -17,21 +17,22 @@ def large_graphs(rows: DataFrame) -> DataFrame:
     return settled(rows.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
 
 
+#: Rows of a graph that are numbered by one window.
+WINDOW = 1 << 12
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with the column `name`: their number from 0 in the ascending order of columns within their graph_id, nulls first.
 
-    A graph of up to CHUNK rows is a window, the rows of larger ones are dealt by ranges. The order has to tell all rows of a graph apart."""
+    Where no graph has more than WINDOW rows each is a window, else all are dealt by ranges. The order has to tell all rows of a graph apart."""
     rows = settled(rows)
-    large = large_graphs(rows)
-    place = (F.row_number().over(Window.partitionBy("graph_id").orderBy(*order)) - 1).cast("bigint")
-    if large.isEmpty():
-        return rows.withColumn(name, place)
-    large = F.broadcast(large.select("graph_id"))
-    return rows.join(large, "graph_id", "left_anti").select(*rows.columns, place.alias(name)).unionByName(_by_ranges(rows.join(large, "graph_id", "left_semi").select(rows.columns), order, name))
+    if not rows.groupBy("graph_id").count().where(F.col("count") > WINDOW).isEmpty():
+        return _by_ranges(rows, order, name)
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy("graph_id").orderBy(*order)) - 1).cast("bigint"))
 
 
 def _by_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """:func:`numbered` for large graphs.
+    """:func:`numbered` where a graph is large.
 
     Rows are dealt by ranges of (graph_id, order) and sorted within, so a large graph lies in as many ranges as it fills. A row's number is its
     place in its range, less where its graph begins there, plus the graph's rows in the ranges before. What is gathered of a graph is a

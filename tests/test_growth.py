@@ -102,3 +102,29 @@ def test_text_of_ops_is_parsed_once(spark, tmp_path):
     assert [(r.graph_id, r.op_idx, r.kind) for r in ops.orderBy("op_idx").collect()] == [("b", 0, "note"), ("b", 1, "remove_node")]
     plan = ops._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count('concat({"a":') == 1
+
+
+def test_many_op_files_are_written_by_tasks_and_listed_by_few(spark, tmp_path):
+    """Folders have Spark's names; one that is there already is an error, and what a broken task left behind isn't read."""
+    odd = ["", " ", "é%41", "a\"b#c%d'e*f", "a/b:c=d?e", "\\{[]}^\x7f\t", "a+b c.txt", "_x", "null"]
+    log = schedule.op_log(*tables(spark, {"g": [("a", "b"), ("b", "c")]})).drop("graph_id").crossJoin(spark.createDataFrame([(g,) for g in [*odd, *map(str, range(100))]], "graph_id string"))
+    # A quote and a line break in an op's text.
+    log = log.withColumns({"kind": F.lit("note"), "payload": F.to_json(F.struct(F.lit("note").alias("kind"), F.struct(F.concat(F.lit("é\n\""), "graph_id").alias("s"), "op_idx").alias("forward")))})
+    path = tmp_path / "files"
+    op_log_io.write_op_files(log, f"file://{path}")
+    log.select("graph_id", "payload").write.partitionBy("graph_id").text(f"file://{tmp_path}/spark")
+    folders = {p.name for p in path.glob("graph_id=*")}
+    assert folders == {p.name for p in (tmp_path / "spark").glob("graph_id=*")} and len(folders) == 109
+    assert (path / "_SUCCESS").exists() and sum(p.is_file() for p in path.glob("graph_id=*/*")) == 109
+    with pytest.raises(Exception, match="(?i)already exists"):
+        op_log_io.write_op_files(log, f"file://{path}")
+    (path / "graph_id=7" / ".left").write_text("[")
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    back = op_log_io.read_op_files(spark, f"file://{path}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    track = spark.sparkContext.statusTracker()
+    tasks = [track.getStageInfo(s).numTasks for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 16
+    named, text = F.expr("if(graph_id = '', '__HIVE_DEFAULT_PARTITION__', graph_id)"), F.get_json_object("payload", "$.forward.s")
+    assert found(back.select("graph_id", "op_idx", "kind", text)) == found(log.select(named, "op_idx", "kind", text))

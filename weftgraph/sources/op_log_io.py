@@ -4,6 +4,12 @@ Ops of the kinds remove_node and remove_edges have typed columns. An op of any o
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,15 +97,55 @@ def read_op_log(spark: SparkSession, path: str) -> DataFrame:
     return ops_from_json(spark.read.schema("graph_id string, value string").json(path))
 
 
+def _write_lines(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes lines (graph_id, value), sorted by graph, to a file for each graph, and says how many files these are. A file gets its name when it is whole, so a
+    task that runs again, or twice at a time, writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, out, n = None, None, 0
+        # The folder's name is the one that Spark gives it.
+        escaped = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{os.path.dirname(out.name)}/part-0.txt")
+
+        for batch in batches:
+            for graph_id, value in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                if graph_id != graph:
+                    end()
+                    folder = f"{root}/graph_id=" + (escaped.sub(lambda m: f"%{ord(m[0]):02X}", graph_id) or "__HIVE_DEFAULT_PARTITION__")
+                    os.makedirs(folder, exist_ok=True)
+                    graph, out, n = graph_id, open(f"{folder}/.{uuid.uuid4().hex}", "w", encoding="utf-8", newline="\n"), n + 1
+                out.write(value)
+                out.write("\n")
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return run
+
+
 def write_op_files(op_log: DataFrame, path: str) -> None:
     """A file for each graph, with one JSON array, in a folder `graph_id=...` of its own; an op in a line.
 
-    A graph's ops come to one task, sorted, and are written one by one, so a long log is never a row; brackets and commas are added to the lines."""
+    A graph's ops come to one task, sorted, and are written one by one, so a long log is never a row; brackets and commas are added to the lines. In a shared local
+    folder the tasks write the files themselves: Hadoop's local files cost a process or two each for their permissions, and a move by the driver. `_SUCCESS` comes last."""
     last = op_log.groupBy("graph_id").agg(F.max("op_idx").alias("last"))
     begin, end = F.when(F.col("op_idx") == 0, "[").otherwise(""), F.when(F.col("op_idx") == F.col("last"), "]").otherwise(",")
     lines = _op_texts(op_log).join(last, "graph_id").select("graph_id", "op_idx", F.concat(begin, "text", end).alias("value"))
     # By id, so that no file is begun twice.
-    lines.repartition("graph_id").sortWithinPartitions("graph_id", "op_idx").select("graph_id", "value").write.partitionBy("graph_id").option("maxRecordsPerFile", 0).text(path)
+    lines = lines.repartition("graph_id").sortWithinPartitions("graph_id", "op_idx").select("graph_id", "value")
+    spark, files = op_log.sparkSession, lambda df: df.write.partitionBy("graph_id").option("maxRecordsPerFile", 0)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if uri.getScheme() != "file":
+        return files(lines).text(path)
+    # The folder, which must be a new one, and in the end its mark.
+    none = spark.createDataFrame([], lines.schema)
+    files(none).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
+    lines.mapInArrow(_write_lines(uri.getPath()), "n bigint").agg(F.sum("n")).collect()
+    files(none).mode("append").text(path)
 
 
 def read_op_files(spark: SparkSession, path: str) -> DataFrame:
@@ -109,5 +155,12 @@ def read_op_files(spark: SparkSession, path: str) -> DataFrame:
     # The path is an encoded one, and so is the folder's name in it.
     decoded = lambda c: F.url_decode(F.regexp_replace(c, "[+]", "%2B"))
     name = F.when(folder != "", decoded(decoded(folder))).otherwise(F.regexp_replace("_metadata.file_name", "[.]json$", ""))
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    # Folders are listed by as many tasks as elsewhere; Spark takes up to 10,000, which take longer to start than to list a few folders each.
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    finally:
+        spark.conf.set(key, before)
     return ops_from_json(files.select(name.alias("graph_id"), "value"))

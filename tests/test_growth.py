@@ -1,5 +1,6 @@
 """Small and large graphs take different ways to the same results, and what reaches the driver doesn't grow with the tables."""
 
+import gzip
 import random
 import re
 import uuid
@@ -150,3 +151,14 @@ def test_order_of_breaks_of_small_and_large_graphs(spark, monkeypatch, loose):
 def test_order_of_deep_loops_takes_no_jobs_a_break(spark):
     few, many = ({"g": [(a, b) for a in names for b in names if a != b]} for names in ("abc", "abcdefg"))
     assert jobs(spark, lambda: schedule.op_log(*tables(spark, many))) < jobs(spark, lambda: schedule.op_log(*tables(spark, few))) + 10
+
+
+def test_packed_and_plain_op_files_are_read_alike(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.json").write_text('[{"kind": "é"}]', encoding="utf-8")
+    (tmp_path / "a" / "two.json.gz").write_bytes(gzip.compress('[{"kind": "ü"}]'.encode()))
+    for path in (tmp_path, tmp_path / "a"):
+        assert found(op_log_io.read_op_files(spark, f"file://{path}").select("graph_id", "kind")) == [("one", "é"), ("two.json.gz", "ü")]
+    ops = op_log_io.read_op_files(spark, f"file://{tmp_path}/a/two.json.gz")
+    assert found(ops.select("kind")) == [("ü",)]
+    assert "binaryFile" in op_log_io.read_op_files(spark, f"file://{tmp_path}/a/one.json")._jdf.queryExecution().toString()

@@ -13,7 +13,8 @@ left are different segments with the same anchor. They are dealt out by document
 and common prefixes give its different strings in order, a sorted run. Shards are merged by binary search: runs are cut at
 common borders, and in each range between two borders the runs are merged pairwise by looking up the strings of the one in
 the other, whole strings compared. Of equal strings the first occurrence stays, the other ones are repeats. A string
-stands in a run once at most, so even one in every document comes only as often as there are shards.
+stands in a run once at most, so even one in every document comes only as often as there are shards. A run has many times
+the bytes of its segments and is never stored: it is made once for the borders, and again to be cut at them.
 """
 
 from __future__ import annotations
@@ -34,11 +35,14 @@ ANCHOR = 32
 HOT = 2000
 ROW = "shard int, anchor bigint, segment bigint, id bigint, start int, n int, place int, bytes binary"
 RANGE = "id bigint, first int, last int, anchor bigint, segment bigint, n int, place int, bytes binary"
-#: A block of a sorted run (its strings, ids and starts packed, strings of it at even distances), or a range of repeats.
-RUN = "id bigint, first int, last int, sample binary, size int, keys binary, ids binary, starts binary"
+#: A block of a sorted run (strings of it at even distances, and how many it has), or a range of repeats.
+RUN = "id bigint, first int, last int, sample binary, size int"
 PIECE = "range int, keys binary, ids binary, starts binary"
+CUT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 #: Rows of a shard in the first round, segments of one in the second.
 SHARD_ROWS, SHARD_SEGMENTS = 60_000, 5_000
+#: Bytes of segments, besides one anchor's, over which a suffix array is made in the first round: it takes some 100 times as much memory.
+ARRAY_BYTES = 1 << 20
 #: Strings of a block of a run, and of a range.
 BLOCK, RANGE_STRINGS = 5_000, 100_000
 #: Strings of each block, and of all, among which the borders of the ranges are chosen; where they lie changes no result.
@@ -195,6 +199,14 @@ def _again(kind: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return by, np.flatnonzero(fresh), np.flatnonzero((owner != owner[first]) | (at != at[first]))
 
 
+def _blocks(anchor: np.ndarray, sizes: np.ndarray) -> list[slice]:
+    """Stretches of segments in the order of their anchors, of some ARRAY_BYTES each. Equal strings have equal anchors, and no anchor is parted."""
+    ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)) if len(anchor) else np.zeros(0, np.int64)
+    number = (np.cumsum(sizes)[ends - 1] - 1) // ARRAY_BYTES
+    cuts = ends[np.append(number[1:] != number[:-1], True)].tolist() if len(ends) else []
+    return [slice(a, b) for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
 def _repeats(anchor, segment, ids, start, n, place, data, length):  # noqa: ANN001, ANN202
     """For rows in the order of (anchor, segment, id, start): whether a row is its segment's first occurrence, and the
     rows' ranges of repeated strings as (row, first, last). data: bytes by row, somewhere in each segment."""
@@ -209,10 +221,11 @@ def _repeats(anchor, segment, ids, start, n, place, data, length):  # noqa: ANN0
     same = np.zeros(len(head), bool)
     same[1:] = anchor[head][1:] == anchor[head][:-1]
     several = np.flatnonzero(same | np.append(same[1:], False))
-    if len(several):
-        held = dict(zip(number[[i for i, d in enumerate(data) if d is not None]].tolist(), [d for d in data if d is not None], strict=True))
-        _, piece, offset, kind = _classes([held[k] for k in several.tolist()], length)
-        row = head[several][piece]
+    held = {k: d for k, d in zip(number.tolist(), data, strict=True) if d is not None} if len(several) else {}
+    for block in _blocks(anchor[head][several], np.array([len(held[k]) for k in several.tolist()], np.int64)):
+        block = several[block]
+        _, piece, offset, kind = _classes([held[k] for k in block.tolist()], length)
+        row = head[block][piece]
         owner, at = ids[row], start[row] + offset
         by, _, again = _again(kind, owner, at)
         row, at = row[by], at[by]
@@ -265,49 +278,53 @@ def _shard(length: int, hot):  # noqa: ANN001, ANN202
     return run
 
 
-def _runs(length: int):  # noqa: ANN202
-    """The sorted run of a shard's different strings, in blocks, and the ranges of those that repeat within it."""
+def _run(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of a shard by class, id and start, as (bytes, places in them, ids, starts); where its different strings begin, its sorted run;
+    and which strings are repeats."""
+    ids, start = np.asarray(table.column("id")), np.asarray(table.column("start"))
+    held = table.column("bytes").to_pylist()
+    flat, piece, offset, kind = _classes(held, length)
+    place = _begins(np.array([len(x) for x in held], np.int64))[piece] + offset
+    owner, at = ids[piece], start[piece] + offset
+    by, fresh, again = _again(kind, owner, at)
+    return flat, place[by], owner[by], at[by].astype(np.int32), fresh, again
+
+
+def _samples(length: int):  # noqa: ANN202
+    """What the borders need of a shard's sorted run, by blocks, and the ranges of its strings that repeat within it."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, start = np.asarray(table.column("id")), np.asarray(table.column("start"))
-        held = table.column("bytes").to_pylist()
-        flat, piece, offset, kind = _classes(held, length)
-        place = _begins(np.array([len(x) for x in held], np.int64))[piece] + offset
-        owner, at = ids[piece], start[piece] + offset
-        by, fresh, again = _again(kind, owner, at)
+        flat, place, owner, at, fresh, again = _run(table, length)
         strings = np.lib.stride_tricks.sliding_window_view(flat, length)
-        owner, at, place = owner[by], at[by].astype(np.int32), place[by]
         blocks = [fresh[i : i + BLOCK] for i in range(0, len(fresh), BLOCK)]
-        even = [f[np.arange(BLOCK_SAMPLE) * len(f) // BLOCK_SAMPLE] for f in blocks]
-        packed = [(strings[place[e]].tobytes(), len(f), strings[place[f]].tobytes(), owner[f].tobytes(), at[f].tobytes()) for e, f in zip(even, blocks, strict=True)]
+        samples = [strings[place[f[np.arange(BLOCK_SAMPLE) * len(f) // BLOCK_SAMPLE]]].tobytes() for f in blocks]
         by = np.lexsort((at[again], owner[again]))
         who, when = owner[again][by], at[again][by]
         edges = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (when[1:] != when[:-1] + 1)])) if len(who) else by
         last = when[np.append(edges[1:], len(who)) - 1] if len(who) else when
-        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         cols = [pa.array([None] * len(blocks) + v, t) for v, t in zip([who[edges].tolist(), when[edges].tolist(), last.tolist()], [pa.int64(), pa.int32(), pa.int32()], strict=True)]
-        cols += [pa.array([p[i] for p in packed] + [None] * len(edges), t) for i, t in enumerate(kinds)]
-        return pa.Table.from_arrays(cols, ["id", "first", "last", "sample", "size", "keys", "ids", "starts"])
+        cols += [pa.array(v + [None] * len(edges), t) for v, t in zip([samples, [len(f) for f in blocks]], [pa.binary(), pa.int32()], strict=True)]
+        return pa.Table.from_arrays(cols, ["id", "first", "last", "sample", "size"])
 
     return run
 
 
-def _cut_runs(length: int, borders):  # noqa: ANN001, ANN202
-    """Blocks of runs, cut at the borders (broadcast, sorted) by binary search."""
+def _pieces(length: int, borders):  # noqa: ANN001, ANN202
+    """The sorted run of a shard's different strings, cut at the borders (broadcast, sorted) by binary search; a batch for each block."""
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for keys, ids, starts in zip(batch.column("keys"), batch.column("ids"), batch.column("starts"), strict=True):
-                keys, ids, starts = keys.as_buffer(), ids.as_buffer(), starts.as_buffer()
-                cuts = np.searchsorted(np.frombuffer(keys, f"S{length}"), borders.value).tolist()
-                raw = [memoryview(keys), memoryview(ids), memoryview(starts)]
-                for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(ids) // 8], strict=True)):
-                    if a < b:
-                        for c, v in zip(out, (k, *(bytes(x[a * w : b * w]) for x, w in zip(raw, (length, 8, 4), strict=True))), strict=True):
-                            c.append(v)
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "keys", "ids", "starts"])
+    def run(table: pa.Table) -> pa.Table:
+        flat, place, owner, at, fresh, _ = _run(table, length)
+        strings = np.lib.stride_tricks.sliding_window_view(flat, length)
+        batches = []
+        for i in range(0, len(fresh), BLOCK):
+            f = fresh[i : i + BLOCK]
+            raw = strings[place[f]].tobytes(), owner[f].tobytes(), at[f].tobytes()
+            cuts = np.searchsorted(np.frombuffer(raw[0], f"S{length}"), borders.value).tolist()
+            spans = [(k, a, b) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(f)], strict=True)) if a < b]
+            cols = [[k for k, _, _ in spans], *([x[a * w : b * w] for _, a, b in spans] for x, w in zip(raw, (length, 8, 4), strict=True))]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema))
+        return pa.Table.from_batches(batches, schema)
 
     return run
 
@@ -374,14 +391,14 @@ def _merged_shards(first: DataFrame, length: int, shards: int, log2_bits: int) -
         return ranges
     parts = max(shards // 4, total // SHARD_SEGMENTS)
     dealt = lead.select("anchor", "id", "start", "bytes").mapInArrow(differing, "anchor bigint, id bigint, start int, bytes binary")
-    dealt = dealt.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts})"))
-    runs = stored(dealt.groupBy("part").applyInArrow(_runs(length), RUN), "runs")
+    dealt = dealt.withColumn("part", F.expr(f"pmod(xxhash64(id), {parts})")).groupBy("part")
+    runs = stored(dealt.applyInArrow(_samples(length), RUN), "runs")
     blocks = runs.where("sample is not null")
     wanted = max(shards // 4, (blocks.agg(F.sum("size")).first()[0] or 0) // RANGE_STRINGS)
     some = blocks.select("sample").orderBy(F.xxhash64("sample")).limit(SAMPLE // BLOCK_SAMPLE).collect()
     sample = np.sort(np.frombuffer(b"".join(r.sample for r in some), f"S{length}"))
     borders = spark.sparkContext.broadcast(np.unique(sample[np.arange(1, wanted) * len(sample) // wanted]))
-    merged = blocks.mapInArrow(_cut_runs(length, borders), PIECE).groupBy("range").applyInArrow(_merge(length), "id bigint, first int, last int")
+    merged = dealt.applyInArrow(_pieces(length, borders), PIECE).groupBy("range").applyInArrow(_merge(length), "id bigint, first int, last int")
     return ranges.unionByName(runs.where("sample is null").select("id", "first", "last")).unionByName(merged)
 
 
@@ -444,9 +461,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
         return run
 
-    # Texts that no range can touch don't move.
-    whole = rows.mapInArrow(chosen(False), "id bigint, text string").withColumn("ranges", F.lit(None).cast("array<struct<first:int,last:int>>"))
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        yield from _cut(length)(b.append_column("ranges", pa.nulls(len(b), none)) for b in chosen(False)(batches))
+
+    # Texts that no range can touch don't move. One function chooses and hashes them: with two, each task has two workers.
+    whole = rows.mapInArrow(untouched, CUT)
     own = ranges.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     some = rows.mapInArrow(chosen(True), "id bigint, text string").join(own, "id", "left")
-    out = whole.unionByName(some).mapInArrow(_cut(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
-    return out.withColumnRenamed("id", id_col)
+    return whole.unionByName(some.mapInArrow(_cut(length), CUT)).withColumnRenamed("id", id_col)
